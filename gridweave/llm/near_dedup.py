@@ -1,9 +1,10 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 Documents with the same shingle set are one node. Nodes that share a band of their signatures share a bucket.
-Each member of a bucket is first compared with the bucket's first node, so a bucket of n nodes costs n - 1
-comparisons, not n squared; components are formed from the links found, and only pairs of one bucket that are in
-different components after that are compared with each other. Every comparison intersects the full sets.
+Each member of a bucket is first compared with the bucket's centre, the node with most company in all its buckets,
+so a bucket of n nodes costs n - 1 comparisons, not n squared. Members that are like no centre are then compared with
+all that have the same centre and are in another component by now: in blocks of bounded size, as products of
+incidence matrices, of which only links come out. Every comparison intersects the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BANDS, ROWS = 32, 4
 GAMMA, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Pairs of one node that meet in one task, at most.
 SALT_ROWS = 256
+#: Nodes and bytes of sets in a block of comparisons, at most, and elements that a matrix product takes at a time.
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 1024, 16 << 20, 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -145,16 +148,15 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         table, state = small, now
 
 
-def _links(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
-    pairs = scratch.table(pairs, f"{name}-pairs")
+def _links(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar enough. The sets stay in the table named sets."""
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array([x.tobytes() for x in shingle_sets(batch["text"], words)], pa.binary())], ["rid", "members"])
 
-    full = scratch.table(rows.select("rid", "text").join(ids, "rid", "left_semi").mapInArrow(sets, "rid long, members binary"), f"{name}-sets")
+    full = scratch.table(rows.select("rid", "text").join(ids, "rid", "left_semi").mapInArrow(sets, "rid long, members binary"), "sets")
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     # A node that very many are compared with goes to several tasks, one copy for each SALT_ROWS pairs.
     salted = attach(pairs, counts, ["b"], "n", pairs.count()).select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + n div {SALT_ROWS})").alias("salt"))
@@ -171,9 +173,60 @@ def _links(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, perc
                 keep.append(fits and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = scratch.table(both.mapInArrow(similar, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+    return scratch.table(both.mapInArrow(similar, "a long, b long"), "links")
+
+
+def shared_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one shares with each of other."""
+    values = np.concatenate([*one, *other])
+    rows = np.repeat(np.arange(len(one) + len(other)), [len(x) for x in (*one, *other)])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times > 1  # the others are shared by nothing
+    number = np.cumsum(often) - 1
+    real = often[column]
+    rows, column = rows[real], number[column[real]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(one), len(other)), np.float32)
+    for begin in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [begin, begin + COLUMNS])
+        part = np.zeros((len(one) + len(other), COLUMNS), np.float32)
+        part[rows[lo:hi], column[lo:hi] - begin] = 1
+        out += part[: len(one)] @ part[len(one) :].T
+    return out
+
+
+def _rest(scratch: Scratch, stars: DataFrame, links: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of the same centre that the comparison with the centre left apart."""
+    members = stars.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").join(roots.withColumnRenamed("node", "a"), "a", "left")
+    members = scratch.table(members.select("a", "b", F.col("linked").isNull().alias("alone"), F.coalesce("component", "a").alias("component")), "star-members")
+    full = scratch.spark.read.parquet(f"{scratch.path}/sets")
+    sized = members.join(full.select(F.col("rid").alias("a"), F.octet_length("members").alias("bytes")), "a")
+    open_groups = sized.groupBy("b").agg(F.count("*").alias("n"), F.count_if("alone").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum("bytes").alias("bytes"))
+    open_groups = open_groups.filter("apart > 0 and low <> high").select("b", "n", F.expr(f"1 + greatest(n div {BLOCK_ROWS}, bytes div {BLOCK_BYTES})").alias("blocks"))
+    open_groups = scratch.table(open_groups, "open")
+    here = attach(members, open_groups, ["b"], "n", members.count()).join(full.withColumnRenamed("rid", "a"), "a")
+    here = here.withColumn("own", F.expr("pmod(xxhash64(a), blocks)")).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    here = here.select("b", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "a", "alone", "component", "members")
+
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        node, part, own = (group[c].to_numpy() for c in ("a", "component", "own"))
+        alone = group["alone"].to_numpy(zero_copy_only=False) if isinstance(group["alone"], pa.Array) else group["alone"].to_pandas().to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "u8") for x in group["members"]]
+        left, right = np.flatnonzero(alone), np.arange(len(node))
+        if not len(left):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(x) for x in sets], np.int64)
+        shared = shared_counts([sets[k] for k in left], sets)
+        similar = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+        similar &= part[left][:, None] != part[right][None, :]
+        if i != j:
+            similar &= own[left][:, None] != own[right][None, :]
+        x, y = np.nonzero(similar)
+        return pa.table({"a": pa.array(node[left[x]]), "b": pa.array(node[y])})
+
+    return scratch.table(here.groupBy("b", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "rest")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -193,25 +246,18 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
 
     reps = signed.select(F.col("rid").alias("node"), "keys").join(classes.select("node"), "node")
     cells = reps.select("node", F.explode("keys").alias("key"))
-    buckets = scratch.table(cells.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    inside = scratch.table(attach(cells, buckets, ["key"], "n", total * bands).select("key", "node", "first"), "inside")
-    links = _links(scratch, inside.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), texts, words, percent, "stars")
+    buckets = scratch.table(cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    inside = scratch.table(attach(cells, buckets, ["key"], "n", total * bands), "inside")
+    company = inside.groupBy("node").agg(F.sum("n").alias("company"))
+    inside = scratch.table(inside.join(company, "node"), "company")
+    centres = scratch.table(inside.groupBy("key", "n").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "centres")
+    stars = attach(inside.select("key", "node"), centres, ["key"], "n", inside.count())
+    stars = scratch.table(stars.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    links = _links(scratch, stars, texts, words, percent)
     roots = components(scratch, links, "stars-components")
-
-    # What the first comparison left apart: pairs of a bucket in different components, sizes permitting.
-    sizes = classes.select("node", "n_shingles")
-    placed = inside.join(roots, "node", "left").join(sizes, "node").select("key", "node", "first", F.coalesce("component", "node").alias("component"), "n_shingles")
-    placed = scratch.table(placed, "placed")
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min_by("component", "node").alias("main")).filter("low <> high and n > 2")
-    apart = scratch.table(apart.select("key", "main", "n"), "apart")
-    if not apart.isEmpty():
-        here = scratch.table(attach(placed, apart, ["key"], "n", placed.count()), "here")
-        x = here.filter("component <> main and node <> first").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-        y = here.filter("node <> first").select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), (F.col("component") == F.col("main")).alias("in_main"))
-        fits = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        rest = x.join(y, "key").filter(fits).select("a", "b").distinct()
-        more = _links(scratch, rest, texts, words, percent, "rest")
-        roots = components(scratch, links.unionByName(more), "all-components")
+    rest = _rest(scratch, stars, links, roots, percent)
+    if not rest.isEmpty():
+        roots = components(scratch, links.unionByName(rest), "all-components")
     scratch.drop("texts")
 
     grouped = classes.join(roots, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "copies")
