@@ -150,18 +150,19 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 
 def _links(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. The sets stay in the table named sets."""
+    # These joins grow with the data, so they are shuffles at every size.
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array([x.tobytes() for x in shingle_sets(batch["text"], words)], pa.binary())], ["rid", "members"])
 
-    full = scratch.table(rows.select("rid", "text").join(ids, "rid", "left_semi").mapInArrow(sets, "rid long, members binary"), "sets")
+    full = scratch.table(rows.select("rid", "text").join(ids.hint("merge"), "rid", "left_semi").mapInArrow(sets, "rid long, members binary"), "sets")
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     # A node that very many are compared with goes to several tasks, one copy for each SALT_ROWS pairs.
     salted = attach(pairs, counts, ["b"], "n", pairs.count()).select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + n div {SALT_ROWS})").alias("salt"))
-    copies = full.join(counts, F.col("rid") == F.col("b")).select("b", F.col("members").alias("other"), F.explode(F.expr(f"sequence(0L, n div {SALT_ROWS})")).alias("salt"))
-    both = salted.join(full.select(F.col("rid").alias("a"), "members"), "a").join(copies, ["b", "salt"]).select("a", "b", "members", "other")
+    copies = full.join(counts.hint("merge"), F.col("rid") == F.col("b")).select("b", F.col("members").alias("other"), F.explode(F.expr(f"sequence(0L, n div {SALT_ROWS})")).alias("salt"))
+    both = salted.join(full.select(F.col("rid").alias("a"), "members").hint("merge"), "a").join(copies.hint("merge"), ["b", "salt"]).select("a", "b", "members", "other")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +206,7 @@ def _rest(scratch: Scratch, stars: DataFrame, links: DataFrame, roots: DataFrame
     open_groups = sized.groupBy("b").agg(F.count("*").alias("n"), F.count_if("alone").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum("bytes").alias("bytes"))
     open_groups = open_groups.filter("apart > 0 and low <> high").select("b", "n", F.expr(f"1 + greatest(n div {BLOCK_ROWS}, bytes div {BLOCK_BYTES})").alias("blocks"))
     open_groups = scratch.table(open_groups, "open")
-    here = attach(members, open_groups, ["b"], "n", members.count()).join(full.withColumnRenamed("rid", "a"), "a")
+    here = attach(members, open_groups, ["b"], "n", members.count()).join(full.withColumnRenamed("rid", "a").hint("merge"), "a")
     here = here.withColumn("own", F.expr("pmod(xxhash64(a), blocks)")).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
     here = here.select("b", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "a", "alone", "component", "members")
 
