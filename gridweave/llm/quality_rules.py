@@ -130,7 +130,9 @@ def learn(labelled: DataFrame, names: list[str] | None = None) -> list[Rule]:
     cuts = labelled.groupBy("bad").agg(*(F.percentile_approx(n, steps, 10_000).alias(n) for n in names)).collect()
     if len(cuts) < 2:
         return []
-    thresholds = {n: sorted({float(v) for row in cuts for v in row[n]}) for n in names}
+    # Half way between the values seen, so that a rule keeps its distance from both classes.
+    seen = {n: sorted({float(v) for row in cuts for v in row[n]}) for n in names}
+    thresholds = {n: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for n, v in seen.items()}
     bins = F.array(*(F.struct(F.lit(n).alias("feature"), sum(((F.col(n) > t).cast("int") for t in thresholds[n]), F.lit(0)).alias("bin")) for n in names))
 
     rules: list[Rule] = []

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Lexicons are drawn from labelled documents: words and word beginnings that toxic ones have far more often. Each
-lexicon and each pattern is a voter. A generative label model estimates, without looking at single labels, how often
-each voter speaks up on toxic and on clean documents and which voters merely repeat each other; its posteriors are the
-labels of a linear classifier over the lexicon entries and the voters, which scores every document.
+lexicon and each pattern is a voter. A generative label model estimates how often
+each voter speaks up on toxic and on clean documents and which voters merely repeat each other, with the annotators as
+two more voters; its posteriors are the labels of a linear classifier over the lexicon entries and the other voters,
+which scores every document.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from .scratch import Scratch, documents
 #: Held-out documents: those whose crc32(doc_id) has this remainder 0.
 FOLDS = 5
 #: Labelled documents to learn from, at most; entries of all lexicons together, at most; lexicon voters of words and
-#: of word beginnings, each; documents that an entry must be in; log odds that it must have.
-SAMPLE, ENTRIES, LEXICONS, SUPPORT, ODDS = 20_000, 2_000, 16, 3, 2.0
+#: of word beginnings, each; toxic documents that an entry must be in, as a number and as a share; its least log odds.
+SAMPLE, ENTRIES, LEXICONS, SUPPORT, SHARE, ODDS = 20_000, 600, 16, 3, 0.01, 2.5
+STRENGTHS = 4
 #: Lengths of word beginnings, and what marks them.
 STEMS, STEM = (4, 5), "^"
 #: Pattern voters: a pattern, and how many matches a hundred words make it speak up.
 PATTERNS = ((r"!", 2.0), (r"\b\p{Lu}{3,}\b", 10.0), (r"[!?]{2,}", 1.0), (r"(?i)\byou\b", 3.0), (r"\p{So}|[#*$%&@]", 5.0), (r"https?://|@\w", 1.0))
-#: Label model and classifier: rounds, correlation from which voters share their weight, ridge, rounds and step.
-ROUNDS, CORRELATED, RIDGE, STEPS = 40, 0.3, 1e-3, 300
+#: Label model and classifier: rounds, correlation from which voters share their weight, ridge, Newton steps.
+ROUNDS, CORRELATED, RIDGE, STEPS = 10, 0.3, 0.3, 15
 
 LETTERS = r"[^\p{L}]+"
 
@@ -90,46 +92,49 @@ def _present(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.nda
 
 
 def _votes(rows: np.ndarray, entries: np.ndarray, matches: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    votes = np.zeros((len(matches), 2 * LEXICONS + matches.shape[1]), bool)
+    """Lexicons, patterns, and a last voter that speaks up where no lexicon does."""
+    votes = np.zeros((len(matches), 2 * LEXICONS + matches.shape[1] + 1), bool)
     votes[rows, lexicon[entries]] = True
-    votes[:, 2 * LEXICONS :] = matches
+    votes[:, 2 * LEXICONS : -1] = matches
+    votes[:, -1] = ~votes[:, : 2 * LEXICONS].any(1)
     return votes
 
 
-def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, the rates at which voters speak up on toxic and clean rows, and their shares of weight.
 
-    Expectation maximisation of a latent class; voters that agree beyond what the class explains share one weight.
+    Expectation maximisation of a latent class, begun from what annotators said, who vote like the others. A voter
+    that keeps silent abstains; voters that agree beyond what the class explains share one weight.
     """
-    votes = votes.astype(float)
-    lexicons = votes[:, : 2 * LEXICONS].sum(1)
-    cut = np.quantile(lexicons, 1 - prior) if len(votes) else 0.0
-    q = np.where(lexicons > max(cut - 1e-9, 0.5), 0.9, 0.02)
-    share = np.ones(votes.shape[1])
+    votes = np.column_stack([votes, said, ~said]).astype(float)
+    q, prior = np.where(said, 0.95, 0.02), said.mean()
     for _ in range(ROUNDS):
-        bad = (q @ votes + 0.5) / (q.sum() + 1.0)
-        good = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1.0)
+        bad = (q @ votes + 0.1) / (q.sum() + 0.2)
+        good = ((1 - q) @ votes + 0.1) / ((1 - q).sum() + 0.2)
         apart = votes - q[:, None] * bad - (1 - q)[:, None] * good
         scale = np.sqrt((apart**2).mean(0)) + 1e-9
         alike = np.abs((apart / scale).T @ (apart / scale) / max(len(votes), 1))
         share = 1 / np.where(alike > CORRELATED, alike, 0).sum(0).clip(1)
-        odds = np.log(prior / (1 - prior)) + (votes * share) @ np.log(bad / good) + ((1 - votes) * share) @ np.log((1 - bad) / (1 - good))
+        odds = np.log(prior / (1 - prior)) + (votes * share) @ np.log(bad / good)
         q = 1 / (1 + np.exp(-odds.clip(-30, 30)))
     return q, bad, good, share
 
 
 def _fit(rows: np.ndarray, columns: np.ndarray, n: int, width: int, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels over 0/1 features, by gradient steps with a running scale."""
-    w, b = np.zeros(width), float(np.log((target.mean() + 1e-6) / (1 - target.mean() + 1e-6)))
-    sw, sb = np.full(width, 1e-8), 1e-8
+    """Ridge logistic regression on soft labels over 0/1 features, by Newton steps."""
+    x = np.zeros((n, width + 1), np.float32)
+    x[rows, columns] = 1
+    x[:, -1] = 1
+    ridge = np.full(width + 1, RIDGE)
+    ridge[-1] = 1e-6
+    w = np.zeros(width + 1)
     for _ in range(STEPS):
-        z = b + np.bincount(rows, weights=w[columns], minlength=n)
-        error = 1 / (1 + np.exp(-z.clip(-30, 30))) - target
-        gw = np.bincount(columns, weights=error[rows], minlength=width) / n + RIDGE * w / n**0.5
-        gb = error.mean()
-        sw, sb = sw + gw**2, sb + gb**2
-        w, b = w - 0.5 * gw / np.sqrt(sw), b - 0.5 * gb / np.sqrt(sb)
-    return w, b
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        slope = x.T @ (p - target) + ridge * w
+        curve = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(curve.astype(float), slope)
+        w = w - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
+    return w[:-1], float(w[-1])
 
 
 @dataclass
@@ -154,18 +159,23 @@ def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = sample.mapInArrow(_count, "entry string, toxic long, n long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     odds = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n - bad - F.col("n") + F.col("toxic") + 0.5))
-    chosen = counts.filter(F.col("toxic") >= SUPPORT).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(ENTRIES)
-    entries = [r["entry"] for r in chosen.collect()]
+    chosen = counts.filter(F.col("toxic") >= max(SUPPORT, SHARE * bad)).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(ENTRIES)
+    found = chosen.select("entry", "odds").collect()
+    entries = [r["entry"] for r in found]
     index = {e: k for k, e in enumerate(entries)}
-    lexicon = np.array([zlib.crc32(e.encode()) % LEXICONS + LEXICONS * e.startswith(STEM) for e in entries], np.int64)
+    # Lexicons of like strength, and several of each, so that a second entry of a text is a second vote.
+    strength = np.argsort(np.argsort([-r["odds"] for r in found], kind="stable")) * STRENGTHS // max(len(found), 1)
+    spread = np.array([zlib.crc32(e.encode()) % (LEXICONS // STRENGTHS) for e in entries], np.int64)
+    lexicon = strength * (LEXICONS // STRENGTHS) + spread + LEXICONS * np.array([e.startswith(STEM) for e in entries], np.int64)
+    lexicon = lexicon.astype(np.int64)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, own = _present(batch["text"], index)
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), pa.array(list(_matches(batch["text"])), pa.list_(pa.bool_()))], ["entries", "matches"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), pa.array(list(_matches(batch["text"])), pa.list_(pa.bool_()))], ["toxic", "entries", "matches"])
 
-    taught = sample.mapInArrow(seen, "entries array<long>, matches array<boolean>").toPandas()
+    taught = sample.mapInArrow(seen, "toxic int, entries array<long>, matches array<boolean>").toPandas()
     rows = np.repeat(np.arange(len(taught)), [len(x) for x in taught["entries"]])
     own = np.concatenate([np.asarray(x, np.int64) for x in taught["entries"]]) if len(rows) else np.zeros(0, np.int64)
     matches = np.array([np.asarray(x, bool) for x in taught["matches"]]).reshape(len(taught), len(PATTERNS))
@@ -173,7 +183,7 @@ def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
     width = len(entries) + votes.shape[1]
     if not bad or bad == n:
         return Model(index, lexicon, np.zeros(width), -20.0 if not bad else 20.0)
-    q, *_ = label_model(votes, bad / n)
+    q, *_ = label_model(votes, taught["toxic"].to_numpy() == 1)
     vr, vc = np.nonzero(votes)
     w, b = _fit(np.concatenate([rows, vr]), np.concatenate([own, vc + len(entries)]), len(taught), width, q)
     return Model(index, lexicon, w, b)
