@@ -25,14 +25,16 @@ from .scratch import Scratch, documents
 FOLDS = 5
 #: Labelled documents to learn from, at most; entries of all lexicons together, at most; lexicon voters of words and
 #: of word beginnings, each; toxic documents that an entry must be in, as a number and as a share; its least log odds.
-SAMPLE, ENTRIES, LEXICONS, SUPPORT, SHARE, ODDS = 20_000, 600, 16, 3, 0.01, 2.5
+SAMPLE, ENTRIES, LEXICONS, SUPPORT, SHARE, ODDS = 20_000, 600, 16, 3, 0.015, 3.0
 STRENGTHS = 4
 #: Lengths of word beginnings, and what marks them.
 STEMS, STEM = (4, 5), "^"
 #: Pattern voters: a pattern, and how many matches a hundred words make it speak up.
 PATTERNS = ((r"!", 2.0), (r"\b\p{Lu}{3,}\b", 10.0), (r"[!?]{2,}", 1.0), (r"(?i)\byou\b", 3.0), (r"\p{So}|[#*$%&@]", 5.0), (r"https?://|@\w", 1.0))
+#: A text of more words than these has each word by chance more easily.
+LENGTHS = (50, 200, 500, 1000, 2000, 5000)
 #: Label model and classifier: rounds, correlation from which voters share their weight, ridge, Newton steps.
-ROUNDS, CORRELATED, RIDGE, STEPS = 10, 0.3, 0.3, 15
+ROUNDS, CORRELATED, RIDGE, STEPS = 10, 0.3, 1.0, 15
 
 LETTERS = r"[^\p{L}]+"
 
@@ -76,7 +78,8 @@ def _matches(texts: pa.Array) -> np.ndarray:
     texts = texts.cast(pa.large_string())
     words = pc.add(pc.count_substring_regex(texts, LETTERS), 1).to_numpy(zero_copy_only=False)
     counts = [pc.count_substring_regex(texts, p).to_numpy(zero_copy_only=False) for p, _ in PATTERNS]
-    return np.array([c * 100.0 / words >= least for c, (_, least) in zip(counts, PATTERNS, strict=True)]).T.reshape(len(texts), len(PATTERNS))
+    found = [c * 100.0 / words >= least for c, (_, least) in zip(counts, PATTERNS, strict=True)]
+    return np.array([*found, *(words > n for n in LENGTHS)], bool).T.reshape(len(texts), len(PATTERNS) + len(LENGTHS))
 
 
 def _present(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +95,10 @@ def _present(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.nda
 
 
 def _votes(rows: np.ndarray, entries: np.ndarray, matches: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """Lexicons, patterns, and a last voter that speaks up where no lexicon does."""
-    votes = np.zeros((len(matches), 2 * LEXICONS + matches.shape[1] + 1), bool)
-    votes[rows, lexicon[entries]] = True
-    votes[:, 2 * LEXICONS : -1] = matches
-    votes[:, -1] = ~votes[:, : 2 * LEXICONS].any(1)
-    return votes
+    """Lexicons, patterns, one voter that speaks up where no lexicon does, and lengths, which are no voters."""
+    lexicons = np.zeros((len(matches), 2 * LEXICONS), bool)
+    lexicons[rows, lexicon[entries]] = True
+    return np.column_stack([lexicons, matches[:, : len(PATTERNS)], ~lexicons.any(1), matches[:, len(PATTERNS) :]])
 
 
 def label_model(votes: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,6 +116,7 @@ def label_model(votes: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.nda
         scale = np.sqrt((apart**2).mean(0)) + 1e-9
         alike = np.abs((apart / scale).T @ (apart / scale) / max(len(votes), 1))
         share = 1 / np.where(alike > CORRELATED, alike, 0).sum(0).clip(1)
+        share[-2:] = 1  # what annotators said is one vote either way
         odds = np.log(prior / (1 - prior)) + (votes * share) @ np.log(bad / good)
         q = 1 / (1 + np.exp(-odds.clip(-30, 30)))
     return q, bad, good, share
@@ -178,12 +180,12 @@ def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
     taught = sample.mapInArrow(seen, "toxic int, entries array<long>, matches array<boolean>").toPandas()
     rows = np.repeat(np.arange(len(taught)), [len(x) for x in taught["entries"]])
     own = np.concatenate([np.asarray(x, np.int64) for x in taught["entries"]]) if len(rows) else np.zeros(0, np.int64)
-    matches = np.array([np.asarray(x, bool) for x in taught["matches"]]).reshape(len(taught), len(PATTERNS))
+    matches = np.array([np.asarray(x, bool) for x in taught["matches"]]).reshape(len(taught), len(PATTERNS) + len(LENGTHS))
     votes = _votes(rows, own, matches, lexicon)
     width = len(entries) + votes.shape[1]
     if not bad or bad == n:
         return Model(index, lexicon, np.zeros(width), -20.0 if not bad else 20.0)
-    q, *_ = label_model(votes, taught["toxic"].to_numpy() == 1)
+    q, *_ = label_model(votes[:, : -len(LENGTHS)], taught["toxic"].to_numpy() == 1)
     vr, vc = np.nonzero(votes)
     w, b = _fit(np.concatenate([rows, vr]), np.concatenate([own, vc + len(entries)]), len(taught), width, q)
     return Model(index, lexicon, w, b)
