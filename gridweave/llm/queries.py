@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, near_dedup, packing, quality_rules, toxicity, url_filter, warc
+from . import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, toxicity, url_filter, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(hard)))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_matches(_documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_warc, op6_near_dedup, op7_chat, op9_url_filter, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_warc, op6_near_dedup, op7_chat, op8_line_dedup, op9_url_filter, op10_packing)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
