@@ -22,10 +22,10 @@ def forecasts(frame: DataFrame, windows: DataFrame, targets: Sequence[str], pred
     origin = windows.select(F.col("input_end_time").alias("origin_ts"), F.unix_seconds("input_end_time").alias("window_id")).distinct()
     at = F.unix_micros("origin_ts")
     back = origin.select("window_id", "origin_ts", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_k"))
-    back = back.withColumn("ts", F.timestamp_micros(at - F.col("_k") * seconds * 1_000_000)).join(long, "ts")
+    back = back.withColumn("ts", F.timestamp_micros(at - F.col("_k").cast("long") * (seconds * 1_000_000))).join(long, "ts")
     past = back.groupBy("window_id", "origin_ts", "target").agg(*(F.max(F.when(F.col("_k") == k, F.col("value"))).alias(n) for k, n in enumerate(("value", "lag1", "lag2"))))
     past = past.select("window_id", "origin_ts", "target", F.col("value").alias("y0"), (F.col("value") if model is None else model).alias("yhat"))
-    steps = past.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(pred)))).withColumn("ts", F.timestamp_micros(at + F.col("horizon") * seconds * 1_000_000))
+    steps = past.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(pred)))).withColumn("ts", F.timestamp_micros(at + F.col("horizon").cast("long") * (seconds * 1_000_000)))
     return steps.join(long.withColumnRenamed("value", "y"), ["ts", "target"]).select("window_id", "origin_ts", "target", "horizon", "ts", "y", "yhat", "y0")
 
 

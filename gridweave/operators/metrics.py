@@ -6,10 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-E = F.col("yhat") - F.col("y")
 EPS = 1e-8
-PATH = Window.partitionBy("window_id", "target").orderBy("horizon")
+
+
+def error() -> Column:
+    return F.col("yhat") - F.col("y")
+
+
+def path() -> WindowSpec:
+    return Window.partitionBy("window_id", "target").orderBy("horizon")
 
 
 def metrics(fc: DataFrame, by: Sequence[str], where: Column | None = None) -> DataFrame:
@@ -17,15 +24,15 @@ def metrics(fc: DataFrame, by: Sequence[str], where: Column | None = None) -> Da
     rows = fc if where is None else fc.filter(where)
     n, y = F.count("*"), F.col("y")
     return rows.groupBy(*by).agg(
-        n.alias("n"), F.avg(F.abs(E)).alias("mae"), F.avg(E * E).alias("mse"), F.sqrt(F.avg(E * E)).alias("rmse"), F.avg(F.abs(F.try_divide(E, y))).alias("mape"),
-        F.avg(F.try_divide(E, y) * F.try_divide(E, y)).alias("mspe"), F.avg(E).alias("bias"), (1 - F.try_divide(F.sum(E * E), F.sum(y * y) - F.sum(y) * F.sum(y) / n)).alias("r2"),
+        n.alias("n"), F.avg(F.abs(error())).alias("mae"), F.avg(error() * error()).alias("mse"), F.sqrt(F.avg(error() * error())).alias("rmse"), F.avg(F.abs(F.try_divide(error(), y))).alias("mape"),
+        F.avg(F.try_divide(error(), y) * F.try_divide(error(), y)).alias("mspe"), F.avg(error()).alias("bias"), (1 - F.try_divide(F.sum(error() * error()), F.sum(y * y) - F.sum(y) * F.sum(y) / n)).alias("r2"),
     )
 
 
 def rse(fc: DataFrame, by: Sequence[str]) -> DataFrame:
     """Root of squared errors over squared distances from the group's mean."""
     y = F.col("y")
-    return fc.groupBy(*by).agg(F.sqrt(F.try_divide(F.sum(E * E), F.sum(y * y) - F.sum(y) * F.sum(y) / F.count("*"))).alias("rse"))
+    return fc.groupBy(*by).agg(F.sqrt(F.try_divide(F.sum(error() * error()), F.sum(y * y) - F.sum(y) * F.sum(y) / F.count("*"))).alias("rse"))
 
 
 def corr_metric(fc: DataFrame, kind: str = "reference") -> DataFrame:
@@ -43,8 +50,8 @@ def evaluate(fc: DataFrame) -> DataFrame:
     rows = fc.filter(F.col("y").isNotNull() & F.col("yhat").isNotNull() & ~F.isnan("y") & ~F.isnan("yhat"))
     y, n = F.col("y"), F.count("*")
     each = rows.groupBy("target").agg(
-        F.avg(F.abs(E)).alias("mae"), F.sqrt(F.avg(E * E)).alias("rmse"), (1 - F.try_divide(F.sum(E * E), F.sum(y * y) - F.sum(y) * F.sum(y) / n)).alias("r2"),
-        (100 * F.avg(F.abs(E) / (F.abs(y) + EPS))).alias("mape"), (100 * F.avg(2 * F.abs(E) / (F.abs(y) + F.abs("yhat") + EPS))).alias("smape"),
+        F.avg(F.abs(error())).alias("mae"), F.sqrt(F.avg(error() * error())).alias("rmse"), (1 - F.try_divide(F.sum(error() * error()), F.sum(y * y) - F.sum(y) * F.sum(y) / n)).alias("r2"),
+        (100 * F.avg(F.abs(error()) / (F.abs(y) + EPS))).alias("mape"), (100 * F.avg(2 * F.abs(error()) / (F.abs(y) + F.abs("yhat") + EPS))).alias("smape"),
     )
     names = ["mae", "rmse", "r2", "mape", "smape"]
     return each.unionByName(each.agg(*(F.avg(c).alias(c) for c in names)).withColumn("target", F.lit("macro")))
@@ -52,8 +59,8 @@ def evaluate(fc: DataFrame) -> DataFrame:
 
 def tail_metrics(fc: DataFrame, by: Sequence[str]) -> DataFrame:
     """95 % and 99 % quantile and maximum of the absolute error, and the 95 % quantile of windows' mean errors."""
-    a = fc.groupBy(*by).agg(F.percentile(F.abs(E), 0.95).alias("p95"), F.percentile(F.abs(E), 0.99).alias("p99"), F.max(F.abs(E)).alias("max_abs"))
-    b = fc.groupBy(*by, "window_id").agg(F.avg(F.abs(E)).alias("_m")).groupBy(*by).agg(F.percentile("_m", 0.95).alias("p95_window_mae"))
+    a = fc.groupBy(*by).agg(F.percentile(F.abs(error()), 0.95).alias("p95"), F.percentile(F.abs(error()), 0.99).alias("p99"), F.max(F.abs(error())).alias("max_abs"))
+    b = fc.groupBy(*by, "window_id").agg(F.avg(F.abs(error())).alias("_m")).groupBy(*by).agg(F.percentile("_m", 0.95).alias("p95_window_mae"))
     return a.join(b, list(by))
 
 
@@ -61,13 +68,13 @@ def skill(fc: DataFrame, by: Sequence[str]) -> DataFrame:
     """Share of persistence's error that is saved: absolute and squared."""
     p = F.col("y0") - F.col("y")
     return fc.groupBy(*by).agg(
-        F.avg(F.abs(E)).alias("mae"), F.avg(F.abs(p)).alias("mae_persistence"), (1 - F.try_divide(F.sum(F.abs(E)), F.sum(F.abs(p)))).alias("skill"), (1 - F.try_divide(F.sum(E * E), F.sum(p * p))).alias("mse_skill")
+        F.avg(F.abs(error())).alias("mae"), F.avg(F.abs(p)).alias("mae_persistence"), (1 - F.try_divide(F.sum(F.abs(error())), F.sum(F.abs(p)))).alias("skill"), (1 - F.try_divide(F.sum(error() * error()), F.sum(p * p))).alias("mse_skill")
     )
 
 
 def at_horizons(fc: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Mean absolute error of each target at some horizons, side by side."""
-    return fc.groupBy("target").agg(*(F.avg(F.when(F.col("horizon") == h, F.abs(E))).alias(f"mae_h{h}") for h in horizons))
+    return fc.groupBy("target").agg(*(F.avg(F.when(F.col("horizon") == h, F.abs(error()))).alias(f"mae_h{h}") for h in horizons))
 
 
 def daily_metrics(fc: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def days_better(daily: DataFrame) -> DataFrame:
 
 def daily_pivot(fc: DataFrame, methods: Sequence[str]) -> DataFrame:
     """A row a target and day, a column a method; rows of methods have method."""
-    return fc.withColumn("day", F.to_date("origin_ts")).groupBy("target", "day").pivot("method", list(methods)).agg(F.avg(F.abs(E)))
+    return fc.withColumn("day", F.to_date("origin_ts")).groupBy("target", "day").pivot("method", list(methods)).agg(F.avg(F.abs(error())))
 
 
 def _ends(fc: DataFrame, reference: str) -> DataFrame:
@@ -116,10 +123,10 @@ def variation(fc: DataFrame) -> DataFrame:
     """How much forecasts move, against truth: first differences and second ones."""
 
     def d1(c: str) -> Column:
-        return F.abs(F.col(c) - F.lag(c).over(PATH))
+        return F.abs(F.col(c) - F.lag(c).over(path()))
 
     def d2(c: str) -> Column:
-        return F.abs(F.col(c) - 2 * F.lag(c).over(PATH) + F.lag(c, 2).over(PATH))
+        return F.abs(F.col(c) - 2 * F.lag(c).over(path()) + F.lag(c, 2).over(path()))
 
     rows = fc.select("target", d1("y").alias("y1"), d1("yhat").alias("p1"), d2("y").alias("y2"), d2("yhat").alias("p2"))
     return rows.groupBy("target").agg(F.try_divide(F.sum("p1"), F.sum("y1")).alias("variation_ratio"), F.try_divide(F.sum("p2"), F.sum("y2")).alias("curvature_ratio"))
@@ -127,7 +134,7 @@ def variation(fc: DataFrame) -> DataFrame:
 
 def jump_profile(fc: DataFrame, period: int = 8) -> DataFrame:
     """Mean size of forecast steps by phase of the horizon, the first step counted from the last observation."""
-    before = F.coalesce(F.lag("yhat").over(PATH), F.col("y0"))
+    before = F.coalesce(F.lag("yhat").over(path()), F.col("y0"))
     rows = fc.select("target", (F.col("horizon") % period).alias("phase"), F.abs(F.col("yhat") - before).alias("jump"))
     return rows.groupBy("target", "phase").agg(F.avg("jump").alias("mean_jump"), F.sum("jump").alias("total_variation"))
 
@@ -135,7 +142,7 @@ def jump_profile(fc: DataFrame, period: int = 8) -> DataFrame:
 def masked_loss(fc: DataFrame, by: Sequence[str], mask: Column, lag: int = 1) -> DataFrame:
     """mape, smape (of 200) and mase over masked rows, parts that can't be told counting 0."""
     y, p = F.col("y"), F.col("yhat")
-    naive = F.avg(F.abs(y - F.lag("y", lag).over(PATH))).over(Window.partitionBy("window_id", "target"))
+    naive = F.avg(F.abs(y - F.lag("y", lag).over(path()))).over(Window.partitionBy("window_id", "target"))
     rows = fc.withColumns({"_naive": naive, "_m": mask.cast("int")})
     zero = lambda c: F.coalesce(c, F.lit(0.0)) * F.col("_m")
     return rows.groupBy(*by).agg(
@@ -167,16 +174,16 @@ def competition_summary(scores: DataFrame, main: Sequence[str]) -> DataFrame:
 
 def offset_mse_share(fc: DataFrame) -> DataFrame:
     """Share of the squared error that windows' mean errors explain."""
-    one = fc.groupBy("target", "window_id").agg(F.count("*").alias("h"), F.avg(E).alias("m"), F.sum(E * E).alias("s"))
+    one = fc.groupBy("target", "window_id").agg(F.count("*").alias("h"), F.avg(error()).alias("m"), F.sum(error() * error()).alias("s"))
     return one.groupBy("target").agg(F.try_divide(F.sum(F.col("h") * F.col("m") * F.col("m")), F.sum("s")).alias("offset_share"))
 
 
 def composite_loss(fc: DataFrame, trend: float, endpoint: float, decay: float = 0.0, least: float = 0.0) -> DataFrame:
     """Weighted squared error, plus squared errors of steps and of the end."""
     w = F.greatest(F.exp(-decay * (F.col("horizon") - 1)), F.lit(least))
-    step = F.pow(E - F.lag(E).over(PATH), 2)
+    step = F.pow(error() - F.lag(error()).over(path()), 2)
     last = F.max("horizon").over(Window.partitionBy("window_id", "target"))
-    rows = fc.select("target", w.alias("w"), (E * E).alias("e"), step.alias("s"), F.when(F.col("horizon") == last, E * E).alias("end"))
+    rows = fc.select("target", w.alias("w"), (error() * error()).alias("e"), step.alias("s"), F.when(F.col("horizon") == last, error() * error()).alias("end"))
     loss = F.sum(F.col("w") * F.col("e")) / F.sum("w") + trend * F.coalesce(F.avg("s"), F.lit(0.0)) + endpoint * F.avg("end")
     return rows.groupBy("target").agg(loss.alias("loss"))
 

@@ -50,7 +50,7 @@ def materialize(windows: DataFrame, frame: DataFrame, features: Sequence[str], s
     Rows are reached by time, and each feature has arrays of its own, so a window of many features is many rows.
     """
     offsets = windows.select("chunk_id", F.col("input_start_time").alias("origin"), F.explode(F.sequence(F.lit(0), F.lit(seq + pred - 1))).alias("_k"))
-    offsets = offsets.withColumn("ts", F.timestamp_micros(F.unix_micros("origin") + F.col("_k") * seconds * 1_000_000))
+    offsets = offsets.withColumn("ts", F.timestamp_micros(F.unix_micros("origin") + F.col("_k").cast("long") * (seconds * 1_000_000)))
     long = frame.select("ts", F.explode(F.map_from_arrays(F.array(*(F.lit(f) for f in features)), F.array(*features))).alias("feature", "value"))
     rows = offsets.join(long, "ts")
     both = rows.groupBy("origin", "feature").agg(F.sort_array(F.collect_list(F.struct("_k", "value"))).alias("_r"))

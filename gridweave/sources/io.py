@@ -54,7 +54,7 @@ def point_codes_for_models(specs: DataFrame, models: Sequence[str], extra: DataF
     own = specs.filter(F.col("model").isin(list(models))).select("point_code", F.col("row_no").cast("long").alias("pos"), F.lit(0).alias("_part"))
     both = own.unionByName(extra.select("point_code", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("_part")))
     first = both.groupBy("point_code").agg(F.min(F.struct("_part", "pos")).alias("first"))
-    return first.select("point_code", (F.row_number().over(Window.orderBy("first.*", "point_code")) - 1).cast("long").alias("pos"))
+    return first.select("point_code", (F.row_number().over(Window.orderBy("first", "point_code")) - 1).cast("long").alias("pos"))
 
 
 def read_wide_csv(spark: SparkSession, path: str, time_col: str, series: Sequence[str] | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def arrays_to_forecasts(df: DataFrame, step_seconds: int) -> DataFrame:
     """(window_id, target, cutoff, y[], yhat[]) as one row a horizon: ..., horizon, ts, y, yhat."""
     rows = df.select("window_id", "target", "cutoff", F.posexplode(F.arrays_zip("y", "yhat")).alias("_h", "_v"))
     horizon = F.col("_h") + 1
-    return rows.select("window_id", "target", "cutoff", horizon.alias("horizon"), F.timestamp_micros(F.unix_micros("cutoff") + horizon * (step_seconds * 1_000_000)).alias("ts"), F.col("_v.y").alias("y"), F.col("_v.yhat").alias("yhat"))
+    return rows.select("window_id", "target", "cutoff", horizon.alias("horizon"), F.timestamp_micros(F.unix_micros("cutoff") + horizon.cast("long") * (step_seconds * 1_000_000)).alias("ts"), F.col("_v.y").alias("y"), F.col("_v.yhat").alias("yhat"))
 
 
 def save_scaler(scaler: DataFrame, path: str) -> None:
