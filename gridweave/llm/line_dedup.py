@@ -10,7 +10,6 @@ Rarity comes from counts of hashed words, in a table of fixed size: any order wo
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import SPACE, Scratch, attach, documents
+from .near_dedup import _mix
+from .scratch import Scratch, attach, documents
 
 PERCENT = 85
-#: Entries of the table of word counts.
-BUCKETS = 1 << 18
+#: Entries of the table of word counts, and of the table of documents that a verification looks for.
+BUCKETS, DOCUMENTS = 1 << 18, 1 << 18
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +32,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     lines = pc.split_pattern(texts.cast(pa.large_string()), "\n")
     owner = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
     place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
-    lists = pc.split_pattern_regex(pc.ascii_lower(lines.flatten()), SPACE)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(lines.flatten()))
     line = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     codes = lists.flatten().dictionary_encode()
     words = codes.dictionary.to_numpy(zero_copy_only=False)
@@ -57,64 +57,74 @@ def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts and places of lines, and the distinct (line, hash) pairs, lines and hashes going up."""
+def _sets(texts: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and places of lines, begins and sizes of their sets, and the words, rare ones first, with their prints.
+
+    A set's print is the sum of its words' two mixed hashes: the same whatever their order, 128 bits in all.
+    """
     owner, place, line, code, hashes = _words(texts)
-    rank = np.argsort(np.argsort(hashes))
-    pairs = np.unique(line * max(len(hashes), 1) + rank[code]) if len(line) else np.zeros(0, np.int64)
-    ordered = np.sort(hashes)
-    return owner, place, pairs // max(len(hashes), 1), ordered[pairs % max(len(hashes), 1)] if len(pairs) else np.zeros(0, "u8")
+    wide = max(len(hashes), 1)
+    order = np.lexsort((hashes, rarity[(hashes % np.uint64(len(rarity))).astype(np.int64)]))
+    rank = np.empty(len(hashes), np.int64)
+    rank[order] = np.arange(len(hashes))
+    keys = np.sort(line * wide + rank[code])
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    n = np.bincount(keys // wide, minlength=len(owner))
+    begins = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else n
+    word = hashes[order][keys % wide] if len(keys) else np.zeros(0, "u8")
+    some = n > 0
+    prints = np.zeros((2, len(owner)), "u8")
+    if some.any():
+        with np.errstate(over="ignore"):
+            prints[0, some] = np.add.reduceat(_mix(word), begins[some])
+            prints[1, some] = np.add.reduceat(_mix(word + np.uint64(1)), begins[some])
+    return owner, place, begins, n, word, prints.view("i8")
 
 
 def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, line, n, print, prefix) for each line with a word; one row of line -1 for each text."""
+    """(rid, doc_id, line, n, p1, p2, bits, prefix) for each line with a word; one row of line -1 for each text."""
     for batch in batches:
-        owner, place, line, word = _sets(batch["text"])
-        ends = np.searchsorted(line, np.arange(len(owner)), side="right")
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        n = ends - begins
-        raw = word.tobytes()
-        prints = [hashlib.blake2b(raw[8 * b : 8 * e], digest_size=16).digest() for b, e in zip(begins, ends, strict=True) if e > b]
-        rare = np.lexsort((word, rarity[(word % np.uint64(len(rarity))).astype(np.int64)], line))
-        by_rarity = word[rare]
+        owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
+        some = np.flatnonzero(n)
         least = _least_shared(n, percent)
         length = np.where(least < n, n - least + 1, 0)  # sets of so few words are only like themselves
+        line = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(line)) - begins[line] if len(line) else line
-        prefix = by_rarity[within < length[line]].view("i8")
-        some = np.flatnonzero(n)
+        prefix = (word[within < length[line]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (word % np.uint64(64)), begins[some]).view("i8") if len(some) else np.zeros(0, "i8")
         offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
-        row = owner[some]
-        rid, doc = batch["rid"], batch["doc_id"]
-        none = pa.nulls(batch.num_rows)
+        row, rid, doc = owner[some], batch["rid"], batch["doc_id"]
+        zero, none = np.zeros(batch.num_rows, "i8"), pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+        both = lambda a, b: pa.array(np.concatenate([a, b]))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([rid.take(pa.array(row)), rid]), pa.concat_arrays([doc.take(pa.array(row)), doc]),
-                pa.array(np.concatenate([place[some], np.full(batch.num_rows, -1)]).astype(np.int32)), pa.array(np.concatenate([n[some], np.zeros(batch.num_rows)]).astype(np.int32)),
-                pa.concat_arrays([pa.array(prints, pa.binary()), none.cast(pa.binary())]), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none.cast(pa.list_(pa.int64()))]),
+                pa.concat_arrays([rid.take(pa.array(row)), rid]), pa.concat_arrays([doc.take(pa.array(row)), doc]), both(place[some], zero - 1).cast(pa.int32()), both(n[some], zero).cast(pa.int32()),
+                both(prints[0, some], zero), both(prints[1, some], zero), both(bits, zero), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none]),
             ],
-            ["rid", "doc_id", "line", "n", "print", "prefix"],
+            ["rid", "doc_id", "line", "n", "p1", "p2", "bits", "prefix"],
         )
 
 
 def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) of classes that are similar on their full sets."""
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = classes.join(ids.hint("merge"), "cls", "left_semi").groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct("print", "cls")).alias("wanted"))
-    held = documents(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "wanted")
+    wanted = classes.join(ids.hint("merge"), "cls", "left_semi").groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted"))
+    wanted = scratch.table(wanted, "wanted")
+    # A table of fixed size tells most documents that hold none of the lines before they are shuffled.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(DOCUMENTS)).cast("int")
+    near = documents(docs).join(F.broadcast(wanted.select(slot("_doc").alias("_slot")).distinct()), slot("doc_id") == F.col("_slot"), "left_semi")
+    held = near.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "wanted")
+    flat = np.zeros(1, np.int64)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, _, line, word = _sets(batch["text"])
-            ends = np.searchsorted(line, np.arange(len(owner)), side="right")
-            names = [{x["print"]: x["cls"] for x in w} for w in batch["wanted"].to_pylist()]
+            owner, _, begins, n, word, prints = _sets(batch["text"], flat)
+            names = [{(x["p1"], x["p2"]): x["cls"] for x in w} for w in batch["wanted"].to_pylist()]
             found: dict[int, bytes] = {}
-            begin, raw = 0, word.tobytes()
-            for text, end in zip(owner, ends, strict=True):
-                own = raw[8 * begin : 8 * end]
-                cls = names[text].get(hashlib.blake2b(own, digest_size=16).digest()) if end > begin else None
-                if cls is not None:
-                    found[cls] = own
-                begin = end
+            raw = word.tobytes()
+            for text, begin, size, p1, p2 in zip(owner.tolist(), begins.tolist(), n.tolist(), prints[0].tolist(), prints[1].tolist(), strict=True):
+                if size and (cls := names[text].get((p1, p2))) is not None:
+                    found[cls] = raw[8 * begin : 8 * (begin + size)]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "members"])
 
     # Rows that repeat a doc_id may hold a class twice; it is the same set.
@@ -149,27 +159,28 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rarity[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     shared = spark.sparkContext.broadcast(rarity)
     numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), "rid long, doc_id long, line int, n int, print binary, prefix array<long>"), "lines")
+    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), "rid long, doc_id long, line int, n int, p1 long, p2 long, bits long, prefix array<int>"), "lines")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line")).alias("first")
-    classes = lines.filter("line >= 0").groupBy("print").agg(first, F.count("*").alias("lines"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    same = [F.any_value(c).alias(c) for c in ("n", "bits", "prefix")]
+    classes = lines.filter("line >= 0").groupBy("p1", "p2").agg(first, F.count("*").alias("lines"), *same)
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    cells = classes.select("cls", "n", F.posexplode("prefix").alias("at", "word"))
-    x = cells.select("word", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    y = cells.select("word", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    cells = classes.select("cls", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    x, y = (cells.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "bits", "at"))) for k in ("a", "b"))
     # Shared words that a pair needs, and those that it can have: before, at and after the word that it shares.
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
-    can = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (can >= need)
-    pairs = scratch.table(x.join(y, "word").filter(near).select("a", "b").distinct(), "pairs")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
+    can = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    near = (F.col("cls_a") < F.col("cls_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= F.col("n_a") + F.col("n_b") - 2 * need) & (can >= need)
+    pairs = scratch.table(x.join(y, "word").filter(near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "pairs")
     links = _verified(scratch, docs, pairs, classes, percent)
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     firsts = classes.select(F.col("cls").alias("b"), "first")
     seen = both.join(firsts, "b").groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"), F.min("first").alias("earliest"))
-    told = classes.join(seen, "cls", "left").select("print", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
+    told = classes.join(seen, "cls", "left").select("p1", "p2", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
     told = scratch.table(told, "told")
-    placed = attach(lines.filter("line >= 0").select("rid", "doc_id", "line", "print"), told, ["print"], "lines", lines.count())
+    placed = attach(lines.filter("line >= 0").select("rid", "doc_id", "line", "p1", "p2"), told, ["p1", "p2"], "lines", lines.count())
     own = (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
     gone = F.col("later") | ~own
     bare = lines.filter("line < 0").select("rid", "doc_id", F.lit(None).cast("int").alias("line"), F.lit(0).cast("long").alias("links"), F.lit(False).alias("gone"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import SPACE, Scratch, attach, documents
+from .scratch import Scratch, attach, documents
 
 WORDS = 5
 PERCENT = 75
@@ -43,7 +43,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted 64-bit shingle hashes of each text; A-Z count as a-z, fewer words than words are one shingle."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string())), SPACE)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
     flat, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     codes = flat.dictionary_encode()
     vocabulary = codes.dictionary.to_numpy(zero_copy_only=False)
