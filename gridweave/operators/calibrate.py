@@ -23,7 +23,7 @@ def calibrate_intervals(fc: DataFrame, share: float = 0.4, level: float = 0.9) -
 
 
 def _clip(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)))
 
 
 def confidence(df: DataFrame) -> DataFrame:

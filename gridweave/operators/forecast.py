@@ -97,7 +97,8 @@ def gated_shrink(fc: DataFrame, history: DataFrame, threshold: float, end: int,
 
     history has window_id, target and the array history.
     """
-    gate = F.coalesce(F.greatest(F.least(1 - stability(F.col("history")) / threshold, F.lit(1.0)), F.lit(0.0)), F.lit(0.0))
+    score = stability(F.col("history"))
+    gate = F.when(score.isNotNull(), F.greatest(F.least(1 - score / threshold, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
     rows = fc.join(history.select("window_id", "target", gate.alias("gate")), ["window_id", "target"], "left")
     ahead = F.col("horizon") * seconds
     taper = F.when(ahead < end, 0.5 * (1 + F.cos(pi * ahead / end))).otherwise(0.0)
