@@ -248,11 +248,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     reps = signed.select(F.col("rid").alias("node"), "keys").join(classes.select("node"), "node")
     cells = reps.select("node", F.explode("keys").alias("key"))
     buckets = scratch.table(cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    inside = scratch.table(attach(cells, buckets, ["key"], "n", total * bands), "inside")
+    # A bucket has at most one in bands of these rows, and Spark splits what is still too large for a task.
+    inside = scratch.table(cells.join(buckets.hint("merge"), "key"), "inside")
     company = inside.groupBy("node").agg(F.sum("n").alias("company"))
     inside = scratch.table(inside.join(company, "node"), "company")
     centres = scratch.table(inside.groupBy("key", "n").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "centres")
-    stars = attach(inside.select("key", "node"), centres, ["key"], "n", inside.count())
+    stars = inside.select("key", "node").join(centres.hint("merge"), "key")
     stars = scratch.table(stars.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     links = _links(scratch, stars, texts, words, percent)
     roots = components(scratch, links, "stars-components")
