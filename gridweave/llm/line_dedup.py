@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import _mix
-from .scratch import Scratch, attach, documents
+from .scratch import Scratch, attach, documents, portions
 
 PERCENT = 85
 #: Entries of the table of word counts, and of the table of documents that a verification looks for.
@@ -44,7 +44,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in portions(batches):
         *_, code, hashes = _words(batch["text"])
         if len(code):
             counts += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), weights=np.bincount(code, minlength=len(hashes)), minlength=BUCKETS).astype(np.int64)
@@ -83,7 +83,7 @@ def _sets(texts: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """(rid, doc_id, line, n, p1, p2, bits, prefix) for each line with a word; one row of line -1 for each text."""
-    for batch in batches:
+    for batch in portions(batches):
         owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
         some = np.flatnonzero(n)
         least = _least_shared(n, percent)
@@ -117,7 +117,7 @@ def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: Data
     flat = np.zeros(1, np.int64)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             owner, _, begins, n, word, prints = _sets(batch["text"], flat)
             names = [{(x["p1"], x["p2"]): x["cls"] for x in w} for w in batch["wanted"].to_pylist()]
             found: dict[int, bytes] = {}
