@@ -19,10 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import _mix
+from .near_dedup import _mix, components, shared_counts
 from .scratch import Scratch, attach, documents, portions
 
 PERCENT = 85
+#: Sets of more words than this have a second, wider bitmap of so many 64-bit cells.
+LONG, CELLS = 100, 8
+#: Prefixes that share a word and are still compared pair by pair; rows and bytes of sets in a block, at most.
+FEW, BLOCK_ROWS, BLOCK_BYTES = 32, 1024, 16 << 20
 #: Entries of the table of word counts, and of the table of documents that a verification looks for.
 BUCKETS, DOCUMENTS = 1 << 18, 1 << 18
 
@@ -82,7 +86,7 @@ def _sets(texts: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, line, n, p1, p2, bits, prefix) for each line with a word; one row of line -1 for each text."""
+    """(rid, doc_id, line, n, p1, p2, bits, more, prefix) for each line with a word; one row of line -1 for each text."""
     for batch in portions(batches):
         owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
         some = np.flatnonzero(n)
@@ -93,23 +97,84 @@ def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int)
         prefix = (word[within < length[line]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (word % np.uint64(64)), begins[some]).view("i8") if len(some) else np.zeros(0, "i8")
         offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
+        wide = np.zeros((len(some), CELLS), "u8")
+        if len(some):
+            cell = (word >> np.uint64(6)) % np.uint64(CELLS)
+            for k in range(CELLS):
+                wide[:, k] = np.bitwise_xor.reduceat(np.where(cell == k, np.uint64(1) << (word % np.uint64(64)), np.uint64(0)), begins[some])
+        has = n[some] > LONG
+        more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * CELLS)]).astype(np.int32)), pa.array(wide[has].reshape(-1).view("i8")))
         row, rid, doc = owner[some], batch["rid"], batch["doc_id"]
-        zero, none = np.zeros(batch.num_rows, "i8"), pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+        zero, none = np.zeros(batch.num_rows, "i8"), pa.nulls(batch.num_rows)
         both = lambda a, b: pa.array(np.concatenate([a, b]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([rid.take(pa.array(row)), rid]), pa.concat_arrays([doc.take(pa.array(row)), doc]), both(place[some], zero - 1).cast(pa.int32()), both(n[some], zero).cast(pa.int32()),
-                both(prints[0, some], zero), both(prints[1, some], zero), both(bits, zero), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none]),
+                both(prints[0, some], zero), both(prints[1, some], zero), both(bits, zero), pa.concat_arrays([more, none.cast(more.type)]), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none.cast(pa.list_(pa.int32()))]),
             ],
-            ["rid", "doc_id", "line", "n", "p1", "p2", "bits", "prefix"],
+            ["rid", "doc_id", "line", "n", "p1", "p2", "bits", "more", "prefix"],
         )
 
 
-def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of classes that are similar on their full sets."""
-    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = classes.join(ids.hint("merge"), "cls", "left_semi").groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted"))
-    wanted = scratch.table(wanted, "wanted")
+def _may_be_similar(percent: int) -> Column:
+    """Whether columns of two sets, n, bits, more and at with _a and _b, don't rule out that they are similar."""
+    # Shared words that a pair needs, and those that it can have: before, at and after the word that it shares.
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
+    can = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    most = F.col("n_a") + F.col("n_b") - 2 * need
+    wide = F.aggregate(F.zip_with("more_a", "more_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    long = (F.size("more_a") > 0) & (F.size("more_b") > 0)
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (can >= need) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= most) & (~long | (wide <= most))
+
+
+def _blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """rows of a key spread over pairs of its blocks (i, j); own is the row's block."""
+    spread = rows.withColumn("own", F.expr(f"pmod(xxhash64(cls), {blocks})")).withColumn("with", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
+    return spread.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", blocks)
+
+
+def _rooted(alike: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected with."""
+    label = np.arange(len(alike))
+    while True:
+        now = np.minimum(label, np.where(alike, label[None, :], len(alike)).min(1, initial=len(alike)))
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+def _edges(scratch: Scratch, cells: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all classes of cells that the filters leave together."""
+    sized = scratch.table(cells.groupBy("word").agg(F.count("*").alias("m")).filter("m > 1"), "words")
+    few = cells.join(sized.filter(F.col("m") <= FEW).select("word").hint("merge"), "word")
+    x, y = (few.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "bits", "more", "at"))) for k in ("a", "b"))
+    pairs = x.join(y.hint("merge"), "word").filter((F.col("cls_a") < F.col("cls_b")) & _may_be_similar(percent)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+    def compare(group: pa.Table) -> pa.Table:
+        cls, n, bits = group["cls"].to_numpy(), group["n"].to_numpy().astype(np.int64), group["bits"].to_numpy().view("u8")
+        size = n[:, None] + n[None, :]
+        most = size - 2 * np.ceil(size * percent / (100.0 + percent) - 1e-9).astype(np.int64)
+        alike = (np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        long = np.flatnonzero(n > LONG)
+        if len(long):
+            wide = np.array([x for x in group["more"].to_pylist() if x], "i8").view("u8").reshape(len(long), CELLS)
+            apart = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(np.int64) for k in range(CELLS))
+            at = np.ix_(long, long)
+            alike[at] &= apart <= most[at]
+        root = _rooted(alike)
+        hung = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(cls[hung], pa.int64()), "b": pa.array(cls[root[hung]], pa.int64())})
+
+    hot = scratch.table(sized.filter(F.col("m") > FEW).withColumn("parts", F.expr(f"1 + m div {BLOCK_ROWS}")).select("word", "parts"), "hot-words")
+    many = _blocks(cells.join(hot.hint("merge"), "word"), "word", "parts").select("word", "i", "j", "cls", "n", "bits", "more")
+    return scratch.table(pairs.unionByName(many.groupBy("word", "i", "j").applyInArrow(compare, "a long, b long").distinct()), "edges")
+
+
+def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(cls, links, earliest) for classes that are similar to others of their cluster, on the full sets."""
+    told = scratch.table(classes.select("cls", "p1", "p2", "first").join(clusters.hint("merge"), "cls"), "clustered")
+    wanted = scratch.table(told.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted")), "wanted")
     # A table of fixed size tells most documents that hold none of the lines before they are shuffled.
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(DOCUMENTS)).cast("int")
     near = documents(docs).join(F.broadcast(wanted.select(slot("_doc").alias("_slot")).distinct()), slot("doc_id") == F.col("_slot"), "left_semi")
@@ -129,18 +194,30 @@ def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: Data
 
     # Rows that repeat a doc_id may hold a class twice; it is the same set.
     full = scratch.table(held.mapInArrow(members, "cls long, members binary"), "sets").dropDuplicates(["cls"])
-    both = pairs.join(full.select(F.col("cls").alias("a"), F.col("members").alias("one")).hint("merge"), "a").join(full.select(F.col("cls").alias("b"), F.col("members").alias("other")).hint("merge"), "b")
+    rows = scratch.table(told.select("cls", "component", "first.*").join(full.hint("merge"), "cls"), "cluster-sets")
+    sized = rows.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("members")).alias("bytes"))
+    sized = scratch.table(sized.select("component", "m", F.expr(f"1 + greatest(m div {BLOCK_ROWS}, bytes div {BLOCK_BYTES})").alias("parts")), "cluster-sizes")
+    here = _blocks(attach(rows, sized, ["component"], "m", rows.count()).drop("m"), "component", "parts")
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch["one"], batch["other"], strict=True):
-                x, y = np.frombuffer(one.as_buffer(), "u8"), np.frombuffer(other.as_buffer(), "u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(group: pa.Table) -> pa.Table:
+        own, cls = group["own"].to_numpy(), group["cls"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "u8") for x in group["members"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        shared = shared_counts(sets, sets)
+        alike = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        # Of two blocks only what is across counts here; within one it counts where the block meets itself.
+        alike &= (own[:, None] != own[None, :]) if group["i"][0] != group["j"][0] else ~np.eye(len(cls), dtype=bool)
+        order = group.select(["last", "doc_id", "rid", "line"]).to_pandas().sort_values(["last", "doc_id", "rid", "line"]).index.to_numpy()
+        rank = np.empty(len(cls), np.int64)
+        rank[order] = np.arange(len(cls))
+        links = alike.sum(1)
+        some = np.flatnonzero(links)
+        least = np.where(alike[some], rank[None, :], len(cls)).min(1) if len(some) else some
+        head = group.select(["last", "doc_id", "rid", "line"]).take(pa.array(order[least])) if len(some) else group.select(["last", "doc_id", "rid", "line"]).slice(0, 0)
+        return pa.table({"cls": pa.array(cls[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), **{c: head[c] for c in head.column_names}})
 
-    return scratch.table(both.select("a", "b", "one", "other").mapInArrow(similar, "a long, b long"), "links")
+    out = here.select("component", "i", "j", "own", "cls", "last", "doc_id", "rid", "line", "members").groupBy("component", "i", "j").applyInArrow(compare, "cls long, links long, last boolean, doc_id long, rid long, line int")
+    return out.groupBy("cls").agg(F.sum("links").alias("links"), F.min(F.struct("last", "doc_id", "rid", "line")).alias("earliest"))
 
 
 def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,25 +236,16 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rarity[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     shared = spark.sparkContext.broadcast(rarity)
     numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), "rid long, doc_id long, line int, n int, p1 long, p2 long, bits long, prefix array<int>"), "lines")
+    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), "rid long, doc_id long, line int, n int, p1 long, p2 long, bits long, more array<long>, prefix array<int>"), "lines")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line")).alias("first")
-    same = [F.any_value(c).alias(c) for c in ("n", "bits", "prefix")]
+    same = [F.any_value(c).alias(c) for c in ("n", "bits", "more", "prefix")]
     classes = lines.filter("line >= 0").groupBy("p1", "p2").agg(first, F.count("*").alias("lines"), *same)
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    cells = classes.select("cls", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    x, y = (cells.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "bits", "at"))) for k in ("a", "b"))
-    # Shared words that a pair needs, and those that it can have: before, at and after the word that it shares.
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
-    can = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
-    near = (F.col("cls_a") < F.col("cls_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= F.col("n_a") + F.col("n_b") - 2 * need) & (can >= need)
-    pairs = scratch.table(x.join(y, "word").filter(near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "pairs")
-    links = _verified(scratch, docs, pairs, classes, percent)
-
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = classes.select(F.col("cls").alias("b"), "first")
-    seen = both.join(firsts, "b").groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"), F.min("first").alias("earliest"))
+    cells = classes.select("cls", "n", "bits", "more", F.posexplode("prefix").alias("at", "word"))
+    clusters = components(scratch, _edges(scratch, cells, percent), "clusters")
+    clusters = clusters.withColumnRenamed("node", "cls").unionByName(clusters.select(F.col("component").alias("cls"), "component").distinct())
+    seen = _linked(scratch, docs, clusters, classes, percent)
     told = classes.join(seen, "cls", "left").select("p1", "p2", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
     told = scratch.table(told, "told")
     placed = attach(lines.filter("line >= 0").select("rid", "doc_id", "line", "p1", "p2"), told, ["p1", "p2"], "lines", lines.count())

@@ -157,14 +157,17 @@ def test_line_matches_repeated_rows(hard):
     assert sum(r.n_lines for r in got) == sum(bool(SPACE.sub("", x)) for r in hard_rows() for x in (r[1] or "").split("\n"))
 
 
-def test_near_lines(spark):
-    """Lines that differ in a few words are found, whatever their order of words."""
+@pytest.mark.parametrize("few,block", [(32, 1024), (1, 3)])
+def test_near_lines(spark, monkeypatch, few, block):
+    """Lines that differ in a few words are found, whatever their order of words, in one block or many."""
     import random
 
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
     rng = random.Random(4)
     rows = []
     for d in range(40):
-        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60))]
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60) if d % 4 else rng.randrange(100, 200))]
         lines = [" ".join(words)]
         for _ in range(3):
             other = list(words)
