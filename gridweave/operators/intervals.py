@@ -139,7 +139,7 @@ def coverage(windows: DataFrame, start: str, end: str, seconds: int, by: Sequenc
     events = events.groupBy(*by, "_t").agg(F.sum("_d").alias("_d"))
     w = Window.partitionBy(*by).orderBy("_t")
     steps = events.withColumns({"_open": F.sum("_d").over(w), "_next": F.lead("_t").over(w)})
-    covered = F.sum(F.when(F.col("_open") > 0, F.col("_next") - F.col("_t")).otherwise(0))
+    covered = F.coalesce(F.sum(F.when(F.col("_open") > 0, F.col("_next") - F.col("_t")).otherwise(0)), F.lit(0))
     return steps.groupBy(*by).agg(F.floor(covered / seconds).alias("instants"), (covered / 3600).alias("hours"), (covered / (F.max("_t") - F.min("_t"))).alias("fraction"))
 
 

@@ -47,25 +47,29 @@ def quality_on_grid(long: DataFrame, codes: DataFrame, expected: int, **limits)
     return _warned(out, 0.2, 0.8, 0.8)
 
 
+def _only(report: DataFrame, codes: Sequence[str] | None) -> DataFrame:
+    return report if codes is None else report.filter(F.col("point_code").isin(list(codes)))
+
+
 def _reasons(pairs: Sequence[tuple[Column, str]]) -> Column:
     return F.concat_ws("|", *(F.when(c, F.lit(t)) for c, t in pairs))
 
 
-def low_information(report: DataFrame, inputs: Sequence[str], keep: Sequence[str] = (), limit: float = 0.98) -> DataFrame:
-    """Inputs that say next to nothing, and why."""
+def low_information(report: DataFrame, inputs: Sequence[str] | None = None, keep: Sequence[str] = (), limit: float = 0.98) -> DataFrame:
+    """Inputs (all codes if none are named) that say next to nothing, and why."""
     why = _reasons([(F.col("zero_ratio") >= limit, "mostly_zero"), (F.col("constant_ratio") >= limit, "mostly_constant")])
-    own = report.filter(F.col("point_code").isin(list(inputs)) & ~F.col("point_code").isin(list(keep)))
+    own = _only(report, inputs).filter(~F.col("point_code").isin(list(keep)))
     return own.withColumn("reasons", why).filter("reasons <> ''").select("point_code", "zero_ratio", "constant_ratio", "reasons")
 
 
-def unusable_outputs(report: DataFrame, outputs: Sequence[str], least: int = 100, limit: float = 0.98) -> DataFrame:
+def unusable_outputs(report: DataFrame, outputs: Sequence[str] | None = None, least: int = 100, limit: float = 0.98) -> DataFrame:
     why = _reasons([(F.col("non_null") < least, "too_few"), (F.col("missing_rate") >= limit, "mostly_missing"), (F.col("constant_ratio") >= limit, "mostly_constant")])
-    return report.filter(F.col("point_code").isin(list(outputs))).withColumn("reasons", why).filter("reasons <> ''").select("point_code", "non_null", "missing_rate", "constant_ratio", "reasons")
+    return _only(report, outputs).withColumn("reasons", why).filter("reasons <> ''").select("point_code", "non_null", "missing_rate", "constant_ratio", "reasons")
 
 
-def usable_outputs(report: DataFrame, outputs: Sequence[str], **limits) -> DataFrame:
+def usable_outputs(report: DataFrame, outputs: Sequence[str] | None = None, **limits) -> DataFrame:
     bad = unusable_outputs(report, outputs, **limits)
-    return report.filter(F.col("point_code").isin(list(outputs))).join(bad, "point_code", "left_anti").select("point_code")
+    return _only(report, outputs).join(bad, "point_code", "left_anti").select("point_code")
 
 
 def row_valid_rate(columns: Sequence[str]) -> Column:

@@ -100,9 +100,9 @@ def s12_point_coverage(spark, d):
 
 
 @query("model inputs:i outputs:i missing:i", f"""SELECT chosen AS model, count(*) FILTER (io_type = 'input') AS inputs, count(*) FILTER (io_type = 'output') AS outputs, count(*) FILTER (s.p IS NULL) AS missing
-    FROM specs LEFT JOIN (SELECT DISTINCT 'P' || s_nationkey AS p FROM supplier WHERE s_suppkey % 2 = 0) s ON s.p = point_code WHERE chosen IN ({_IN}) GROUP BY 1""")
+    FROM specs LEFT JOIN (SELECT DISTINCT 'P' || s_nationkey AS p FROM supplier WHERE s_acctbal > 7000) s ON s.p = point_code WHERE chosen IN ({_IN}) GROUP BY 1""")
 def s13_inventory(spark, d):
-    there = fx.table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("P"), "s_nationkey").alias("point_code"))
+    there = fx.table(spark, d, "supplier").filter("s_acctbal > 7000").select(F.concat(F.lit("P"), "s_nationkey").alias("point_code"))
     return io.variable_inventory(io.variable_specs(fx.registry(spark, d), MODELS), there)
 
 
@@ -114,7 +114,7 @@ def s14_arrays_to_forecasts(spark, d):
     return io.arrays_to_forecasts(arrays, GRID)
 
 
-@query("feature n:i mean:f scale:f", "SELECT point_code AS feature, count(value) AS n, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-12)) AS scale FROM full_long GROUP BY 1")
+@query("feature n:i mean:f scale:f", "SELECT point_code AS feature, count(value) AS n, avg(value) AS mean, CASE WHEN count(value) <= 1 THEN 1 ELSE sqrt(greatest(var_pop(value), 1e-12)) END AS scale FROM full_long GROUP BY 1")
 def s15_scaler_file(spark, d):
     path = fx.folder(spark, "scaler")
     io.save_scaler(scale.fit_scaler(fx.full_long(spark, d).withColumnRenamed("point_code", "feature")), path)
@@ -211,7 +211,7 @@ def f16_integer_stamps(spark, d):
     return e.select("event_id", *(c.alias(k) for k, c in scalar.integer_stamps("ts", True).items()))
 
 
-_SCALER = "SELECT point_code, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-12)) AS scale FROM full_long GROUP BY 1"
+_SCALER = "SELECT point_code, avg(value) AS mean, CASE WHEN count(value) <= 1 THEN 1 ELSE sqrt(greatest(var_pop(value), 1e-12)) END AS scale FROM full_long GROUP BY 1"
 
 
 @query("feature ts:t z:f back:f", f"SELECT point_code AS feature, ts, coalesce((value - mean) / scale, 0) AS z, coalesce((value - mean) / scale, 0) * scale + mean AS back FROM full_long JOIN ({_SCALER}) USING (point_code)")
@@ -377,20 +377,20 @@ def _coarse(spark, d):
 
 
 @query("point_code reasons", f"""SELECT point_code, concat_ws('|', CASE WHEN zero_ratio >= 0.75 THEN 'mostly_zero' END, CASE WHEN constant_ratio >= 0.75 THEN 'mostly_constant' END) AS reasons FROM ({_QUALITY.format(src=_USERS)})
-    WHERE (zero_ratio >= 0.75 OR constant_ratio >= 0.75) AND CAST(substr(point_code, 2) AS INT) < 400 AND point_code <> 'U7'""")
+    WHERE (zero_ratio >= 0.75 OR constant_ratio >= 0.75) AND point_code <> 'U7'""")
 def a06_low_information(spark, d):
-    return quality.low_information(quality.quality(_coarse(spark, d)), [f"U{i}" for i in range(400)], ["U7"], 0.75)
+    return quality.low_information(quality.quality(_coarse(spark, d)), None, ["U7"], 0.75)
 
 
 @query("point_code reasons", f"""SELECT point_code, concat_ws('|', CASE WHEN non_null < 60 THEN 'too_few' END, CASE WHEN missing_rate >= 0.8 THEN 'mostly_missing' END, CASE WHEN constant_ratio >= 0.8 THEN 'mostly_constant' END) AS reasons
     FROM ({_QUALITY.format(src=_USERS)}) WHERE non_null < 60 OR missing_rate >= 0.8 OR constant_ratio >= 0.8""")
 def a07_unusable_outputs(spark, d):
-    return quality.unusable_outputs(quality.quality(_coarse(spark, d)), [f"U{i}" for i in range(2000)], 60, 0.8)
+    return quality.unusable_outputs(quality.quality(_coarse(spark, d)), None, 60, 0.8)
 
 
 @query("point_code", f"SELECT point_code FROM ({_QUALITY.format(src=_USERS)}) WHERE NOT (non_null < 60 OR missing_rate >= 0.8 OR constant_ratio >= 0.8)")
 def a07_usable_outputs(spark, d):
-    return quality.usable_outputs(quality.quality(_coarse(spark, d)), [f"U{i}" for i in range(2000)], least=60, limit=0.8)
+    return quality.usable_outputs(quality.quality(_coarse(spark, d)), None, least=60, limit=0.8)
 
 
 @query("ts:t rate:f", f"SELECT ts, ({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in CODES)}) / 5 AS rate FROM wide")
@@ -398,8 +398,8 @@ def a08_row_valid_rate(spark, d):
     return fx.wide(spark, d).withColumn("rate", quality.row_valid_rate(CODES))
 
 
-_CUTS = """SELECT point_code, q AS q_low, m AS q50, h AS q95, q + greatest(m - q, 0) * 0.08 AS low_cut FROM (SELECT point_code, quantile_cont(value, 0.08) AS q, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.95) AS h FROM full_long GROUP BY 1)
-    WHERE h > q"""
+_CUTS = f"""SELECT point_code, q AS q_low, m AS q50, h AS q95, q + greatest(m - q, 0) * 0.08 AS low_cut FROM (SELECT point_code, quantile_cont(value, 0.08) AS q, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.95) AS h FROM full_long GROUP BY 1)
+    JOIN (SELECT point_code FROM ({_QUALITY.format(src='full_long')}) WHERE missing_rate <= 0.5 AND zero_ratio <= 0.8 AND constant_ratio <= 0.8) USING (point_code) WHERE h > q"""
 
 
 @query("point_code q_low:f q50:f q95:f low_cut:f", _CUTS)
@@ -407,7 +407,7 @@ def a09_low_candidates(spark, d):
     return quality.low_candidates(fx.full_long(spark, d))
 
 
-@query("feature n:i mean:f scale:f", f"SELECT point_code AS feature, count(value) AS n, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-12)) AS scale FROM full_long JOIN frame f USING (ts) WHERE f.valid_for_training AND floor(epoch(ts) / {CHUNK}) < 3945 GROUP BY 1")
+@query("feature n:i mean:f scale:f", f"SELECT point_code AS feature, count(value) AS n, avg(value) AS mean, CASE WHEN count(value) <= 1 THEN 1 ELSE sqrt(greatest(var_pop(value), 1e-12)) END AS scale FROM full_long JOIN frame f USING (ts) WHERE f.valid_for_training AND floor(epoch(ts) / {CHUNK}) < 3945 GROUP BY 1")
 def a10_fit_scaler(spark, d):
     train = fx.frame(spark, d).filter(F.col("valid_for_training") & (F.floor(F.unix_seconds("ts") / CHUNK) < 3945))
     return scale.fit_scaler(train.unpivot(["ts"], CODES, "feature", "value"))
@@ -606,7 +606,7 @@ def w04_expand_mask(spark, d):
 
 _LOW = f"SELECT ts, avg(CAST(coalesce(value, 'Infinity') <= low_cut AS INT)) AS share FROM full_long JOIN ({_CUTS}) USING (point_code) GROUP BY 1"
 _SMOOTH = f"SELECT ts, CASE WHEN count(share) OVER w >= 1 THEN avg(share) OVER w END AS smooth FROM ({_LOW}) WINDOW w AS (ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)"
-_COMMON = _RUNS.format(gap=2 * GRID, src=f"({_SMOOTH})", cond="smooth >= 0.2 - 1e-9")
+_COMMON = _RUNS.format(gap=2 * GRID, src=f"({_SMOOTH})", cond=f"smooth >= 0.2 - 1e-9 AND (SELECT count(*) FROM ({_CUTS})) >= 5")
 
 
 @query("start_time:t end_time:t rows:i", f"SELECT * FROM ({_COMMON}) WHERE epoch(end_time) - epoch(start_time) >= {GRID}")
