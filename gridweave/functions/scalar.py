@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that switch a variable off, and words of advice that leave it out.
-FALSE_TEXTS = ("0", "false", "no", "n", "否")
-EXCLUDE_STARTS = ("不", "排除", "exclude")
-EXCLUDE_PARTS = ("不建议", "exclude")
-#: What is an input or an output.
-INPUT_TYPES = ("input", "in", "x", "feature")
-OUTPUT_TYPES = ("output", "out", "y", "target", "label")
+#: Texts that switch a variable off, and advice that leaves it out.
+FALSE_TEXTS = ("0", "false", "no", "n", "否", "不纳入", "排除", "剔除")
+EXCLUDE_START = "不纳入"
+EXCLUDE_PARTS = ("暂不纳入", "剔除")
+#: What is an input or an output, and how such names end.
+INPUT_TYPES, INPUT_END = ("输入", "input", "x"), "入"
+OUTPUT_TYPES, OUTPUT_END = ("输出", "output", "target", "y"), "出"
 
 
 def finite(c: Column) -> Column:
@@ -54,29 +54,28 @@ def effective(manual: Column, suggested: Column) -> Column:
 def is_excluded(flag: Column, advice: Column) -> Column:
     """A manual flag decides; without one the advice does."""
     said = F.lower(clean_text(flag))
-    text = F.lower(clean_text(advice))
-    starts = reduce(Column.__or__, (text.startswith(w) for w in EXCLUDE_STARTS))
-    parts = reduce(Column.__or__, (text.contains(w) for w in EXCLUDE_PARTS))
-    return F.when(said != "", said.isin(*FALSE_TEXTS)).otherwise(starts | parts)
+    text = clean_text(advice)
+    left_out = reduce(Column.__or__, (text.contains(w) for w in EXCLUDE_PARTS), text.startswith(EXCLUDE_START))
+    return F.when(said != "", said.isin(*FALSE_TEXTS)).otherwise(left_out)
 
 
 def is_input(io_type: Column) -> Column:
-    kind = F.lower(F.trim(io_type))
-    return kind.isin(*INPUT_TYPES) | kind.endswith("_input")
+    kind = F.lower(clean_text(io_type))
+    return kind.isin(*INPUT_TYPES) | kind.endswith(INPUT_END)
 
 
 def is_output(io_type: Column) -> Column:
-    kind = F.lower(F.trim(io_type))
-    return kind.isin(*OUTPUT_TYPES) | kind.endswith("_output")
+    kind = F.lower(clean_text(io_type))
+    return kind.isin(*OUTPUT_TYPES) | kind.endswith(OUTPUT_END)
 
 
 def range_for_specs(specs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """low and high of each spec: of the first token (by pos) found in its code, name and target, else 0..100 for %."""
-    text = F.upper(F.concat(*(F.coalesce(c, F.lit("")) for c in ("point_code", "point_name", "target_name"))))
+    """low and high of each spec: of the first token (by pos) found in its code, name and target, else 0..100 if the unit has %."""
+    text = F.upper(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("point_code", "point_name", "target_name"))))
     rows = specs.withColumn("_text", text)
     hit = rows.join(F.broadcast(ranges), F.contains("_text", F.upper("token")), "left")
     first = hit.groupBy(*specs.columns).agg(F.min_by(F.struct("low", "high"), "pos").alias("_r"))
-    percent = F.col("unit") == "%"
+    percent = F.contains("unit", F.lit("%"))
     return first.withColumns({"low": F.coalesce("_r.low", F.when(percent, 0.0)), "high": F.coalesce("_r.high", F.when(percent, 100.0))}).drop("_r")
 
 

@@ -57,13 +57,13 @@ def _reasons(pairs: Sequence[tuple[Column, str]]) -> Column:
 
 def low_information(report: DataFrame, inputs: Sequence[str] | None = None, keep: Sequence[str] = (), limit: float = 0.98) -> DataFrame:
     """Inputs (all codes if none are named) that say next to nothing, and why."""
-    why = _reasons([(F.col("zero_ratio") >= limit, "mostly_zero"), (F.col("constant_ratio") >= limit, "mostly_constant")])
+    why = _reasons([(F.col("zero_ratio") >= limit, "near_zero"), (F.col("constant_ratio") >= limit, "constant")])
     own = _only(report, inputs).filter(~F.col("point_code").isin(list(keep)))
     return own.withColumn("reasons", why).filter("reasons <> ''").select("point_code", "zero_ratio", "constant_ratio", "reasons")
 
 
-def unusable_outputs(report: DataFrame, outputs: Sequence[str] | None = None, least: int = 100, limit: float = 0.98) -> DataFrame:
-    why = _reasons([(F.col("non_null") < least, "too_few"), (F.col("missing_rate") >= limit, "mostly_missing"), (F.col("constant_ratio") >= limit, "mostly_constant")])
+def unusable_outputs(report: DataFrame, outputs: Sequence[str] | None = None, least: int = 1, limit: float = 0.98) -> DataFrame:
+    why = _reasons([(F.col("non_null") < least, "too_few_non_null"), (F.col("missing_rate") >= limit, "too_many_missing"), (F.col("constant_ratio") >= limit, "constant")])
     return _only(report, outputs).withColumn("reasons", why).filter("reasons <> ''").select("point_code", "non_null", "missing_rate", "constant_ratio", "reasons")
 
 

@@ -376,13 +376,13 @@ def _coarse(spark, d):
     return fx.user_points(spark, d).withColumn("value", F.when(F.col("value") < 60, 0.0).otherwise(F.round(F.col("value") / 50)))
 
 
-@query("point_code reasons", f"""SELECT point_code, concat_ws('|', CASE WHEN zero_ratio >= 0.75 THEN 'mostly_zero' END, CASE WHEN constant_ratio >= 0.75 THEN 'mostly_constant' END) AS reasons FROM ({_QUALITY.format(src=_USERS)})
+@query("point_code reasons", f"""SELECT point_code, concat_ws('|', CASE WHEN zero_ratio >= 0.75 THEN 'near_zero' END, CASE WHEN constant_ratio >= 0.75 THEN 'constant' END) AS reasons FROM ({_QUALITY.format(src=_USERS)})
     WHERE (zero_ratio >= 0.75 OR constant_ratio >= 0.75) AND point_code <> 'U7'""")
 def a06_low_information(spark, d):
     return quality.low_information(quality.quality(_coarse(spark, d)), None, ["U7"], 0.75)
 
 
-@query("point_code reasons", f"""SELECT point_code, concat_ws('|', CASE WHEN non_null < 60 THEN 'too_few' END, CASE WHEN missing_rate >= 0.8 THEN 'mostly_missing' END, CASE WHEN constant_ratio >= 0.8 THEN 'mostly_constant' END) AS reasons
+@query("point_code reasons", f"""SELECT point_code, concat_ws('|', CASE WHEN non_null < 60 THEN 'too_few_non_null' END, CASE WHEN missing_rate >= 0.8 THEN 'too_many_missing' END, CASE WHEN constant_ratio >= 0.8 THEN 'constant' END) AS reasons
     FROM ({_QUALITY.format(src=_USERS)}) WHERE non_null < 60 OR missing_rate >= 0.8 OR constant_ratio >= 0.8""")
 def a07_unusable_outputs(spark, d):
     return quality.unusable_outputs(quality.quality(_coarse(spark, d)), None, 60, 0.8)

@@ -111,7 +111,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         k.cast("long").alias("row_no"), F.col("c_mktsegment").alias("model"), F.when(k % 3 == 0, "output").otherwise("input").alias("io_type"), none.alias("role_group"), F.lit(" role ").alias("variable_role"),
         F.concat(F.lit("P"), "c_nationkey").alias("point_code"), F.col("c_name").alias("point_name"), F.when(k % 5 == 0, "%").otherwise("C").alias("unit"), none.alias("process_stage"), none.alias("target_name"),
-        F.when(k % 13 == 0, "不建议").otherwise("").alias("include_advice"), none.alias("control_priority"), F.when(k % 7 == 0, "BUILDING").alias("manual_model"), F.when(k % 4 == 0, "chosen").alias("manual_role"), F.when(k % 11 == 0, "false").alias("include_manual"),
+        F.when(k % 13 == 0, "暂不纳入").otherwise("").alias("include_advice"), none.alias("control_priority"), F.when(k % 7 == 0, "BUILDING").alias("manual_model"), F.when(k % 4 == 0, "chosen").alias("manual_role"), F.when(k % 11 == 0, "false").alias("include_manual"),
     )
 
 
@@ -153,7 +153,7 @@ fc AS (SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, w.input_end_
   JOIN full_long l1 ON l1.point_code = a.point_code AND l1.ts = w.input_end_time - to_seconds({GRID})
   JOIN full_long l2 ON l2.point_code = a.point_code AND l2.ts = w.input_end_time - to_seconds({2 * GRID})),
 registry AS (SELECT c_custkey AS row_no, c_mktsegment AS model, CASE WHEN c_custkey % 3 = 0 THEN 'output' ELSE 'input' END AS io_type, 'P' || c_nationkey AS point_code, c_name AS point_name,
-  CASE WHEN c_custkey % 5 = 0 THEN '%' ELSE 'C' END AS unit, CASE WHEN c_custkey % 13 = 0 THEN '不建议' ELSE '' END AS include_advice, CASE WHEN c_custkey % 7 = 0 THEN 'BUILDING' END AS manual_model,
+  CASE WHEN c_custkey % 5 = 0 THEN '%' ELSE 'C' END AS unit, CASE WHEN c_custkey % 13 = 0 THEN '暂不纳入' ELSE '' END AS include_advice, CASE WHEN c_custkey % 7 = 0 THEN 'BUILDING' END AS manual_model,
   CASE WHEN c_custkey % 4 = 0 THEN 'chosen' END AS manual_role, CASE WHEN c_custkey % 11 = 0 THEN 'false' END AS include_manual FROM customer),
 specs AS (SELECT * FROM (SELECT *, coalesce(manual_model, model) AS chosen, coalesce(manual_role, 'role') AS role, row_number() OVER (PARTITION BY coalesce(manual_model, model), io_type, point_code ORDER BY row_no) AS rn
   FROM registry WHERE CASE WHEN include_manual IS NOT NULL THEN include_manual <> 'false' ELSE include_advice = '' END) WHERE rn = 1),
