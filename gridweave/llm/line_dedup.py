@@ -26,7 +26,7 @@ PERCENT = 85
 #: Sets of more words than this have a second, wider bitmap of so many 64-bit cells.
 LONG, CELLS = 100, 8
 #: Prefixes that share a word and are still compared pair by pair; rows and bytes of sets in a block, at most.
-FEW, BLOCK_ROWS, BLOCK_BYTES = 32, 1024, 16 << 20
+FEW, BLOCK_ROWS, BLOCK_BYTES = 256, 1024, 16 << 20
 #: Entries of the table of word counts, and of the table of documents that a verification looks for.
 BUCKETS, DOCUMENTS = 1 << 18, 1 << 18
 
@@ -91,7 +91,7 @@ def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int)
         owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
         some = np.flatnonzero(n)
         least = _least_shared(n, percent)
-        length = np.where(least < n, n - least + 1, 0)  # sets of so few words are only like themselves
+        length = np.where(least < n, n - least + 2, 0)  # sets of so few words are only like themselves
         line = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(line)) - begins[line] if len(line) else line
         prefix = (word[within < length[line]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -144,12 +144,28 @@ def _rooted(alike: np.ndarray) -> np.ndarray:
         label = now
 
 
-def _edges(scratch: Scratch, cells: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all classes of cells that the filters leave together."""
-    sized = scratch.table(cells.groupBy("word").agg(F.count("*").alias("m")).filter("m > 1"), "words")
-    few = cells.join(sized.filter(F.col("m") <= FEW).select("word").hint("merge"), "word")
-    x, y = (few.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "bits", "more", "at"))) for k in ("a", "b"))
-    pairs = x.join(y.hint("merge"), "word").filter((F.col("cls_a") < F.col("cls_b")) & _may_be_similar(percent)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+def _edges(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all classes that the filters leave together.
+
+    Similar sets share a word of their prefixes without the last word, and two of their whole prefixes: the rarest one
+    that they share finds them by itself if it is not too common, and else with the next one.
+    """
+    cells = classes.select("cls", "n", "bits", "more", "prefix", F.posexplode("prefix").alias("at", "word")).filter(F.col("at") < F.size("prefix") - 1)
+    words = scratch.table(cells.groupBy("word").agg(F.count("*").alias("m")).filter("m > 1"), "words")
+    what = ["cls", "n", "bits", "more", "at"]
+    single = cells.select(F.col("word").cast("long").alias("key"), *what, "word").join(words.filter(F.col("m") <= FEW).select("word").hint("merge"), "word")
+    common = cells.join(words.filter(F.col("m") > FEW).select("word").hint("merge"), "word")
+    common = common.withColumn("next", F.explode(F.slice("prefix", F.col("at") + 2, F.size("prefix"))))
+    common = common.select(F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("next").cast("long").bitwiseAND(0xFFFFFFFF)).alias("key"), *what)
+    keys = scratch.table(common.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "keys")
+    double = common.join(keys.filter(F.col("m") <= FEW).select("key").hint("merge"), "key")
+
+    def met(rows: DataFrame) -> DataFrame:
+        x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in what)) for k in ("a", "b"))
+        both = x.join(y.hint("merge"), "key").filter((F.col("cls_a") < F.col("cls_b")) & _may_be_similar(percent))
+        return both.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+    pairs = met(single).unionByName(met(double)).distinct()
 
     def compare(group: pa.Table) -> pa.Table:
         cls, n, bits = group["cls"].to_numpy(), group["n"].to_numpy().astype(np.int64), group["bits"].to_numpy().view("u8")
@@ -166,9 +182,9 @@ def _edges(scratch: Scratch, cells: DataFrame, percent: int) -> DataFrame:
         hung = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(cls[hung], pa.int64()), "b": pa.array(cls[root[hung]], pa.int64())})
 
-    hot = scratch.table(sized.filter(F.col("m") > FEW).withColumn("parts", F.expr(f"1 + m div {BLOCK_ROWS}")).select("word", "parts"), "hot-words")
-    many = _blocks(cells.join(hot.hint("merge"), "word"), "word", "parts").select("word", "i", "j", "cls", "n", "bits", "more")
-    return scratch.table(pairs.unionByName(many.groupBy("word", "i", "j").applyInArrow(compare, "a long, b long").distinct()), "edges")
+    hot = scratch.table(keys.filter(F.col("m") > FEW).withColumn("parts", F.expr(f"1 + m div {BLOCK_ROWS}")).select("key", "parts"), "hot-keys")
+    many = _blocks(common.join(hot.hint("merge"), "key"), "key", "parts").select("key", "i", "j", "cls", "n", "bits", "more")
+    return scratch.table(pairs.unionByName(many.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()), "edges")
 
 
 def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +223,8 @@ def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: Dat
         alike = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
         # Of two blocks only what is across counts here; within one it counts where the block meets itself.
         alike &= (own[:, None] != own[None, :]) if group["i"][0] != group["j"][0] else ~np.eye(len(cls), dtype=bool)
-        order = group.select(["last", "doc_id", "rid", "line"]).to_pandas().sort_values(["last", "doc_id", "rid", "line"]).index.to_numpy()
+        last, doc_id, rid, line = (pc.fill_null(group[c].cast(pa.int64()), 0).to_numpy() for c in ("last", "doc_id", "rid", "line"))
+        order = np.lexsort((line, rid, doc_id, last))
         rank = np.empty(len(cls), np.int64)
         rank[order] = np.arange(len(cls))
         links = alike.sum(1)
@@ -242,8 +259,7 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = [F.any_value(c).alias(c) for c in ("n", "bits", "more", "prefix")]
     classes = lines.filter("line >= 0").groupBy("p1", "p2").agg(first, F.count("*").alias("lines"), *same)
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    cells = classes.select("cls", "n", "bits", "more", F.posexplode("prefix").alias("at", "word"))
-    clusters = components(scratch, _edges(scratch, cells, percent), "clusters")
+    clusters = components(scratch, _edges(scratch, classes, percent), "clusters")
     clusters = clusters.withColumnRenamed("node", "cls").unionByName(clusters.select(F.col("component").alias("cls"), "component").distinct())
     seen = _linked(scratch, docs, clusters, classes, percent)
     told = classes.join(seen, "cls", "left").select("p1", "p2", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
