@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import finite
-from gridweave.operators.grid import bucket_end
 
 
 def resample_stream(points: DataFrame, seconds: int, late: str, expected: int | None = None) -> DataFrame:
@@ -23,5 +22,3 @@ def resample_stream(points: DataFrame, seconds: int, late: str, expected: int |
     value = F.col("_mean") if expected is None else F.when(F.col("raw_count") == expected, F.col("_mean"))
     return grouped.select("point_code", F.col("_w.end").alias("ts"), value.alias("value"), "raw_count")
 
-
-__all__ = ["bucket_end", "resample_stream"]
