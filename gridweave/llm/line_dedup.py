@@ -24,9 +24,10 @@ from .scratch import Scratch, attach, documents, portions
 
 PERCENT = 85
 #: Sets of more words than this have a second, wider bitmap of so many 64-bit cells.
-LONG, CELLS = 100, 8
+LONG, CELLS = 100, 4
+WIDE = [f"wide{k}" for k in range(CELLS)]
 #: Prefixes that share a word and are still compared pair by pair; rows and bytes of sets in a block, at most.
-FEW, BLOCK_ROWS, BLOCK_BYTES = 256, 1024, 16 << 20
+FEW, BLOCK_ROWS, BLOCK_BYTES = 48, 1024, 16 << 20
 #: Entries of the table of word counts, and of the table of documents that a verification looks for.
 BUCKETS, DOCUMENTS = 1 << 18, 1 << 18
 
@@ -86,7 +87,7 @@ def _sets(texts: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, line, n, p1, p2, bits, more, prefix) for each line with a word; one row of line -1 for each text."""
+    """(rid, doc_id, line, n, p1, p2, bits, wide bits, prefix) for each line with a word; one row of line -1 for each text."""
     for batch in portions(batches):
         owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
         some = np.flatnonzero(n)
@@ -102,28 +103,28 @@ def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int)
             cell = (word >> np.uint64(6)) % np.uint64(CELLS)
             for k in range(CELLS):
                 wide[:, k] = np.bitwise_xor.reduceat(np.where(cell == k, np.uint64(1) << (word % np.uint64(64)), np.uint64(0)), begins[some])
-        has = n[some] > LONG
-        more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * CELLS)]).astype(np.int32)), pa.array(wide[has].reshape(-1).view("i8")))
+        wide[n[some] <= LONG] = 0
+        wide = wide.view("i8")
         row, rid, doc = owner[some], batch["rid"], batch["doc_id"]
         zero, none = np.zeros(batch.num_rows, "i8"), pa.nulls(batch.num_rows)
         both = lambda a, b: pa.array(np.concatenate([a, b]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([rid.take(pa.array(row)), rid]), pa.concat_arrays([doc.take(pa.array(row)), doc]), both(place[some], zero - 1).cast(pa.int32()), both(n[some], zero).cast(pa.int32()),
-                both(prints[0, some], zero), both(prints[1, some], zero), both(bits, zero), pa.concat_arrays([more, none.cast(more.type)]), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none.cast(pa.list_(pa.int32()))]),
+                both(prints[0, some], zero), both(prints[1, some], zero), both(bits, zero), *(both(wide[:, k], zero) for k in range(CELLS)), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none.cast(pa.list_(pa.int32()))]),
             ],
-            ["rid", "doc_id", "line", "n", "p1", "p2", "bits", "more", "prefix"],
+            ["rid", "doc_id", "line", "n", "p1", "p2", "bits", *WIDE, "prefix"],
         )
 
 
 def _may_be_similar(percent: int) -> Column:
-    """Whether columns of two sets, n, bits, more and at with _a and _b, don't rule out that they are similar."""
+    """Whether columns of two sets, n, bits, wide and at with _a and _b, don't rule out that they are similar."""
     # Shared words that a pair needs, and those that it can have: before, at and after the word that it shares.
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
     can = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     most = F.col("n_a") + F.col("n_b") - 2 * need
-    wide = F.aggregate(F.zip_with("more_a", "more_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    long = (F.size("more_a") > 0) & (F.size("more_b") > 0)
+    wide = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in WIDE), F.lit(0))
+    long = (F.col("n_a") > LONG) & (F.col("n_b") > LONG)
     return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (can >= need) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= most) & (~long | (wide <= most))
 
 
@@ -150,9 +151,9 @@ def _edges(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
     Similar sets share a word of their prefixes without the last word, and two of their whole prefixes: the rarest one
     that they share finds them by itself if it is not too common, and else with the next one.
     """
-    cells = classes.select("cls", "n", "bits", "more", "prefix", F.posexplode("prefix").alias("at", "word")).filter(F.col("at") < F.size("prefix") - 1)
+    cells = classes.select("cls", "n", "bits", *WIDE, "prefix", F.posexplode("prefix").alias("at", "word")).filter(F.col("at") < F.size("prefix") - 1)
     words = scratch.table(cells.groupBy("word").agg(F.count("*").alias("m")).filter("m > 1"), "words")
-    what = ["cls", "n", "bits", "more", "at"]
+    what = ["cls", "n", "bits", *WIDE, "at"]
     single = cells.select(F.col("word").cast("long").alias("key"), *what, "word").join(words.filter(F.col("m") <= FEW).select("word").hint("merge"), "word")
     common = cells.join(words.filter(F.col("m") > FEW).select("word").hint("merge"), "word")
     common = common.withColumn("next", F.explode(F.slice("prefix", F.col("at") + 2, F.size("prefix"))))
@@ -174,8 +175,8 @@ def _edges(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
         alike = (np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
         long = np.flatnonzero(n > LONG)
         if len(long):
-            wide = np.array([x for x in group["more"].to_pylist() if x], "i8").view("u8").reshape(len(long), CELLS)
-            apart = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(np.int64) for k in range(CELLS))
+            wide = [group[c].to_numpy().view("u8")[long] for c in WIDE]
+            apart = sum(np.bitwise_count(w[:, None] ^ w[None, :]).astype(np.int64) for w in wide)
             at = np.ix_(long, long)
             alike[at] &= apart <= most[at]
         root = _rooted(alike)
@@ -183,7 +184,7 @@ def _edges(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(cls[hung], pa.int64()), "b": pa.array(cls[root[hung]], pa.int64())})
 
     hot = scratch.table(keys.filter(F.col("m") > FEW).withColumn("parts", F.expr(f"1 + m div {BLOCK_ROWS}")).select("key", "parts"), "hot-keys")
-    many = _blocks(common.join(hot.hint("merge"), "key"), "key", "parts").select("key", "i", "j", "cls", "n", "bits", "more")
+    many = _blocks(common.join(hot.hint("merge"), "key"), "key", "parts").select("key", "i", "j", "cls", "n", "bits", *WIDE)
     return scratch.table(pairs.unionByName(many.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()), "edges")
 
 
@@ -253,10 +254,10 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rarity[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     shared = spark.sparkContext.broadcast(rarity)
     numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), "rid long, doc_id long, line int, n int, p1 long, p2 long, bits long, more array<long>, prefix array<int>"), "lines")
+    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), f"rid long, doc_id long, line int, n int, p1 long, p2 long, bits long, {', '.join(f'{c} long' for c in WIDE)}, prefix array<int>"), "lines")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line")).alias("first")
-    same = [F.any_value(c).alias(c) for c in ("n", "bits", "more", "prefix")]
+    same = [F.any_value(c).alias(c) for c in ("n", "bits", *WIDE, "prefix")]
     classes = lines.filter("line >= 0").groupBy("p1", "p2").agg(first, F.count("*").alias("lines"), *same)
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     clusters = components(scratch, _edges(scratch, classes, percent), "clusters")
