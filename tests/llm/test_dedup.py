@@ -157,7 +157,7 @@ def test_line_matches_repeated_rows(hard):
     assert sum(r.n_lines for r in got) == sum(bool(SPACE.sub("", x)) for r in hard_rows() for x in (r[1] or "").split("\n"))
 
 
-@pytest.mark.parametrize("few,block", [(48, 1024), (1, 3), (3, 2)])
+@pytest.mark.parametrize("few,block", [(32, 1024), (1, 3), (3, 2)])
 def test_near_lines(spark, monkeypatch, few, block):
     """Lines that differ in a few words are found, whatever their order of words, in one block or many."""
     import random
