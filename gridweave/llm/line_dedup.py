@@ -91,7 +91,8 @@ def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int)
         owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
         some = np.flatnonzero(n)
         least = _least_shared(n, percent)
-        length = np.where(least < n, n - least + 1, 0)  # sets of so few words are only like themselves
+        # Sets that may lack no word, and are not like even a set of one word more, are only like themselves.
+        length = np.where((least < n) | (100 * n >= percent * (n + 1)), n - least + 1, 0)
         line = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(line)) - begins[line] if len(line) else line
         prefix = (word[within < length[line]] >> np.uint64(32)).astype(np.uint32).view(np.int32)

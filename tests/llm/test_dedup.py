@@ -181,6 +181,19 @@ def test_near_lines(spark, monkeypatch, few, block):
     assert got == sorted(lines_expected(rows))
 
 
+def test_lines_of_one_word_more(spark):
+    """A set inside one of a word more is found from six words on (6/7 is enough, 5/6 is not)."""
+    rows = []
+    for n in range(1, 12):
+        words = [f"w{n}x{k}" for k in range(n)]
+        for k, extra in enumerate(("0", "aa", "zz9")):
+            rows += [(100 * n + 10 * k, " ".join(f"{w}{extra}" for w in words)), (100 * n + 10 * k + 1, " ".join(f"{w}{extra}" for w in [*words, f"more{n}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.n_links) for r in line_dedup.line_matches(df).collect())
+    assert got == sorted(lines_expected(rows))
+    assert {d // 100 for d, _, removed, _ in got if removed} == set(range(6, 12))
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [1]), ("a", [0]), ("", [])], "text string, removed array<int>")
     assert [r[0] for r in df.select(line_dedup.without_lines(F.col("text"), F.col("removed"))).collect()] == ["a\nc", "", ""]
