@@ -3,7 +3,7 @@
 Only the histogram of piece lengths decides how lengths are combined, and it has at most as many entries as a
 sequence has tokens, whatever the corpus. The plan is made on it: pieces that fill a sequence alone first, then
 pairs, triples and quadruples (the complement of a piece is looked up among single, pair and triple length sums)
-while pieces of those lengths are left, then best fit, largest first, for the rest. Spark numbers the pieces of
+until no such sum of the lengths left fills a sequence, then best fit, largest first, for the rest. Spark numbers the pieces of
 each length and each takes the place that the plan has for its number.
 """
 
@@ -113,25 +113,27 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int,
             b = limit - n - a
             if a in left and 0 < b <= a and b in left:
                 take(tuple(sorted((n, a, b), reverse=True)))
-    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    lengths = sorted(left, reverse=True)
-    for i, a in enumerate(lengths):
-        for b in lengths[i:]:
-            if a + b < limit and len(pairs[a + b]) < 8:
-                pairs[a + b].append((a, b))
-    for total in sorted(pairs, reverse=True):
-        for first in pairs[total]:
-            for second in pairs.get(limit - total, ()):
+
+    def feasible(combination: tuple[int, ...]) -> bool:
+        return all(left.get(n, 0) >= combination.count(n) for n in combination)
+
+    def pairs(total: int) -> list[tuple[int, int]]:
+        return [(a, total - a) for a in sorted((x for x in left if total <= 2 * x < 2 * total), reverse=True) if feasible((a, total - a))]
+
+    # All pairs of a sum against all of its complement. Pairs of one sum have no length in common, so each try uses up
+    # one of the two, but for the few that share lengths; what a piece lacks as a triple sum is such a pair of pairs.
+    for total in range(limit - 2, (limit + 1) // 2 - 1, -1):
+        seconds = pairs(limit - total)
+        for first in pairs(total) if seconds else ():
+            kept = []
+            for at, second in enumerate(seconds):
+                if not feasible(first):
+                    kept += seconds[at:]
+                    break
                 take(tuple(sorted(first + second, reverse=True)))
-    # Triple sums: what a long piece lacks is filled by three shorter ones.
-    for n in sorted(left, reverse=True):
-        gap = limit - n
-        for a in sorted((x for x in left if x < gap), reverse=True):
-            if n not in left:
-                break
-            for first in pairs.get(gap - a, ()):
-                if a in left and n in left:
-                    take(tuple(sorted((n, a, *first), reverse=True)))
+                if feasible(second):
+                    kept.append(second)
+            seconds = kept
     # Best fit for what is left: each sequence takes the longest piece that still fits.
     while left:
         combination, gap = [], limit

@@ -97,6 +97,27 @@ def test_plan_uses_all():
     assert sum(t for _, t in packing.plan({1000: 6, 1048: 6, 2048: 2, 700: 3, 648: 3}, 2048)) == 2 + 6 + 1 + 1
 
 
+def test_plan_leaves_no_exact_sum():
+    """No one, two, three or four pieces of sequences that aren't full would fill one; hot lengths meet whatever is beside them."""
+    from itertools import combinations_with_replacement
+
+    rng = random.Random(6)
+    for limit in (24, 60):
+        for _ in range(40):
+            histogram = {rng.randrange(1, limit + 1): rng.choice((1, 1, 2, 3, 40)) for _ in range(rng.randrange(1, 40))}
+            rest = defaultdict(int)
+            for lengths, times in packing.plan(dict(histogram), limit):
+                if sum(lengths) < limit:
+                    for n in lengths:
+                        rest[n] += times
+            for k in (1, 2, 3, 4):
+                for c in combinations_with_replacement(sorted(rest), k):
+                    assert sum(c) != limit or any(rest[n] < c.count(n) for n in c)
+    rare = [*range(901, 909), *range(925, 933), *range(949, 957), *range(92, 100)]
+    histogram = {500: 1000, 524: 1000, **dict.fromkeys(rare, 1)}
+    assert sum(t for _, t in packing.plan(histogram, 2048)) <= 500 + len(rare)
+
+
 CONVERSATIONS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (2, 0, "system", "</s>"), (2, 1, "assistant", "&lt; <s>[INST] x\ny [/INST]</s> &amp;"), (2, 1, "assistant", None), (3, 5, "tool\nwith </s>", " [/INST]</s><s>[INST*] user\nx"),
     (3, 2, None, ""), (None, 1, "user", "no id"), (None, None, "assistant", "no turn &#91;[&"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (5, 0, "assistant", "é😀 [INST*] " * 50), (6, 0, "user", "[/INST]</s>"), (7, 0, "assistant", " [/INST]"), (8, 0, "assistant", "</"), (8, 1, "assistant", "s>"),
