@@ -1,7 +1,8 @@
 """URL filters: explicit rules first, then a path-template tree for what no rule speaks of.
 
-For each host, path segments that vary are made wildcards. Sibling branches whose labelled shares of blocked URLs do
-not differ statistically are merged, from the leaves up. A template is rejected when its share of blocked URLs,
+For each host, path segments that vary are made wildcards: by their form, and from the root down where siblings have too
+few labels each. Sibling branches whose labelled shares of blocked URLs do not differ statistically are merged, from the
+leaves up. A template is rejected when its share of blocked URLs,
 smoothed by the share over all labelled URLs, is high enough. URLs are labelled by the rules, or by a given table.
 """
 
@@ -15,9 +16,11 @@ from .scratch import Scratch, attach
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: Segments that the tree looks at; labels a branch needs to be merged; what counts as a difference, in standard
-#: deviations; weight of the share over all in a template's share; share from which a template is rejected.
-DEPTH, SUPPORT, SIGMAS, SMOOTHING, REJECT = 3, 5, 2.0, 4.0, 0.8
+#: Labels a branch needs to be merged; what counts as a difference, in standard deviations; weight of the share over
+#: all in a template's share; share from which a template is rejected.
+SUPPORT, SIGMAS, SMOOTHING, REJECT = 5, 2.0, 4.0, 0.8
+#: So many siblings of fewer labels than SUPPORT vary, also beside siblings that have enough.
+MANY = 10
 
 ANY = "*"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -41,11 +44,41 @@ def by_rule(rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments of a path; digits and long mixed strings are wildcards, endings stay."""
+    """The segments of a path; digits and long mixed strings are wildcards, endings stay."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[^.]*\d[^.]*", ANY), r"^[^.]{25,}", ANY))
-    short = F.slice(general, 1, DEPTH)
-    return F.when(F.size(general) > DEPTH, F.concat(short, F.array(F.lit(ANY + ANY)))).otherwise(short)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[^.]*\d[^.]*", ANY), r"^[^.]{25,}", ANY))
+
+
+def _branches(scratch: Scratch, leaves: DataFrame, depth: int, name: str) -> DataFrame:
+    """(host, parent, branch, m, b, leaves) for the branches of leaves at depth, m labelled and b blocked."""
+    parent, own = F.slice("template", 1, depth - 1), F.slice("template", 1, depth)
+    deep = leaves.filter(F.size("template") >= depth).withColumns({"parent": parent, "branch": own})
+    branches = deep.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("leaves"))
+    return scratch.table(branches, f"{name}{depth}")
+
+
+def _wild(scratch: Scratch, leaves: DataFrame, which: DataFrame, depth: int, name: str) -> DataFrame:
+    """leaves with segment depth made a wildcard in the branches which (host, branch, leaves)."""
+    if which.isEmpty():
+        return leaves
+    keyed = leaves.withColumn("branch", F.slice("template", 1, depth))
+    hit = attach(keyed.filter(F.size("template") >= depth), which, ["host", "branch"], "leaves", leaves.count())
+    wild = F.concat(F.slice("template", 1, depth - 1), F.array(F.lit(ANY)), F.slice("template", F.lit(depth + 1), F.size("template")))
+    changed = hit.select("host", "raw", wild.alias("template"), "n", "labelled", "blocked")
+    # A path that ends above depth is its own slice, but no branch at depth.
+    same = keyed.join(which.select("host", "branch"), ["host", "branch"], "left_anti").select("host", "raw", "template", "n", "labelled", "blocked")
+    return scratch.table(changed.unionByName(same), f"{name}{depth}")
+
+
+def _pooled(scratch: Scratch, leaves: DataFrame, depth: int) -> DataFrame:
+    """leaves with segment depth made a wildcard in siblings of few labels, where they are many or no sibling has enough."""
+    branches = _branches(scratch, leaves, depth, "sparse-branches")
+    few = F.col("m") < SUPPORT
+    groups = branches.groupBy("host", "parent").agg(F.count_if(few).alias("few"), F.count_if(~few).alias("sure"))
+    varying = groups.filter((F.col("few") > 1) & ((F.col("few") >= MANY) | (F.col("sure") == 0)))
+    sparse = branches.filter(few)
+    pooling = attach(sparse, varying, ["host", "parent"], "few", sparse.count())
+    return _wild(scratch, leaves, scratch.table(pooling.select("host", "branch", "leaves"), f"pooling{depth}"), depth, "pooled")
 
 
 def _merged(scratch: Scratch, leaves: DataFrame, depth: int) -> DataFrame:
@@ -53,29 +86,31 @@ def _merged(scratch: Scratch, leaves: DataFrame, depth: int) -> DataFrame:
 
     leaves: host, path (as read), template, n, labelled, blocked.
     """
-    parent, own = F.slice("template", 1, depth - 1), F.slice("template", 1, depth)
-    deep = leaves.filter(F.size("template") >= depth).withColumns({"parent": parent, "branch": own})
-    branches = deep.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("leaves"))
-    branches = scratch.table(branches, f"branches{depth}")
+    branches = _branches(scratch, leaves, depth, "branches")
     pooled = branches.filter(F.col("m") >= SUPPORT).groupBy("host", "parent").agg(F.sum("m").alias("pm"), F.sum("b").alias("pb"), F.count("*").alias("siblings"))
     share = (F.col("pb") + 1) / (F.col("pm") + 2)
     like = F.abs(F.col("b") - F.col("m") * share) <= SIGMAS * F.sqrt(F.col("m") * share * (1 - share)) + 0.5
     sized = branches.filter(F.col("m") >= SUPPORT)
     alike = attach(sized, pooled.filter("siblings > 1"), ["host", "parent"], "siblings", sized.count()).filter(like)
-    merging = scratch.table(alike.select("host", "branch", "leaves", F.lit(True).alias("like")), f"like{depth}")
-    keyed = leaves.withColumn("branch", own)
-    hit = attach(keyed.filter(F.size("template") >= depth), merging, ["host", "branch"], "leaves", leaves.count())
-    wild = F.concat(F.slice("template", 1, depth - 1), F.array(F.lit(ANY)), F.slice("template", depth + 1, DEPTH + 1))
-    changed = hit.select("host", "raw", wild.alias("template"), "n", "labelled", "blocked")
-    same = keyed.join(merging.select("host", "branch"), ["host", "branch"], "left_anti").select("host", "raw", "template", "n", "labelled", "blocked")
-    return scratch.table(changed.unionByName(same), f"merged{depth}")
+    return _wild(scratch, leaves, scratch.table(alike.select("host", "branch", "leaves"), f"like{depth}"), depth, "merged")
+
+
+def _deepest(leaves: DataFrame) -> int:
+    """The deepest level that two leaves of a host reach: below it no branch has a sibling."""
+    sizes = leaves.groupBy("host", F.size("raw").alias("size")).agg(F.count("*").alias("n"))
+    each = F.flatten(F.collect_list(F.when(F.col("n") > 1, F.array("size", "size")).otherwise(F.array("size"))))
+    second = sizes.groupBy("host").agg(F.get(F.sort_array(each, asc=False), F.lit(1)).alias("second"))
+    return second.agg(F.max("second")).first()[0] or 0
 
 
 def template_tree(scratch: Scratch, urls: DataFrame) -> DataFrame:
     """(host, raw, n, template, purity, rejected) for urls of (host, raw, blocked: 1, 0 or null)."""
     leaves = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
     leaves = scratch.table(leaves.withColumn("template", F.col("raw")), "leaves")
-    for depth in range(DEPTH, 0, -1):
+    deepest = _deepest(leaves)
+    for depth in range(1, deepest + 1):
+        leaves = _pooled(scratch, leaves, depth)
+    for depth in range(deepest, 0, -1):
         leaves = _merged(scratch, leaves, depth)
     everywhere = leaves.agg((F.sum("blocked") / F.sum("labelled")).alias("share")).first()
     share = (everywhere[0] if everywhere else 0.0) or 0.0

@@ -155,3 +155,20 @@ def test_url_templates(spark):
     for r in url_filter.judged_urls(pages, (), labels).collect():
         got[rows[r.page_id][1]] = (r.verdict, r.template)
     assert {k: v[0] for k, v in got.items()} == {"ads": "block", "promo": "block", "news": "allow", "blog": "allow"}
+
+
+def test_url_slugs_and_deep_paths(spark):
+    """Slugs of a page each are pooled, also below each other; good and bad branches differ in the fourth segment."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(f"http://bad.org/{word(i)}-slug", "bad") for i in range(60)] + [(f"http://good.org/{word(i)}-slug", "good") for i in range(60)]
+    rows += [(f"http://two.org/{word(i)}/{word(i)}-slug", "bad") for i in range(40)]
+    rows += [(f"http://deep.org/a/b/c/{s}/{word(i)}", k) for s, k in (("ads", "bad"), ("news", "good")) for i in range(60)]
+    rows += [(f"http://mix.org/{word(i)}-slug", "bad") for i in range(40)] + [(f"http://mix.org/news/{i}", "good") for i in range(40)]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(u, int(s == "bad")) for k, (u, s) in enumerate(rows) if k % 2], "url string, blocked int")
+    got = url_filter.judged_urls(pages, (), labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        url, kind = rows[r.page_id]
+        assert (url, r.verdict) == (url, "block" if kind == "bad" else "allow")
+    assert {r.template for r in got if r.host == "deep.org"} == {"/a/b/c/ads/*", "/a/b/c/news/*"}
