@@ -150,11 +150,29 @@ def prefix_of(origins: DataFrame, series: DataFrame, length: int, origin: str =
 # Selections
 
 
+#: Ranges of rows that are numbered apart.
+RANGES = 200
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with each row's number (from 0) in the order, ascending, nulls first; no task has all rows.
+
+    Rows are dealt to ranges of the first column of order between collected bounds, at most RANGES of them.
+    """
+    first, kind = F.col(order[0]), df.schema[order[0]].dataType
+    bounds = df.agg(F.percentile_approx(order[0], [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
+    below = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in sorted(set(bounds)))), lambda b: b <= first)) if bounds else F.lit(0)
+    rows = df.withColumn("_range", F.when(first.isNull(), 0).otherwise(below))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def linspace_sample(df: DataFrame, n: int, order: Sequence[str], total: int) -> DataFrame:
     """n rows evenly spaced over the total of df, first and last among them."""
     picks = df.sparkSession.range(n).select(F.expr(f"id * {total - 1} div {max(n - 1, 1)}").alias("_pos")).distinct()
-    placed = df.withColumn("_pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    return placed.join(F.broadcast(picks), "_pos", "left_semi").drop("_pos")
+    return numbered(df, order, "_pos").join(F.broadcast(picks), "_pos", "left_semi").drop("_pos")
 
 
 def stride_sample(df: DataFrame, stride: int, by: Sequence[str], order: str) -> DataFrame:

@@ -465,7 +465,7 @@ def d03_ratio_split(spark, d):
 
 @query("split n:i", "SELECT split, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS p FROM events) w JOIN (VALUES ('train', 0, 3600), ('val', 3594, 4800), ('test', 4794, 6000)) s(split, a, b) ON p >= a AND p < b GROUP BY 1")
 def d04_fixed_split(spark, d):
-    e = fx.table(spark, d, "events").withColumn("pos", F.row_number().over(Window.orderBy("ts", "event_id")) - 1)
+    e = windows.numbered(fx.table(spark, d, "events"), ["ts", "event_id"], "pos")
     return splits.in_ranges(e, splits.fixed_split(10, SEQ), "pos").groupBy("split").agg(F.count("*").alias("n"))
 
 
@@ -482,7 +482,7 @@ def d05_segment_split(spark, d):
 
 @query("split n:i", "SELECT CASE WHEN p < n - n // 5 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS p, count(*) OVER () AS n FROM events) GROUP BY 1")
 def d06_tail_split(spark, d):
-    e = fx.table(spark, d, "events").withColumn("pos", F.row_number().over(Window.orderBy("ts", "event_id")) - 1)
+    e = windows.numbered(fx.table(spark, d, "events"), ["ts", "event_id"], "pos")
     return splits.in_ranges(e, splits.tail_split(e.count()), "pos").groupBy("split").agg(F.count("*").alias("n"))
 
 

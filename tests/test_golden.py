@@ -197,3 +197,16 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     got = sorted((r.ts, r.value, r.raw_count) for r in spark.table("resampled").collect())
     want = sorted((r.ts, r.value, r.raw_count) for r in grid.resample(p, 10, 10).collect())
     assert got == want
+
+
+def test_numbered_in_ranges(spark):
+    from gridweave.operators import windows
+
+    rows = [(None if k % 50 == 0 else (k * 7919) % 1000 // 3, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(4)
+    got = sorted((r.pos, r.a, r.b) for r in windows.numbered(df, ["a", "b"], "pos").collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == [(k, *r) for k, r in enumerate(want)]
+    assert windows.numbered(df.limit(0), ["a", "b"], "pos").count() == 0
+    plan = windows.linspace_sample(df, 5, ["b"], 3000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_range" in plan
