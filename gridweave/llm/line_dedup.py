@@ -2,10 +2,12 @@
 
 A line is the set of its words, A-Z as a-z. Lines with the same set are one class. The words of a class are ordered by
 rarity; two sets can only be similar enough if their prefixes in that order share a word, if their sizes are near
-enough and if enough words can follow the shared one. What passes these filters is verified on the full sets. A line
-goes if an earlier line has its set or one similar to it; documents go by doc_id, lines by place.
+enough and if enough words can follow the first one that they share. What passes these filters is verified on the full
+sets. A line goes if an earlier line has its set or one similar to it; documents go by doc_id, lines by place.
 
-Rarity comes from counts of hashed words, in a table of fixed size: any order would be right, a rare one is fast.
+Rarity comes from the exact counts of all words, of which the most frequent ones reach the tasks; the others are rarer
+than these and go by their hash. A word that occurs often enough to bring many sets together is only a key along with
+the next word that the sets share: sets that share enough words share two in prefixes that are one word longer.
 """
 
 from __future__ import annotations
@@ -19,41 +21,69 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import _mix, components, shared_counts
-from .scratch import Scratch, attach, documents, portions
+from .near_dedup import MIX_A, _mix, components, shared_counts
+from .scratch import Scratch, attach, documents, portions, whole_groups
 
 PERCENT = 85
 #: Sets of more words than this have a second, wider bitmap of so many 64-bit cells.
-LONG, CELLS = 100, 8
-#: Prefixes that share a word and are still compared pair by pair; rows and bytes of sets in a block, at most.
-FEW, BLOCK_ROWS, BLOCK_BYTES = 32, 1024, 16 << 20
-#: Entries of the table of word counts, and of the table of documents that a verification looks for.
-BUCKETS, DOCUMENTS = 1 << 18, 1 << 18
-
-
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a column of texts: the text and the place of each line, the lines that words are in, the words' codes, hashes."""
-    lines = pc.split_pattern(texts.cast(pa.large_string()), "\n")
-    owner = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(lines.flatten()))
-    line = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+LONG, CELLS = 128, 4
+#: Rows of a key that are compared by size, place and bitmaps in one block, at most. Words that occur more often are no keys alone.
+KEY_ROWS = 8192
+#: Rows and bytes of full sets in a block, at most.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+#: Frequent words whose counts reach the tasks, at most, and bins of a count's doubling that the limit is found by.
+FREQUENT, BINS = 1 << 20, 8
+#: Pairs, and words of pairs, that a task looks at together; sets of a cluster from which products of matrices pay.
+PAIRS, ELEMENTS, PRODUCT = 1 << 19, 1 << 21, 24
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text that each word is in, the words' codes, and the codes' hashes; what is empty between spaces is no word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     codes = lists.flatten().dictionary_encode()
-    words = codes.dictionary.to_numpy(zero_copy_only=False)
-    hashes = pd.util.hash_array(words.astype(object), categorize=False) if len(words) else np.zeros(0, "u8")
+    words = codes.dictionary.to_numpy(zero_copy_only=False).astype(object)
+    hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, "u8")
     code = codes.indices.to_numpy().astype(np.int64)
-    real = np.array([w != "" for w in words], bool)[code] if len(code) else np.zeros(0, bool)
-    return owner, place, line[real].astype(np.int64), code[real], hashes
+    empty = np.flatnonzero(words == "")
+    if len(empty):
+        real = code != empty[0]
+        owner, code = owner[real], code[real]
+    return owner.astype(np.int64), code, hashes
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches):
-        *_, code, hashes = _words(batch["text"])
-        if len(code):
-            counts += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), weights=np.bincount(code, minlength=len(hashes)), minlength=BUCKETS).astype(np.int64)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+        _, code, hashes = _codes(batch["text"].cast(pa.large_string()))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), pa.array(np.bincount(code, minlength=len(hashes)))], ["word", "n"])
+
+
+class Rarity:
+    """Counts of the most frequent words; any other word occurs at most floor times."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, floor: int):
+        order = np.argsort(words)
+        self.words, self.counts, self.floor = words[order], counts[order], floor
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(hashes), self.floor)
+        at = np.searchsorted(self.words, hashes).clip(max=len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.counts[at], self.floor)
+
+
+def _rarity(scratch: Scratch, texts: DataFrame) -> Rarity:
+    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = scratch.table(counts.withColumn("bin", F.floor(F.log2("n") * BINS).cast("int")), "words")
+    floor, words, least = 1, 0, 0
+    for row in counts.groupBy("bin").agg(F.count("*").alias("words"), F.max("n").alias("most")).orderBy(F.desc("bin")).collect():  # BINS a doubling
+        words += row["words"]
+        if words > FREQUENT:
+            floor, least = row["most"], row["bin"] + 1
+            break
+    found = counts.filter(F.col("bin") >= least).select("word", "n").toPandas()  # FREQUENT rows at most
+    scratch.drop("words")
+    return Rarity(found["word"].to_numpy().view("u8"), found["n"].to_numpy(), floor)
 
 
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -61,130 +91,246 @@ def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _sets(texts: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts and places of lines, begins and sizes of their sets, and the words, rare ones first, with their prints.
+def _sets(texts: pa.Array, rarity: Rarity) -> tuple[np.ndarray, ...]:
+    """Texts and places of lines, begins and sizes of their sets, the words, rare ones first, their counts, the sets' prints.
 
     A set's print is the sum of its words' two mixed hashes: the same whatever their order, 128 bits in all.
     """
-    owner, place, line, code, hashes = _words(texts)
-    wide = max(len(hashes), 1)
-    order = np.lexsort((hashes, rarity[(hashes % np.uint64(len(rarity))).astype(np.int64)]))
+    lines = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+    owner = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+    line, code, hashes = _codes(lines.flatten())
+    wide, counts = max(len(hashes), 1), rarity(hashes)
+    order = np.lexsort((hashes, counts))
     rank = np.empty(len(hashes), np.int64)
     rank[order] = np.arange(len(hashes))
     keys = np.sort(line * wide + rank[code])
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    n = np.bincount(keys // wide, minlength=len(owner))
-    begins = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else n
-    word = hashes[order][keys % wide] if len(keys) else np.zeros(0, "u8")
+    own, which = np.divmod(keys, wide)
+    n = np.bincount(own, minlength=len(owner))
+    begins = np.cumsum(n) - n
     some = n > 0
     prints = np.zeros((2, len(owner)), "u8")
+    hashes = hashes[order]
     if some.any():
         with np.errstate(over="ignore"):
-            prints[0, some] = np.add.reduceat(_mix(word), begins[some])
-            prints[1, some] = np.add.reduceat(_mix(word + np.uint64(1)), begins[some])
-    return owner, place, begins, n, word, prints.view("i8")
+            prints[0, some] = np.add.reduceat(_mix(hashes)[which], begins[some])
+            prints[1, some] = np.add.reduceat(_mix(hashes + np.uint64(1))[which], begins[some])
+    return owner, place, begins, n, hashes[which], counts[order][which], prints.view("i8")
+
+
+def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each run, one after the other."""
+    return np.arange(lengths.sum()) + np.repeat(begins - np.cumsum(lengths) + lengths, lengths)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
+LINED = "rid long, doc_id long, own_text long, line int, n int, p1 long, p2 long, bits long, more array<long>, cold array<int>, hot array<int>, hot_at array<int>"
 
-def _lined(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, line, n, p1, p2, bits, more, prefix) for each line with a word; one row of line -1 for each text."""
+
+def _lined(batches: Iterator[pa.RecordBatch], rarity: Rarity, percent: int, key_rows: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line with a word, and one of line -1 for each text.
+
+    cold has the keys of the prefix's words, in their order; hot has those of a word that is no key alone and a later
+    one, and hot_at the place of the first. Words that are no keys alone come after all others.
+    """
     for batch in portions(batches):
-        owner, place, begins, n, word, prints = _sets(batch["text"], rarity)
+        owner, place, begins, n, word, count, prints = _sets(batch["text"], rarity)
         some = np.flatnonzero(n)
         least = _least_shared(n, percent)
         # Sets that may lack no word, and are not like even a set of one word more, are only like themselves.
         length = np.where((least < n) | (100 * n >= percent * (n + 1)), n - least + 1, 0)
-        line = np.repeat(np.arange(len(n)), n)
-        within = np.arange(len(line)) - begins[line] if len(line) else line
-        prefix = (word[within < length[line]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        at = _runs(begins, length)
+        line, hot = np.repeat(np.arange(len(n)), length), count[at] > key_rows
+        cold = at[~hot]
+        at, line_hot = at[hot], line[hot]
+        seconds = begins[line_hot] + np.minimum(length + 1, n)[line_hot] - at - 1
+        first = np.repeat(at, seconds)
+        with np.errstate(over="ignore"):
+            both = _mix(word[first] * MIX_A + word[_runs(at + 1, seconds)])
+        hot_sizes = np.bincount(np.repeat(line_hot, seconds), minlength=len(n))
+        hot_at = first - np.repeat(begins[line_hot], seconds)
+        cold_sizes = np.bincount(line[~hot], minlength=len(n))
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (word % np.uint64(64)), begins[some]).view("i8") if len(some) else np.zeros(0, "i8")
-        offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
-        wide = np.zeros((len(some), CELLS), "u8")
-        if len(some):
-            cell = (word >> np.uint64(6)) % np.uint64(CELLS)
+        long = np.flatnonzero(n > LONG)
+        wide = np.zeros((len(long), CELLS), "u8")
+        if len(long):
+            own = word[_runs(begins[long], n[long])]
+            cell, bit, starts = (own >> np.uint64(6)) % np.uint64(CELLS), np.uint64(1) << ((own >> np.uint64(8)) % np.uint64(64)), np.cumsum(n[long]) - n[long]
             for k in range(CELLS):
-                wide[:, k] = np.bitwise_xor.reduceat(np.where(cell == k, np.uint64(1) << (word % np.uint64(64)), np.uint64(0)), begins[some])
-        has = n[some] > LONG
-        more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * CELLS)]).astype(np.int32)), pa.array(wide[has].reshape(-1).view("i8")))
-        row, rid, doc = owner[some], batch["rid"], batch["doc_id"]
+                wide[:, k] = np.bitwise_xor.reduceat(np.where(cell == k, bit, np.uint64(0)), starts)
+        row = pa.array(owner[some])
         zero, none = np.zeros(batch.num_rows, "i8"), pa.nulls(batch.num_rows)
-        both = lambda a, b: pa.array(np.concatenate([a, b]))
+        both_rows = lambda a, b: pa.array(np.concatenate([a, b]))
+        lists = [
+            _lists(wide.reshape(-1).view("i8"), np.where(n[some] > LONG, CELLS, 0), pa.int64()), _lists(_short(word[cold]), cold_sizes[some], pa.int32()),
+            _lists(_short(both), hot_sizes[some], pa.int32()), _lists(hot_at.astype(np.int32), hot_sizes[some], pa.int32()),
+        ]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([rid.take(pa.array(row)), rid]), pa.concat_arrays([doc.take(pa.array(row)), doc]), both(place[some], zero - 1).cast(pa.int32()), both(n[some], zero).cast(pa.int32()),
-                both(prints[0, some], zero), both(prints[1, some], zero), both(bits, zero), pa.concat_arrays([more, none.cast(more.type)]), pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), none.cast(pa.list_(pa.int32()))]),
+                *(pa.concat_arrays([batch[c].take(row), batch[c]]) for c in ("rid", "doc_id", "own_text")), both_rows(place[some], zero - 1).cast(pa.int32()), both_rows(n[some], zero).cast(pa.int32()),
+                both_rows(prints[0, some], zero), both_rows(prints[1, some], zero), both_rows(bits, zero), *(pa.concat_arrays([x, none.cast(x.type)]) for x in lists),
             ],
-            ["rid", "doc_id", "line", "n", "p1", "p2", "bits", "more", "prefix"],
+            [c.split()[0] for c in LINED.split(", ")],
         )
 
 
-def _may_be_similar(percent: int) -> Column:
-    """Whether columns of two sets, n, bits, more and at with _a and _b, don't rule out that they are similar."""
-    # Shared words that a pair needs, and those that it can have: before, at and after the word that it shares.
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
-    can = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    most = F.col("n_a") + F.col("n_b") - 2 * need
-    wide = F.aggregate(F.zip_with("more_a", "more_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    long = (F.size("more_a") > 0) & (F.size("more_b") > 0)
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (can >= need) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= most) & (~long | (wide <= most))
-
-
-def _blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """rows of a key spread over pairs of its blocks (i, j); own is the row's block."""
-    spread = rows.withColumn("own", F.expr(f"pmod(xxhash64(cls), {blocks})")).withColumn("with", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
-    return spread.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", blocks)
+def _groups(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Numbers of the groups that rows are in, equal rows being consecutive."""
+    changed = np.zeros(table.num_rows, bool)
+    for name in names:
+        x = table[name].to_numpy()
+        changed[1:] |= x[1:] != x[:-1]
+    return np.cumsum(changed)
 
 
-def _rooted(alike: np.ndarray) -> np.ndarray:
-    """The smallest row that each row is connected with."""
-    label = np.arange(len(alike))
+def _connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (x, smallest y) for what the edges (a, b) connect: one for each node but the smallest."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
     while True:
-        now = np.minimum(label, np.where(alike, label[None, :], len(alike)).min(1, initial=len(alike)))
+        least = np.minimum(label[x], label[y])
+        now = label.copy()
+        np.minimum.at(now, x, least)
+        np.minimum.at(now, y, least)
         now = now[now]
         if (now == label).all():
-            return label
+            break
         label = now
+    hung = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[hung], nodes[label[hung]]
+
+
+def _alike(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a key that size, place and bitmaps do not rule out; only across blocks where there are two."""
+    group = _groups(table, ["key", "i", "j"])
+    n, at, own = (table[c].to_numpy().astype(np.int64) for c in ("n", "at", "own"))
+    bits, across = table["bits"].to_numpy().view("u8"), table["i"].to_numpy() != table["j"].to_numpy()
+    order = np.lexsort((n, group))
+    wide = int(n.max(initial=0)) + 1
+    by_size = group[order] * wide + n[order]
+    # From the smaller set of a pair, the larger ones that are near enough follow in this order.
+    partners = np.searchsorted(by_size, group[order] * wide + np.minimum(n[order] * 100 // percent, wide - 1), side="right") - np.arange(len(order)) - 1
+    long = np.flatnonzero(n > LONG)
+    place = np.full(len(n), -1)
+    place[long] = np.arange(len(long))
+    more = np.zeros((len(long), CELLS), "u8")
+    if len(long):
+        more[:] = table["more"].combine_chunks().flatten().to_numpy().view("u8").reshape(len(long), CELLS)
+    found = []
+    ends = np.cumsum(partners)
+    begin = 0
+    while begin < len(order):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        size = partners[begin:end]
+        x, y = np.repeat(order[begin:end], size), order[_runs(np.arange(begin, end) + 1, size)]
+        begin = end
+        need = -(-(n[x] + n[y]) * percent // (100 + percent))
+        keep = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
+        x, y, need = x[keep], y[keep], need[keep]
+        most = n[x] + n[y] - 2 * need
+        keep = (np.bitwise_count(bits[x] ^ bits[y]) <= most) & (~across[x] | (own[x] != own[y]))
+        x, y, most = x[keep], y[keep], most[keep]
+        both = np.flatnonzero((place[x] >= 0) & (place[y] >= 0))
+        if len(both):
+            apart = np.bitwise_count(more[place[x[both]]] ^ more[place[y[both]]]).astype(np.int64).sum(1)
+            keep = np.ones(len(x), bool)
+            keep[both] = apart <= most[both]
+            x, y = x[keep], y[keep]
+        found.append((x, y))
+    return np.concatenate([x for x, _ in found] or [order[:0]]), np.concatenate([y for _, y in found] or [order[:0]])
+
+
+def _edges(scratch: Scratch, classes: DataFrame, percent: int, key_rows: int) -> DataFrame:
+    """Edges (a, b) that connect all classes that the filters leave together."""
+    own = ["cls", "n", "bits", "more"]
+    whole = [F.lit(0).cast("long").alias(c) for c in ("own", "i", "j")]
+    cold = classes.select(*own, F.posexplode("cold").alias("at", "key")).select("key", *whole, *own, "at")
+    # Only keys of frequent words can have more rows than a block.
+    hot = classes.select(*own, "hot_at", F.posexplode("hot").alias("pos", "key")).select("key", *own, F.get("hot_at", F.col("pos")).alias("at"))
+    sized = hot.groupBy("key").agg(F.count("*").alias("m")).withColumn("parts", F.expr(f"1 + m div {key_rows}"))
+    split = _blocks(hot.join(sized.hint("merge"), "key"), "parts").select("key", "own", "i", "j", *own, "at")
+    cells = cold.unionByName(split).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key", "i", "j"], 1 << 15):
+            cls = table["cls"].to_numpy()
+            x, y = _alike(table, percent)
+            a, b = _connected(cls[x], cls[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return scratch.table(cells.mapInArrow(compare, "a long, b long"), "edges")
+
+
+def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
+    """rows of a key spread over pairs of its blocks (i, j); own is the row's block."""
+    spread = rows.withColumn("own", F.expr(f"pmod(xxhash64(cls), {blocks})")).withColumn("with", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
+    return spread.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", blocks)
 
 
-def _edges(scratch: Scratch, cells: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all classes of cells that the filters leave together."""
-    sized = scratch.table(cells.groupBy("word").agg(F.count("*").alias("m")).filter("m > 1"), "words")
-    few = cells.join(sized.filter(F.col("m") <= FEW).select("word").hint("merge"), "word")
-    x, y = (few.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "bits", "more", "at"))) for k in ("a", "b"))
-    pairs = x.join(y.hint("merge"), "word").filter((F.col("cls_a") < F.col("cls_b")) & _may_be_similar(percent)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-
-    def compare(group: pa.Table) -> pa.Table:
-        cls, n, bits = group["cls"].to_numpy(), group["n"].to_numpy().astype(np.int64), group["bits"].to_numpy().view("u8")
-        size = n[:, None] + n[None, :]
-        most = size - 2 * np.ceil(size * percent / (100.0 + percent) - 1e-9).astype(np.int64)
-        alike = (np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-        long = np.flatnonzero(n > LONG)
-        if len(long):
-            wide = np.array([x for x in group["more"].to_pylist() if x], "i8").view("u8").reshape(len(long), CELLS)
-            apart = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(np.int64) for k in range(CELLS))
-            at = np.ix_(long, long)
-            alike[at] &= apart <= most[at]
-        root = _rooted(alike)
-        hung = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(cls[hung], pa.int64()), "b": pa.array(cls[root[hung]], pa.int64())})
-
-    hot = scratch.table(sized.filter(F.col("m") > FEW).withColumn("parts", F.expr(f"1 + m div {BLOCK_ROWS}")).select("word", "parts"), "hot-words")
-    many = _blocks(cells.join(hot.hint("merge"), "word"), "word", "parts").select("word", "i", "j", "cls", "n", "bits", "more")
-    return scratch.table(pairs.unionByName(many.groupBy("word", "i", "j").applyInArrow(compare, "a long, b long").distinct()), "edges")
-
-
-def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _similar(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a cluster whose full sets are similar enough; only across blocks where there are two."""
+    group = _groups(table, ["component", "i", "j"])
+    own, across = table["own"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
+    members = table["members"].combine_chunks()
+    size = pc.binary_length(members).to_numpy().astype(np.int64) // 8
+    begins, ends = (np.searchsorted(group, group, side=side) for side in ("left", "right"))
+    partners = np.where(ends - begins < PRODUCT, ends - np.arange(len(group)) - 1, 0)
+    x = np.repeat(np.arange(len(group)), partners)
+    y = _runs(np.arange(len(group)) + 1, partners)
+    fits = (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])) & (~across[x] | (own[x] != own[y]))
+    x, y = x[fits], y[fits]
+    words = np.frombuffer(b"".join(members.to_pylist()), "u8")
+    _, code = np.unique(words, return_inverse=True)
+    wide, starts = int(code.max(initial=0)) + 1, np.cumsum(size) - size
+    # Sets are sorted, so these are, too: a word of a set is there if it is found.
+    keys = np.repeat(np.arange(len(size)), size) * wide + code
+    less, other = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+    shared = np.zeros(len(x), np.int64)
+    done, begin = np.cumsum(size[less]), 0
+    while begin < len(x):
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + ELEMENTS, side="right")))
+        a, b = less[begin:end], other[begin:end]
+        looked = np.repeat(b, size[a]) * wide + code[_runs(starts[a], size[a])]
+        hit = keys[np.searchsorted(keys, looked).clip(max=len(keys) - 1)] == looked
+        shared[begin:end] = np.bincount(np.repeat(np.arange(len(a)), size[a]), weights=hit, minlength=len(a))
+        begin = end
+    keep = 100 * shared >= percent * (size[x] + size[y] - shared)
+    found = [(x[keep], y[keep])]
+    for begin in np.unique(begins[ends - begins >= PRODUCT]).tolist():
+        rows = np.arange(begin, int(ends[begin]))
+        sets = [words[starts[k] : starts[k] + size[k]] for k in rows]
+        both = shared_counts(sets, sets)
+        alike = 100 * both >= percent * (size[rows][:, None] + size[rows][None, :] - both)
+        if across[begin]:
+            alike &= own[rows][:, None] != own[rows][None, :]
+        a, b = np.nonzero(np.triu(alike, 1))
+        found.append((rows[a], rows[b]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """(cls, links, earliest) for classes that are similar to others of their cluster, on the full sets."""
     told = scratch.table(classes.select("cls", "p1", "p2", "first").join(clusters.hint("merge"), "cls"), "clustered")
-    wanted = scratch.table(told.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted")), "wanted")
-    # A table of fixed size tells most documents that hold none of the lines before they are shuffled.
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(DOCUMENTS)).cast("int")
-    near = documents(docs).join(F.broadcast(wanted.select(slot("_doc").alias("_slot")).distinct()), slot("doc_id") == F.col("_slot"), "left_semi")
-    held = near.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "wanted")
-    flat = np.zeros(1, np.int64)
+    # Rows without doc_id are looked for by their text, so that they are not all one key.
+    key = lambda doc, text: F.struct(doc.isNull(), F.coalesce(doc, text))
+    wanted = told.groupBy(key(F.col("first.doc_id"), F.col("first.own_text")).alias("_key")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted"))
+    keyed = documents(docs).withColumn("_key", key(F.col("doc_id"), F.xxhash64("text")))
+    held = keyed.join(wanted.hint("merge"), "_key").select("text", "wanted")
+    flat = Rarity(np.zeros(0, "u8"), np.zeros(0, np.int64), 0)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            owner, _, begins, n, word, prints = _sets(batch["text"], flat)
+            owner, _, begins, n, word, _, prints = _sets(batch["text"], flat)
             names = [{(x["p1"], x["p2"]): x["cls"] for x in w} for w in batch["wanted"].to_pylist()]
             found: dict[int, bytes] = {}
             raw = word.tobytes()
@@ -196,33 +342,33 @@ def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: Dat
     # Rows that repeat a doc_id may hold a class twice; it is the same set.
     full = scratch.table(held.mapInArrow(members, "cls long, members binary"), "sets").dropDuplicates(["cls"])
     rows = scratch.table(told.select("cls", "component", "first.*").join(full.hint("merge"), "cls"), "cluster-sets")
+    scratch.drop("sets")
     sized = rows.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("members")).alias("bytes"))
-    sized = scratch.table(sized.select("component", "m", F.expr(f"1 + greatest(m div {BLOCK_ROWS}, bytes div {BLOCK_BYTES})").alias("parts")), "cluster-sizes")
-    here = _blocks(attach(rows, sized, ["component"], "m", rows.count()).drop("m"), "component", "parts")
-
-    def compare(group: pa.Table) -> pa.Table:
-        own, cls = group["own"].to_numpy(), group["cls"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), "u8") for x in group["members"]]
-        size = np.array([len(x) for x in sets], np.int64)
-        shared = shared_counts(sets, sets)
-        alike = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-        # Of two blocks only what is across counts here; within one it counts where the block meets itself.
-        alike &= (own[:, None] != own[None, :]) if group["i"][0] != group["j"][0] else ~np.eye(len(cls), dtype=bool)
-        last, doc_id, rid, line = (pc.fill_null(group[c].cast(pa.int64()), 0).to_numpy() for c in ("last", "doc_id", "rid", "line"))
-        order = np.lexsort((line, rid, doc_id, last))
-        rank = np.empty(len(cls), np.int64)
-        rank[order] = np.arange(len(cls))
-        links = alike.sum(1)
-        some = np.flatnonzero(links)
-        least = np.where(alike[some], rank[None, :], len(cls)).min(1) if len(some) else some
-        head = group.select(["last", "doc_id", "rid", "line"]).take(pa.array(order[least])) if len(some) else group.select(["last", "doc_id", "rid", "line"]).slice(0, 0)
-        return pa.table({"cls": pa.array(cls[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), **{c: head[c] for c in head.column_names}})
-
-    out = here.select("component", "i", "j", "own", "cls", "last", "doc_id", "rid", "line", "members").groupBy("component", "i", "j").applyInArrow(compare, "cls long, links long, last boolean, doc_id long, rid long, line int")
+    sized = scratch.table(sized.select("component", "m", F.expr(f"1 + greatest(m div {block_rows}, bytes div {BLOCK_BYTES})").alias("parts")), "cluster-sizes")
+    keys = ["component", "i", "j"]
+    here = _blocks(attach(rows, sized, ["component"], "m", rows.count()).drop("m"), "parts").repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, keys, 1 << 12, "members", BLOCK_BYTES):
+            x, y = _similar(group, percent)
+            rows = group.num_rows
+            links = np.bincount(x, minlength=rows) + np.bincount(y, minlength=rows)
+            order = np.lexsort([pc.fill_null(group[c].cast(pa.int64()), 0).to_numpy() for c in ("line", "rid", "doc_id", "last")])
+            rank = np.empty(rows, np.int64)
+            rank[order] = np.arange(rows)
+            least = np.full(rows, rows)
+            np.minimum.at(least, x, rank[y])
+            np.minimum.at(least, y, rank[x])
+            some = np.flatnonzero(links)
+            head = group.select(["last", "doc_id", "rid", "line"]).take(pa.array(order[least[some]], pa.int64())).combine_chunks()
+            own = pa.table({"cls": group["cls"].take(pa.array(some, pa.int64())), "links": pa.array(links[some], pa.int64()), **{c: head[c] for c in head.column_names}})
+            yield from own.combine_chunks().to_batches()
+
+    out = here.select(*keys, "own", "cls", "last", "doc_id", "rid", "line", "members").mapInArrow(compare, "cls long, links long, last boolean, doc_id long, rid long, line int")
     return out.groupBy("cls").agg(F.sum("links").alias("links"), F.min(F.struct("last", "doc_id", "rid", "line")).alias("earliest"))
 
 
-def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_matches(docs: DataFrame, percent: int = PERCENT, key_rows: int = KEY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, n_links, removed.
 
     n_lines counts lines with a word; others are neither matched nor removed. removed has the places (from 0) of the
@@ -233,22 +379,19 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     texts = documents(docs)
-    counts = texts.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    rarity = np.zeros(BUCKETS, np.int64)
-    rarity[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(rarity)
-    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent), "rid long, doc_id long, line int, n int, p1 long, p2 long, bits long, more array<long>, prefix array<int>"), "lines")
-
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line")).alias("first")
-    same = [F.any_value(c).alias(c) for c in ("n", "bits", "more", "prefix")]
+    shared = spark.sparkContext.broadcast(_rarity(scratch, texts))
+    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("own_text"), "text")
+    lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent, key_rows), LINED), "lines")
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line", "own_text")).alias("first")
+    same = [F.any_value(c).alias(c) for c in ("n", "bits", "more", "cold", "hot", "hot_at")]
     classes = lines.filter("line >= 0").groupBy("p1", "p2").agg(first, F.count("*").alias("lines"), *same)
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    cells = classes.select("cls", "n", "bits", "more", F.posexplode("prefix").alias("at", "word"))
-    clusters = components(scratch, _edges(scratch, cells, percent), "clusters")
+    clusters = components(scratch, _edges(scratch, classes, percent, key_rows), "clusters")
     clusters = clusters.withColumnRenamed("node", "cls").unionByName(clusters.select(F.col("component").alias("cls"), "component").distinct())
-    seen = _linked(scratch, docs, clusters, classes, percent)
-    told = classes.join(seen, "cls", "left").select("p1", "p2", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
+    seen = _linked(scratch, docs, clusters, classes, percent, block_rows)
+    place = F.struct("first.last", "first.doc_id", "first.rid", "first.line")
+    told = classes.join(seen, "cls", "left").select("p1", "p2", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < place, F.lit(False)).alias("later"))
     told = scratch.table(told, "told")
     placed = attach(lines.filter("line >= 0").select("rid", "doc_id", "line", "p1", "p2"), told, ["p1", "p2"], "lines", lines.count())
     own = (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))

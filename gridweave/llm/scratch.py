@@ -92,6 +92,39 @@ def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             begin = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, column: str | None = None, most: int = 0) -> Iterator[pa.Table]:
+    """Rows that come sorted by integer keys, in tables of whole groups: of at most rows rows and most bytes in column, or of one group."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> Iterator[pa.Table]:
+        table = pa.Table.from_batches(held)
+        columns = [table[k].to_numpy() for k in keys]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        ends = np.append(starts, table.num_rows) if last else starts
+        weight = np.cumsum(pc.binary_length(table[column]).to_numpy()) if column else None
+        begin = 0
+        while begin < len(ends):
+            at = ends[begin - 1] if begin else 0
+            end = np.searchsorted(ends, at + rows, side="right")
+            if column:
+                end = min(end, np.searchsorted(weight[ends - 1], (weight[at - 1] if at else 0) + most, side="right"))
+            end = max(begin + 1, int(end))
+            yield table.slice(at, ends[end - 1] - at)
+            begin = end
+        held[:] = [] if last else table.slice(starts[-1] if len(starts) else 0).to_batches()
+
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield from cut(False)
+            n = 0
+    if held:
+        yield from cut(True)
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text of any table that has them, null texts as empty ones."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

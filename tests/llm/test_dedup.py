@@ -157,13 +157,11 @@ def test_line_matches_repeated_rows(hard):
     assert sum(r.n_lines for r in got) == sum(bool(SPACE.sub("", x)) for r in hard_rows() for x in (r[1] or "").split("\n"))
 
 
-@pytest.mark.parametrize("few,block", [(32, 1024), (1, 3), (3, 2)])
-def test_near_lines(spark, monkeypatch, few, block):
+@pytest.mark.parametrize("key_rows,block_rows", [(8192, 1024), (1, 3), (3, 2)])
+def test_near_lines(spark, key_rows, block_rows):
     """Lines that differ in a few words are found, whatever their order of words, in one block or many."""
     import random
 
-    monkeypatch.setattr(line_dedup, "FEW", few)
-    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
     rng = random.Random(4)
     rows = []
     for d in range(40):
@@ -177,10 +175,27 @@ def test_near_lines(spark, monkeypatch, few, block):
             lines.append(" ".join(other))
         rows.append((d, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.n_links) for r in line_dedup.line_matches(df).collect())
+    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.n_links) for r in line_dedup.line_matches(df, key_rows=key_rows, block_rows=block_rows).collect())
     assert got == sorted(lines_expected(rows))
 
 
+def test_many_near_lines(spark):
+    """A cluster of more sets than are compared pair by pair, a common word in all lines, and a text of 20,000 words."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(140)]
+    rows = [(None, "common " + " ".join(f"n{i}" for i in range(30))), (5000, "\n".join(" ".join(f"long{rng.randrange(4000)}" for _ in range(40)) for _ in range(500)))]
+    for d in range(60):
+        words = list(base)
+        for i in rng.sample(range(140), 6):
+            words[i] = f"v{rng.randrange(90)}"
+        rows.append((d, "common " + " ".join(words) + "\ncommon line here"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_lines, list(r.removed), r.n_links) for r in line_dedup.line_matches(df).collect()), key=str)
+    assert got == sorted(lines_expected(rows), key=str)
+
+
 def test_lines_of_one_word_more(spark):
     """A set inside one of a word more is found from six words on (6/7 is enough, 5/6 is not)."""
     rows = []
