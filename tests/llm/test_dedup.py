@@ -212,3 +212,21 @@ def test_lines_of_one_word_more(spark):
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [1]), ("a", [0]), ("", [])], "text string, removed array<int>")
     assert [r[0] for r in df.select(line_dedup.without_lines(F.col("text"), F.col("removed"))).collect()] == ["a\nc", "", ""]
+
+
+def test_portions_keep_texts(monkeypatch):
+    """Texts of a portion that does not begin its batch are what they were."""
+    import pyarrow.compute as pc
+
+    from gridweave.llm.scratch import portions, whole_groups
+
+    texts = [f"W{i} é " * (i % 7 + 1) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = [t for p in portions(iter([batch]), most=60) for t in pc.ascii_lower(p["text"].cast(pa.large_string())).to_pylist()]
+    assert got == [t.lower() for t in texts]
+    keys = [k for k in range(30) for _ in range(k % 4 + 1)]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b"x" * (k % 5) for k in keys])], ["k", "x"])
+    for n, most in ((1, 0), (5, 0), (5, 7), (1000, 3)):
+        parts = [t["k"].to_pylist() for t in whole_groups(iter([rows.slice(i, 7) for i in range(0, len(keys), 7)]), ["k"], n, "x" if most else None, most)]
+        assert [k for p in parts for k in p] == keys
+        assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
