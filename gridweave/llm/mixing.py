@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each document of a source is due target / source_size copies. The whole part of that is certain. For the rest,
-documents get the Pareto rank odds(u) / odds(p) of a random number u that follows from the document, and the first
-ones in that order are taken until the words still due are reached. The cut in each source's order is found on sums
-over ever finer slices of the rank, so no source is sorted in one place.
+A source is due target words. Each of its documents is taken as often as the target holds the whole source; these
+copies are certain. Of the words still due, a document's share is drawn with an inclusion probability that grows with
+its length (a power of its size); where that would be 1 or more the copy is certain, too, and the others'
+probabilities are raised until the words expected are the words due. A document longer than all that is due has
+probability 0. Among the others the random numbers decide: documents get the Pareto rank odds(u) / odds(p) of a random
+number u that follows from the document, and the first ones in that order are taken while they fit in. One last
+document of each source, that whose size is nearest to what is then open, rounds the sum. The cut in each source's
+order is found on sums over ever finer slices of the rank, so no source is sorted in one place.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 
 SEED = 20240229
+#: Inclusion probabilities are in proportion to this power of the size.
+POWER = 0.5
 #: Ranks have DIGIT * PASSES bits; each pass over a source's open slice looks at DIGIT more of them.
 DIGIT, PASSES = 13, 4
-#: A first cut, then fillings of the gap that it leaves.
-ROUNDS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -67,39 +69,68 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
+    return F.xxhash64(F.lit(seed), "doc_id", F.col("source").isNull(), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
 
 
 SOURCE = ["_name", "_nameless"]
 
 
-def source_cuts(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
-    """One row a source of rows (source, size, key): n, source_size, target, whole copies, p and the last rank taken."""
+def _repeated(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """(key, m) of the keys that m > 1 rows have: rows with the same doc_id, source and text."""
+    return scratch.table(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "repeated")
+
+
+def _told_apart(scratch: Scratch, rows: DataFrame, repeated: DataFrame, total: int, name: str) -> DataFrame:
+    """rows with a key of their own for each; rows of a key are numbered in the parts they were read in."""
+    if repeated.isEmpty():
+        return rows
+    several = attach(rows.withColumn("_part", F.spark_partition_id()), repeated, ["key"], "m", total).drop("m")
+    several = scratch.table(several, f"{name}several")
+    counts = several.groupBy("key", "_part").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy("key").orderBy("_part")) - F.col("c")).drop("c")
+    within = F.row_number().over(Window.partitionBy("_part", "key").orderBy("size"))
+    numbered = several.withColumn("at", within).join(counts, ["key", "_part"]).withColumn("key", F.xxhash64("key", F.col("before") + F.col("at")))
+    return rows.join(repeated.hint("merge"), "key", "left_anti").select(*rows.columns).unionByName(numbered.select(*rows.columns))
+
+
+def _chances(due: DataFrame, rows: DataFrame, power: float) -> DataFrame:
+    """(source, top, c, aim) for sources that are due a rest: copies of more than top words are certain, the others have
+    probability c * size ** power, and aim words are expected of these."""
+    sizes = _named(rows).filter("size > 0").groupBy(*SOURCE, "size").agg(F.count("*").alias("m")).join(due.select(*SOURCE, "rest"), SOURCE).filter("size <= rest")
+    # Rows of these windows are different sizes of documents, not documents.
+    longer = Window.partitionBy(*SOURCE).orderBy(F.desc("size"))
+    shorter = Window.partitionBy(*SOURCE).orderBy("size")
+    sizes = sizes.withColumn("words", F.col("size") * F.col("m"))
+    sizes = sizes.withColumns({"sure": F.sum("words").over(longer) - F.col("words"), "weighed": F.sum(F.pow("size", F.lit(power)) * F.col("words")).over(shorter)})
+    c = (F.col("rest") - F.col("sure")) / F.col("weighed")
+    fits = (F.col("rest") > F.col("sure")) & (c * F.pow("size", F.lit(power)) < 1)
+    found = sizes.groupBy(*SOURCE).agg(F.max(F.when(fits, F.struct("size", c.alias("c"), "sure"))).alias("at"), F.sum("words").alias("words"), F.max("rest").alias("rest"))
+    return found.select(*SOURCE, F.coalesce("at.size", F.lit(0)).alias("top"), "at.c", (F.col("rest") - F.coalesce("at.sure", "words")).alias("aim"))
+
+
+def source_cuts(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], most: float, power: float) -> DataFrame:
+    """One row a source of rows (source, size, key): what _copies looks at, n, source_size and target."""
     sums = scratch.table(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sums")
     aims = scratch.table(targets(sums.select("source", "source_size"), weights, most), "aims")
     due = _named(aims).join(_named(sums).select(*SOURCE, "n"), SOURCE)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    due = due.withColumn("each", each).withColumn("whole", F.floor(F.col("each") + 1e-9).cast("long")).withColumn("p", F.greatest(F.col("each") - F.col("whole"), F.lit(0.0)))
-    due = due.withColumn("p", F.when(F.col("p") > 1e-9, F.col("p"))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    due = scratch.table(due.select(*SOURCE, "n", "source_size", "target", "whole", "p", "rest"), "due")
-
-    whole = attach(_named(rows).select(*SOURCE, "size", "key"), due.filter("p is not null").select(*SOURCE, "n", "p", "rest"), SOURCE, "n", rows.count())
-    whole = scratch.table(whole.filter("size > 0").select(*SOURCE, "size", pareto_rank(F.col("p"), F.col("key")).alias("rank"), F.col("rest").alias("due")), "inside")
-    cuts, left = due, whole
-    for k in range(ROUNDS):
-        found = scratch.table(_cut(scratch, left, f"{k}-", k == ROUNDS - 1), f"cut{k}")
-        cuts = cuts.join(found.select(*SOURCE, F.struct("last", "fits").alias(f"cut{k}")), SOURCE, "left")
-        # What a document too long for the gap leaves open goes to later ones that fit in.
-        if k < ROUNDS - 1:
-            gap = found.filter("open >= 1").select(*SOURCE, "last", F.col("open").alias("due"))
-            left = left.drop("due").join(gap, SOURCE).filter("rank > last and size <= due").drop("last")
-    return scratch.table(cuts, "cuts")
-
-
-def _cut(scratch: Scratch, inside: DataFrame, name: str, near: bool) -> DataFrame:
-    """For each source of rows (rank, size, due): the last rank taken, the words still open then, and due as fits."""
+    due = due.withColumn("whole", F.floor(each + 1e-9).cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+    due = scratch.table(due.select(*SOURCE, "n", "source_size", "target", "whole", "rest"), "due")
+    chances = scratch.table(_chances(due, rows, power), "chances")
+    cuts = due.join(chances, SOURCE, "left")
+    total = rows.count()
+    drawn = attach(_named(rows).select(*SOURCE, "size", "key"), cuts, SOURCE, "n", total).filter("size > 0 and size <= top")
+    drawn = scratch.table(drawn.select(*SOURCE, "size", pareto_rank(_chance(power), F.col("key")).alias("rank"), F.col("aim").alias("due")), "drawn")
+    cuts = scratch.table(cuts.join(_cut(scratch, drawn), SOURCE, "left").withColumn("open", F.coalesce("open", "aim", "rest")), "cut")
+    # The one document that rounds the sum, if any brings it nearer to what is due.
+    left = attach(_named(rows).select(*SOURCE, "size", "key"), cuts, SOURCE, "n", total).filter((F.col("open") > 0) & ~_drawn(power) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("open")))
+    rounding = left.groupBy(*SOURCE).agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("open")), "key")).alias("rounding"))
+    return scratch.table(cuts.join(rounding, SOURCE, "left"), "cuts")
+
+
+def _cut(scratch: Scratch, inside: DataFrame) -> DataFrame:
+    """For each source of rows (rank, size, due): the last rank taken and the words still open then."""
     over = Window.partitionBy(*SOURCE).orderBy("slice")
-    fits = inside.groupBy(*SOURCE).agg(F.max("due").alias("fits"))
     for k in range(PASSES):
         shift = DIGIT * (PASSES - 1 - k)
         slices = inside.groupBy(*SOURCE, F.shiftright("rank", shift).alias("slice")).agg(F.sum("size").alias("words"), F.max("due").alias("due"))
@@ -107,44 +138,55 @@ def _cut(scratch: Scratch, inside: DataFrame, name: str, near: bool) -> DataFram
         if shift:
             # The slice in which the words due are reached, or the last one.
             hit = run.filter("before < due").groupBy(*SOURCE).agg(F.max_by(F.struct("slice", (F.col("due") - F.col("before")).alias("due")), "slice").alias("at"))
-            hit = scratch.table(hit.select(*SOURCE, "at.*"), f"{name}hit{k}")
+            hit = scratch.table(hit.select(*SOURCE, "at.*"), f"hit{k}")
             inside = inside.drop("due").withColumn("slice", F.shiftright("rank", shift)).join(hit, [*SOURCE, "slice"]).drop("slice")
-            inside = scratch.table(inside, f"{name}inside{k}")
+            inside = scratch.table(inside, f"inside{k}")
         else:
-            # At the very end a row on the cut goes in if that brings the sum nearer to its target.
-            taken = F.col("before") + F.col("words") * (0.5 if near else 1.0) <= F.col("due")
+            taken = F.col("before") + F.col("words") <= F.col("due")
             last = F.coalesce(F.max(F.when(taken, F.col("slice"))), F.min("slice") - 1).alias("last")
             still = (F.max("due") - F.coalesce(F.max(F.when(taken, F.col("before") + F.col("words"))), F.lit(0))).alias("open")
-            return run.groupBy(*SOURCE).agg(last, still).join(fits, SOURCE)
+            return run.groupBy(*SOURCE).agg(last, still)
+
+
+def _chance(power: float) -> Column:
+    return F.col("c") * F.pow("size", F.lit(power))
+
+
+def _drawn(power: float) -> Column:
+    """Whether a row gets a copy beside the whole ones, for a certainty or by its rank."""
+    ranked = F.when(F.col("size") <= F.col("top"), pareto_rank(_chance(power), F.col("key")) <= F.col("last")).otherwise(True)
+    return F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col("rest")) & F.col("top").isNotNull() & ranked, F.lit(False))
 
 
-def _copies() -> Column:
-    rank = pareto_rank(F.col("p"), F.col("key"))
-    more = [F.coalesce((rank <= F.col(f"cut{k}.last")) & (F.col("size") <= (F.col(f"cut{k}.fits") if k else F.col("size"))), F.lit(False)) for k in range(ROUNDS)]
-    return F.col("whole") + reduce(Column.__or__, more).cast("long")
+def _copies(power: float) -> Column:
+    return F.col("whole") + (_drawn(power) | F.coalesce(F.col("key") == F.col("rounding"), F.lit(False))).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, power: float = POWER, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies.
 
-    size counts the words of the text, null having none; taken is copies times size, and copies at most most rounded
-    up. A null source is a source. A source without words has target 0. Reruns agree, as the random number of a row
-    follows from seed, doc_id and text; rows equal in all of these are taken or left together. An empty table gives
-    an empty result.
+    size counts the words of the whole text, null and empty ones having none, however long it is; taken is copies
+    times size, and copies at most most rounded up. A null source is a source. A source without words has target 0.
+    Reruns agree, as the random number of a row follows from seed, doc_id, source and text; rows equal in all of these
+    are numbered and drawn each for itself. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = scratch.table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "sizes")
-    cuts = source_cuts(scratch, rows, weights, most)
-    out = attach(_named(rows), cuts, SOURCE, "n", rows.count()).withColumn("copies", _copies())
+    total = rows.count()
+    rows = _told_apart(scratch, rows, _repeated(scratch, rows), total, "")
+    cuts = source_cuts(scratch, rows, weights, most, power)
+    out = attach(_named(rows), cuts, SOURCE, "n", total).withColumn("copies", _copies(power))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, power: float = POWER, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies, all columns kept. See mix."""
     scratch = Scratch(docs.sparkSession, "mixed")
     rows = scratch.table(docs.select("source", word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "sizes")
-    cuts = source_cuts(scratch, rows, weights, most)
-    columns = [F.col(f"row.{c}").alias(c) for c in docs.columns]
+    total = rows.count()
+    repeated = _repeated(scratch, rows)
+    cuts = source_cuts(scratch, _told_apart(scratch, rows, repeated, total, ""), weights, most, power)
     wrapped = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"))
-    out = attach(_named(wrapped), cuts, SOURCE, "n", rows.count()).withColumn("copies", _copies())
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select(*columns)
+    wrapped = _told_apart(scratch, wrapped, repeated, total, "rows")
+    out = attach(_named(wrapped), cuts, SOURCE, "n", total).withColumn("copies", _copies(power))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select("row.*")

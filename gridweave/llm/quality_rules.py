@@ -66,8 +66,8 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _only(df: DataFrame, condition: Column) -> DataFrame:
-    """df where condition holds. As _at depends on where a row is, Spark leaves this filter above what counts the
-    words; pushed beneath, it would split the text again for each of its words."""
+    """df where condition holds. Spark pushes no filter beneath columns that depend on where a row is, as _at does, so
+    the words are counted once; pushed beneath, this one would split the text again for each of its words."""
     return df.filter(condition & (F.col("_at") >= 0))
 
 
@@ -187,31 +187,41 @@ def emit(rules: list[Rule]) -> Column:
     return out
 
 
-def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[Rule]:
-    """The list learned from at most most labelled documents, those with the smallest hash of doc_id."""
+def _teachers(scratch: Scratch, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, bad) of at most most labelled documents, those with the smallest hash of doc_id."""
     teach = labels.filter("quality is not null").select("doc_id", (1 - F.col("quality")).cast("long").alias("bad"))
-    teach = scratch.table(teach.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(most), "teach")
-    seen = docs.select("doc_id", "text").join(F.broadcast(teach), "doc_id")
-    rows = _only(shares(features(seen, ["doc_id", "bad"])), ~base_failed())
+    return scratch.table(teach.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(most), "teach")
+
+
+def _learned(scratch: Scratch, counts: DataFrame, teach: DataFrame) -> list[Rule]:
+    """The list learned from the counts of the documents that teach has."""
+    rows = shares(counts.join(F.broadcast(teach), "doc_id")).filter(~base_failed())
     return learn(scratch.table(rows.select("doc_id", "bad", *SHARES), "labelled"))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, kept, rule.
 
-    rule is the text of the learned rule that rejects the row, else null. Null texts have no words and fail the base
-    rules. Labels without a document, with a null quality, or of documents that fail the base rules teach nothing.
-    Repeated labels count each; rows that repeat a doc_id are judged each for itself. An empty table gives an empty
-    result.
+    rule is the text of the learned rule that rejects the row, else null; most bounds the labelled documents that the
+    list is learned from. Null texts have no words and fail the base rules. Labels without a document, with a null
+    quality, or of documents that fail the base rules teach nothing. Repeated labels count each; rows that repeat a
+    doc_id are judged each for itself. The time that a text takes grows with its words (and their logarithm) and its
+    words are in memory at once. An empty table gives an empty result. The counts are written before they are looked
+    at, so any filter on the result meets them and never the texts.
     """
-    rules = learned(Scratch(docs.sparkSession, "quality"), docs, labels)
+    scratch = Scratch(docs.sparkSession, "quality")
+    counts = scratch.table(features(docs, ["doc_id"]).drop("_at"), "counts")
+    rules = _learned(scratch, counts, _teachers(scratch, labels, most))
     texts = F.array(*(F.lit(" and ".join(map(str, r))) for r in rules)) if rules else F.array(F.lit(None).cast("string"))
-    out = shares(features(docs, ["doc_id"])).withColumns({"base_failed": base_failed(), "_rule": emit(rules)})
+    out = shares(counts).withColumns({"base_failed": base_failed(), "_rule": emit(rules)})
     return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & F.col("_rule").isNull()).alias("kept"), F.get(texts, F.col("_rule")).alias("rule"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """docs that the base rules and the learned list keep, all columns kept. Texts are not shuffled. See judged."""
-    rules = learned(Scratch(docs.sparkSession, "quality-kept"), docs, labels)
+    scratch = Scratch(docs.sparkSession, "quality-kept")
+    teach = _teachers(scratch, labels, most)
+    seen = docs.select("doc_id", "text").join(F.broadcast(teach.select("doc_id").distinct()), "doc_id", "left_semi")
+    rules = _learned(scratch, scratch.table(features(seen, ["doc_id"]).drop("_at"), "counts"), teach)
     rows = features(docs.select(F.struct(*docs.columns).alias("_row"), "text"), ["_row"])
     return _only(shares(rows), ~base_failed() & emit(rules).isNull()).select("_row.*")

@@ -1,6 +1,7 @@
 """Quality rules, mixing, toxicity, URL filters."""
 
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyspark.sql.functions as F
@@ -49,6 +50,19 @@ def test_judged(hard, empty, labels):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
+def test_judged_long_texts_under_a_filter(spark, labels):
+    """Whatever is filtered, a text of 20,000 words takes seconds."""
+    words = [f"w{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:19_000] * 2)), (9, None)], "doc_id long, text string")
+    begin = time.monotonic()
+    judged = quality_rules.judged(df, labels)
+    assert sorted(r.doc_id for r in judged.filter("kept").collect()) == [r.doc_id for r in judged.orderBy("doc_id").collect() if r.kept]
+    assert judged.filter("n_repeat_words > 10 and not kept and rule is null").count() == 1
+    assert quality_rules.keep_good(df, labels).filter("length(text) > 10").count() <= 1
+    assert time.monotonic() - begin < 60
+    assert [tuple(r)[1:6] for r in judged.orderBy("doc_id").collect()] == [counts(r.text) for r in df.orderBy("doc_id").collect()]
+
+
 def test_learns_a_conjunction(spark):
     rows = [(i, (i * 37) % 100 / 100, (i * 53) % 97 / 97) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, a double, b double").withColumn("bad", ((F.col("a") > 0.7) & (F.col("b") <= 0.4)).cast("long"))
@@ -85,21 +99,65 @@ def test_mix(hard, empty):
     assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
     again = mixing.mix(hard.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     copies = mixing.mixed_documents(hard)
     assert copies.columns == hard.columns
     assert sum(len(WORD.findall(r.text or "")) for r in copies.collect()) == sum(r.taken for r in got)
 
 
-def test_mix_is_near_its_targets(spark):
-    rows = [(i, " ".join(["w"] * (1 + (i * i) % 41)), f"s{i % 7}") for i in range(4000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+def by_source(got, rows):
+    source = {r[0]: r[2] for r in rows}
     taken, target = defaultdict(int), {}
     for r in got:
-        taken[r.source_size, r.target] += r.taken
-        target[r.source_size, r.target] = r.target
-    for k, t in target.items():
-        assert abs(taken[k] - t * round(taken[k] / t)) <= 25 * max(1, round(taken[k] / t))
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    return {s: (taken[s], t) for s, t in target.items()}
+
+
+def test_mix_is_near_its_targets(spark):
+    rows = [(i, " ".join(["w"] * (1 + (i * i) % 41 + (3000 if i % 400 == 0 else 0))), f"s{i % 7}" if i % 3 else "s0") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for taken, target in by_source(got, rows).values():
+        assert abs(taken - target) <= 2
+
+
+def test_mix_draws_equal_rows_apart(spark):
+    rows = [(7, "a b c d", "s0")] * 500 + [(8, "a b", "s1")] * 300 + [(9, "c", "s2")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for taken, target in by_source(mixing.mix(df).collect(), rows).values():
+        assert abs(taken - target) <= 4
+    assert mixing.mixed_documents(df).count() == sum(r.copies for r in mixing.mix(df).collect())
+
+
+def chances(sizes, due, power):
+    """Inclusion probabilities by raising the factor until what is expected is due."""
+    fit, sure = [n for n in sizes if n <= due], set()
+    while True:
+        c = (due - sum(fit[k] for k in sure)) / sum(n ** (1 + power) for k, n in enumerate(fit) if k not in sure)
+        now = {k for k, n in enumerate(fit) if k not in sure and c * n**power >= 1}
+        if not now:
+            return [0 if n > due else min(1, c * n**power) for n in sizes]
+        sure |= now
+
+
+def test_mix_includes_as_often_as_it_should(spark):
+    """Each of many sources has documents of the same sizes, so inclusion shares over sources are those over seeds."""
+    sizes, sources = [1 + (k * k) % 60 for k in range(80)] + [300, 700, 900], 300
+    rows = [(1000 * s + k, " ".join(["w"] * n), f"{s:04}") for s in range(sources) for k, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 7), power=0.5).collect()
+    for even in (True, False):
+        own = [r for r in got if (r.doc_id // 1000 % 2 == 0) == even]
+        due, whole = own[0].target % sum(sizes), own[0].target // sum(sizes)
+        taken = Counter()
+        for r in own:
+            taken[r.doc_id % 1000] += r.copies - whole
+        want = chances(sizes, due, 0.5)
+        assert any(p == 1 for p in want) == (not even)
+        assert len({round(p, 3) for p in want}) > 10
+        apart = [taken[k] / (sources / 2) - p for k, p in enumerate(want)]
+        # One document a source rounds, so shares may be that much off beside chance.
+        assert max(map(abs, apart)) < 0.2
+        assert sum(map(abs, apart)) / len(apart) < 0.05
 
 
 def test_toxicity(spark, hard, empty, labels):
