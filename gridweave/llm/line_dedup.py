@@ -32,7 +32,7 @@ KEY_ROWS = 8192
 #: Rows and bytes of full sets in a block, at most.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Frequent words whose counts reach the tasks, at most, and bins of a count's doubling that the limit is found by.
-FREQUENT, BINS = 1 << 20, 8
+FREQUENT, BINS = 1 << 18, 8
 #: Pairs, and words of pairs, that a task looks at together; sets of a cluster from which products of matrices pay.
 PAIRS, ELEMENTS, PRODUCT = 1 << 19, 1 << 21, 24
 
@@ -53,7 +53,7 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in portions(batches):
+    for batch in portions(batches, most=16 << 20):
         _, code, hashes = _codes(batch["text"].cast(pa.large_string()))
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), pa.array(np.bincount(code, minlength=len(hashes)))], ["word", "n"])
 
