@@ -1,9 +1,15 @@
 """URL filters: explicit rules first, then a path-template tree for what no rule speaks of.
 
-For each host, path segments that vary are made wildcards: by their form, and from the root down where siblings have too
-few labels each. Sibling branches whose labelled shares of blocked URLs do not differ statistically are merged, from the
-leaves up. A template is rejected when its share of blocked URLs,
-smoothed by the share over all labelled URLs, is high enough. URLs are labelled by the rules, or by a given table.
+A host's paths are a tree of segments. Where a node has several children with few paths each, the segment varies and
+these children become one wildcard; that is told by their number alone, not by what segments look like. It is done
+from the root down, as branches below a wildcard come together. Then sibling branches whose labelled shares of blocked
+URLs do not differ statistically are merged, from the leaves up. A template is rejected when its share of blocked URLs
+is high enough: that of the host, smoothed by the share over all labelled URLs, then that of each node down to the
+template, smoothed by its parent's. So a branch without labels is judged by the branches beside it, and a host without
+labels by all hosts. URLs are labelled by the rules, or by a given table.
+
+Nodes of all depths are looked at together; a round changes one segment of a path, so rounds are as many as segments
+vary below each other, however deep paths are.
 """
 
 from __future__ import annotations
@@ -16,11 +22,11 @@ from .scratch import Scratch, attach
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: Labels a branch needs to be merged; what counts as a difference, in standard deviations; weight of the share over
-#: all in a template's share; share from which a template is rejected.
+#: Paths from which a child is a branch of its own, and children of fewer paths from which they vary.
+PATHS, VARY = 5, 3
+#: Labels a branch needs to be merged; what counts as a difference, in standard deviations; weight of the parent's
+#: share in a node's share; share from which a template is rejected.
 SUPPORT, SIGMAS, SMOOTHING, REJECT = 5, 2.0, 4.0, 0.8
-#: So many siblings of fewer labels than SUPPORT vary, also beside siblings that have enough.
-MANY = 10
 
 ANY = "*"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,89 +50,98 @@ def by_rule(rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The segments of a path; digits and long mixed strings are wildcards, endings stay."""
-    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[^.]*\d[^.]*", ANY), r"^[^.]{25,}", ANY))
-
-
-def _branches(scratch: Scratch, leaves: DataFrame, depth: int, name: str) -> DataFrame:
-    """(host, parent, branch, m, b, leaves) for the branches of leaves at depth, m labelled and b blocked."""
-    parent, own = F.slice("template", 1, depth - 1), F.slice("template", 1, depth)
-    deep = leaves.filter(F.size("template") >= depth).withColumns({"parent": parent, "branch": own})
-    branches = deep.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("leaves"))
-    return scratch.table(branches, f"{name}{depth}")
-
-
-def _wild(scratch: Scratch, leaves: DataFrame, which: DataFrame, depth: int, name: str) -> DataFrame:
-    """leaves with segment depth made a wildcard in the branches which (host, branch, leaves)."""
-    if which.isEmpty():
-        return leaves
-    keyed = leaves.withColumn("branch", F.slice("template", 1, depth))
-    hit = attach(keyed.filter(F.size("template") >= depth), which, ["host", "branch"], "leaves", leaves.count())
-    wild = F.concat(F.slice("template", 1, depth - 1), F.array(F.lit(ANY)), F.slice("template", F.lit(depth + 1), F.size("template")))
-    changed = hit.select("host", "raw", wild.alias("template"), "n", "labelled", "blocked")
-    # A path that ends above depth is its own slice, but no branch at depth.
-    same = keyed.join(which.select("host", "branch"), ["host", "branch"], "left_anti").select("host", "raw", "template", "n", "labelled", "blocked")
-    return scratch.table(changed.unionByName(same), f"{name}{depth}")
-
-
-def _pooled(scratch: Scratch, leaves: DataFrame, depth: int) -> DataFrame:
-    """leaves with segment depth made a wildcard in siblings of few labels, where they are many or no sibling has enough."""
-    branches = _branches(scratch, leaves, depth, "sparse-branches")
-    few = F.col("m") < SUPPORT
-    groups = branches.groupBy("host", "parent").agg(F.count_if(few).alias("few"), F.count_if(~few).alias("sure"))
-    varying = groups.filter((F.col("few") > 1) & ((F.col("few") >= MANY) | (F.col("sure") == 0)))
-    sparse = branches.filter(few)
-    pooling = attach(sparse, varying, ["host", "parent"], "few", sparse.count())
-    return _wild(scratch, leaves, scratch.table(pooling.select("host", "branch", "leaves"), f"pooling{depth}"), depth, "pooled")
-
-
-def _merged(scratch: Scratch, leaves: DataFrame, depth: int) -> DataFrame:
-    """leaves with segment depth made a wildcard where its branch is like its siblings.
-
-    leaves: host, path (as read), template, n, labelled, blocked.
-    """
-    branches = _branches(scratch, leaves, depth, "branches")
-    pooled = branches.filter(F.col("m") >= SUPPORT).groupBy("host", "parent").agg(F.sum("m").alias("pm"), F.sum("b").alias("pb"), F.count("*").alias("siblings"))
-    share = (F.col("pb") + 1) / (F.col("pm") + 2)
-    like = F.abs(F.col("b") - F.col("m") * share) <= SIGMAS * F.sqrt(F.col("m") * share * (1 - share)) + 0.5
-    sized = branches.filter(F.col("m") >= SUPPORT)
-    alike = attach(sized, pooled.filter("siblings > 1"), ["host", "parent"], "siblings", sized.count()).filter(like)
-    return _wild(scratch, leaves, scratch.table(alike.select("host", "branch", "leaves"), f"like{depth}"), depth, "merged")
+    """The segments of a path."""
+    return F.filter(F.split(path, "/", -1), lambda s: s != "")
+
+
+def _nodes(template: Column) -> Column:
+    """Names of the nodes from the first segment down to the whole template."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+
+    def step(done: Column, segment: Column) -> Column:
+        node = F.xxhash64(done["at"], segment)
+        return F.struct(node.alias("at"), F.concat(done["all"], F.array(node)).alias("all"))
+
+    return F.aggregate(template, start, step, lambda done: done["all"])
+
 
+def _spread(scratch: Scratch, leaves: DataFrame, name: str) -> DataFrame:
+    """A row for each node that a leaf is under: host, leaf, at (its depth from 0), node, parent, star, labelled, blocked."""
+    own = leaves.withColumn("nodes", _nodes(F.col("template"))).select("host", "leaf", "template", "labelled", "blocked", "nodes", F.posexplode("nodes").alias("at", "node"))
+    parent = F.when(F.col("at") > 0, F.get("nodes", F.col("at") - 1)).otherwise(F.lit(0).cast("long"))
+    return scratch.table(own.select("host", "leaf", "at", "node", parent.alias("parent"), (F.get("template", F.col("at")) == ANY).alias("star"), "labelled", "blocked"), name)
 
-def _deepest(leaves: DataFrame) -> int:
-    """The deepest level that two leaves of a host reach: below it no branch has a sibling."""
-    sizes = leaves.groupBy("host", F.size("raw").alias("size")).agg(F.count("*").alias("n"))
-    each = F.flatten(F.collect_list(F.when(F.col("n") > 1, F.array("size", "size")).otherwise(F.array("size"))))
-    second = sizes.groupBy("host").agg(F.get(F.sort_array(each, asc=False), F.lit(1)).alias("second"))
-    return second.agg(F.max("second")).first()[0] or 0
+
+def _starred(scratch: Scratch, leaves: DataFrame, changes: DataFrame, name: str) -> DataFrame | None:
+    """leaves with the segments at changes (leaf, at) made wildcards, or None if there are no changes."""
+    changes = scratch.table(changes, f"{name}-changes")
+    if changes.isEmpty():
+        return None
+    star = F.concat(F.slice("template", F.lit(1), F.col("at")), F.array(F.lit(ANY)), F.slice("template", F.col("at") + 2, F.size("template")))
+    both = leaves.join(changes.hint("merge"), "leaf", "left")
+    return scratch.table(both.withColumn("template", F.when(F.col("at").isNotNull(), star).otherwise(F.col("template"))).select(*leaves.columns), name)
+
+
+def _varying(scratch: Scratch, leaves: DataFrame, k: int) -> DataFrame | None:
+    """leaves with the first segment that varies made a wildcard, or None if none varies."""
+    rows = _spread(scratch, leaves, f"nodes{k}")
+    few = scratch.table(rows.filter("not star").groupBy("host", "parent", "node").agg(F.count("*").alias("paths")).filter(F.col("paths") < PATHS), f"few{k}")
+    several = few.groupBy("host", "parent").agg(F.count("*").alias("children")).filter(F.col("children") >= VARY)
+    wild = attach(few, several, ["host", "parent"], "children", few.count()).select("host", "node")
+    changes = rows.join(wild.hint("merge"), ["host", "node"]).groupBy("leaf").agg(F.min("at").alias("at"))
+    return _starred(scratch, leaves, changes, f"varying{k}")
+
+
+def _merged(scratch: Scratch, leaves: DataFrame, k: int) -> DataFrame | None:
+    """leaves with the last segment whose branch is like branches beside it made a wildcard, or None if there is none."""
+    rows = _spread(scratch, leaves, f"branches{k}")
+    nodes = rows.groupBy("host", "parent", "node", "star").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("paths"))
+    sure = scratch.table(nodes.filter(F.col("m") >= SUPPORT), f"sure{k}")
+    pooled = sure.groupBy("host", "parent").agg(F.sum("m").alias("pm"), F.sum("b").alias("pb"), F.count("*").alias("siblings")).filter("siblings > 1")
+    share = (F.col("pb") + 1) / (F.col("pm") + 2)
+    like = F.abs(F.col("b") - F.col("m") * share) <= SIGMAS * F.sqrt(F.col("m") * share * (1 - share)) + 0.5
+    alike = scratch.table(attach(sure, pooled, ["host", "parent"], "siblings", sure.count()).filter(like).select("host", "parent", "node", "star", "paths"), f"alike{k}")
+    several = alike.groupBy("host", "parent").agg(F.count("*").alias("like")).filter("like > 1")
+    wild = attach(alike.filter("not star"), several, ["host", "parent"], "like", alike.count()).select("host", "node", "paths")
+    changes = attach(rows.select("host", "leaf", "at", "node"), wild, ["host", "node"], "paths", rows.count()).groupBy("leaf").agg(F.max("at").alias("at"))
+    return _starred(scratch, leaves, changes, f"merged{k}")
+
+
+def _purity(scratch: Scratch, leaves: DataFrame) -> DataFrame:
+    """(host, template, size, purity) for each template of size leaves."""
+    share = leaves.agg(F.sum("blocked") / F.sum("labelled")).first()[0] or 0.0
+    templates = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("size"))
+    templates = scratch.table(templates.withColumn("id", F.monotonically_increasing_id()), "templates")
+    above = templates.select("id", "host", "m", "b", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), _nodes(F.col("template")))).alias("at", "node"))
+    above = scratch.table(above, "above")
+    sums = above.groupBy("host", "node").agg(F.sum("m").alias("nm"), F.sum("b").alias("nb"), F.count("*").alias("under"))
+    told = attach(above.select("id", "host", "at", "node"), sums, ["host", "node"], "under", above.count())
+    chain = told.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "nm", "nb"))).alias("chain"))
+    purity = F.aggregate("chain", F.lit(float(share)), lambda p, x: (x["nb"] + SMOOTHING * p) / (x["nm"] + SMOOTHING))
+    return templates.join(chain.select("id", purity.alias("purity")), "id").select("host", "template", "size", "purity")
 
 
 def template_tree(scratch: Scratch, urls: DataFrame) -> DataFrame:
     """(host, raw, n, template, purity, rejected) for urls of (host, raw, blocked: 1, 0 or null)."""
     leaves = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
-    leaves = scratch.table(leaves.withColumn("template", F.col("raw")), "leaves")
-    deepest = _deepest(leaves)
-    for depth in range(1, deepest + 1):
-        leaves = _pooled(scratch, leaves, depth)
-    for depth in range(deepest, 0, -1):
-        leaves = _merged(scratch, leaves, depth)
-    everywhere = leaves.agg((F.sum("blocked") / F.sum("labelled")).alias("share")).first()
-    share = (everywhere[0] if everywhere else 0.0) or 0.0
-    sums = scratch.table(leaves.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("size")), "templates")
-    out = attach(leaves.select("host", "raw", "template", "n"), sums, ["host", "template"], "size", leaves.count())
-    purity = (F.col("b") + SMOOTHING * share) / (F.col("m") + SMOOTHING)
-    return scratch.table(out.select("host", "raw", "n", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), purity.alias("purity"), (purity >= REJECT).alias("rejected")), "tree")
+    leaves = scratch.table(leaves.withColumn("template", F.col("raw")).withColumn("leaf", F.monotonically_increasing_id()), "leaves")
+    labelled = leaves.agg(F.sum("labelled")).first()[0]
+    for change in (_varying, _merged) if labelled else (_varying,):
+        k = 0
+        while (changed := change(scratch, leaves, k)) is not None:
+            leaves, k = changed, k + 1
+    purity = scratch.table(_purity(scratch, leaves), "purity")
+    out = attach(leaves.select("host", "raw", "template", "n"), purity, ["host", "template"], "size", leaves.count())
+    return scratch.table(out.select("host", "raw", "n", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", (F.col("purity") >= REJECT).alias("rejected")), "tree")
 
 
 def judged_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, template, purity.
 
     labels, if given, has url and blocked (1 or 0), one row a url, and teaches the tree in the rules' place. A null
-    url, or one without ``://``, has empty host and path, like any other host. Templates without labels have the share of all
-    labelled URLs; without any labels nothing is rejected. Repeated rows are judged alike. An empty table gives an
-    empty result.
+    url, or one without ``://``, has empty host and path, like any other host. Hosts without labels have the share of all
+    labelled URLs; without any labels nothing is rejected. Paths of any depth and length are read whole. Repeated rows
+    are judged alike. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
