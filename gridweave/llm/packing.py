@@ -9,17 +9,19 @@ each length and each takes the place that the plan has for its number.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, documents
+from .scratch import Scratch, documents, portions
 
 LIMIT = 2048
 END = 0
@@ -27,37 +29,54 @@ VOCABULARY = "byte_bpe_50k"
 #: Texts are tokenised in slices of this many code points at most, cut where no token can span.
 SLICE = 1 << 20
 
+PACKED = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
 def tokenizer(name: str = VOCABULARY):
-    """Ids of the byte-level BPE vocabulary; strings of special tokens in a text are ordinary text.
+    """Two things that give the ids of a tokenizers file: what finds its added tokens, and the encoding of all else.
 
-    The vocabulary's rank file gives the ids of its tokenizers file (a test holds them together) in a quarter
-    of the time.
+    The vocabulary's rank file has the same ids in a quarter of the time; a test holds them together. Added tokens,
+    special or not, are found wherever their string is, as the tokenizer does that the file describes.
     """
     import base64
 
     import public_tokenizers
     import tiktoken
 
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError(f"{name}: added tokens that take in what is around them are not supported")
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = {t["content"]: t["id"] for t in added}
+    found = re.compile("|".join(re.escape(t) for t in sorted(own, key=len, reverse=True))) if own else None
+    return found, own, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _ids(text: str, name: str) -> np.ndarray:
-    encode, parts, at = tokenizer(name).encode_ordinary, [], 0
+def _plain_ids(text: str, encode: Callable[[str], list[int]]) -> Iterator[int]:
+    at = 0
     while len(text) - at > SLICE:
         # A letter, then a space before a letter: the pattern always splits there.
         cut = next((i for i in range(at + SLICE, at, -1) if text[i] == " " and text[i - 1].isalpha() and text[i + 1 : i + 2].isalpha()), None)
         if cut is None:
             break
-        parts.append(encode(text[at:cut]))
+        yield from encode(text[at:cut])
         at = cut
-    parts.append(encode(text[at:]))
-    return np.array([i for part in parts for i in part] + [END], dtype="<u4")
+    yield from encode(text[at:])
+
+
+def token_ids(text: str, name: str = VOCABULARY) -> list[int]:
+    """The ids of the whole text, without any that stand for its end."""
+    found, added, encoding = tokenizer(name)
+    ids, at = [], 0
+    for match in found.finditer(text) if found else ():
+        ids += [*_plain_ids(text[at : match.start()], encoding.encode_ordinary), added[match[0]]]
+        at = match.end()
+    ids += _plain_ids(text[at:], encoding.encode_ordinary)
+    return ids
 
 
 def piece_lengths(total: int, limit: int) -> list[int]:
@@ -69,20 +88,24 @@ def piece_lengths(total: int, limit: int) -> list[int]:
 def token_pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """(doc_id, copy, piece, start, length, ids_crc32[, ids]); copy tells rows of the same doc_id apart."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, copy, text in zip(batch["doc_id"], batch["copy"], batch["text"], strict=True):
-                ids, start = _ids(text, vocabulary), 0
-                for k, length in enumerate(piece_lengths(len(ids), limit)):
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            rows, out = [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                ids, start = np.array([*token_ids(text, vocabulary), END], "<u4"), 0
+                for piece, length in enumerate(piece_lengths(len(ids), limit)):
                     own = ids[start : start + length]
-                    out.append((None if pd.isna(doc_id) else int(doc_id), copy, k, start, length, zlib.crc32(own.tobytes()), *([own.astype("int32")] if with_ids else [])))
+                    rows.append(k)
+                    out.append((piece, start, length, zlib.crc32(own.tobytes()), *([own.astype("i4")] if with_ids else [])))
                     start += length
-            names = [c.split()[0] for c in schema.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            columns = [pa.array([x[c] for x in out], kinds[c]) for c in range(len(names) - 2)]
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(taken), batch["copy"].take(taken), *columns], names)
 
-    return documents(docs).withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "copy", "text").mapInPandas(cut, schema)
+    return documents(docs).withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "copy", "text").mapInArrow(cut, schema)
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
@@ -166,8 +189,8 @@ def _places(combinations: list[tuple[tuple[int, ...], int]]) -> list[tuple[int,
 def packed(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts are empty; an empty text is the end id alone. Only documents longer than limit are cut, the
-    first piece being the shorter one. Rows that repeat a doc_id are packed each for itself. Offsets are
+    Null texts are empty; an empty text is the end id alone. Texts of any length are read whole: only documents longer
+    than limit are cut, the first piece being the shorter one. Equal lengths are placed in an arbitrary order. Rows that repeat a doc_id are packed each for itself. Offsets are
     gapless from 0 in each sequence; sequence ids are 0, 1, ... An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -176,15 +199,20 @@ def packed(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) ->
     pieces = scratch.table(cut.withColumn("_part", F.col("_part").cast("int")), "pieces")
     counts = pieces.groupBy("length", "_part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # limit rows at most
-    rows = _places(plan(histogram, limit))
-    places = spark.createDataFrame(rows, "length long, first long, numbers long, sequence long, each long, base long").select(
-        "length", "first", (F.col("first") + F.col("numbers")).alias("until"), "sequence", "each", "base"
-    )
-    return _numbered(pieces, counts).join(F.broadcast(places), "length").filter((F.col("number") >= F.col("first")) & (F.col("number") < F.col("until"))).select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("sequence") + F.expr("(number - first) div each")).alias("sequence_id"),
-        (F.col("base") + F.expr("(number - first) % each") * F.col("length")).alias("offset"),
-    )
+    places = spark.sparkContext.broadcast(np.array(_places(plan(histogram, limit)), np.int64).reshape(-1, 6))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The run of places that a piece's number is in, found by its place among the runs of all lengths.
+        runs = places.value[np.lexsort((places.value[:, 1], places.value[:, 0]))]
+        for batch in batches:
+            length, number = batch["length"].to_numpy(), batch["number"].to_numpy()
+            wide = int(max(runs[:, 1].max(initial=0), number.max(initial=0))) + 1
+            own = runs[np.searchsorted(runs[:, 0] * wide + runs[:, 1], length * wide + number, side="right") - 1]
+            sequence, at = np.divmod(number - own[:, 1], own[:, 4])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in PACKED), pa.array(own[:, 3] + sequence), pa.array(own[:, 5] + at * length)], [*PACKED, "sequence_id", "offset"])
+
+    numbered = _numbered(pieces, counts).select(*PACKED, "number")
+    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _numbered(pieces: DataFrame, counts: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -72,14 +71,17 @@ def test_ids_are_the_tokenizers_own():
     rng = random.Random(1)
     alphabet = "ab Cz  \n\t'é ß漢😀1279.,;!?<|>_-\u00a0\u2028\u0301ñÑ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 200))) for _ in range(400)] + ["<|endoftext|>", "it's we'LL don't", "  a   b\n\n c "]
-    assert [packing._ids(t, packing.VOCABULARY).tolist() for t in texts] == reference_ids(texts)
+    texts += ["hello <|endoftext|> you", "a<|endoftext|><|endoftext|>b", "<|endoftext| >", " <|endoftext|>  x", "<|<|endoftext|>|>"]
+    assert [[*packing.token_ids(t), 0] for t in texts] == reference_ids(texts)
+    assert packing.token_ids("hello <|endoftext|> you") == [31373, 220, 50256, 345]
 
 
 def test_long_texts_are_cut_where_no_token_spans(monkeypatch):
-    text = "some words in a row, and more of them " * 200
-    whole = packing._ids(text, packing.VOCABULARY).tolist()
+    text = "some words in a row, and more of them " * 100 + "<|endoftext|>" + " and again words of a text" * 300 + "\n" * 300 + "x" * 300
+    whole = packing.token_ids(text)
+    assert [*whole, 0] == reference_ids([text])[0]
     monkeypatch.setattr(packing, "SLICE", 100)
-    assert packing._ids(text, packing.VOCABULARY).tolist() == whole
+    assert packing.token_ids(text) == whole
 
 
 def test_plan_uses_all():
