@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Lexicons are drawn from labelled documents: words and word beginnings that toxic ones have far more often. Each
-lexicon and each pattern is a voter. A generative label model estimates how often
-each voter speaks up on toxic and on clean documents and which voters merely repeat each other, with the annotators as
-two more voters; its posteriors are the labels of a linear classifier over the lexicon entries and the other voters,
-which scores every document.
+lexicon is a voter, and so are patterns: of the text, and of how many entries of the lexicons it has, in all and for
+its length. A generative label model sees the votes alone, no label: it estimates how accurate each voter is, the rates
+at which it speaks up on toxic and on clean documents, and which voters are correlated beyond that, as a tree in which
+a voter's rates depend on one other vote. Its posteriors are the labels of a linear classifier over the lexicon entries
+and the votes, which scores every document.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, documents
+from .scratch import Scratch, documents, portions
 
 #: Held-out documents: those whose crc32(doc_id) has this remainder 0.
 FOLDS = 5
@@ -33,8 +34,14 @@ STEMS, STEM = (4, 5), "^"
 PATTERNS = ((r"!", 2.0), (r"\b\p{Lu}{3,}\b", 10.0), (r"[!?]{2,}", 1.0), (r"(?i)\byou\b", 3.0), (r"\p{So}|[#*$%&@]", 5.0), (r"https?://|@\w", 1.0))
 #: A text of more words than these has each word by chance more easily.
 LENGTHS = (50, 200, 500, 1000, 2000, 5000)
-#: Label model and classifier: rounds, correlation from which voters share their weight, ridge, Newton steps.
-ROUNDS, CORRELATED, RIDGE, STEPS = 10, 0.3, 1.0, 15
+#: Numbers of entries, and entries a hundred words, that are voters from there on; few for the length, below these.
+HITS, RATES, SPARSE = (2, 3, 5), (0.1, 0.4, 1.6), (0.05, 0.2)
+#: Posteriors that the label model begins with for texts with no, one, and more entries.
+BEGIN = (0.02, 0.2, 0.9)
+#: Label model: rounds, mutual information (nats) from which a voter hangs on another, rows that a rate begins with.
+ROUNDS, LINKED, ROWS = 10, 0.0005, 2.0
+#: Classifier: ridge, Newton steps.
+RIDGE, STEPS = 1.0, 15
 
 LETTERS = r"[^\p{L}]+"
 
@@ -59,7 +66,7 @@ def _entries(word: str) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entry, toxic, n): documents of the batch that have the entry, and toxic ones among them."""
-    for batch in batches:
+    for batch in portions(batches):
         document, word, words = _tokens(batch["text"])
         toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
         names: dict[str, int] = {}
@@ -73,13 +80,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(bad), pa.array(n)], ["entry", "toxic", "n"])
 
 
-def _matches(texts: pa.Array) -> np.ndarray:
-    """For each text and pattern whether the pattern speaks up."""
+def _matches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text whether each pattern speaks up and whether it is longer than each length; and its words."""
     texts = texts.cast(pa.large_string())
     words = pc.add(pc.count_substring_regex(texts, LETTERS), 1).to_numpy(zero_copy_only=False)
     counts = [pc.count_substring_regex(texts, p).to_numpy(zero_copy_only=False) for p, _ in PATTERNS]
     found = [c * 100.0 / words >= least for c, (_, least) in zip(counts, PATTERNS, strict=True)]
-    return np.array([*found, *(words > n for n in LENGTHS)], bool).T.reshape(len(texts), len(PATTERNS) + len(LENGTHS))
+    return np.array([*found, *(words > n for n in LENGTHS)], bool).T.reshape(len(texts), len(PATTERNS) + len(LENGTHS)), words
 
 
 def _present(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,32 +101,67 @@ def _present(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.nda
     return both // max(len(index), 1), both % max(len(index), 1)
 
 
-def _votes(rows: np.ndarray, entries: np.ndarray, matches: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """Lexicons, patterns, one voter that speaks up where no lexicon does, and lengths, which are no voters."""
+def _votes(rows: np.ndarray, entries: np.ndarray, matches: np.ndarray, words: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of lexicons, numbers of entries and patterns, then lengths, which are no voters; and the numbers of entries."""
     lexicons = np.zeros((len(matches), 2 * LEXICONS), bool)
     lexicons[rows, lexicon[entries]] = True
-    return np.column_stack([lexicons, matches[:, : len(PATTERNS)], ~lexicons.any(1), matches[:, len(PATTERNS) :]])
-
-
-def label_model(votes: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors, the rates at which voters speak up on toxic and clean rows, and their shares of weight.
-
-    Expectation maximisation of a latent class, begun from what annotators said, who vote like the others. A voter
-    that keeps silent abstains; voters that agree beyond what the class explains share one weight.
+    hits = np.bincount(rows, minlength=len(matches))
+    rate = hits * 100.0 / words
+    own = [hits == 0, hits == 1, *(hits >= n for n in HITS), *(rate >= r for r in RATES), (hits > 0) & (rate < SPARSE[0]), (rate >= SPARSE[0]) & (rate < SPARSE[1])]
+    return np.column_stack([lexicons, *own, matches]), hits
+
+
+def _tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each voter the one that it hangs on, or -1: the spanning forest of most mutual information given the class."""
+    n, width = votes.shape
+    shared = np.zeros((width, width))
+    for weight in (q, 1 - q):
+        total = weight.sum()
+        both = ((votes * weight[:, None]).T @ votes + 0.25) / (total + 1)
+        one = (votes.T @ weight + 0.5) / (total + 1)
+        a, b = one[:, None], one[None, :]
+        for joint, apart in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+            joint = joint.clip(1e-9, 1)
+            shared += total / n * joint * np.log(joint / apart)
+    np.fill_diagonal(shared, 0)
+    parent, best, source = np.full(width, -1), shared[0].copy(), np.zeros(width, np.int64)
+    inside = np.zeros(width, bool)
+    inside[0] = True
+    for _ in range(width - 1):
+        k = int(np.argmax(np.where(inside, -1, best)))
+        if best[k] > LINKED:
+            parent[k] = source[k]
+        inside[k] = True
+        better = shared[k] > best
+        best[better], source[better] = shared[k][better], k
+    return parent
+
+
+def label_model(votes: np.ndarray, q: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of the class 1, begun with q, from votes alone; the voters' rates; and what each voter hangs on.
+
+    Expectation maximisation of a latent class on which all votes depend, each besides on the vote of its parent in a
+    tree that is found anew each round. rates[c, a, j] is how often voter j speaks up in class c where its parent's vote
+    is a; a voter without parent has its rate at a = 0.
     """
-    votes = np.column_stack([votes, said, ~said]).astype(float)
-    q, prior = np.where(said, 0.95, 0.02), said.mean()
-    for _ in range(ROUNDS):
-        bad = (q @ votes + 0.1) / (q.sum() + 0.2)
-        good = ((1 - q) @ votes + 0.1) / ((1 - q).sum() + 0.2)
-        apart = votes - q[:, None] * bad - (1 - q)[:, None] * good
-        scale = np.sqrt((apart**2).mean(0)) + 1e-9
-        alike = np.abs((apart / scale).T @ (apart / scale) / max(len(votes), 1))
-        share = 1 / np.where(alike > CORRELATED, alike, 0).sum(0).clip(1)
-        share[-2:] = 1  # what annotators said is one vote either way
-        odds = np.log(prior / (1 - prior)) + (votes * share) @ np.log(bad / good)
+    votes = votes.astype(float)
+    n, width = votes.shape
+    for _ in range(rounds):
+        prior = (q.sum() + 1) / (n + 2)
+        parent = _tree(votes, q)
+        above = np.where(parent >= 0, votes[:, parent.clip(0)], 0)
+        rates = np.zeros((2, 2, width))
+        for c, weight in enumerate((1 - q, q)):
+            alone = (votes.T @ weight + 0.1) / (weight.sum() + 0.2)
+            for a in (0, 1):
+                own = weight[:, None] * (above == a)
+                rates[c, a] = ((votes * own).sum(0) + ROWS * alone) / (own.sum(0) + ROWS)
+        odds = np.full(n, np.log(prior / (1 - prior)))
+        for a in (0, 1):
+            spoke, silent = np.log(rates[1, a] / rates[0, a]), np.log((1 - rates[1, a]) / (1 - rates[0, a]))
+            odds += ((above == a) * np.where(votes > 0, spoke, silent)).sum(1)
         q = 1 / (1 + np.exp(-odds.clip(-30, 30)))
-    return q, bad, good, share
+    return q, rates, parent
 
 
 def _fit(rows: np.ndarray, columns: np.ndarray, n: int, width: int, target: np.ndarray) -> tuple[np.ndarray, float]:
@@ -148,13 +190,16 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         rows, entries = _present(texts, self.index)
-        votes = _votes(rows, entries, _matches(texts), self.lexicon)
+        votes, _ = _votes(rows, entries, *_matches(texts), self.lexicon)
         z = self.bias + np.bincount(rows, weights=self.weights[entries], minlength=len(texts)) + votes @ self.weights[len(self.index) :]
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
 def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of the labelled documents outside the held-out fold, SAMPLE of them at most."""
+    """The model of the labelled documents outside the held-out fold, SAMPLE of them at most.
+
+    Labels choose the entries of the lexicons and nothing else: the label model and the classifier never see them.
+    """
     teach = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     teach = scratch.table(teach.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE), "teach")
     sample = scratch.table(documents(docs).join(F.broadcast(teach), "doc_id").select("text", "toxic"), "sample")
@@ -172,20 +217,21 @@ def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = lexicon.astype(np.int64)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows, own = _present(batch["text"], index)
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), pa.array(list(_matches(batch["text"])), pa.list_(pa.bool_()))], ["toxic", "entries", "matches"])
+            matches, words = _matches(batch["text"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), pa.array(list(matches), pa.list_(pa.bool_())), pa.array(words, pa.int64())], ["entries", "matches", "words"])
 
-    taught = sample.mapInArrow(seen, "toxic int, entries array<long>, matches array<boolean>").toPandas()
+    taught = sample.select("text").mapInArrow(seen, "entries array<long>, matches array<boolean>, words long").toPandas()  # SAMPLE rows at most
     rows = np.repeat(np.arange(len(taught)), [len(x) for x in taught["entries"]])
     own = np.concatenate([np.asarray(x, np.int64) for x in taught["entries"]]) if len(rows) else np.zeros(0, np.int64)
     matches = np.array([np.asarray(x, bool) for x in taught["matches"]]).reshape(len(taught), len(PATTERNS) + len(LENGTHS))
-    votes = _votes(rows, own, matches, lexicon)
+    votes, hits = _votes(rows, own, matches, taught["words"].to_numpy(), lexicon)
     width = len(entries) + votes.shape[1]
     if not bad or bad == n:
         return Model(index, lexicon, np.zeros(width), -20.0 if not bad else 20.0)
-    q, *_ = label_model(votes[:, : -len(LENGTHS)], taught["toxic"].to_numpy() == 1)
+    q, *_ = label_model(votes[:, : -len(LENGTHS)], np.array(BEGIN)[hits.clip(max=2)])
     vr, vc = np.nonzero(votes)
     w, b = _fit(np.concatenate([rows, vr]), np.concatenate([own, vc + len(entries)]), len(taught), width, q)
     return Model(index, lexicon, w, b)
@@ -194,14 +240,15 @@ def learned(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted.
 
-    Only text decides the score. Null texts are empty and score like any text without a word of the lexicons. A null
+    Only text decides the score, all of it, however long. Null texts are empty and score like any text without a word
+    of the lexicons. A null
     doc_id is not held out. Labels that are null or have no document teach nothing, repeated ones count each; without
     labels of both classes all documents get the class there is, or 0. An empty table gives an empty result.
     """
     model = learned(Scratch(docs.sparkSession, "toxic"), docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(model.scores(batch["text"]))], ["doc_id", "held_out", "score"])
 
     rows = documents(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -1,9 +1,12 @@
 """Quality rules, mixing, toxicity, URL filters."""
 
+import math
+import random
 import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
@@ -175,6 +178,83 @@ def test_toxicity(spark, hard, empty, labels):
     assert toxicity.scored(hard, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def em_expected(votes, q, rounds):
+    """The label model by loops over rows, for trees that it finds itself by the same mutual information."""
+    n, width = len(votes), len(votes[0])
+    for _ in range(rounds):
+        prior = (sum(q) + 1) / (n + 2)
+        shared = [[0.0] * width for _ in range(width)]
+        for weight in (q, [1 - x for x in q]):
+            total = sum(weight)
+            one = [(sum(w for w, v in zip(weight, votes, strict=True) if v[j]) + 0.5) / (total + 1) for j in range(width)]
+            for j in range(width):
+                for k in range(width):
+                    both = (sum(w for w, v in zip(weight, votes, strict=True) if v[j] and v[k]) + 0.25) / (total + 1)
+                    for joint, apart in ((both, one[j] * one[k]), (one[j] - both, one[j] * (1 - one[k])), (one[k] - both, one[k] * (1 - one[j])), (1 - one[j] - one[k] + both, (1 - one[j]) * (1 - one[k]))):
+                        joint = min(max(joint, 1e-9), 1)
+                        shared[j][k] += total / n * joint * math.log(joint / apart) if j != k else 0
+        parent, inside = [-1] * width, [0]
+        while len(inside) < width:
+            gain, j, k = max((shared[j][k], -inside.index(j), -k) for j in inside for k in range(width) if k not in inside)
+            j, k = inside[-j], -k
+            parent[k] = j if gain > toxicity.LINKED else -1
+            inside.append(k)
+        odds = [math.log(prior / (1 - prior))] * n
+        for j in range(width):
+            for a in (0, 1):
+                at = [i for i in range(n) if (votes[i][parent[j]] if parent[j] >= 0 else 0) == a]
+                rate = []
+                for weight in ([1 - x for x in q], q):
+                    alone = (sum(weight[i] for i in range(n) if votes[i][j]) + 0.1) / (sum(weight) + 0.2)
+                    rate.append((sum(weight[i] for i in at if votes[i][j]) + toxicity.ROWS * alone) / (sum(weight[i] for i in at) + toxicity.ROWS))
+                for i in at:
+                    odds[i] += math.log(rate[1] / rate[0]) if votes[i][j] else math.log((1 - rate[1]) / (1 - rate[0]))
+        q = [1 / (1 + math.exp(-max(min(o, 30), -30))) for o in odds]
+    return q, parent
+
+
+def simulated(n, seed=1):
+    """Rows of a hidden class with five voters of different accuracy, the last two copying the third most of the time."""
+    rng = random.Random(seed)
+    truth, votes = [], []
+    for _ in range(n):
+        y = rng.random() < 0.3
+        own = [rng.random() < (a if y else b) for a, b in ((0.8, 0.1), (0.7, 0.15), (0.6, 0.3))]
+        truth.append(y)
+        votes.append([*own, *(own[2] if rng.random() < 0.9 else rng.random() < 0.4 for _ in range(2))])
+    return truth, votes
+
+
+def test_label_model_is_what_loops_make():
+    _, votes = simulated(80)
+    begin = [0.9 if sum(v) > 1 else 0.1 for v in votes]
+    q, rates, parent = toxicity.label_model(np.array(votes), np.array(begin), 3)
+    want, _ = em_expected(votes, begin, 3)
+    assert q == pytest.approx(want)
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    truth, votes = simulated(4000)
+    q, rates, parent = toxicity.label_model(np.array(votes), np.array([0.9 if sum(v[:2]) > 1 else 0.1 for v in votes]), 30)
+    edges = {frozenset((j, int(p))) for j, p in enumerate(parent) if p >= 0}
+    assert frozenset((2, 3)) in edges and frozenset((2, 4)) in edges
+    right = sum((x >= 0.5) == y for x, y in zip(q, truth, strict=True))
+    most = sum((sum(v) >= 3) == y for v, y in zip(votes, truth, strict=True))
+    assert right > most and right > 0.8 * len(truth)
+
+
+def test_posteriors_come_from_votes_alone(spark):
+    """Rows with the same votes get the same score whatever their labels, also where a label is wrong."""
+    rude, plain = ["scumlo", "scumma", "moronish", "idiotic"], [f"w{i}" for i in range(40)]
+    say = lambda i, n: " ".join(plain[(i * k) % 40] for k in range(1, 30)) + "".join(f" {rude[(i + k) % 4]}" for k in range(n))
+    rows = [(i, say(i, 2 if i % 4 == 0 else 0), int(i % 4 == 0)) for i in range(500)]
+    wrong = {i for i, *_ in rows if i % 29 == 0}
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    truth = spark.createDataFrame([(i, 1 - t if i in wrong else t) for i, _, t in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, truth).collect()}
+    assert sum(got[i] == t for i, _, t in rows) >= 0.99 * len(rows)
+
+
 def url_expected(url):
     if url is None or "://" not in url:
         return "", "", None
@@ -291,8 +371,6 @@ def tree_expected(urls):
 
 
 def test_url_tree_is_what_loops_make(spark):
-    import random
-
     rng = random.Random(3)
     rows = []
     for _ in range(900):
