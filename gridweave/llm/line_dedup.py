@@ -33,6 +33,8 @@ KEY_ROWS = 8192
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Frequent words whose counts reach the tasks, at most, and bins of a count's doubling that the limit is found by.
 FREQUENT, BINS = 1 << 18, 8
+#: Words that a task holds while it counts.
+HELD = 1 << 21
 #: Pairs, and words of pairs, that a task looks at together; sets of a cluster from which products of matrices pay.
 PAIRS, ELEMENTS, PRODUCT = 1 << 19, 1 << 21, 24
 
@@ -53,9 +55,21 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in portions(batches, most=16 << 20):
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> pa.RecordBatch:
+        words, code = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        n = np.bincount(code, weights=np.concatenate([n for _, n in held]), minlength=len(words)).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view("i8")), pa.array(n)], ["word", "n"])
+
+    for batch in portions(batches):
         _, code, hashes = _codes(batch["text"].cast(pa.large_string()))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), pa.array(np.bincount(code, minlength=len(hashes)))], ["word", "n"])
+        held.append((hashes, np.bincount(code, minlength=len(hashes))))
+        if sum(len(w) for w, _ in held) > HELD:
+            yield summed()
+    if held:
+        yield summed()
 
 
 class Rarity:
@@ -211,9 +225,11 @@ def _connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _alike(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of a key that size, place and bitmaps do not rule out; only across blocks where there are two."""
-    group = _groups(table, ["key", "i", "j"])
-    n, at, own = (table[c].to_numpy().astype(np.int64) for c in ("n", "at", "own"))
-    bits, across = table["bits"].to_numpy().view("u8"), table["i"].to_numpy() != table["j"].to_numpy()
+    split = "i" in table.column_names
+    group = _groups(table, ["key", "i", "j"] if split else ["key"])
+    n, at = (table[c].to_numpy().astype(np.int64) for c in ("n", "at"))
+    bits = table["bits"].to_numpy().view("u8")
+    own, across = (table["own"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()) if split else (n, np.zeros(len(n), bool))
     order = np.lexsort((n, group))
     wide = int(n.max(initial=0)) + 1
     by_size = group[order] * wide + n[order]
@@ -253,22 +269,23 @@ def _alike(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def _edges(scratch: Scratch, classes: DataFrame, percent: int, key_rows: int) -> DataFrame:
     """Edges (a, b) that connect all classes that the filters leave together."""
     own = ["cls", "n", "bits", "more"]
-    whole = [F.lit(0).cast("long").alias(c) for c in ("own", "i", "j")]
-    cold = classes.select(*own, F.posexplode("cold").alias("at", "key")).select("key", *whole, *own, "at")
+    cold = classes.select(*own, F.posexplode("cold").alias("at", "key")).select("key", *own, "at")
     # Only keys of frequent words can have more rows than a block.
-    hot = classes.select(*own, "hot_at", F.posexplode("hot").alias("pos", "key")).select("key", *own, F.get("hot_at", F.col("pos")).alias("at"))
+    hot = classes.filter(F.size("hot") > 0).select(*own, "hot_at", F.posexplode("hot").alias("pos", "key")).select("key", *own, F.get("hot_at", F.col("pos")).alias("at"))
     sized = hot.groupBy("key").agg(F.count("*").alias("m")).withColumn("parts", F.expr(f"1 + m div {key_rows}"))
     split = _blocks(hot.join(sized.hint("merge"), "key"), "parts").select("key", "own", "i", "j", *own, "at")
-    cells = cold.unionByName(split).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "i", "j"], 1 << 15):
-            cls = table["cls"].to_numpy()
-            x, y = _alike(table, percent)
-            a, b = _connected(cls[x], cls[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def compared(cells: DataFrame, keys: list[str]) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, keys, 1 << 15):
+                cls = table["cls"].to_numpy()
+                x, y = _alike(table, percent)
+                a, b = _connected(cls[x], cls[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
-    return scratch.table(cells.mapInArrow(compare, "a long, b long"), "edges")
+    return scratch.table(compared(cold, ["key"]).unionByName(compared(split, ["key", "i", "j"])), "edges")
 
 
 def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -318,9 +335,8 @@ def _similar(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def _linked(scratch: Scratch, docs: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """(cls, links, earliest) for classes that are similar to others of their cluster, on the full sets."""
-    told = scratch.table(classes.select("cls", "p1", "p2", "first").join(clusters.hint("merge"), "cls"), "clustered")
+def _linked(scratch: Scratch, docs: DataFrame, told: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(cls, links, earliest) for those of the classes told that are similar to others of their cluster, on the full sets."""
     # Rows without doc_id are looked for by their text, so that they are not all one key.
     key = lambda doc, text: F.struct(doc.isNull(), F.coalesce(doc, text))
     wanted = told.groupBy(key(F.col("first.doc_id"), F.col("first.own_text")).alias("_key")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted"))
@@ -389,15 +405,20 @@ def line_matches(docs: DataFrame, percent: int = PERCENT, key_rows: int = KEY_RO
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     clusters = components(scratch, _edges(scratch, classes, percent, key_rows), "clusters")
     clusters = clusters.withColumnRenamed("node", "cls").unionByName(clusters.select(F.col("component").alias("cls"), "component").distinct())
-    seen = _linked(scratch, docs, clusters, classes, percent, block_rows)
+    clusters = scratch.table(clusters, "clustered-classes")
+    clustered = scratch.table(classes.select("cls", "p1", "p2", "first", "lines").join(clusters.hint("merge"), "cls"), "clustered")
+    seen = _linked(scratch, docs, clustered.drop("lines"), percent, block_rows)
+    # Classes of one line that are like no other need not be told: their line stays.
     place = F.struct("first.last", "first.doc_id", "first.rid", "first.line")
-    told = classes.join(seen, "cls", "left").select("p1", "p2", "lines", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < place, F.lit(False)).alias("later"))
-    told = scratch.table(told, "told")
-    placed = attach(lines.filter("line >= 0").select("rid", "doc_id", "line", "p1", "p2"), told, ["p1", "p2"], "lines", lines.count())
-    own = (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
-    gone = F.col("later") | ~own
+    columns = ["p1", "p2", "lines", "first", "links", "later"]
+    told = clustered.join(seen, "cls", "left").withColumns({"links": F.coalesce("links", F.lit(0)), "later": F.coalesce(F.col("earliest") < place, F.lit(False))}).select(*columns)
+    alone = classes.filter("lines > 1").join(clusters.hint("merge"), "cls", "left_anti").withColumns({"links": F.lit(0).cast("long"), "later": F.lit(False)}).select(*columns)
+    told = scratch.table(told.unionByName(alone), "told")
+    placed = attach(lines.filter("line >= 0").select("rid", "doc_id", "line", "p1", "p2"), told, ["p1", "p2"], "lines", lines.count(), "left")
+    own = F.col("first").isNull() | (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
+    gone = F.coalesce("later", F.lit(False)) | ~own
     bare = lines.filter("line < 0").select("rid", "doc_id", F.lit(None).cast("int").alias("line"), F.lit(0).cast("long").alias("links"), F.lit(False).alias("gone"))
-    rows = placed.select("rid", "doc_id", "line", "links", gone.alias("gone")).unionByName(bare)
+    rows = placed.select("rid", "doc_id", "line", F.coalesce("links", F.lit(0)).alias("links"), gone.alias("gone")).unionByName(bare)
     out = rows.groupBy("rid", "doc_id").agg(F.count("line").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
     return out.drop("rid")
 

@@ -62,8 +62,8 @@ class Scratch:
             pass
 
 
-def attach(left: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of left with one row a key, where keys may be hot.
+def attach(left: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of left with one row a key, where keys may be hot; inner, or left where some keys have no row.
 
     groups has the number of left rows of each key in column size, total is the number of all left rows.
     Keys with more than total / HOT rows are fewer than HOT, so they are broadcast; the others are small
@@ -72,7 +72,7 @@ def attach(left: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     bound = max(total // HOT, 1)
     hot, cold = groups.filter(F.col(size) > bound), groups.filter(F.col(size) <= bound)
     near = left.join(F.broadcast(hot), keys)
-    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)
 
 
