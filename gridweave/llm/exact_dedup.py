@@ -91,16 +91,16 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hashed: Callable[[Column],
 
 
 def drop_exact_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs without later copies, all columns kept; what stays is told by exact_groups."""
+    """docs without later copies, all columns kept; what stays is told by exact_groups. Rows that repeat a doc_id with
+    an equal text are copies, too: one of them stays. Columns may have any names."""
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    stays = scratch.table(exact_groups(docs, block).filter("kept").select(F.col("doc_id").alias("_doc"), F.unhex("text_sha256").alias("_sha")), "kept")
-    keyed = docs.withColumn("_own", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    out = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_doc"))
-    repeated = scratch.table(repeated, "repeated")
+    stays = scratch.table(exact_groups(docs, block).filter("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")), "kept")
+    # The user's columns are out of the way in a struct.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("own_sha"))
+    out = rows.join(stays, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi")
+    repeated = scratch.table(docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     if repeated.isEmpty():
-        return out.select(*docs.columns)
-    # Rows that repeat a doc_id with an equal text are copies too: one of them stays.
-    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
-    once = out.join(repeated, same, "left_semi").groupBy("doc_id", "_own").agg(*(F.first(c).alias(c) for c in docs.columns if c != "doc_id"))
-    return out.join(repeated, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return out.select("row.*")
+    same = F.col("own_id").eqNullSafe(F.col("id"))
+    once = out.join(repeated, same, "left_semi").groupBy("own_id", "own_sha").agg(F.any_value("row").alias("row"))
+    return out.join(repeated, same, "left_anti").select("row").unionByName(once.select("row")).select("row.*")

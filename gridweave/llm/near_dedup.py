@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, attach, documents
+from .scratch import Scratch, attach, documents, portions
 
 WORDS = 5
 PERCENT = 75
@@ -108,7 +108,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         sizes, prints, keys = [], [], []
         for elements in shingle_sets(batch["text"], words):
             sizes.append(len(elements))
@@ -137,12 +137,13 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         return table, tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     table, state = settled(edges, "0")
-    k = 0
+    at, k = "0", 0
     while True:
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, _ = settled(star(both, "large"), f"{k}large")
         small, now = settled(star(large, "small"), f"{k}small")
-        k += 1
+        scratch.drop(f"{name}-{at}", f"{name}-{k}large")
+        at, k = f"{k}small", k + 1
         if now == state:
             return small.select(F.col("u").alias("node"), F.col("v").alias("component"))
         table, state = small, now
@@ -154,7 +155,7 @@ def _links(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, perc
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array([x.tobytes() for x in shingle_sets(batch["text"], words)], pa.binary())], ["rid", "members"])
 
     full = scratch.table(rows.select("rid", "text").join(ids.hint("merge"), "rid", "left_semi").mapInArrow(sets, "rid long, members binary"), "sets")
@@ -230,16 +231,8 @@ def _rest(scratch: Scratch, stars: DataFrame, links: DataFrame, roots: DataFrame
     return scratch.table(here.groupBy("b", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "rest")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
-
-    A text without words has an empty set, is linked with nothing and stays. Equal sets are linked. component_id is
-    the smallest doc_id of the component; a null doc_id is smaller than none, so it is null only if all are. Of rows
-    that repeat the smallest doc_id one stays. Two texts of similarity s share a band with probability
-    1 - (1 - s^rows)^bands, 0.999995 at 0.75. An empty table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession, "near")
-    texts = scratch.table(documents(docs).withColumn("rid", F.monotonically_increasing_id()), "texts")
+def _grouped(scratch: Scratch, texts: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, kept) for a written table of (rid, doc_id, text)."""
     signed = scratch.table(texts.select("rid", "doc_id", "text").mapInArrow(lambda batches: _signed(batches, words, bands, rows), "rid long, doc_id long, n_shingles long, print binary, keys array<long>"), "signed")
     total = signed.count()
     members = signed.select("rid", "doc_id", "n_shingles", "print")
@@ -260,7 +253,6 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     rest = _rest(scratch, stars, links, roots, percent)
     if not rest.isEmpty():
         roots = components(scratch, links.unionByName(rest), "all-components")
-    scratch.drop("texts")
 
     grouped = classes.join(roots, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "copies")
     alone = members.filter("n_shingles = 0").select("doc_id", "rid", "n_shingles", F.col("rid").alias("component"))
@@ -268,13 +260,29 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     least = F.min_by(F.struct("doc_id", "rid"), F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least")
     heads = scratch.table(placed.groupBy("component").agg(least, F.count("*").alias("size")), "heads")
     out = attach(placed, heads, ["component"], "size", total)
-    return out.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
+    return out.select("rid", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group, all columns kept.
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept.
 
-    A doc_id stays with all its rows if one of them heads its group, so rows repeating a doc_id should be gone before.
+    A text without words has an empty set, is linked with nothing and stays. Equal sets are linked. Texts are read
+    whole, a few million bytes at a time or one text. component_id is the smallest doc_id of the component; a null
+    doc_id is smaller than none, so it is null only if all are. Of rows that repeat the smallest doc_id one stays. Two
+    texts of similarity s share a band with probability 1 - (1 - s^rows)^bands, 0.999995 at 0.75. An empty table gives
+    an empty result.
     """
-    stays = near_groups(docs, **options).filter("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    scratch = Scratch(docs.sparkSession, "near")
+    texts = scratch.table(documents(docs).withColumn("rid", F.monotonically_increasing_id()), "texts")
+    out = _grouped(scratch, texts, words, percent, bands, rows).drop("rid")
+    scratch.drop("texts")
+    return out
+
+
+def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs with one row of each group that near_groups finds, all columns kept; columns may have any names."""
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    wrapped = scratch.table(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "rows")
+    texts = wrapped.select("rid", "row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"))
+    kept = _grouped(scratch, texts, words, percent, bands, rows).filter("kept").select("rid")
+    return wrapped.join(kept.hint("merge"), "rid", "left_semi").select("row.*")

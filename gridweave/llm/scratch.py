@@ -25,9 +25,12 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="spark-gridweave-"))
         root = _own_root[0]
@@ -40,12 +43,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Parquet tables that cut lineage. What a returned DataFrame reads stays until the driver's Python ends."""
+    """Parquet tables that cut lineage. What a returned DataFrame reads stays until release() or the driver's Python ends."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        Scratch.made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
@@ -62,6 +67,15 @@ class Scratch:
             pass
 
 
+def release() -> None:
+    """Deletes all scratch tables made so far: for long sessions, once what the operators returned has been written."""
+    while Scratch.made:
+        Scratch.made.pop().close()
+
+
+atexit.register(release)
+
+
 def attach(left: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join of left with one row a key, where keys may be hot; inner, or left where some keys have no row.
 

@@ -4,16 +4,17 @@ import hashlib
 import io
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
-from gridweave.llm import chat, packing, warc
+from gridweave.llm import chat, mixing, packing, warc
 from gridweave.llm.scratch import Scratch
 
-from .conftest import hard_rows
+from .conftest import WORDS, hard_rows
+from .test_dedup import SPACE, near_expected
+from .test_features import counts
 
 
 def reference_ids(texts):
@@ -171,18 +172,68 @@ def test_warc_reader_notices_damage():
         list(warc.read_records(io.BytesIO(good[0][:-5])))
 
 
-def test_pipeline(spark, tmp_path):
+def as_counted(rows):
+    return Counter(tuple(map(str, r)) for r in rows)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path, monkeypatch):
+    """Each stage against brute force on what its predecessor kept: null ids, repeated rows, long texts, clashing columns."""
     import corpus_pipeline
 
-    rows = [r for r in hard_rows() if r[0] is not None]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _part int, key string").drop("_part", "key")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_part", "key", "row", "_doc", "rid", "own_id"]
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) + str(k) for k in range(90)]
+    texts = [r[:2] for r in hard_rows()] + [(500 + k, " ".join([*base[k:], *(f"x{k}y{i}" for i in range(k))])) for k in range(6)] + [(600, " ".join(base) + "  "), (None, " ".join(base)), (601, " ".join(f"l{i}" for i in range(20_000)))]
+    rows = [(i, t, "en", f"s{k % 3}" if k % 5 else None, None, 7, "x", k, "d", 4, None) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _part int, key string, row long, _doc string, rid int, own_id long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "mixing", "packing"]
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert isinstance(got, pd.DataFrame) and len(got)
-    assert set(got["doc_id"]) <= {r[0] for r in rows}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, df):
+        out = stages[name](spark, df, str(tmp_path))
+        assert name == "packing" or out.columns == names
+        return out
+
+    def failed(text):
+        n, _, _, _, repeated = counts(text)
+        return n < 50 or 100 * repeated > 50 * n
+
+    docs = run("quality rules", spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    kept = [r for r in rows if not failed(r[1])]
+    assert as_counted(docs.collect()) == as_counted(kept)
+
+    docs = run("exact dedup", docs)
+    by_text = defaultdict(list)
+    for r in kept:
+        by_text[SPACE.sub(" ", r[1])].append(r)
+    got = docs.collect()
+    assert sorted(SPACE.sub(" ", r.text) for r in got) == sorted(by_text)
+    for r in got:
+        same = by_text[SPACE.sub(" ", r.text)]
+        assert tuple(r) in same and r.doc_id == min((x[0] for x in same if x[0] is not None), default=None)
+
+    before = [tuple(r) for r in got]
+    docs = run("near dedup", spark.createDataFrame(before, schema))
+    heads = {e[2] for e in near_expected(before)}
+    got = docs.collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, heads))
+    assert all(tuple(r) in before for r in got)
+
+    before = [tuple(r) for r in got]
+    docs = run("mixing", spark.createDataFrame(before, schema))
+    copies = as_counted(docs.collect())
+    assert set(copies) <= set(as_counted(before)) and max(copies.values()) <= 3
+    taken = mixing.mix(spark.createDataFrame(before, schema)).collect()
+    assert sum(copies.values()) == sum(r.copies for r in taken)
+    assert sum(int(r.taken) for r in taken) == sum(len(r.text.split()) for r in docs.collect())
+
+    before = [tuple(r) for r in docs.collect()]
+    checked(before, run("packing", spark.createDataFrame(before, schema)).collect(), 2048)
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    checked(before, whole, 2048)
+
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
