@@ -182,6 +182,11 @@ def unit_random(seed: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
 
 
+def subsample(values: Column, limit: int = 256, factor: int = 2) -> Column:
+    """Every factor-th value of an array longer than limit, from the first on; a shorter one as it is."""
+    return F.when(F.size(values) > limit, F.filter(values, lambda _, i: i % factor == 0)).otherwise(values)
+
+
 def mask_random(df: DataFrame, column: str, rate: float, seed: int, *keys: str) -> DataFrame:
     """Adds masked, and the column's values as 0 where they are."""
     df = df.withColumn("masked", unit_random(seed, *keys) <= rate)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import unit_random
 from gridweave.operators.forecast import grid_apply
+from gridweave.operators.order import quantiles, with_quantiles
 from gridweave.operators.splits import calibration_split
 
 
@@ -16,8 +17,7 @@ def calibrate_intervals(fc: DataFrame, share: float = 0.4, level: float = 0.9) -
     """For each target and horizon residual quantiles of the first windows, and what they cover of the others."""
     parts = calibration_split(fc, "window_id", share).withColumn("_r", F.col("y") - F.col("yhat"))
     tail = (1 - level) / 2
-    cal = parts.filter("part = 'calibration'").groupBy("target", "horizon").agg(F.percentile("_r", tail).alias("low"), F.percentile("_r", 1 - tail).alias("high"))
-    rest = parts.filter("part = 'evaluation'").join(F.broadcast(cal), ["target", "horizon"])
+    rest = with_quantiles(parts.filter("part = 'evaluation'"), "_r", {"low": tail, "high": 1 - tail}, ["target", "horizon"], parts.filter("part = 'calibration'")).filter("low is not null")
     inside = F.col("_r").between(F.col("low"), F.col("high"))
     return rest.groupBy("target", "horizon").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.avg(inside.cast("int")).alias("coverage"), F.max(F.col("high") - F.col("low")).alias("width"))
 
@@ -78,7 +78,8 @@ def fit_ridge(fc: DataFrame, features: Sequence[str], lambdas: Sequence[float] =
 def fit_offset(fc: DataFrame) -> DataFrame:
     """(target, bias, limit): median residual, and the 99 % quantile of its size."""
     r = F.col("y") - F.col("yhat")
-    return fc.groupBy("target").agg(F.percentile(r, 0.5).alias("bias"), F.percentile(F.abs(r), 0.99).alias("limit"))
+    bias, limit = quantiles(fc, r, [0.5], ["target"]), quantiles(fc, F.abs(r), [0.99], ["target"])
+    return bias.select("target", F.col("q")[0].alias("bias")).join(limit.select("target", F.col("q")[0].alias("limit")), "target")
 
 
 def block_bootstrap(blocks: DataFrame, key: str, draws: int, seed: int, statistic: Callable[[], Column], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:

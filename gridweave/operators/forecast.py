@@ -137,20 +137,47 @@ def offset_correct(fc: DataFrame, usable: DataFrame, config: dict) -> DataFrame:
     return rows.withColumn("yhat", F.when(good, F.col("yhat") + shift).otherwise(F.col("yhat"))).drop("usable")
 
 
+#: Residuals that are folded in one array.
+BLOCK = 256
+
+
 def rolling_bias(fc: DataFrame, step: int, seconds: int, alpha: float, least: int = 6, limit: float = float("inf"), by: Sequence[str] = ("target", "horizon")) -> DataFrame:
     """Adds correction: the running mean of residuals that were known at the origin, once least of them are.
 
-    The residual of the forecast made horizon steps before is known. A gap in the origins begins anew.
+    The residual of the forecast made horizon steps before is known. A gap in the origins begins anew. Residuals are
+    folded in blocks of BLOCK; a block turns the mean before it into a * mean + b, so blocks are joined by these pairs.
     """
+    keys = [*by, "_run"]
     at = F.unix_seconds("origin_ts")
     order = Window.partitionBy(*by).orderBy(at)
     rows = fc.withColumn("_run", F.sum(F.coalesce((at - F.lag(at).over(order) > step * seconds).cast("int"), F.lit(0))).over(order))
-    run = Window.partitionBy(*by, "_run").orderBy(at)
-    rows = rows.withColumn("_known", F.collect_list(F.struct(at.alias("t"), (F.col("y") - F.col("yhat")).alias("e"))).over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    known = F.transform(F.filter("_known", lambda x: x["t"] + F.col("horizon") * seconds <= F.unix_seconds("origin_ts")), lambda x: x["e"])
-    ema = F.aggregate(F.slice(known, 2, 1 << 30), F.get(known, 0), lambda a, e: a + alpha * (e - a))
-    correction = F.when(F.size(known) >= least, F.greatest(F.least(ema, F.lit(limit)), F.lit(-limit))).otherwise(0.0)
-    return rows.withColumn("correction", correction).drop("_known", "_run")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(at)) - 1
+    placed = rows.select(*keys, at.alias("_t"), (F.col("y") - F.col("yhat")).alias("_e"), place.alias("_i"))
+    folded = placed.groupBy(*keys, F.expr(f"_i div {BLOCK}").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_i", "_t", "_e"))).alias("_x"))
+    # The first residual of a run is its first mean.
+    first = F.col("_b") == 0
+    own = F.aggregate("_x", F.lit(0.0), lambda m, x: F.when(first & (x["_i"] == 0), x["_e"]).otherwise(m + alpha * (x["_e"] - m)))
+    keep = F.pow(F.lit(1 - alpha), F.size("_x").cast("double"))
+    chain = folded.select(*keys, "_b", own.alias("_own"), keep.alias("_keep")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_own", "_keep"))).alias("_all"))
+    start = F.array(F.lit(0.0))
+    before = F.aggregate("_all", start, lambda out, x: F.array_append(out, F.element_at(out, -1) * x["_keep"] + x["_own"]))
+    entry = chain.select(*keys, F.posexplode(before).alias("_b", "_m"))
+    means = folded.join(entry, [*keys, "_b"])
+    begin = F.struct(F.col("_m").alias("m"), F.array().cast("array<double>").alias("all"))
+
+    def fold(a: Column, x: Column) -> Column:
+        m = F.when(x["_i"] == 0, x["_e"]).otherwise(a["m"] + alpha * (x["_e"] - a["m"]))
+        return F.struct(m.alias("m"), F.array_append(a["all"], m).alias("all"))
+
+    each = means.select(*keys, F.explode(F.arrays_zip("_x", F.aggregate("_x", begin, fold, lambda a: a["all"]).alias("all"))).alias("_z"))
+    each = each.select(*keys, F.col("_z._x._t").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col("_z.all").alias("m"), (F.col("_z._x._i") + 1).alias("n")).alias("_known"))
+    # Each forecast meets the last mean whose residual was known at its origin.
+    asked = rows.select(*rows.columns, (at - F.col("horizon") * seconds).alias("_t"), F.lit(1).alias("_kind"))
+    met = asked.unionByName(each, allowMissingColumns=True)
+    known = F.last("_known", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    told = met.withColumn("_known", known).filter("_kind = 1")
+    correction = F.when(F.col("_known.n") >= least, F.greatest(F.least(F.col("_known.m"), F.lit(limit)), F.lit(-limit))).otherwise(0.0)
+    return told.withColumn("correction", correction).select(*fc.columns, "correction")
 
 
 def fixed_lead_series(fc: DataFrame, horizon: int, width: str = "10 minutes") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.grid import halo_chunks
+from gridweave.operators.order import running
 from gridweave.operators.quality import low_candidates, row_valid_rate
 
 
@@ -137,9 +138,10 @@ def coverage(windows: DataFrame, start: str, end: str, seconds: int, by: Sequenc
     """Distinct grid instants that any window covers, and hours, by starts and ends rather than by instants."""
     events = windows.select(*by, F.unix_seconds(start).alias("_t"), F.lit(1).alias("_d")).unionByName(windows.select(*by, (F.unix_seconds(end) + seconds).alias("_t"), F.lit(-1).alias("_d")))
     events = events.groupBy(*by, "_t").agg(F.sum("_d").alias("_d"))
-    w = Window.partitionBy(*by).orderBy("_t")
-    steps = events.withColumns({"_open": F.sum("_d").over(w), "_next": F.lead("_t").over(w)})
-    covered = F.coalesce(F.sum(F.when(F.col("_open") > 0, F.col("_next") - F.col("_t")).otherwise(0)), F.lit(0))
+    steps = running(events, "_t", F.col("_d"), "_open", by)
+    # What is covered is the ends of covered stretches less their begins.
+    begins, ends = (F.col("_open") == 0) & (F.col("_d") > 0), (F.col("_open") > 0) & (F.col("_open") + F.col("_d") == 0)
+    covered = F.coalesce(F.sum(F.when(ends, F.col("_t")).when(begins, -F.col("_t")).otherwise(0)), F.lit(0))
     return steps.groupBy(*by).agg(F.floor(covered / seconds).alias("instants"), (covered / 3600).alias("hours"), (covered / (F.max("_t") - F.min("_t"))).alias("fraction"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from gridweave.operators.order import quantiles, with_quantiles
+
 EPS = 1e-8
 
 
@@ -59,9 +61,9 @@ def evaluate(fc: DataFrame) -> DataFrame:
 
 def tail_metrics(fc: DataFrame, by: Sequence[str]) -> DataFrame:
     """95 % and 99 % quantile and maximum of the absolute error, and the 95 % quantile of windows' mean errors."""
-    a = fc.groupBy(*by).agg(F.percentile(F.abs(error()), 0.95).alias("p95"), F.percentile(F.abs(error()), 0.99).alias("p99"), F.max(F.abs(error())).alias("max_abs"))
-    b = fc.groupBy(*by, "window_id").agg(F.avg(F.abs(error())).alias("_m")).groupBy(*by).agg(F.percentile("_m", 0.95).alias("p95_window_mae"))
-    return a.join(b, list(by))
+    most = fc.groupBy(*by).agg(F.max(F.abs(error())).alias("max_abs"))
+    out = with_quantiles(most, F.abs(error()), {"p95": 0.95, "p99": 0.99}, by, fc)
+    return with_quantiles(out, "_m", {"p95_window_mae": 0.95}, by, fc.groupBy(*by, "window_id").agg(F.avg(F.abs(error())).alias("_m")))
 
 
 def skill(fc: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -114,8 +116,7 @@ def direction(fc: DataFrame, scale: float, reference: str = "origin") -> DataFra
 def direction_adaptive(fc: DataFrame, q: float = 0.1) -> DataFrame:
     """direction at each horizon, eligible where truth moves by at least its own quantile q."""
     rows = fc.select("target", "horizon", (F.col("y") - F.col("y0")).alias("dy"), (F.col("yhat") - F.col("y0")).alias("dp"))
-    limit = rows.groupBy("target", "horizon").agg(F.percentile(F.abs("dy"), q).alias("_l"))
-    moved = rows.join(F.broadcast(limit), ["target", "horizon"]).filter(F.abs("dy") >= F.col("_l"))
+    moved = with_quantiles(rows, F.abs("dy"), {"_l": q}, ["target", "horizon"]).filter(F.abs("dy") >= F.col("_l"))
     return moved.groupBy("target", "horizon").agg(F.count("*").alias("eligible"), F.avg((F.sign("dy") == F.sign("dp")).cast("int")).alias("accuracy"))
 
 
@@ -139,6 +140,13 @@ def jump_profile(fc: DataFrame, period: int = 8) -> DataFrame:
     return rows.groupBy("target", "phase").agg(F.avg("jump").alias("mean_jump"), F.sum("jump").alias("total_variation"))
 
 
+def boundary_jumps(fc: DataFrame, leads: Sequence[int], by: Sequence[str] = ("target",)) -> DataFrame:
+    """Mean total variation of forecasts from the last observation on, and mean step from each of leads to the next lead."""
+    rows = fc.withColumn("_j", F.abs(F.col("yhat") - F.coalesce(F.lag("yhat").over(path()), F.col("y0"))))
+    one = rows.groupBy(*by, "window_id").agg(F.sum("_j").alias("_v"), *(F.max(F.when(F.col("horizon") == lead + 1, F.col("_j"))).alias(f"_j{lead}") for lead in leads))
+    return one.groupBy(*by).agg(F.avg("_v").alias("mean_total_variation"), *(F.avg(f"_j{lead}").alias(f"jump_{lead}_to_{lead + 1}") for lead in leads))
+
+
 def masked_loss(fc: DataFrame, by: Sequence[str], mask: Column, lag: int = 1) -> DataFrame:
     """mape, smape (of 200) and mase over masked rows, parts that can't be told counting 0."""
     y, p = F.col("y"), F.col("yhat")
@@ -193,7 +201,7 @@ def anomaly_eval(scores: DataFrame, ratio: float, by: Sequence[str]) -> DataFram
 
     The threshold is the 100 - ratio percentile over all parts. A hit anywhere in a true segment finds all of it.
     """
-    limit = scores.agg(F.percentile("score", 1 - ratio / 100).alias("threshold"))
+    limit = quantiles(scores, "score", [1 - ratio / 100]).select(F.col("q")[0].alias("threshold"))  # one row
     order = Window.partitionBy(*by).orderBy("ts")
     test = scores.filter("part = 'test'").crossJoin(F.broadcast(limit)).withColumn("_p", (F.col("score") > F.col("threshold")).cast("int"))
     edge = F.coalesce((F.col("label") != F.lag("label").over(order)).cast("int"), F.lit(0))

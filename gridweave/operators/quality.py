@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.operators.order import quantiles
+
 
 def quality(long: DataFrame, tol: float = 1e-9, warn_missing: float = 0.2, warn_zero: float = 0.8, warn_constant: float = 0.8) -> DataFrame:
     """For each point_code: rows, missing rate, zero and constant ratio, min, max, mean, warnings.
@@ -78,8 +80,9 @@ def row_valid_rate(columns: Sequence[str]) -> Column:
 
 def low_candidates(long: DataFrame, q: float = 0.08, missing: float = 0.5, zero: float = 0.8, constant: float = 0.8, approximate: bool = False) -> DataFrame:
     """Columns whose low level means something: point_code, q_low, q50, q95, low_cut."""
-    p = F.percentile_approx("value", [q, 0.5, 0.95], 10_000) if approximate else F.percentile("value", F.array(F.lit(q), F.lit(0.5), F.lit(0.95)))
-    cuts = long.groupBy("point_code").agg(p.alias("_q")).select("point_code", F.col("_q")[0].alias("q_low"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q95"))
+    shares = [q, 0.5, 0.95]
+    found = long.groupBy("point_code").agg(F.percentile_approx("value", shares, 10_000).alias("q")) if approximate else quantiles(long, "value", shares, ["point_code"])
+    cuts = found.withColumnRenamed("q", "_q").select("point_code", F.col("_q")[0].alias("q_low"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q95"))
     good = quality(long).filter((F.col("missing_rate") <= missing) & (F.col("zero_ratio") <= zero) & (F.col("constant_ratio") <= constant)).select("point_code")
     cut = F.col("q_low") + F.greatest(F.col("q50") - F.col("q_low"), F.lit(0.0)) * 0.08
     return cuts.join(good, "point_code").filter("q95 > q_low").withColumn("low_cut", cut)
@@ -145,6 +148,17 @@ def validate_history(history: DataFrame, rows: int, seconds: int) -> DataFrame:
     return one.select("window_id", status.alias("status"))
 
 
+def validate_columns(spark: SparkSession, columns: Sequence[str], features: Sequence[str], auxiliary: Sequence[str] = (), time: str = "timestamp") -> DataFrame:
+    """(column, problem) for the columns of a table of histories: unexpected, duplicate, missing or missing_auxiliary.
+
+    Only auxiliary features may be missing; they count as null everywhere (see ensure_columns).
+    """
+    rows = [(c, "duplicate") for c in dict.fromkeys(columns) if list(columns).count(c) > 1]
+    rows += [(c, "unexpected") for c in dict.fromkeys(columns) if c not in features and c != time]
+    rows += [(c, "missing_auxiliary" if c in auxiliary else "missing") for c in (time, *features) if c not in columns]
+    return spark.createDataFrame(rows, "column string, problem string")
+
+
 def verify_counts(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """Chunks whose rows or windows differ from the manifest: chunk_id, valid_rows, windows of both."""
     a, b = found.alias("a"), manifest.alias("b")

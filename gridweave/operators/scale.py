@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import standardize
+from gridweave.operators.order import quantiles, running, with_quantiles
 
 
 def fit_scaler(long: DataFrame) -> DataFrame:
@@ -42,13 +43,12 @@ def normalize(df: DataFrame, kind: str, value: str, by: Sequence[str]) -> Column
 
 def robust_rescale(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Adds scaled: the value between its 1 % and 99 % quantiles as 0 to 1."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.01).alias("_a"), F.percentile(value, 0.99).alias("_b"))
-    return df.join(F.broadcast(q), list(by)).withColumn("scaled", F.try_divide(F.least(F.greatest(value, "_a"), "_b") - F.col("_a"), F.col("_b") - F.col("_a"))).drop("_a", "_b")
+    return with_quantiles(df, value, {"_a": 0.01, "_b": 0.99}, by).withColumn("scaled", F.try_divide(F.least(F.greatest(value, "_a"), "_b") - F.col("_a"), F.col("_b") - F.col("_a"))).drop("_a", "_b")
 
 
 def distribution(df: DataFrame, value: str, *by: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("_p")).select(*by, "n", "mean", "std", F.col("_p")[0].alias("p10"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("p90"))
+    each = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return with_quantiles(each, value, {"p10": 0.1, "median": 0.5, "p90": 0.9}, by, df)
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, n: int, *by: str) -> DataFrame:
@@ -61,8 +61,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, n: int, *by: s
 
 
 def tertile_cuts(df: DataFrame, value: str, *by: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return df.groupBy(*by).agg(p.alias("_p")).select(*by, F.col("_p")[0].alias("low_cut"), F.col("_p")[1].alias("high_cut"))
+    return quantiles(df, value, [1 / 3, 2 / 3], by).select(*by, F.col("q")[0].alias("low_cut"), F.col("q")[1].alias("high_cut"))
 
 
 def average_rank(values: DataFrame, value: str) -> DataFrame:
@@ -70,9 +69,8 @@ def average_rank(values: DataFrame, value: str) -> DataFrame:
 
     Only distinct values are ordered; their counts carry the ties.
     """
-    counts = values.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(value)) - F.col("_n")
-    return counts.select(value, (before + (F.col("_n") + 1) / 2).alias("rank"))
+    counts = running(values.groupBy(value).agg(F.count("*").alias("_n")), value, F.col("_n"), "_less")
+    return counts.select(value, (F.col("_less") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def response_diagnostics(df: DataFrame, x: str, y: str, least: int = 100) -> DataFrame:
@@ -87,9 +85,10 @@ def response_diagnostics(df: DataFrame, x: str, y: str, least: int = 100) -> Dat
 
 def binned_medians(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """(bin, median) of y over quantile bins of x, closed on the right, equal edges once."""
-    edges = sorted(set(df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]))
+    edges = sorted(set(quantiles(df, x, [i / bins for i in range(bins + 1)]).first()[0]))
     place = sum(((F.col(x) > e).cast("int") for e in edges[1:-1]), F.lit(0))
-    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(place.alias("bin")).agg(F.percentile(y, 0.5).alias("median"))
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(place.alias("bin"), F.col(y).alias("_y"))
+    return quantiles(rows, "_y", [0.5], ["bin"]).select("bin", F.col("q")[0].alias("median"))
 
 
 def monotone_share(curve: DataFrame) -> DataFrame:

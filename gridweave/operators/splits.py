@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.order import numbered
+
 
 def manifest(frames: DataFrame, windows: DataFrame) -> DataFrame:
     """chunk_id, rows, core_rows, valid_rows, windows, core_start, core_end."""
@@ -84,8 +87,8 @@ def tail_split(n: int, share: float = 0.2) -> dict[str, tuple[int, int]]:
 def calibration_split(df: DataFrame, order: str, share: float = 0.4) -> DataFrame:
     """df with part: calibration for the first share of the distinct values of order, evaluation for the others."""
     values = df.select(order).distinct()
-    placed = values.withColumns({"_i": F.row_number().over(Window.orderBy(order)), "_n": F.count("*").over(Window.partitionBy())})
-    part = placed.select(order, F.when(F.col("_i") <= F.floor(F.col("_n") * share), "calibration").otherwise("evaluation").alias("part"))
+    cut = math.floor(values.count() * share)
+    part = numbered(values, [order], "_i").select(order, F.when(F.col("_i") < cut, "calibration").otherwise("evaluation").alias("part"))
     return df.join(part, order)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import unit_random
+from gridweave.operators.order import numbered, with_quantiles
 
 
 def window_index(frame: DataFrame, seq: int, pred: int, stride: int, seconds: int, valid: str = "valid_for_training", by: Sequence[str] = ("chunk_id",), core: str | None = "is_core") -> DataFrame:
@@ -47,15 +48,21 @@ def strided_windows(df: DataFrame, width: int, step: int, values: Sequence[str],
 def materialize(windows: DataFrame, frame: DataFrame, features: Sequence[str], seq: int, label: int, pred: int, seconds: int) -> DataFrame:
     """For each window and feature its seq_x (seq rows) and seq_y (label and pred rows).
 
-    Rows are reached by time, and each feature has arrays of its own, so a window of many features is many rows.
+    Rows are reached by time, and each feature has arrays of its own, so a window of many features is many rows. The
+    frame is cut in stretches of a window's length, each with the one after it; a window's rows are cut out of the
+    arrays of its stretch, so a row of the frame is shuffled twice however many windows have it.
     """
-    offsets = windows.select("chunk_id", F.col("input_start_time").alias("origin"), F.explode(F.sequence(F.lit(0), F.lit(seq + pred - 1))).alias("_k"))
-    offsets = offsets.withColumn("ts", F.timestamp_micros(F.unix_micros("origin") + F.col("_k").cast("long") * (seconds * 1_000_000)))
+    length, span = seq + pred, (seq + pred) * seconds
+    slot = lambda ts: F.unix_seconds(ts)
     long = frame.select("ts", F.explode(F.map_from_arrays(F.array(*(F.lit(f) for f in features)), F.array(*features))).alias("feature", "value"))
-    rows = offsets.join(long, "ts")
-    both = rows.groupBy("origin", "feature").agg(F.sort_array(F.collect_list(F.struct("_k", "value"))).alias("_r"))
-    values = F.transform("_r", lambda x: x["value"])
-    return both.select("origin", "feature", F.slice(values, 1, seq).alias("seq_x"), F.slice(values, seq - label + 1, label + pred).alias("seq_y"))
+    own = F.floor(slot("ts") / span)
+    near = long.withColumn("_b", F.explode(F.array(own, own - 1)))
+    stretches = near.groupBy("_b", "feature").agg(F.sort_array(F.collect_list(F.struct(slot("ts").alias("t"), "value"))).alias("_r"))
+    starts = windows.select(F.col("input_start_time").alias("origin"), F.floor(slot("input_start_time") / span).alias("_b"))
+    begin = slot("origin")
+    rows = F.filter("_r", lambda x: (x["t"] >= begin) & (x["t"] < begin + length * seconds) & (F.pmod(x["t"] - begin, F.lit(seconds)) == 0))
+    both = starts.join(stretches, "_b").withColumn("_v", F.transform(rows, lambda x: x["value"])).filter(F.size("_v") > 0)
+    return both.select("origin", "feature", F.slice("_v", 1, seq).alias("seq_x"), F.slice("_v", seq - label + 1, label + pred).alias("seq_y"))
 
 
 def trailing_range(value: Column, rows: int, by: Sequence[str], ts: str = "ts") -> Column:
@@ -150,25 +157,6 @@ def prefix_of(origins: DataFrame, series: DataFrame, length: int, origin: str =
 # Selections
 
 
-#: Ranges of rows that are numbered apart.
-RANGES = 200
-
-
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """df with each row's number (from 0) in the order, ascending, nulls first; no task has all rows.
-
-    Rows are dealt to ranges of the first column of order between collected bounds, at most RANGES of them.
-    """
-    first, kind = F.col(order[0]), df.schema[order[0]].dataType
-    bounds = df.agg(F.percentile_approx(order[0], [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
-    below = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in sorted(set(bounds)))), lambda b: b <= first)) if bounds else F.lit(0)
-    rows = df.withColumn("_range", F.when(first.isNull(), 0).otherwise(below))
-    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
-    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
-
-
 def linspace_sample(df: DataFrame, n: int, order: Sequence[str], total: int) -> DataFrame:
     """n rows evenly spaced over the total of df, first and last among them."""
     picks = df.sparkSession.range(n).select(F.expr(f"id * {total - 1} div {max(n - 1, 1)}").alias("_pos")).distinct()
@@ -196,8 +184,7 @@ def greedy_nonoverlap(windows: DataFrame, most: int, start: str = "start", end:
 
 def representative(df: DataFrame, value: str, q: float, by: Sequence[str], tie: str) -> DataFrame:
     """For each group the row whose value is nearest to its quantile q; ties go to the smallest tie."""
-    target = df.groupBy(*by).agg(F.percentile(value, q).alias("_q"))
-    near = df.join(target, list(by)).withColumn("_d", F.round(F.abs(F.col(value) - F.col("_q")), 9))
+    near = with_quantiles(df, value, {"_q": q}, by).withColumn("_d", F.round(F.abs(F.col(value) - F.col("_q")), 9))
     return near.groupBy(*by).agg(F.min_by(F.struct(tie, value), F.struct("_d", tie)).alias("_r")).select(*by, "_r.*")
 
 
@@ -209,8 +196,11 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def limit_samples(df: DataFrame, share: float, seed: int, *keys: str) -> DataFrame:
-    return df.filter(unit_random(seed, *keys) < share)
+def limit_samples(df: DataFrame, limit: float, seed: int, *keys: str) -> DataFrame:
+    """A random part of df that follows from seed and keys: limit rows if it is more than 1, else that share."""
+    if limit > 1:
+        return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(int(limit))
+    return df.filter(unit_random(seed, *keys) < limit)
 
 
 def limit_windows(manifest: DataFrame, most: int) -> DataFrame:

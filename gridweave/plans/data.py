@@ -263,9 +263,15 @@ def f30_block_mean(spark, d):
     return windows.block_mean(x, "value", 10, ["point_code", "c"]).withColumn("block", F.col("c") * 100_000 + F.col("block"))
 
 
-@query("id:i total:f kept:i", 'SELECT id, list_sum("values"[1:12]) AS total, 12 AS kept FROM samples')
+@query("id:i kept:i total:f", 'SELECT id, len(v) AS kept, list_sum(v) AS total FROM (SELECT id, "values"[1:len("values"):3] AS v FROM samples)')
+def f30_subsample(spark, d):
+    s = fx.samples(spark, d).withColumn("v", scalar.subsample(F.col("values"), 32, 3))
+    return s.select("id", F.size("v").alias("kept"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("id:i total:f kept:i", 'SELECT id, list_sum("values") AS total, len("values") AS kept FROM samples')
 def f31_pad(spark, d):
-    s = fx.samples(spark, d).withColumns({"p": scalar.pad_sequence(F.slice("values", 1, 12), 20), "m": scalar.pad_mask(F.slice("values", 1, 12), 20)})
+    s = fx.samples(spark, d).withColumns({"p": scalar.pad_sequence(F.col("values"), 80), "m": scalar.pad_mask(F.col("values"), 80)})
     return s.select("id", F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(F.filter("m", lambda x: x)).alias("kept"))
 
 
@@ -649,7 +655,7 @@ def w10_strided_windows(spark, d):
     return s.withColumn("total", F.aggregate("value_window", F.lit(0.0), lambda a, x: a + x))
 
 
-@query("id:i patches:i last:f", 'SELECT id, 4 AS patches, "values"[16] AS last FROM samples')
+@query("id:i patches:i last:f", 'SELECT id, (len("values") + 4 - 8) // 4 + 1 AS patches, "values"[len("values")] AS last FROM samples')
 def w11_patches(spark, d):
     s = fx.samples(spark, d).withColumn("p", scalar.patches(F.col("values"), 8, 4, 4))
     return s.select("id", F.size("p").alias("patches"), F.element_at(F.element_at("p", -1), -1).alias("last"))
@@ -678,9 +684,9 @@ def w16_w17_decompose(spark, d):
     return windows.decompose(fx.user_points(spark, d), "value", [3, 5], ["point_code"])
 
 
-@query("id:i first:f observed:i", 'SELECT id, CAST(0 AS DOUBLE) AS first, 16 AS observed FROM samples')
+@query("id:i first:f observed:i", 'SELECT id, CAST(0 AS DOUBLE) AS first, len("values") AS observed FROM samples')
 def w22_insample(spark, d):
-    s = fx.samples(spark, d).withColumn("w", windows.insample_window(F.col("values"), 20))
+    s = fx.samples(spark, d).withColumn("w", windows.insample_window(F.col("values"), 80))
     return s.select("id", F.get("w.values", F.lit(0)).alias("first"), F.aggregate("w.mask", F.lit(0), lambda a, x: a + x).alias("observed"))
 
 
@@ -720,9 +726,11 @@ def k07_worst(spark, d):
     return windows.worst_case(one, "mae", ["target"], "window_id")
 
 
-@query("n:i", None)
+@query("vec_id:i kind", None)
 def k09_limit_samples(spark, d):
-    return windows.limit_samples(fx.table(spark, d, "embeddings"), 0.3, 5, "vec_id").agg(F.count("*").alias("n"))
+    e = fx.table(spark, d, "embeddings").select("vec_id")
+    share = windows.limit_samples(e, 0.3, 5, "vec_id").withColumn("kind", F.lit("share"))
+    return share.unionByName(windows.limit_samples(e, 40, 5, "vec_id").withColumn("kind", F.lit("count")))
 
 
 @query("start_time:t end_time:t rows:i reason", f"SELECT DISTINCT start_time, end_time, rows, 'a' AS reason FROM ({_HIGH})")
@@ -760,17 +768,31 @@ def v02_history(spark, d):
     return quality.validate_history(h, SEQ, GRID).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("column problem", "SELECT code AS column, 'unexpected' AS problem FROM (SELECT DISTINCT event_type AS code FROM events) WHERE code NOT IN ('click', 'view') UNION ALL SELECT 'refund', 'missing_auxiliary' UNION ALL SELECT 'visit', 'missing' UNION ALL SELECT 'view', 'duplicate'")
+def v02_columns(spark, d):
+    """The columns that a table of histories would have, one twice, against two features that it has and two that it hasn't."""
+    codes = [r[0] for r in fx.points(spark, d).select("point_code").distinct().collect()]  # column names
+    return quality.validate_columns(spark, ["timestamp", *codes, "view"], ["click", "view", "refund", "visit"], ["refund"])
+
+
+fx.ORACLES["v02_columns"] = fx.ORACLES["v02_columns"].replace("SELECT code AS column", 'SELECT code AS "column"').replace("SELECT column AS column", 'SELECT "column" AS "column"')
+
+
 @query("bad:i", "SELECT 0 AS bad")
 def v03_windows(spark, d):
     return windows.validate_windows(fx.windows(spark, d), SEQ, PRED, GRID).agg(F.count("*").alias("bad"))
 
 
-@query("ts:t target status", """SELECT ts, point_code AS target, CASE WHEN value IS NULL THEN 'unavailable' WHEN n < 2.5 THEN 'degraded_persistence' WHEN value < 40 THEN 'short_horizon_corrected' ELSE 'model' END AS status FROM full_long JOIN
-    (SELECT ts, count(value) AS n FROM full_long GROUP BY 1) USING (ts)""")
+@query("ts:t target status", f"""WITH h AS (SELECT a.ts, a.point_code AS target, max(a.value) AS value, count(b.ts) AS n, count(b.value) AS m, max(b.value) - min(b.value) AS move FROM full_long a JOIN full_long b ON b.point_code = a.point_code AND b.ts <= a.ts AND epoch(b.ts) > epoch(a.ts) - {12 * GRID} GROUP BY 1, 2)
+    SELECT h.ts, target, CASE WHEN value IS NULL THEN 'unavailable' WHEN c < 0.5 OR 1 - m / n > 0.2 OR value > 200 THEN 'degraded_persistence' WHEN move < 60 THEN 'short_horizon_corrected' ELSE 'model' END AS status FROM h JOIN (SELECT ts, sum(m) / sum(n) AS c FROM h GROUP BY 1) USING (ts)""")
 def v04_status(spark, d):
-    w = fx.wide(spark, d).withColumn("coverage", quality.row_valid_rate(CODES))
-    x = w.unpivot(["ts", "coverage"], CODES, "target", "value")
-    return quality.guarded_status(x.withColumns({"current_missing": F.col("value").isNull(), "target_missing": F.lit(0.0), "output_finite": F.lit(True), "gated": F.col("value") < 40}))
+    """Statuses by what each instant's last twelve rows have; forecasts of more than 200 count as not finite."""
+    x = fx.full_long(spark, d)
+    back = windows.prefix_of(x.select("point_code", F.col("ts").alias("origin_ts")), x.select(F.col("point_code").alias("c"), "ts", "value"), 12 * GRID).filter("point_code = c")
+    h = back.groupBy(F.col("origin_ts").alias("ts"), F.col("point_code").alias("target")).agg(F.count("*").alias("n"), F.count("value").alias("m"), (F.max("value") - F.min("value")).alias("move"), F.max_by("value", "ts").alias("value"))
+    h = h.join(h.groupBy("ts").agg((F.sum("m") / F.sum("n")).alias("coverage")), "ts")
+    told = h.withColumns({"current_missing": F.col("value").isNull(), "target_missing": 1 - F.col("m") / F.col("n"), "output_finite": ~F.coalesce(F.col("value") > 200, F.lit(False)), "gated": F.coalesce(F.col("move") < 60, F.lit(False))})
+    return quality.guarded_status(told)
 
 
 @query("chunk_id:i valid_rows:i manifest_valid_rows:i", f"SELECT chunk_id, valid_rows, valid_rows + 1 AS manifest_valid_rows FROM ({_MANIFEST}) WHERE chunk_id % 2 = 0")
@@ -779,9 +801,9 @@ def v05_verify(spark, d):
     return quality.verify_counts(m, m.withColumn("valid_rows", F.col("valid_rows") + (F.col("chunk_id") % 2 == 0).cast("int")))
 
 
-@query("ragged:i min_length:i max_length:i lengths_differ", "SELECT count(*) FILTER (id % 3 = 0) AS ragged, 15 AS min_length, 16 AS max_length, true AS lengths_differ FROM samples")
+@query("ragged:i min_length:i max_length:i lengths_differ", 'SELECT count(*) FILTER (id % 3 = 0) AS ragged, min(len("values") - CAST(id % 3 = 0 AS INT)) AS min_length, max(len("values")) AS max_length, true AS lengths_differ FROM samples')
 def v06_lengths(spark, d):
-    s = fx.samples(spark, d).withColumn("other", F.slice("values", F.lit(1), 16 - (F.col("id") % 3 == 0).cast("int")))
+    s = fx.samples(spark, d).withColumn("other", F.slice("values", F.lit(1), F.size("values") - (F.col("id") % 3 == 0).cast("int")))
     return quality.length_audit(s, ["values", "other"])
 
 

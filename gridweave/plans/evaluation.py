@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +41,10 @@ def f21_decoder_input(spark, d):
     return h.withColumn("x", x).select("window_id", "target", F.size("x").alias("n"), F.element_at("x", -1).alias("last"), F.get("x", F.lit(0)).alias("first"))
 
 
-@query("id:i known:f hidden:f", 'SELECT id, "values"[16] AS known, list_avg("values"[1:12]) AS hidden FROM samples')
+@query("id:i known:f hidden:f", 'SELECT id, "values"[64] AS known, list_avg("values"[1:48]) AS hidden FROM samples')
 def f22_extended_input(spark, d):
     s = fx.samples(spark, d)
-    h, f = F.slice("values", 1, 12), F.slice("values", 13, 4)
+    h, f = F.slice("values", 1, 48), F.slice("values", 49, 16)
     return s.select("id", F.element_at(scalar.extended_input(h, f, 2, True), -1).alias("known"), F.element_at(scalar.extended_input(h, f, 2, False), -1).alias("hidden"))
 
 
@@ -67,13 +69,19 @@ def f24_bias_correct(spark, d):
     return forecast.bias_correct(f, f.groupBy("target", "horizon").agg(F.avg(F.col("yhat") - F.col("y")).alias("bias")), ["target", "horizon"])
 
 
-@query("window_id:i target horizon:i yhat:f gate:f", """SELECT f.window_id, f.target, horizon, CASE WHEN horizon < 3 THEN yhat + g * 0.5 * (1 + cos(pi() * horizon * 10 / 30)) * (y0 - yhat) ELSE yhat END AS yhat, g AS gate FROM fc f JOIN (
-    SELECT id, greatest(least(1 - greatest(list_max(h[34:63]) - list_min(h[34:63]), abs(h[63] - h[3])) / 1.2, 1), 0) AS g FROM (SELECT vec_id AS id, CAST(embedding[1:63] AS DOUBLE[]) AS h FROM embeddings)) s ON s.id = f.window_id % 101""")
+#: Seconds of points before an origin that make its gate's history.
+LOOK_BACK = 5 * 86_400
+
+
+@query("window_id:i target horizon:i yhat:g gate:f", f"""WITH h AS (SELECT window_id, target, list(value ORDER BY p.ts, value) AS h FROM (SELECT DISTINCT window_id, target, origin_ts FROM fc) k JOIN points p ON p.point_code = k.target AND p.ts <= k.origin_ts AND epoch_us(p.ts) > epoch_us(k.origin_ts) - {LOOK_BACK}000000 GROUP BY 1, 2),
+    g AS (SELECT window_id, target, CASE WHEN len(h) >= 61 AND list_count(h[-61:]) = 61 THEN greatest(least(1 - greatest(list_max(h[-30:]) - list_min(h[-30:]), abs(h[-1] - h[-61])) / 600, 1), 0) ELSE 0 END AS g FROM h)
+    SELECT f.window_id, f.target, horizon, CASE WHEN horizon < 3 THEN yhat + coalesce(g, 0) * 0.5 * (1 + cos(pi() * horizon * 10 / 30)) * (y0 - yhat) ELSE yhat END AS yhat, g AS gate FROM fc f LEFT JOIN g ON g.window_id = f.window_id AND g.target = f.target""")
 def f26_gated_shrink(spark, d):
+    """Each window's gate by the raw points of its own target up to its origin."""
     f = fx.fc(spark, d)
-    h = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 63).cast("array<double>").alias("history"))
-    keys = f.select("window_id", "target").distinct().withColumn("id", F.col("window_id") % 101).join(h, "id")
-    return forecast.gated_shrink(f.join(keys.select("window_id", "target"), ["window_id", "target"], "left_semi"), keys, 1.2, 30)
+    back = windows.prefix_of(f.select("window_id", "target", "origin_ts").distinct(), fx.points(spark, d), LOOK_BACK).filter("point_code = target")
+    history = back.groupBy("window_id", "target").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("history"))
+    return forecast.gated_shrink(f, history, 600.0, 30)
 
 
 @query("window_id:i target horizon:i yhat:f", """SELECT window_id, target, horizon, yhat + greatest(least(y0 - first_value(yhat) OVER (PARTITION BY window_id, target ORDER BY horizon), 5), -5) * exp(-(horizon - 1) / CAST(2 AS DOUBLE)) AS yhat FROM fc""")
@@ -229,6 +237,11 @@ def m15_jumps(spark, d):
     return metrics.jump_profile(fx.fc(spark, d), 3)
 
 
+@query("target mean_total_variation:f jump_1_to_2:f jump_3_to_4:f", f"SELECT target, sum(abs(j)) / count(*) FILTER (horizon = 1) AS mean_total_variation, avg(abs(j)) FILTER (horizon = 2) AS jump_1_to_2, avg(abs(j)) FILTER (horizon = 4) AS jump_3_to_4 FROM ({_DIFF}) GROUP BY 1")
+def m15_boundary_jumps(spark, d):
+    return metrics.boundary_jumps(fx.fc(spark, d), (1, 3))
+
+
 @query("target n:i mae:f", f"SELECT target, count(*) AS n, avg(abs{_E}) AS mae FROM fc WHERE y > 50 GROUP BY 1")
 def m16_masked_metrics(spark, d):
     return metrics.metrics(fx.fc(spark, d), ["target"], F.col("y") > 50)
@@ -335,8 +348,10 @@ def m28_bootstrap(spark, d):
     return calibrate.block_bootstrap(blocks, "day", 500, 11, lambda: 1 - F.sum("e") / F.sum("p"), ["target"])
 
 
-@query("origins:i differing:i", "SELECT count(*) AS origins, 0 AS differing FROM points")
+@query("kind origins:i differing:i", """WITH x AS (SELECT *, value AS v, lead(value) OVER (PARTITION BY point_code ORDER BY ts) AS ahead, row_number() OVER (PARTITION BY point_code ORDER BY ts) AS rn FROM points)
+    SELECT 'trailing' AS kind, count(*) AS origins, 0 AS differing FROM points UNION ALL SELECT 'looks_ahead', count(*), count(*) FILTER (ahead IS NOT NULL AND abs(greatest(v, ahead) - v) > 1e-9) FROM x""")
 def m29_causality(spark, d):
+    """A feature that only looks back, and one that looks a row ahead and must be found."""
     p = fx.points(spark, d).select("point_code", "ts", "value")
     full = p.withColumn("feature", windows.trailing_range(F.col("value"), 5, ["point_code"]))
     history = windows.prefix_of(p.select("point_code", F.col("ts").alias("origin_ts")), p.select("ts", "value", F.col("point_code").alias("c")), 3 * 86_400).filter("point_code = c")
@@ -344,7 +359,10 @@ def m29_causality(spark, d):
 
     last = history.withColumn("_r", F.row_number().over(Window.partitionBy("point_code", "origin_ts").orderBy(F.desc("ts")))).filter("_r <= 5")
     prefix = last.groupBy("point_code", F.col("origin_ts").alias("ts")).agg(F.when(F.count("value") == 5, F.max("value") - F.min("value")).alias("feature"))
-    return calibrate.causal_audit(full.select("point_code", "ts", "feature"), prefix, ["point_code", "ts"])
+    trailing = calibrate.causal_audit(full.select("point_code", "ts", "feature"), prefix, ["point_code", "ts"]).withColumn("kind", F.lit("trailing"))
+    ahead = p.withColumn("feature", F.greatest("value", F.lead("value").over(Window.partitionBy("point_code").orderBy("ts")))).select("point_code", "ts", "feature")
+    known = last.filter("_r = 1").select("point_code", F.col("origin_ts").alias("ts"), F.col("value").alias("feature"))
+    return trailing.unionByName(calibrate.causal_audit(ahead, known, ["point_code", "ts"]).withColumn("kind", F.lit("looks_ahead")))
 
 
 @query("target policy improvement:f", f"""SELECT target, arg_max(policy, struct_pack(i := round(improvement, 9), p := -CAST(policy[2:] AS INT))) AS policy, max(round(improvement, 9)) AS improvement FROM (SELECT target, 'a' || CAST(alpha * 100 AS INT) AS policy, 1 - sum(abs(y0 + alpha * (yhat - y0) - y)) / sum(abs(y0 - y)) AS improvement,
@@ -368,9 +386,9 @@ def m31_anomaly(spark, d):
     return metrics.anomaly_eval(rows, 20.0, ["user_id"])
 
 
-@query("n:i accuracy:f", 'SELECT count(*) AS n, avg(CAST(list_position("values"[1:10], list_max("values"[1:10])) - 1 = label AS INT)) AS accuracy FROM samples')
+@query("n:i accuracy:f", 'SELECT count(*) AS n, avg(CAST(list_position("values", list_max("values")) - 1 = label AS INT)) AS accuracy FROM samples')
 def m32_accuracy(spark, d):
-    return metrics.accuracy(fx.samples(spark, d).withColumn("s", F.slice("values", 1, 10)), "s", "label")
+    return metrics.accuracy(fx.samples(spark, d), "values", "label")
 
 
 # Regimes
@@ -425,25 +443,35 @@ def p01_score(spark, d):
     return jobs.score(_history(spark, d), _linear_model, PRED).select("window_id", "target", F.get("yhat", F.lit(0)).alias("first"))
 
 
+@query("window_id:i target horizon:i status yhat:f", f"""WITH h AS (SELECT window_id, target, [CASE WHEN x < 120 THEN x END FOR x IN history] AS h FROM ({_HISTORY})),
+    c AS (SELECT window_id, sum(list_count(h)) / sum(len(h)) AS c FROM h GROUP BY 1), z AS (SELECT *, [coalesce(x, 40) FOR x IN h] AS f FROM h JOIN c USING (window_id))
+    SELECT window_id, target, k AS horizon, s AS status, CASE s WHEN 'degraded_persistence' THEN h[6] WHEN 'model' THEN list_avg(f) + (2.5 + k) * list_sum([f[i] * (i - 3.5) for i in range(1, 7)]) / 17.5 END AS yhat
+    FROM (SELECT *, CASE WHEN h[6] IS NULL THEN 'unavailable' WHEN c < 0.5 OR 1 - list_count(h) / 6 > 0.2 THEN 'degraded_persistence' ELSE 'model' END AS s FROM z) CROSS JOIN range(1, {PRED + 1}) r(k)""")
+def p01_guarded(spark, d):
+    """Values of 120 and more count as missing; histories are too short for the gate."""
+    h = _history(spark, d).withColumn("history", F.transform("history", lambda x: F.when(x < 120, x)))
+    means = spark.createDataFrame([(c, 40.0) for c in CODES], "target string, mean double")
+    return jobs.guarded_score(h, _linear_model, PRED, means, GRID, 20.0, 3 * GRID)
+
+
 @query("label:i n:i", "SELECT a.label, count(*) AS n FROM samples a JOIN samples b ON a.label = b.label AND a.id < b.id GROUP BY 1")
 def j13_pairs(spark, d):
     return jobs.pairs(fx.samples(spark, d), "label").groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _with_prototype(spark, d):
-    """Each path with the first prototype of its class: as many pairs as paths."""
-    p = jobs.prototypes(fx.samples(spark, d), "label", 1, 3)
-    return p.filter(F.size("protos") > 0).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("values").alias("x"), F.get("protos", F.lit(0)).alias("y"))
+def _pairs(spark, d):
+    """Each path whose id is divisible by 20 with all others of its class."""
+    return jobs.pairs(fx.samples(spark, d), "label", queries=F.col("id") % 20 == 0)
 
 
-@query("a:i distance:f", None)
+@query("a:i b:i distance:f steps:i", None)
 def p02_dtw(spark, d):
-    return jobs.dtw_pairs(_with_prototype(spark, d), 4)
+    return jobs.dtw_pairs(_pairs(spark, d), 8, path=True).withColumn("steps", F.size("path"))
 
 
-@query("a:i distance:f", None)
+@query("a:i b:i distance:f", None)
 def p03_shape_dtw(spark, d):
-    return jobs.shape_dtw_pairs(_with_prototype(spark, d), 4)
+    return jobs.shape_dtw_pairs(_pairs(spark, d), 8)
 
 
 @query("target dtw:f", None)
@@ -451,15 +479,25 @@ def p04_dtw_metric(spark, d):
     return jobs.dtw_metric(fx.fc(spark, d), 2, 1.5)
 
 
-@query("id:i round:i tag n:i", None)
+def _told(df: DataFrame) -> DataFrame:
+    """What a path holds, as numbers: its length, mean, first, middle and last values and its spread."""
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
+    spread = F.aggregate(F.transform("values", lambda x: (x - mean) ** 2), F.lit(0.0), lambda a, x: a + x)
+    return df.withColumns({"n": F.size("values"), "mean": mean, "spread": spread, "first": F.get("values", F.lit(0)), "middle": F.get("values", F.lit(32)), "last": F.element_at("values", -1)})
+
+
+@query("id:i round:i tag n:i mean:f spread:f first:f middle:f last:f", None)
 def p05_augment(spark, d):
-    a = jobs.augment(fx.samples(spark, d), ["jitter", "scaling", "magnitude_warp", "time_warp", "window_slice", "window_warp"], 1, 2)
-    return a.withColumn("n", F.size("values"))
+    """Every augmentation alone, and a chain of three in two rounds."""
+    s = fx.samples(spark, d)
+    each = [jobs.augment(s, [op], 1) for op in jobs.AUGMENTATIONS]
+    return _told(reduce(DataFrame.unionByName, [*each, jobs.augment(s, ["jitter", "time_warp", "window_warp"], 1, 2)]))
 
 
-@query("id:i tag n:i", None)
+@query("id:i tag n:i mean:f spread:f first:f middle:f last:f", None)
 def p06_augment_guided(spark, d):
-    return jobs.augment_guided(fx.samples(spark, d), "label", "guided", 1).withColumn("n", F.size("values"))
+    s = fx.samples(spark, d)
+    return _told(reduce(DataFrame.unionByName, [jobs.augment_guided(s, "label", op, 1) for op in jobs.GUIDED]))
 
 
 @query("point_code statistic:f", None)

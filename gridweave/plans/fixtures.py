@@ -116,17 +116,20 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short paths with a class, out of the embeddings: id, label, values."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.slice("embedding", 1, 16).cast("array<double>").alias("values"))
+    """Paths with a class, out of the embeddings: id, label, values."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("values"))
 
 
 _root: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _root:
             _root.append("file://" + tempfile.mkdtemp(prefix="spark-gridweave-"))
         root = _root[0]
@@ -157,4 +160,4 @@ registry AS (SELECT c_custkey AS row_no, c_mktsegment AS model, CASE WHEN c_cust
   CASE WHEN c_custkey % 4 = 0 THEN 'chosen' END AS manual_role, CASE WHEN c_custkey % 11 = 0 THEN 'false' END AS include_manual FROM customer),
 specs AS (SELECT * FROM (SELECT *, coalesce(manual_model, model) AS chosen, coalesce(manual_role, 'role') AS role, row_number() OVER (PARTITION BY coalesce(manual_model, model), io_type, point_code ORDER BY row_no) AS rn
   FROM registry WHERE CASE WHEN include_manual IS NOT NULL THEN include_manual <> 'false' ELSE include_advice = '' END) WHERE rn = 1),
-samples AS (SELECT vec_id AS id, label, CAST(embedding[1:16] AS DOUBLE[]) AS "values" FROM embeddings)"""
+samples AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS "values" FROM embeddings)"""
