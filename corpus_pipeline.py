@@ -1,4 +1,11 @@
-"""A corpus from raw documents to packed sequences, stage by stage."""
+"""A corpus from raw documents to packed sequences, stage by stage.
+
+Quality rules drop null and empty texts and what has fewer than 50 words, so later stages have none. Exact and near
+dedup keep one row of each group, that of the smallest doc_id, rows without one last (exact) or only if all are (near);
+repeated rows are copies. A null source is a source. Texts are read whole, however long. Columns of documents, also
+others than the usual ones, pass all stages but the last as they are, whatever their names. An empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
