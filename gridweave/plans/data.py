@@ -100,9 +100,9 @@ def s12_point_coverage(spark, d):
 
 
 @query("model inputs:i outputs:i missing:i", f"""SELECT chosen AS model, count(*) FILTER (io_type = 'input') AS inputs, count(*) FILTER (io_type = 'output') AS outputs, count(*) FILTER (s.p IS NULL) AS missing
-    FROM specs LEFT JOIN (SELECT DISTINCT 'P' || s_nationkey AS p FROM supplier WHERE s_acctbal > 7000) s ON s.p = point_code WHERE chosen IN ({_IN}) GROUP BY 1""")
+    FROM specs LEFT JOIN (SELECT DISTINCT 'P' || s_nationkey AS p FROM supplier) s ON s.p = point_code WHERE chosen IN ({_IN}) GROUP BY 1""")
 def s13_inventory(spark, d):
-    there = fx.table(spark, d, "supplier").filter("s_acctbal > 7000").select(F.concat(F.lit("P"), "s_nationkey").alias("point_code"))
+    there = fx.table(spark, d, "supplier").select(F.concat(F.lit("P"), "s_nationkey").alias("point_code"))
     return io.variable_inventory(io.variable_specs(fx.registry(spark, d), MODELS), there)
 
 
@@ -137,10 +137,10 @@ def s17_write_scores(spark, d):
 # Expressions
 
 
-@query("event_id:i value:f", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND isfinite(value) AND value > 20")
+@query("event_id:i value:f", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND isfinite(value)")
 def f01_finite(spark, d):
     e = fx.table(spark, d, "events")
-    return e.filter(scalar.finite(F.col("value")) & (F.col("value") > 20)).select("event_id", "value")
+    return e.filter(scalar.finite(F.col("value"))).select("event_id", "value")
 
 
 @query("event_id:i value:f", "SELECT event_id, CASE WHEN value BETWEEN 5 AND 80 THEN value END AS value FROM events")
@@ -515,9 +515,10 @@ def a15_distribution(spark, d):
     return scale.distribution(fx.points(spark, d).withColumn("split", F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp"), "train").otherwise("test")), "value", "split")
 
 
-@query("point_code missing_share:f", "SELECT point_code, avg(CAST(value IS NULL AS INT)) AS missing_share FROM full_long WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
+@query("point_code part missing_share:f", "SELECT point_code, CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN 'test' ELSE 'train' END AS part, avg(CAST(value IS NULL AS INT)) AS missing_share FROM full_long GROUP BY 1, 2")
 def a16_missing_by(spark, d):
-    return quality.missing_by(fx.full_long(spark, d).filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp")), "point_code")
+    part = F.when(F.col("ts") >= F.lit("2024-01-10").cast("timestamp"), "test").otherwise("train")
+    return quality.missing_by(fx.full_long(spark, d).withColumn("part", part), "point_code", "part")
 
 
 @query("ts:t fraction:f", f"SELECT ts, sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in CODES)}) OVER (ORDER BY ts ROWS BETWEEN {SEQ - 1} PRECEDING AND CURRENT ROW) / {5 * SEQ} AS fraction FROM wide")
@@ -739,16 +740,16 @@ def u01_union_reports(spark, d):
     return intervals.union_reports([runs, runs.drop("duration_seconds").withColumn("duration_seconds", (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6)])
 
 
-@query("point_code problem", "SELECT point_code, 'missing' AS problem FROM (SELECT 'P' || n_nationkey AS point_code FROM nation EXCEPT SELECT 'P' || c_nationkey FROM customer WHERE c_acctbal > 9800) UNION ALL SELECT point_code, 'unexpected' FROM (SELECT DISTINCT 'P' || c_nationkey AS point_code FROM customer WHERE c_acctbal > 9800 EXCEPT SELECT 'P' || n_nationkey FROM nation)")
+@query("point_code problem", "SELECT point_code, 'missing' AS problem FROM (SELECT 'P' || n_nationkey AS point_code FROM nation EXCEPT SELECT 'P' || 2 * c_nationkey FROM customer) UNION ALL SELECT point_code, 'unexpected' FROM (SELECT DISTINCT 'P' || 2 * c_nationkey AS point_code FROM customer EXCEPT SELECT 'P' || n_nationkey FROM nation)")
 def u02_contract_diff(spark, d):
     want = fx.table(spark, d, "nation").select(F.concat(F.lit("P"), "n_nationkey").alias("point_code"))
-    have = fx.table(spark, d, "customer").filter("c_acctbal > 9800").select(F.concat(F.lit("P"), "c_nationkey").alias("point_code")).distinct()
+    have = fx.table(spark, d, "customer").select(F.concat(F.lit("P"), 2 * F.col("c_nationkey")).alias("point_code")).distinct()
     return quality.contract_diff(want, have)
 
 
-@query("point_code", "SELECT 'P' || c_nationkey AS point_code FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT 'P' || s_nationkey FROM supplier")
+@query("point_code", "SELECT 'P' || 2 * c_nationkey AS point_code FROM customer INTERSECT SELECT 'P' || s_nationkey FROM supplier")
 def u03_overlap(spark, d):
-    a = fx.table(spark, d, "customer").filter("c_acctbal > 9000").select(F.concat(F.lit("P"), "c_nationkey").alias("point_code"))
+    a = fx.table(spark, d, "customer").select(F.concat(F.lit("P"), 2 * F.col("c_nationkey")).alias("point_code"))
     return quality.overlap(a, fx.table(spark, d, "supplier").select(F.concat(F.lit("P"), "s_nationkey").alias("point_code")))
 
 
