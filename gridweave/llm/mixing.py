@@ -5,9 +5,10 @@ copies are certain. Of the words still due, a document's share is drawn with an
 its length (a power of its size); where that would be 1 or more the copy is certain, too, and the others'
 probabilities are raised until the words expected are the words due. A document longer than all that is due has
 probability 0. Among the others the random numbers decide: documents get the Pareto rank odds(u) / odds(p) of a random
-number u that follows from the document, and the first ones in that order are taken while they fit in. One last
-document of each source, that whose size is nearest to what is then open, rounds the sum. The cut in each source's
-order is found on sums over ever finer slices of the rank, so no source is sorted in one place.
+number u that follows from the document, and the first ones in that order are taken while they fit in. One or two last
+documents of each source round the sum: the longest that fits in what is then open, and the one nearest to what that
+leaves. The cut in each source's order is found on sums over ever finer slices of the rank, so no source is sorted in
+one place.
 """
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ def _key(seed: int) -> Column:
 
 
 SOURCE = ["_name", "_nameless"]
+ROUNDING = ["round0", "round1"]
 
 
 def _repeated(scratch: Scratch, rows: DataFrame) -> DataFrame:
@@ -122,10 +124,16 @@ def source_cuts(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], mos
     drawn = attach(_named(rows).select(*SOURCE, "size", "key"), cuts, SOURCE, "n", total).filter("size > 0 and size <= top")
     drawn = scratch.table(drawn.select(*SOURCE, "size", pareto_rank(_chance(power), F.col("key")).alias("rank"), F.col("aim").alias("due")), "drawn")
     cuts = scratch.table(cuts.join(_cut(scratch, drawn), SOURCE, "left").withColumn("open", F.coalesce("open", "aim", "rest")), "cut")
-    # The one document that rounds the sum, if any brings it nearer to what is due.
-    left = attach(_named(rows).select(*SOURCE, "size", "key"), cuts, SOURCE, "n", total).filter((F.col("open") > 0) & ~_drawn(power) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("open")))
-    rounding = left.groupBy(*SOURCE).agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("open")), "key")).alias("rounding"))
-    return scratch.table(cuts.join(rounding, SOURCE, "left"), "cuts")
+    # Documents that round the sum: the longest that fits in what is open, then the one nearest to what is open then.
+    left = scratch.table(attach(_named(rows).select(*SOURCE, "size", "key"), cuts.filter("open > 0"), SOURCE, "n", total).filter(~_drawn(power) & (F.col("size") > 0)).select(*SOURCE, "size", "key"), "undrawn")
+    for k, fits in enumerate((F.col("size") <= F.col("open"), F.col("size") < 2 * F.col("open"))):
+        here = attach(left, cuts.select(*SOURCE, "n", "open", *ROUNDING[:k]), SOURCE, "n", total).filter(fits)
+        for before in ROUNDING[:k]:
+            here = here.filter(~F.coalesce(F.col("key") == F.col(before), F.lit(False)))
+        nearest = here.groupBy(*SOURCE).agg(F.min_by(F.struct("key", "size"), F.struct(F.abs(F.col("size") - F.col("open")), "key")).alias("_near"))
+        cuts = cuts.join(nearest, SOURCE, "left").withColumns({ROUNDING[k]: F.col("_near.key"), "open": F.col("open") - F.coalesce("_near.size", F.lit(0))}).drop("_near")
+        cuts = scratch.table(cuts, f"cuts{k}")
+    return cuts
 
 
 def _cut(scratch: Scratch, inside: DataFrame) -> DataFrame:
@@ -159,7 +167,8 @@ def _drawn(power: float) -> Column:
 
 
 def _copies(power: float) -> Column:
-    return F.col("whole") + (_drawn(power) | F.coalesce(F.col("key") == F.col("rounding"), F.lit(False))).cast("long")
+    rounds = [F.coalesce(F.col("key") == F.col(r), F.lit(False)) for r in ROUNDING]
+    return F.col("whole") + (_drawn(power) | rounds[0] | rounds[1]).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, power: float = POWER, seed: int = SEED) -> DataFrame:

@@ -158,7 +158,7 @@ def test_mix_includes_as_often_as_it_should(spark):
         assert any(p == 1 for p in want) == (not even)
         assert len({round(p, 3) for p in want}) > 10
         apart = [taken[k] / (sources / 2) - p for k, p in enumerate(want)]
-        # One document a source rounds, so shares may be that much off beside chance.
+        # Two documents a source round, so shares may be that much off beside chance.
         assert max(map(abs, apart)) < 0.15
         assert sum(map(abs, apart)) / len(apart) < 0.05
 
