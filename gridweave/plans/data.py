@@ -242,10 +242,9 @@ def f36_clean_audit(spark, d):
     return quality.clean_audit(fx.full_long(spark, d))
 
 
-@query("point_code masked:i zeros_ok", None)
+@query("point_code ts:t masked value:f", None)
 def f28_mask_random(spark, d):
-    m = scalar.mask_random(fx.long(spark, d), "value", 0.25, 7, "point_code", "ts")
-    return m.groupBy("point_code").agg(F.count_if("masked").alias("masked"), F.every(~F.col("masked") | (F.col("value") == 0)).alias("zeros_ok"))
+    return scalar.mask_random(fx.long(spark, d), "value", 0.25, 7, "point_code", "ts")
 
 
 @query("point_code ts:t value:f", f"""SELECT point_code, ts, coalesce(value, av + (bv - av) * ((epoch_us(ts) - a_t) / nullif(b_t - a_t, 0)), av, bv) AS value FROM (

@@ -260,6 +260,15 @@ def test_limit_samples(spark):
     assert {r.id for r in windows.limit_samples(df, 0.3, 5, "id").collect()} == share
 
 
+def test_mask_random(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(400)], "id long, v double")
+    for r in scalar.mask_random(df, "v", 0.25, 5, "id").collect():
+        first = xxhash.xxh64(struct.pack("<i", 5), seed=42).intdigest()
+        out = xxhash.xxh64(struct.pack("<q", r.id), seed=first).intdigest()
+        masked = (out % (1 << 30)) / (1 << 30) <= 0.25
+        assert (r.masked, r.v) == (masked, 0.0 if masked else float(r.id))
+
+
 def test_greedy_nonoverlap(spark):
     rng = random.Random(8)
     rows = [(c, s, s + rng.randrange(3, 9)) for c in range(5) for s in sorted(rng.sample(range(200), 60))]
