@@ -83,7 +83,8 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     loss has, for each turn, start (from the turn's first code point) and length of what is trained on: assistant
     texts. Turns go by turn, then role and text, nulls first; null roles and texts are empty. Repeated rows are
-    turns of their own. Rows without conv_id are one conversation. identical tells that parsing gives the turns
+    turns of their own. Rows without conv_id are one conversation. A
+    conversation is one row, so it is in memory at once, texts of any length whole. identical tells that parsing gives the turns
     back; it is true for all. An empty table gives an empty result.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -390,7 +390,8 @@ def line_matches(docs: DataFrame, percent: int = PERCENT, key_rows: int = KEY_RO
     n_lines counts lines with a word; others are neither matched nor removed. removed has the places (from 0) of the
     lines that an earlier line matches, and n_links how many other classes the document's lines are linked with, each
     line counted. A null doc_id comes after all others; rows that repeat a doc_id are documents of their own, their
-    lines in an arbitrary order between them. Null texts have no lines. An empty table gives an empty result.
+    lines in an arbitrary order between them. Null texts have no lines; texts of any length are
+    read whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")

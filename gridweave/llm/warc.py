@@ -16,10 +16,11 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, attach
+from .scratch import Scratch, attach, portions
 
 #: An archive is closed at this many bytes; what is read at a time; compression level.
 ROLL, PIECE, LEVEL = 256 << 20, 1 << 16, 3
@@ -156,29 +157,30 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, store_once:
     later = (F.octet_length("html") >= store_once) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "html", F.when(later, F.col("first")).alias("refers_to"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written(archive: str, records: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([records], pa.int64())], ["archive", "records"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _opened(folder)
         system.create_dir(root, recursive=True)
         out, name, n, size = None, "", 0, 0
-        for batch in batches:
-            for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
+        for batch in portions(batches, "html"):
+            for page_id, url, html, refers_to in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = system.open_output_stream(f"{root}/{name}")
-                data = record(None if pd.isna(page_id) else int(page_id), url, html.encode(), None if pd.isna(refers_to) else int(refers_to))
+                data = record(page_id, url, html.encode(), refers_to)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ROLL:
                     out.close()
                     out = None
-                    yield pd.DataFrame({"archive": [f"{folder}/{name}"], "records": [n]})
+                    yield written(f"{folder}/{name}", n)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"archive": [f"{folder}/{name}"], "records": [n]})
+            yield written(f"{folder}/{name}", n)
 
-    # As text, ids come to pandas whole, nulls or not.
-    ids = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
-    return scratch.table(ids.mapInPandas(write, "archive string, records long"), "manifest")
+    return scratch.table(rows.mapInArrow(write, "archive string, records long"), "manifest")
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -215,8 +217,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html is an empty payload. Of equal payloads the smallest page_id is the response and the others revisit it;
-    rows that repeat that page_id are responses too, and so are equal payloads that have no page_id at all. An empty
-    table gives an empty result.
+    rows that repeat that page_id are responses too, and so are equal payloads that have no page_id at all. Payloads of
+    any length are written whole and read a piece at a time. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, f"{scratch.path}/archives", scratch))
