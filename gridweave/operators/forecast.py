@@ -59,12 +59,12 @@ def grid_apply(fc: DataFrame, values: Sequence[float], name: str = "alpha") -> D
 
 def blended(fc: DataFrame, weights: DataFrame) -> DataFrame:
     """yhat pulled towards y0 by weights (target, horizon, weight); no weight leaves it."""
-    joined = fc.join(F.broadcast(weights), ["target", "horizon"], "left")
+    joined = fc.join(weights, ["target", "horizon"], "left")
     return joined.withColumn("yhat", F.col("y0") + F.coalesce("weight", F.lit(1.0)) * (F.col("yhat") - F.col("y0"))).drop("weight")
 
 
 def bias_correct(fc: DataFrame, bias: DataFrame, keys: Sequence[str]) -> DataFrame:
-    joined = fc.join(F.broadcast(bias), list(keys), "left")
+    joined = fc.join(bias, list(keys), "left")
     return joined.withColumn("yhat", F.col("yhat") - F.coalesce("bias", F.lit(0.0))).drop("bias")
 
 

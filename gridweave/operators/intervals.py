@@ -76,7 +76,7 @@ def expand_mask_seconds(flag: Column, seconds: int, by: Sequence[str], ts: str =
 
 def low_share(long: DataFrame, cuts: DataFrame) -> DataFrame:
     """(ts, low_share): share of the candidate columns that are at or below their cut."""
-    return long.join(F.broadcast(cuts.select("point_code", "low_cut")), "point_code").groupBy("ts").agg(F.avg((F.coalesce("value", F.lit(float("inf"))) <= F.col("low_cut")).cast("int")).alias("low_share"))
+    return long.join(cuts.select("point_code", "low_cut"), "point_code").groupBy("ts").agg(F.avg((F.coalesce("value", F.lit(float("inf"))) <= F.col("low_cut")).cast("int")).alias("low_share"))
 
 
 def common_low(long: DataFrame, width: int, threshold: float, max_gap: int, min_duration: int, chunk: int, grid: int, least: int = 5, per_chunk: bool = False) -> DataFrame:

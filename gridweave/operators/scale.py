@@ -22,13 +22,13 @@ def drop_near_constant(scaler: DataFrame, keep: Sequence[str], limit: float = 1e
 
 
 def apply_scaler(long: DataFrame, scaler: DataFrame) -> DataFrame:
-    joined = long.join(F.broadcast(scaler.select("feature", "mean", "scale")), "feature")
+    joined = long.join(scaler.select("feature", "mean", "scale"), "feature")
     return joined.withColumn("z", standardize(F.col("value"), F.col("mean"), F.col("scale")))
 
 
 def apply_missing_policy(long: DataFrame, scaler: DataFrame, sparse: Sequence[str]) -> DataFrame:
     """Registered sparse features are their training mean everywhere, so 0 once scaled."""
-    joined = long.join(F.broadcast(scaler.select("feature", "mean")), "feature")
+    joined = long.join(scaler.select("feature", "mean"), "feature")
     return joined.withColumn("value", F.when(F.col("feature").isin(list(sparse)), F.col("mean")).otherwise(F.col("value"))).drop("mean")
 
 
@@ -57,7 +57,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, n: int, *by: s
     inside = df.filter(F.col(value).between(low, high))
     counts = inside.groupBy(*by, bin_no.alias("bin")).agg(F.count("*").alias("_n"))
     total = inside.groupBy(*by).agg(F.count("*").alias("_all"))
-    return counts.join(F.broadcast(total), list(by)).select(*by, "bin", (F.col("_n") / (F.col("_all") * ((high - low) / n))).alias("density"))
+    return counts.join(total, list(by)).select(*by, "bin", (F.col("_n") / (F.col("_all") * ((high - low) / n))).alias("density"))
 
 
 def tertile_cuts(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -97,7 +97,7 @@ def select_chunks(df: DataFrame, chunks: DataFrame, gap: int = 1) -> DataFrame:
     placed = chunks.select("chunk_id").distinct().withColumns({"_i": F.row_number().over(Window.orderBy("chunk_id")), "_n": F.count("*").over(Window.partitionBy())})
     half = F.floor(F.col("_n") / 2)
     part = F.when(F.col("_i") <= half, "calibration").when(F.col("_i") > half + gap, "replication")
-    return df.join(F.broadcast(placed.select("chunk_id", part.alias("part")).filter("part is not null")), "chunk_id")
+    return df.join(placed.select("chunk_id", part.alias("part")).filter("part is not null"), "chunk_id")
 
 
 def validate_splits(chunks: DataFrame, splits: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def prefix_of(origins: DataFrame, series: DataFrame, length: int, origin: str =
 def linspace_sample(df: DataFrame, n: int, order: Sequence[str], total: int) -> DataFrame:
     """n rows evenly spaced over the total of df, first and last among them."""
     picks = df.sparkSession.range(n).select(F.expr(f"id * {total - 1} div {max(n - 1, 1)}").alias("_pos")).distinct()
-    return numbered(df, order, "_pos").join(F.broadcast(picks), "_pos", "left_semi").drop("_pos")
+    return numbered(df, order, "_pos").join(picks, "_pos", "left_semi").drop("_pos")
 
 
 def stride_sample(df: DataFrame, stride: int, by: Sequence[str], order: str) -> DataFrame:

@@ -365,13 +365,23 @@ def m29_causality(spark, d):
     return trailing.unionByName(calibrate.causal_audit(ahead, known, ["point_code", "ts"]).withColumn("kind", F.lit("looks_ahead")))
 
 
-@query("target policy improvement:f", f"""SELECT target, arg_max(policy, struct_pack(i := round(improvement, 9), p := -CAST(policy[2:] AS INT))) AS policy, max(round(improvement, 9)) AS improvement FROM (SELECT target, 'a' || CAST(alpha * 100 AS INT) AS policy, 1 - sum(abs(y0 + alpha * (yhat - y0) - y)) / sum(abs(y0 - y)) AS improvement,
-    sqrt(sum((y0 + alpha * (yhat - y0) - y) ** 2)) / sqrt(sum((y0 - y) ** 2)) AS rmse_ratio FROM fc CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(alpha) GROUP BY 1, alpha) WHERE improvement > 0 AND rmse_ratio <= 1.02 GROUP BY 1""")
+@query("target policy improvement:f", """WITH r AS (SELECT target, alpha, CAST(origin_ts AS DATE) AS day, horizon <= 2 AS early, y0 + alpha * (yhat - y0) - y AS e, y0 - y AS p, sign(alpha * (yhat - y0)) = sign(y - y0) AS d1, sign(yhat - y0) = sign(y - y0) AS d0 FROM fc CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(alpha)),
+    a AS (SELECT target, alpha, 1 - sum(abs(e)) / sum(abs(p)) AS improvement, sqrt(sum(e * e)) / sqrt(sum(p * p)) AS rmse_ratio, avg(CAST(d1 AS INT)) - avg(CAST(d0 AS INT)) AS turned FROM r GROUP BY 1, 2),
+    g AS (SELECT target, alpha, max(q) AS worst FROM (SELECT target, alpha, early, sum(abs(e)) / sum(abs(p)) AS q FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    t AS (SELECT target, alpha, count(*) AS days, count(*) FILTER (e <= p) AS good FROM (SELECT target, alpha, day, sum(abs(e)) AS e, sum(abs(p)) AS p FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT target, arg_max('a' || CAST(alpha * 100 AS INT), struct_pack(i := round(improvement, 9), p := -alpha)) AS policy, max(round(improvement, 9)) AS improvement FROM a JOIN g USING (target, alpha) JOIN t USING (target, alpha)
+    WHERE improvement > 0 AND rmse_ratio <= 1.02 AND turned >= -0.01 AND worst <= 1.02 AND 2 * good >= days GROUP BY 1""")
 def m30_policies(spark, d):
+    """Blends judged by error, direction, the worse half of the horizons, and days."""
     g = forecast.grid_apply(fx.fc(spark, d), [0.25, 0.5, 0.75])
-    e, p = scalar.blend(F.col("y0"), F.col("yhat"), F.col("alpha")) - F.col("y"), F.col("y0") - F.col("y")
-    rows = g.groupBy("target", F.concat(F.lit("a"), (F.col("alpha") * 100).cast("int")).alias("policy")).agg((1 - F.sum(F.abs(e)) / F.sum(F.abs(p))).alias("improvement"), (F.sqrt(F.sum(e * e)) / F.sqrt(F.sum(p * p))).alias("rmse_ratio"))
-    return calibrate.select_policy(rows.withColumns({"direction_change": F.lit(0.0), "worst_group_ratio": F.lit(1.0), "days": F.lit(2), "days_not_worse": F.lit(1)}), ["target"])
+    yhat = scalar.blend(F.col("y0"), F.col("yhat"), F.col("alpha"))
+    right = lambda c: (F.sign(c - F.col("y0")) == F.sign(F.col("y") - F.col("y0"))).cast("int")
+    rows = g.select("target", F.concat(F.lit("a"), (F.col("alpha") * 100).cast("int")).alias("policy"), F.to_date("origin_ts").alias("day"), (F.col("horizon") <= 2).alias("early"), (yhat - F.col("y")).alias("e"), (F.col("y0") - F.col("y")).alias("p"), right(yhat).alias("d1"), right(F.col("yhat")).alias("d0"))
+    keys, ratio = ["target", "policy"], F.sum(F.abs("e")) / F.sum(F.abs("p"))
+    whole = rows.groupBy(*keys).agg((1 - ratio).alias("improvement"), (F.sqrt(F.sum(F.col("e") * F.col("e"))) / F.sqrt(F.sum(F.col("p") * F.col("p")))).alias("rmse_ratio"), (F.avg("d1") - F.avg("d0")).alias("direction_change"))
+    groups = rows.groupBy(*keys, "early").agg(ratio.alias("q")).groupBy(*keys).agg(F.max("q").alias("worst_group_ratio"))
+    days = rows.groupBy(*keys, "day").agg(F.sum(F.abs("e")).alias("e"), F.sum(F.abs("p")).alias("p")).groupBy(*keys).agg(F.count("*").alias("days"), F.count_if(F.col("e") <= F.col("p")).alias("days_not_worse"))
+    return calibrate.select_policy(whole.join(groups, keys).join(days, keys), ["target"])
 
 
 _ANOMALY = "SELECT event_id, user_id, ts, value AS score, CAST(event_type = 'error' AS INT) AS label, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'train' ELSE 'test' END AS part FROM events"

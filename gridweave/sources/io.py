@@ -32,7 +32,7 @@ def explode_models(df: DataFrame, aliases: DataFrame, column: str = "model") ->
     """One row a model named in the cell, aliases (alias, model) mapped, unknown names kept."""
     names = df.withColumn("_name", F.explode(F.split(F.coalesce(column, F.lit("")), "[，、/,]")))
     names = names.withColumn("_name", clean_text(F.col("_name"))).filter("_name <> ''")
-    mapped = names.join(F.broadcast(aliases.select(F.col("alias").alias("_name"), F.col("model").alias("_model"))), "_name", "left")
+    mapped = names.join(aliases.select(F.col("alias").alias("_name"), F.col("model").alias("_model")), "_name", "left")
     return mapped.withColumn(column, F.coalesce("_model", "_name")).drop("_name", "_model")
 
 
