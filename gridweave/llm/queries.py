@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, repair, toxicity, url_filter, warc
+from . import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, repair, spelling, toxicity, url_filter, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_warc, op6_near_dedup, op7_chat, op8_line_dedup, op9_url_filter, op10_packing, op11_repair)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_warc, op6_near_dedup, op7_chat, op8_line_dedup, op9_url_filter, op10_packing, op11_repair, op12_spelling)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""

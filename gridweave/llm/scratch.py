@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -107,6 +107,17 @@ def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             begin = end
 
 
+def split_bytes(texts: pa.Array, clean: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The text that each word is in and the words, dictionary encoded; clean makes spaces of the bytes that are in no word."""
+    texts = texts.cast(pa.large_string())
+    validity, ends, data = texts.buffers()
+    data = pa.py_buffer(clean(np.frombuffer(data, np.uint8)) if data is not None and data.size else b"")
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), [validity, ends, data], offset=texts.offset))
+    owner, words = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    return owner[real.to_numpy(zero_copy_only=False)], words.filter(real).dictionary_encode()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, column: str | None = None, most: int = 0) -> Iterator[pa.Table]:
     """Rows that come sorted by integer keys, in tables of whole groups: of at most rows rows and most bytes in column, or of one group."""
     held: list[pa.RecordBatch] = []
