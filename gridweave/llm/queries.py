@@ -106,7 +106,7 @@ ORACLES: dict[str, str] = {
             SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
             FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM words, (SELECT DISTINCT n FROM item_windows) WHERE kind = 'd' AND len(w) >= n)),
         hits AS MATERIALIZED (SELECT r, k, p.n, item_id FROM places p JOIN item_windows i ON p.win = i.win AND p.n = i.n),
-        hit_words AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS at FROM hits) GROUP BY r),
+        hit_words AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM hits) GROUP BY r),
         items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
         SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
