@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import unit_random
 from gridweave.operators.forecast import grid_apply
-from gridweave.operators.order import quantiles, with_quantiles
+from gridweave.operators.order import counted, quantiles_of
 from gridweave.operators.splits import calibration_split
+from gridweave.sources.scratch import written
 
 
 def calibrate_intervals(fc: DataFrame, share: float = 0.4, level: float = 0.9) -> DataFrame:
     """For each target and horizon residual quantiles of the first windows, and what they cover of the others."""
-    parts = calibration_split(fc, "window_id", share).withColumn("_r", F.col("y") - F.col("yhat"))
-    tail = (1 - level) / 2
-    rest = with_quantiles(parts.filter("part = 'evaluation'"), "_r", {"low": tail, "high": 1 - tail}, ["target", "horizon"], parts.filter("part = 'calibration'")).filter("low is not null")
-    inside = F.col("_r").between(F.col("low"), F.col("high"))
-    return rest.groupBy("target", "horizon").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.avg(inside.cast("int")).alias("coverage"), F.max(F.col("high") - F.col("low")).alias("width"))
+    # fc is read once: what follows needs residuals only, and of those how often each occurs.
+    residuals = written(fc.select("target", "horizon", "window_id", (F.col("y") - F.col("yhat")).alias("_r")), "residuals")
+    keys, tail = ["target", "horizon"], (1 - level) / 2
+    counts = counted(calibration_split(residuals, "window_id", share), {"_r": "_r"}, ["part", *keys])
+    bounds = quantiles_of(counts.filter("part = 'calibration'"), {"_r": [tail, 1 - tail]}, keys).select(*keys, F.col("_r")[0].alias("low"), F.col("_r")[1].alias("high"))
+    rest = counts.filter("part = 'evaluation'").join(bounds, keys)
+    inside = F.when(F.col("_v").between(F.col("low"), F.col("high")), F.col("_n")).otherwise(0)
+    return rest.groupBy(*keys).agg(F.max("low").alias("low"), F.max("high").alias("high"), (F.sum(inside) / F.sum("_n")).alias("coverage"), F.max(F.col("high") - F.col("low")).alias("width"))
 
 
 def _clip(c: Column) -> Column:
@@ -78,8 +82,8 @@ def fit_ridge(fc: DataFrame, features: Sequence[str], lambdas: Sequence[float] =
 def fit_offset(fc: DataFrame) -> DataFrame:
     """(target, bias, limit): median residual, and the 99 % quantile of its size."""
     r = F.col("y") - F.col("yhat")
-    bias, limit = quantiles(fc, r, [0.5], ["target"]), quantiles(fc, F.abs(r), [0.99], ["target"])
-    return bias.select("target", F.col("q")[0].alias("bias")).join(limit.select("target", F.col("q")[0].alias("limit")), "target")
+    found = quantiles_of(counted(fc, {"bias": r, "limit": F.abs(r)}, ["target"]), {"bias": [0.5], "limit": [0.99]}, ["target"])
+    return found.select("target", F.col("bias")[0].alias("bias"), F.col("limit")[0].alias("limit"))
 
 
 def block_bootstrap(blocks: DataFrame, key: str, draws: int, seed: int, statistic: Callable[[], Column], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:

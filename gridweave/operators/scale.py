@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import standardize
-from gridweave.operators.order import quantiles, running, with_quantiles
+from gridweave.operators.order import _summed, counted, in_ranges, quantiles, quantiles_of, with_quantiles
+from gridweave.sources.scratch import written
 
 
 def fit_scaler(long: DataFrame) -> DataFrame:
@@ -64,20 +65,21 @@ def tertile_cuts(df: DataFrame, value: str, *by: str) -> DataFrame:
     return quantiles(df, value, [1 / 3, 2 / 3], by).select(*by, F.col("q")[0].alias("low_cut"), F.col("q")[1].alias("high_cut"))
 
 
-def average_rank(values: DataFrame, value: str) -> DataFrame:
-    """(value, rank): the mean place of each distinct value among all rows.
+def average_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(_value, _v, rank): the mean place of each distinct value of each of columns among all rows.
 
-    Only distinct values are ordered; their counts carry the ties.
+    Only distinct values are ordered; their counts carry the ties. values are read once.
     """
-    counts = running(values.groupBy(value).agg(F.count("*").alias("_n")), value, F.col("_n"), "_less")
-    return counts.select(value, (F.col("_less") + (F.col("_n") + 1) / 2).alias("rank"))
+    counts = _summed(counted(values, {c: c for c in columns}), "_v", "_n", "_less", ["_value"])
+    return counts.select("_value", "_v", (F.col("_less") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def response_diagnostics(df: DataFrame, x: str, y: str, least: int = 100) -> DataFrame:
     """rows, pearson, spearman and status of one control and response."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    rx, ry = average_rank(both, x).withColumnRenamed("rank", "_rx"), average_rank(both, y).withColumnRenamed("rank", "_ry")
-    ranked = both.join(rx, x).join(ry, y)
+    ranks = written(average_ranks(both, [x, y]), "ranks")
+    of = lambda name, c: ranks.filter(F.col("_value") == name).select(F.col("_v").alias(f"{c}_v"), F.col("rank").alias(c))
+    ranked = both.join(of(x, "_rx"), F.col(x).cast("double") == F.col("_rx_v")).join(of(y, "_ry"), F.col(y).cast("double") == F.col("_ry_v"))
     out = ranked.agg(F.count("*").alias("rows"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
     few = F.col("rows") < least
     return out.select("rows", F.when(~few, F.col("pearson")).alias("pearson"), F.when(~few, F.col("spearman")).alias("spearman"), F.when(few, "too_few_rows").otherwise("ok").alias("status"))
@@ -85,10 +87,12 @@ def response_diagnostics(df: DataFrame, x: str, y: str, least: int = 100) -> Dat
 
 def binned_medians(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """(bin, median) of y over quantile bins of x, closed on the right, equal edges once."""
-    edges = sorted(set(quantiles(df, x, [i / bins for i in range(bins + 1)]).first()[0]))
-    place = sum(((F.col(x) > e).cast("int") for e in edges[1:-1]), F.lit(0))
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(place.alias("bin"), F.col(y).alias("_y"))
-    return quantiles(rows, "_y", [0.5], ["bin"]).select("bin", F.col("q")[0].alias("median"))
+    pairs = written(df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_k")), "pairs")
+    found = quantiles_of(in_ranges(pairs.groupBy(F.lit("_x").alias("_value"), F.col("_x").alias("_v")).agg(F.sum("_k").alias("_n")), ["_value", "_v"]), {"_x": [i / bins for i in range(bins + 1)]}).first()
+    edges = sorted(set(found[0])) if found else []
+    place = sum(((F.col("_x") > e).cast("int") for e in edges[1:-1]), F.lit(0))
+    counts = pairs.filter("_y is not null").groupBy(place.alias("bin"), F.lit("_y").alias("_value"), F.col("_y").alias("_v")).agg(F.sum("_k").alias("_n"))
+    return quantiles_of(in_ranges(counts, ["bin", "_value", "_v"]), {"_y": [0.5]}, ["bin"]).select("bin", F.col("_y")[0].alias("median"))
 
 
 def monotone_share(curve: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
@@ -464,7 +464,7 @@ def d02_purge(spark, d):
 
 @query("split n:i", "SELECT split, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM wide) w JOIN (VALUES ('train'), ('val'), ('test')) s(split) ON CASE split WHEN 'train' THEN p < CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) WHEN 'test' THEN p >= n - CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) - 6 ELSE p >= CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) - 6 AND p < n - CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) END GROUP BY 1")
 def d03_ratio_split(spark, d):
-    w = fx.wide(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("ts")) - 1)  # one row a grid instant
+    w = windows.numbered(fx.wide(spark, d).select("ts"), ["ts"], "pos")
     return splits.in_ranges(w, splits.ratio_split(w.count(), SEQ), "pos").groupBy("split").agg(F.count("*").alias("n"))
 
 
@@ -564,10 +564,9 @@ def a25_tertiles(spark, d):
 
 @query("bin:i first_ts:t valid:f", "SELECT (rn - 1) * 20 // n AS bin, min(ts) AS first_ts, avg(CAST(valid_for_training AS INT)) AS valid FROM (SELECT *, row_number() OVER (ORDER BY ts) AS rn, count(*) OVER () AS n FROM frame) GROUP BY 1")
 def a26_timeline(spark, d):
-    f = fx.frame(spark, d)
+    f = windows.numbered(fx.frame(spark, d).select("ts", "valid_for_training"), ["ts"], "pos")
     n = f.count()
-    pos = F.row_number().over(Window.orderBy("ts")) - 1  # one row a grid instant
-    return f.withColumn("bin", F.expr("0") + F.floor(pos * 20 / n)).groupBy("bin").agg(F.min("ts").alias("first_ts"), F.avg(F.col("valid_for_training").cast("int")).alias("valid"))
+    return f.withColumn("bin", F.floor(F.col("pos") * 20 / F.lit(n))).groupBy("bin").agg(F.min("ts").alias("first_ts"), F.avg(F.col("valid_for_training").cast("int")).alias("valid"))
 
 
 @query("point_code constant_ratio:f", f"SELECT point_code, constant_ratio FROM ({_QUALITY.format(src=_USERS)}) ORDER BY constant_ratio DESC, point_code LIMIT 12")

@@ -7,8 +7,6 @@ around the SQL, so both sides have the same names and types.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from gridweave.operators.forecast import forecasts
 from gridweave.operators.grid import halo_chunks, resample, to_wide
 from gridweave.operators.windows import window_index
+from gridweave.sources.scratch import folder
 
 CODES = ["click", "error", "purchase", "signup", "view"]
 GRID, SEQ, PRED, CHUNK = 7200, 6, 4, 432_000
@@ -120,22 +119,6 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("values"))
 
 
-_root: list[str] = []
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset and all runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _root:
-            _root.append("file://" + tempfile.mkdtemp(prefix="spark-gridweave-"))
-        root = _root[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _ALL = " AND ".join(f"{c} IS NOT NULL" for c in CODES)
 _D = GRID * 1_000_000
 BASE = f"""
@@ -146,10 +129,10 @@ long AS (SELECT point_code, make_timestamp(b) AS ts, round(avg(value), 6) AS val
 wide AS (SELECT ts, {', '.join(f"max(CASE WHEN point_code = '{c}' THEN value END) AS {c}" for c in CODES)} FROM long GROUP BY ts),
 frame AS (SELECT *, ({_ALL}) AS valid_for_training FROM wide),
 full_long AS ({' UNION ALL '.join(f"SELECT ts, '{c}' AS point_code, {c} AS value FROM wide" for c in CODES)}),
-win AS (SELECT * FROM (SELECT ts AS input_start_time, lead(ts, {SEQ - 1}) OVER o AS input_end_time, lead(ts, {SEQ}) OVER o AS target_start_time, lead(ts, {LENGTH - 1}) OVER o AS target_end_time,
+win AS MATERIALIZED (SELECT * FROM (SELECT ts AS input_start_time, lead(ts, {SEQ - 1}) OVER o AS input_end_time, lead(ts, {SEQ}) OVER o AS target_start_time, lead(ts, {LENGTH - 1}) OVER o AS target_end_time,
   sum(CAST(valid_for_training AS INT)) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING) AS nv, row_number() OVER o - 1 AS pos FROM frame WINDOW o AS (ORDER BY ts))
   WHERE nv = {LENGTH} AND epoch(target_end_time) - epoch(input_start_time) = {(LENGTH - 1) * GRID}),
-fc AS (SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, w.input_end_time AS origin_ts, a.point_code AS target, CAST(h.h AS BIGINT) AS horizon, b.ts, b.value AS y,
+fc AS MATERIALIZED (SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, w.input_end_time AS origin_ts, a.point_code AS target, CAST(h.h AS BIGINT) AS horizon, b.ts, b.value AS y,
   round((a.value + l1.value + l2.value) / 3, 6) AS yhat, a.value AS y0
   FROM win w JOIN full_long a ON a.ts = w.input_end_time CROSS JOIN range(1, {PRED + 1}) AS h(h)
   JOIN full_long b ON b.point_code = a.point_code AND b.ts = w.input_end_time + to_seconds(h.h * {GRID})

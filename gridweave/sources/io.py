@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import clean_text, effective, finite, is_excluded
+from gridweave.operators.order import counted, quantiles_of
 
 
 def read_points(spark: SparkSession, root: str, codes: Sequence[str] | None = None) -> DataFrame:
@@ -142,8 +143,11 @@ def source_cache_audit(raw: DataFrame, cached: DataFrame, since) -> DataFrame:
     """For each point: last time and finite rows of the source, negative share and median of the cache."""
     good = finite(F.col("value"))
     a = raw.filter(F.col("ts") >= F.lit(since).cast("timestamp")).groupBy("point_code").agg(F.max("ts").alias("source_last"), F.count_if(good).alias("source_finite"))
-    b = cached.filter(F.col("value").isNotNull()).groupBy("point_code").agg((F.count_if(F.col("value") < 0) / F.count("*")).alias("negative_share"), F.percentile("value", 0.5).alias("median"))
-    return a.join(b, "point_code", "full")
+    b = cached.filter(F.col("value").isNotNull())
+    counts = counted(b, {"value": "value"}, ["point_code"])
+    shares = counts.groupBy("point_code").agg((F.sum(F.when(F.col("_v") < 0, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("negative_share"))
+    median = quantiles_of(counts, {"value": [0.5]}, ["point_code"]).select("point_code", F.col("value")[0].alias("median"))
+    return a.join(shares.join(median, "point_code"), "point_code", "full")
 
 
 def scored(df: DataFrame, columns: Sequence[str] = ("final", "raw")) -> DataFrame:
