@@ -26,6 +26,8 @@ from .scratch import Scratch, attach, portions, split_bytes
 
 #: Words of a window (the contract's), of a shingle, and hash cells, of which there is a power of two.
 SIZE, SHINGLE, CELLS = 10, 3, 1 << 22
+#: Bytes of text that a task looks at together, at most, or one text.
+PORTION = 1 << 20
 
 #: Bytes of UTF-8: A-Z as a-z; what is ASCII and neither letter nor digit parts words.
 PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -36,10 +38,9 @@ class Words:
 
     def __init__(self, texts: pa.Array):
         owner, self.words = split_bytes(texts, lambda data: PLAIN[data])
-        self.ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
-        self.begins = np.searchsorted(owner, np.arange(len(texts)), side="left")
-        self.text_end = self.ends[owner]
-        self.text_begin = self.begins[owner]
+        self.owner = owner.astype(np.int32)
+        self.ends = np.searchsorted(self.owner, np.arange(len(texts)), side="right")
+        self.begins = np.searchsorted(self.owner, np.arange(len(texts)), side="left")
         names = self.words.dictionary.to_numpy(zero_copy_only=False).astype(object)
         own = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, "u8")
         self.hashes = own[self.words.indices.to_numpy()]
@@ -68,7 +69,7 @@ def _windows(benchmark: DataFrame, size: int, cells: int) -> DataFrame:
     """(item, window, length, tokens): each window of each item, with cell and hash of its shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in portions(batches, most=PORTION):
             words = Words(batch["text"])
             n = words.ends - words.begins
             for length in np.unique(np.minimum(n[n > 0], size)).tolist():
@@ -91,13 +92,13 @@ def _rarity(texts: DataFrame, cells: np.ndarray, sizes: list[int], every: int) -
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flagged, n = shared.value, np.zeros(len(shared.value[1]), np.int64)
-        for batch in portions(batches):
+        for batch in portions(batches, most=PORTION):
             words = Words(batch["text"])
-            at = np.arange(len(words.hashes))
             for k in sizes:
                 cell = _cell(words.shingles(k), every)
-                cell = cell[flagged[0][cell] & (at + k <= words.text_end)]
-                n += np.bincount(np.searchsorted(flagged[1], cell), minlength=len(n))
+                hit = np.flatnonzero(flagged[0][cell])
+                hit = hit[hit + k <= words.ends[words.owner[hit]]]
+                n += np.bincount(np.searchsorted(flagged[1], cell[hit]), minlength=len(n))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(flagged[1][some]), pa.array(n[some])], ["cell", "n"])
 
@@ -134,25 +135,23 @@ def _candidates(texts: DataFrame, masks: dict[int, tuple[int, np.ndarray]], cell
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
-        for batch in portions(batches):
+        for batch in portions(batches, most=PORTION):
             words = Words(batch["text"])
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(words.ends - words.begins), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string())], names)
-            at = np.arange(len(words.hashes))
             made = {k: _cell(words.shingles(k), cells) for k in {k for k, _ in shared.value.values()}}
             for length, (k, table) in shared.value.items():
                 found = table[made[k]]
-                hit = np.flatnonzero((found > 0) & (at + k <= words.text_end))
+                hit = np.flatnonzero(found)
+                found, own = found[hit], words.owner[hit]
                 for place in range(length - k + 1):
-                    begin = hit[(found[hit] >> place & 1) == 1] - place
-                    begin = begin[begin >= 0]
+                    begin = hit - place
                     # The shingle is at place in the window: all of it must be in the text that has the shingle.
-                    own = words.text_begin[begin + place] if len(begin) else begin
-                    begin = begin[(begin >= own) & (begin + length <= words.text_end[begin + place])]
-                    if not len(begin):
-                        continue
-                    row = np.searchsorted(words.ends, begin, side="right")
+                    fits = (found >> place & 1 == 1) & (begin >= words.begins[own]) & (begin + length <= words.ends[own])
+                    begin, row = begin[fits], own[fits]
                     n = len(begin)
+                    if not n:
+                        continue
                     yield pa.RecordBatch.from_arrays(
                         [batch["rid"].take(pa.array(row)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array((begin - words.begins[row]).astype(np.int32)), pa.array(np.full(n, length, np.int32)), words.spelt(begin, length)], names
                     )
