@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.scalar import unit_random
 from gridweave.operators.forecast import grid_apply
 from gridweave.operators.order import counted, quantiles_of
 from gridweave.operators.splits import calibration_split
 from gridweave.sources.scratch import written
 
 
+#: Draws that a task weighs its blocks for at a time.
+DRAWS = 512
+
+
 def calibrate_intervals(fc: DataFrame, share: float = 0.4, level: float = 0.9) -> DataFrame:
     """For each target and horizon residual quantiles of the first windows, and what they cover of the others."""
     # fc is read once: what follows needs residuals only, and of those how often each occurs.
@@ -64,8 +70,6 @@ def fit_ridge(fc: DataFrame, features: Sequence[str], lambdas: Sequence[float] =
 
     What reaches the driver is one row of sums a target.
     """
-    import numpy as np
-
     x = [F.lit(1.0), *(F.col(f) for f in features)]
     k, r = len(x), F.col("y") - F.col("yhat")
     sums = fc.groupBy("target").agg(F.count("*").alias("n"), F.array(*(F.sum(a * b) for a in x for b in x)).alias("xx"), F.array(*(F.sum(a * r) for a in x)).alias("xr")).collect()
@@ -86,18 +90,42 @@ def fit_offset(fc: DataFrame) -> DataFrame:
     return found.select("target", F.col("bias")[0].alias("bias"), F.col("limit")[0].alias("limit"))
 
 
+def unit(block: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each block's hash and draw."""
+    with np.errstate(over="ignore"):
+        x = block + (draw.astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
 def block_bootstrap(blocks: DataFrame, key: str, draws: int, seed: int, statistic: Callable[[], Column], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """low and high of a statistic over draws of blocks (one row a block, numbers to sum).
 
-    Each draw picks as many blocks as there are, with replacement; picks follow from seed, draw and place.
+    Each draw weighs each block by a Poisson number of mean 1 that follows from seed, draw and block. A task sums its
+    blocks for all draws at once, as a product of matrices, so a row comes out a draw and task, never one a draw and
+    block. Numbers that are missing count as 0.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by)
-    placed = blocks.withColumns({"_i": F.row_number().over(w.orderBy(key)) - 1, "_n": F.count("*").over(w)})
-    slots = placed.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
-    picks = slots.select(*by, "_d", F.floor(unit_random(seed, "_d", "_i", *by) * F.col("_n")).cast("int").alias("_i"))
-    drawn = picks.join(placed.drop("_n"), [*by, "_i"]).groupBy(*by, "_d").agg(statistic().alias("_s"))
+    numbers = [n for n, t in blocks.dtypes if n not in (key, *by) and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    kinds = dict(blocks.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "_d int", *(f"{n} double" for n in numbers)])
+    cumulated = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for group, rows in batch.groupby(list(by), dropna=False) if by else [((), batch)]:
+                group = group if isinstance(group, tuple) else (group,)
+                values = np.nan_to_num(rows[numbers].to_numpy(float))
+                total = sums.setdefault(group, np.zeros((draws, len(numbers))))
+                for begin in range(0, draws, DRAWS):
+                    d = np.arange(begin, min(begin + DRAWS, draws))
+                    total[d] += np.searchsorted(cumulated, unit(rows["_h"].to_numpy().view("u8")[None, :], d[:, None]), side="right") @ values
+        for group, total in sums.items():
+            yield pd.DataFrame({**{b: [g] * draws for b, g in zip(by, group, strict=True)}, "_d": np.arange(draws, dtype=np.int32), **{n: total[:, k] for k, n in enumerate(numbers)}})
+
+    keyed = blocks.select(*by, *numbers, F.xxhash64(F.lit(seed), key, *by).alias("_h"))
+    drawn = keyed.mapInPandas(summed, schema).groupBy(*by, "_d").agg(statistic().alias("_s"))
     tail = (1 - level) / 2
     return drawn.groupBy(*by).agg(F.percentile("_s", tail).alias("low"), F.percentile("_s", 1 - tail).alias("high"), F.count("*").alias("draws"))
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.framed import CHUNK, framed, plain, summed
 from gridweave.operators.grid import halo_chunks
 from gridweave.operators.order import running
 from gridweave.operators.quality import low_candidates, row_valid_rate
@@ -46,18 +47,25 @@ def intervals(df: DataFrame, flag: str, max_gap: int, min_duration: int, reason:
     return runs.withColumns({"duration_seconds": seconds, "reason": F.lit(reason)}).filter(F.col("duration_seconds") >= min_duration)
 
 
-def interval_mask(df: DataFrame, spans: DataFrame, name: str, bucket: int, ts: str = "ts") -> DataFrame:
-    """df with a boolean: ts is in one of spans (closed). A range join on buckets of time, whatever the number of spans."""
-    cut = spans.select(F.explode(F.sequence(F.floor(F.unix_seconds("start_time") / bucket), F.floor(F.unix_seconds("end_time") / bucket))).alias("_b"), "start_time", "end_time")
-    rows = df.withColumn("_b", F.floor(F.unix_seconds(ts) / bucket))
-    inside = rows.join(cut, (rows["_b"] == cut["_b"]) & (F.col(ts) >= F.col("start_time")) & (F.col(ts) <= F.col("end_time"))).select(F.col(ts).alias("_t")).distinct().withColumn(name, F.lit(True))
-    return df.join(inside, F.col(ts) == F.col("_t"), "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_t")
+def interval_mask(df: DataFrame, spans: DataFrame, name: str, ts: str = "ts") -> DataFrame:
+    """df with a boolean: ts is in one of spans (closed).
+
+    A sweep: a span is 1 at its start and -1 after its end, and an instant is inside where the sum so far is above 0. A
+    span is two rows, however long it is, and however many others it overlaps.
+    """
+    good = spans.filter(F.col("start_time") <= F.col("end_time"))
+    at = lambda c, d, seen: good.select(c.alias("_t"), F.lit(d).alias("_d"), F.lit(seen).alias("_seen"))
+    instants = df.select(F.unix_micros(ts).alias("_t"), F.lit(0).alias("_d"), F.lit(True).alias("_seen")).filter("_t is not null")
+    events = at(F.unix_micros("start_time"), 1, False).unionByName(at(F.unix_micros("end_time") + 1, -1, False)).unionByName(instants)
+    events = running(events.groupBy("_t").agg(F.sum("_d").alias("_d"), F.max("_seen").alias("_seen")), "_t", F.col("_d"), "_open")
+    inside = events.filter(F.col("_seen") & (F.col("_open") + F.col("_d") > 0)).select("_t", F.lit(True).alias(name))
+    return df.join(inside, F.unix_micros(ts) == F.col("_t"), "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_t")
 
 
 def persistent(df: DataFrame, flag: str, seconds: int, grid: int, name: str, chunk: int) -> DataFrame:
     """df with a boolean: the flag holds for at least seconds there, gaps up to 1.5 grid steps bridged."""
     runs = intervals(df, flag, int(1.5 * grid), seconds, name, chunk=chunk)
-    return interval_mask(df, runs, name, chunk)
+    return interval_mask(df, runs, name)
 
 
 def rolling_mean_centered(value: Column, width: int, by: Sequence[str], ts: str = "ts") -> Column:
@@ -122,7 +130,7 @@ def training_mask(
         out = persistent(out.withColumn("_low", F.coalesce(F.col(name) < low, F.lit(False))), "_low", duration, grid, f"bad_shutdown_{name}", chunk).drop("_low")
         reasons.append(f"bad_shutdown_{name}")
     if low_spans is not None:
-        out = interval_mask(out, low_spans, "bad_common_low", chunk)
+        out = interval_mask(out, low_spans, "bad_common_low")
         reasons.append("bad_common_low")
     operational = F.lit(False)
     for r in reasons:
@@ -153,8 +161,8 @@ def union_reports(parts: Sequence[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def segments(df: DataFrame, gap: int, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """df with the number of its segment: a gap of more than gap seconds begins one."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    step = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)
-    return df.withColumn("segment", F.sum(F.coalesce((step > gap * 1_000_000).cast("int"), F.lit(0))).over(w))
+def segments(df: DataFrame, gap: int, by: Sequence[str] = (), ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
+    """df with the number of its segment: a gap of more than gap seconds begins one. A series may have any length."""
+    rows = framed(df, by, [ts], 1, 0, lambda w: {"_step": F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)}, chunk)
+    begins = F.coalesce((F.col("_step") > gap * 1_000_000).cast("int"), F.lit(0))
+    return plain(summed(rows, by, begins, "segment")).drop("_step")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import standardize
+from gridweave.operators.framed import CHUNK, framed
 from gridweave.operators.order import _summed, counted, in_ranges, quantiles, quantiles_of, with_quantiles
 from gridweave.sources.scratch import written
 
 
+#: Partial products that are merged before all of a column's are.
+FAN = 64
+
+
 def fit_scaler(long: DataFrame) -> DataFrame:
     """(feature, n, mean, scale) of long (feature, value), which holds valid training rows only."""
     stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("_v"))
@@ -102,10 +110,57 @@ def monotone_share(curve: DataFrame) -> DataFrame:
 
 
 def correlations(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, corr) for each pair of columns, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = wide.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs)).alias("r"))
-    return row.select(F.explode("r").alias("r")).select("r.*")
+    """(a, b, corr) for each pair of columns over the rows that have both, in one pass; null where one of them is constant.
+
+    Tasks make products of centred blocks of rows, of which each is merged with the others as means and co-moments,
+    so neither plans nor what is shuffled grow with the pairs and rows together. Null and NaN are missing.
+    """
+    names, c = list(columns), len(columns)
+    parts = ("n", "mx", "my", "xx", "yy", "xy")
+    schema = "a int, " + ", ".join(f"{p} array<double>" for p in parts)
+
+    def table(at: np.ndarray, stats: list[np.ndarray], more: dict | None = None) -> pa.Table:
+        return pa.table({"a": pa.array(at.astype(np.int32)), **{p: pa.array(list(s), pa.list_(pa.float64())) for p, s in zip(parts, stats, strict=True)}, **(more or {})})
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.column_stack([col.cast(pa.float64()).to_numpy(zero_copy_only=False) for col in batch.columns]) if batch.num_rows else np.zeros((0, c))
+            there = ~np.isnan(x)
+            shift = np.where(there, x, 0).sum(0) / np.maximum(there.sum(0), 1)
+            z, v = np.where(there, x - shift, 0.0), there.astype(float)
+            n = v.T @ v
+            safe = np.maximum(n, 1)
+            sx = z.T @ v
+            sy, square = sx.T, (z * z).T @ v
+            own = [n, shift[:, None] + sx / safe, shift[None, :] + sy / safe, square - sx * sx / safe, square.T - sy * sy / safe, z.T @ z - sx * sy / safe]
+            total = own if total is None else merged_moments(total, own)
+        if total is not None:
+            part = pa.array(np.full(c, TaskContext.get().partitionId() % FAN, np.int32))
+            yield from table(np.arange(c), total, {"part": part}).to_batches()
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = [[np.array(r, float) for r in group[p].to_pylist()] for p in parts]
+        total = [r[0] for r in rows]
+        for k in range(1, group.num_rows):
+            total = merged_moments(total, [r[k] for r in rows])
+        return table(group["a"].to_numpy()[:1], [t[None, :] for t in total])
+
+    each = wide.select(*(F.col(n) for n in names)).mapInArrow(blocks, f"{schema}, part int")
+    whole = each.groupBy("a", "part").applyInArrow(merge, schema).groupBy("a").applyInArrow(merge, schema)
+    label = F.array(*(F.lit(n) for n in names))
+    corr = lambda k: F.try_divide(F.get("xy", k), F.sqrt(F.get("xx", k)) * F.sqrt(F.get("yy", k)))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.lit(c - 1)), lambda k: k > F.col("a")), lambda k: F.struct(F.get(label, k).alias("b"), corr(k).alias("corr")))
+    return whole.select(F.get(label, F.col("a")).alias("a"), F.explode(pairs).alias("p")).select("a", "p.b", "p.corr")
+
+
+def merged_moments(one: Sequence[np.ndarray], other: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Counts, means and co-moments (n, mx, my, xx, yy, xy) of two sets of rows together."""
+    n = one[0] + other[0]
+    share = np.divide(one[0] * other[0], n, out=np.zeros_like(n), where=n > 0)
+    part = np.divide(other[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = other[1] - one[1], other[2] - one[2]
+    return [n, one[1] + dx * part, one[2] + dy * part, one[3] + other[3] + dx * dx * share, one[4] + other[4] + dy * dy * share, one[5] + other[5] + dx * dy * share]
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -115,9 +170,10 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def lag_correlation(df: DataFrame, a: str, b: str, most: int, by: Sequence[str], order: str) -> DataFrame:
-    """(lag, corr) of a with b lag rows later, for lags from -most to most, each series for itself."""
-    w = Window.partitionBy(*by).orderBy(order)
-    shifted = df.select(F.col(a), *(F.lead(b, k).over(w).alias(f"_{k + most}") if k >= 0 else F.lag(b, -k).over(w).alias(f"_{k + most}") for k in range(-most, most + 1)))
+def lag_correlation(df: DataFrame, a: str, b: str, most: int, by: Sequence[str], order: str, chunk: int = CHUNK) -> DataFrame:
+    """(lag, corr) of a with b lag rows later, for lags from -most to most, each series for itself, whatever its length."""
+    shift = lambda w, k: F.lead(b, k).over(w) if k >= 0 else F.lag(b, -k).over(w)
+    rows = df.select(*by, order, F.col(a), F.col(b))
+    shifted = framed(rows, by, [order], most, most, lambda w: {f"_{k + most}": shift(w, k) for k in range(-most, most + 1)}, chunk)
     row = shifted.agg(F.array(*(F.struct(F.lit(k).alias("lag"), F.corr(a, f"_{k + most}").alias("corr")) for k in range(-most, most + 1))).alias("r"))
     return row.select(F.explode("r").alias("r")).select("r.*")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import unit_random
-from gridweave.operators.order import numbered, with_quantiles
+from gridweave.operators.framed import CHUNK, framed, plain, positions
+from gridweave.operators.order import numbered, running, with_quantiles
+from gridweave.sources.scratch import written
 
 
 def window_index(frame: DataFrame, seq: int, pred: int, stride: int, seconds: int, valid: str = "valid_for_training", by: Sequence[str] = ("chunk_id",), core: str | None = "is_core") -> DataFrame:
@@ -37,12 +39,10 @@ def window_index(frame: DataFrame, seq: int, pred: int, stride: int, seconds: in
     )
 
 
-def strided_windows(df: DataFrame, width: int, step: int, values: Sequence[str], by: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Every step-th start with the width rows from there, as arrays."""
-    order = Window.partitionBy(*by).orderBy(ts)
-    ahead = order.rowsBetween(0, width - 1)
-    rows = df.withColumns({"_pos": F.row_number().over(order) - 1, "_n": F.count("*").over(ahead), **{f"{v}_window": F.collect_list(v).over(ahead) for v in values}})
-    return rows.filter((F.col("_n") == width) & (F.col("_pos") % step == 0)).select(*by, F.col("_pos").alias("start_pos"), F.col(ts).alias("start_ts"), *(f"{v}_window" for v in values))
+def strided_windows(df: DataFrame, width: int, step: int, values: Sequence[str], by: Sequence[str], ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
+    """Every step-th start with the width rows from there, as arrays. A series may have any length."""
+    rows = framed(df, by, [ts], 0, width - 1, lambda w: {f"{v}_window": F.collect_list(v).over(w.rowsBetween(0, width - 1)) for v in values}, chunk)
+    return rows.filter((F.col("_pos") + width <= F.col("_n")) & (F.col("_pos") % step == 0)).select(*by, F.col("_pos").alias("start_pos"), F.col(ts).alias("start_ts"), *(f"{v}_window" for v in values))
 
 
 def materialize(windows: DataFrame, frame: DataFrame, features: Sequence[str], seq: int, label: int, pred: int, seconds: int) -> DataFrame:
@@ -79,20 +79,20 @@ def window_missing_fraction(missing: Column, rows: int, columns: int, by: Sequen
     return F.sum(missing).over(Window.partitionBy(*by).orderBy(ts).rowsBetween(-(rows - 1), 0)) / (rows * columns)
 
 
-def moving_average(value: str, width: int, by: Sequence[str], ts: str = "ts") -> Column:
-    """Centred mean of an odd width; beyond an end its value is repeated."""
+def moving_average(value: str, width: int, order: WindowSpec) -> Column:
+    """Centred mean of an odd width over a window of framed(); beyond an end of the series its value is repeated."""
     half = width // 2
-    order = Window.partitionBy(*by).orderBy(ts)
-    frame, whole = order.rowsBetween(-half, half), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pos, n = F.row_number().over(order) - 1, F.count("*").over(whole)
-    before, after = F.greatest(half - pos, F.lit(0)), F.greatest(pos + half - (n - 1), F.lit(0))
-    return (F.sum(value).over(frame) + before * F.first(value).over(whole) + after * F.last(value).over(whole)) / width
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A row so near to an end that it repeats it has that end in its chunk's halo.
+    before, after = F.greatest(half - F.col("_pos"), F.lit(0)), F.greatest(F.col("_pos") + half - (F.col("_n") - 1), F.lit(0))
+    return (F.sum(value).over(order.rowsBetween(-half, half)) + before * F.first(value).over(whole) + after * F.last(value).over(whole)) / width
 
 
-def decompose(df: DataFrame, value: str, widths: Sequence[int], by: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Adds trend, the mean of moving averages of all widths, and remainder."""
-    trend = sum((moving_average(value, w, by, ts) for w in widths), F.lit(0.0)) / len(widths)
-    return df.withColumn("trend", trend).withColumn("remainder", F.col(value) - F.col("trend"))
+def decompose(df: DataFrame, value: str, widths: Sequence[int], by: Sequence[str], ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
+    """Adds trend, the mean of moving averages of all widths, and remainder. A series may have any length."""
+    half = max(widths) // 2
+    rows = framed(df, by, [ts], half, half, lambda w: {"trend": sum((moving_average(value, k, w) for k in widths), F.lit(0.0)) / len(widths)}, chunk)
+    return plain(rows).withColumn("remainder", F.col(value) - F.col("trend"))
 
 
 def smooth3(df: DataFrame, origin: DataFrame, by: Sequence[str] = ("window_id", "target")) -> DataFrame:
@@ -168,18 +168,40 @@ def stride_sample(df: DataFrame, stride: int, by: Sequence[str], order: str) ->
     return df.withColumn("_pos", pos).filter(F.col("_pos") % stride == 0).drop("_pos")
 
 
-def greedy_nonoverlap(windows: DataFrame, most: int, start: str = "start", end: str = "end", by: str = "chunk_id") -> DataFrame:
-    """Windows of each chunk taken in order, if they start after the last one taken ends; then most of them, evenly."""
-    spans = F.sort_array(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))))
-    begin = F.struct(F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"), F.lit(-(1 << 62)).alias("last"))
+def nonoverlapping(windows: DataFrame, by: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """(by, start, end): windows taken in order, if they start after the last one taken ends; start and end as whole numbers.
 
-    def step(a: Column, x: Column) -> Column:
-        return F.when(x["s"] > a["last"], F.struct(F.array_append(a["kept"], x).alias("kept"), x["e"].alias("last"))).otherwise(a)
-
-    kept = windows.groupBy(by).agg(spans.alias("_w")).select(by, F.aggregate("_w", begin, step, lambda a: a["kept"]).alias("k"))
-    n = F.size("k")
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1), lambda i: F.when(n <= most, i).otherwise(F.floor(i * (n - 1) / (most - 1)).cast("int"))))
-    return kept.filter(n > 0).select(by, F.explode(F.transform(places, lambda i: F.get("k", i))).alias("w")).select(by, F.col("w.s").alias(start), F.col("w.e").alias(end))
+    Each window points to the first one that starts after its end, found by counting starts in one order of starts and
+    ends. The windows that pointers lead to from the first are marked by doubling: each round knows twice as many
+    steps, so rounds go with the logarithm of what is taken, and no task follows a series of windows alone. Without
+    by the windows are one timeline.
+    """
+    rows = windows.select(*by, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).filter("s is not null and e is not null").distinct()
+    rows = positions(rows, by, ["s", "e"])
+    # At each instant the starts so far; an end reads those up to itself.
+    marks = rows.select(*by, F.col("s").alias("t"), F.lit(1).alias("d")).unionByName(rows.select(*by, F.col("e").alias("t"), F.lit(0).alias("d")))
+    marks = running(marks.groupBy(*by, "t").agg(F.sum("d").alias("d")), "t", F.col("d"), "_less", by).select(*by, F.col("t").alias("e"), (F.col("_less") + F.col("d")).alias("next"))
+    pointed = written(rows.join(marks, [*by, "e"]).select(*by, "s", "e", "_pos", F.when(F.col("next") < F.col("_n"), F.col("next")).alias("next")), "pointed")
+    keys = [*by, "_pos"]
+    taken = pointed.filter("_pos = 0").select(*keys)
+    jumps = pointed.filter("next is not null").select(*keys, "next")
+    while not jumps.isEmpty():
+        further = taken.join(jumps, keys).select(*by, F.col("next").alias("_pos"))
+        taken = written(taken.unionByName(further), "taken")
+        on = jumps.select(*by, F.col("_pos").alias("next"), F.col("next").alias("_after"))
+        jumps = written(jumps.join(on, [*by, "next"]).select(*keys, F.col("_after").alias("next")), "jumps")
+    return pointed.join(taken, keys, "left_semi").select(*by, F.col("s").alias(start), F.col("e").alias(end))
+
+
+def greedy_nonoverlap(windows: DataFrame, most: int, start: str = "start", end: str = "end", by: str | None = "chunk_id") -> DataFrame:
+    """Windows of each chunk (or of all) taken in order, if they start after the last one taken ends; then most of them, evenly."""
+    keys = [by] if by else []
+    kept = positions(nonoverlapping(windows, keys, start, end), keys, [start])
+    # The place of the i-th of most is i * (n - 1) div (most - 1); the least i that reaches a place must give it.
+    gaps = max(most - 1, 1)
+    i = F.expr(f"(_pos * {gaps} + _n - 2) div greatest(_n - 1, 1)")
+    even = (F.col("_n") <= most) | ((i < most) & (F.floor(i * (F.col("_n") - 1) / gaps) == F.col("_pos")))
+    return kept.filter(even).select(*keys, start, end)
 
 
 def representative(df: DataFrame, value: str, q: float, by: Sequence[str], tie: str) -> DataFrame:

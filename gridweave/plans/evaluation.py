@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
-from gridweave.operators import calibrate, forecast, jobs, metrics, scale, windows
+from gridweave.operators import calibrate, forecast, jobs, metrics, scale, spectrum, windows
 from gridweave.plans import fixtures as fx
 from gridweave.plans.fixtures import CHUNK, CODES, GRID, PRED, SEQ, query
 
@@ -345,7 +345,7 @@ fx.ORACLES["m27_offset"] = fx.ORACLES["m27_offset"].replace("CAST(limit AS DOUBL
 def m28_bootstrap(spark, d):
     f = fx.fc(spark, d).withColumn("day", F.to_date("origin_ts"))
     blocks = f.groupBy("target", "day").agg(F.sum(F.abs(F.col("yhat") - F.col("y"))).alias("e"), F.sum(F.abs(F.col("y0") - F.col("y"))).alias("p"))
-    return calibrate.block_bootstrap(blocks, "day", 500, 11, lambda: 1 - F.sum("e") / F.sum("p"), ["target"])
+    return calibrate.block_bootstrap(blocks, "day", 10_000, 11, lambda: 1 - F.sum("e") / F.sum("p"), ["target"])
 
 
 @query("kind origins:i differing:i", """WITH x AS (SELECT *, value AS v, lead(value) OVER (PARTITION BY point_code ORDER BY ts) AS ahead, row_number() OVER (PARTITION BY point_code ORDER BY ts) AS rn FROM points)
@@ -517,7 +517,7 @@ def a24_adf(spark, d):
 
 @query("point_code rank:i period:i amplitude:f", None)
 def w20_periods(spark, d):
-    return jobs.dominant_periods(fx.long(spark, d), 3, "point_code", "value", "ts")
+    return spectrum.dominant_periods(fx.long(spark, d), 3, "point_code", "value", "ts")
 
 
 @query("increasing_share:f", "WITH e AS (SELECT unnest(quantile_cont(l_quantity, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS e FROM lineitem), c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT e FROM e) WHERE e < l_quantity) AS bin, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1) SELECT avg(CAST(dm > 0 AS INT)) AS increasing_share FROM (SELECT m - lag(m) OVER (ORDER BY bin) AS dm FROM c) WHERE dm IS NOT NULL")

@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
-from gridweave.operators import calibrate, forecast, grid, intervals, jobs, quality, scale, windows
+from gridweave.operators import calibrate, forecast, grid, intervals, jobs, quality, scale, spectrum, windows
 from gridweave.streaming.grid import resample_stream
 
 T0 = datetime(2024, 1, 1)
@@ -182,7 +182,7 @@ def test_dominant_period(spark):
     from math import pi, sin
 
     df = spark.createDataFrame([("s", i, sin(2 * pi * i / 12) + 5) for i in range(120)], "s string, i int, v double")
-    assert jobs.dominant_periods(df, 1, "s", "v", "i").first().period == 12
+    assert spectrum.dominant_periods(df, 1, "s", "v", "i").first().period == 12
 
 
 def test_stream_gives_what_batch_gives(spark, tmp_path):

@@ -188,16 +188,20 @@ def test_bootstrap(spark):
     blocks = [(t, d, rng.uniform(1, 5), rng.uniform(1, 5)) for t in "ab" for d in range(9)]
     df = spark.createDataFrame(blocks, "target string, day long, e double, p double")
     got = {r.target: r for r in calibrate.block_bootstrap(df, "day", 300, 11, lambda: 1 - F.sum("e") / F.sum("p"), ["target"]).collect()}
-    slots = spark.createDataFrame([(t, d, i) for t in "ab" for d in range(1, 301) for i in range(9)], "target string, _d int, _i int")
-    picks = slots.select("target", "_d", F.floor(scalar.unit_random(11, "_d", "_i", "target") * 9).cast("int").alias("pick")).collect()
+    hashed = df.select("target", "day", F.xxhash64(F.lit(11), "day", "target").alias("h")).collect()
+    block = {(r.target, r.day): np.array([r.h]).view("u8") for r in hashed}
     for t in "ab":
-        own = [b for b in blocks if b[0] == t]
-        drawn = defaultdict(list)
-        for r in picks:
-            if r.target == t:
-                drawn[r["_d"]].append(own[r.pick])
-        values = [1 - sum(b[2] for b in v) / sum(b[3] for b in v) for v in drawn.values()]
-        assert {len(v) for v in drawn.values()} == {9} and got[t].draws == 300
+        values = []
+        for draw in range(300):
+            times = []
+            for b in (b for b in blocks if b[0] == t):
+                u, k = float(calibrate.unit(block[t, b[1]], np.array([draw]))[0]), 0
+                while u >= math.exp(-1) / math.factorial(k):
+                    u -= math.exp(-1) / math.factorial(k)
+                    k += 1
+                times.append((k, b))
+            values.append(1 - sum(k * b[2] for k, b in times) / sum(k * b[3] for k, b in times))
+        assert got[t].draws == 300
         assert (got[t].low, got[t].high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
 
 
