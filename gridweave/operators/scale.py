@@ -151,7 +151,7 @@ def correlations(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     label = F.array(*(F.lit(n) for n in names))
     corr = lambda k: F.try_divide(F.get("xy", k), F.sqrt(F.get("xx", k)) * F.sqrt(F.get("yy", k)))
     pairs = F.transform(F.filter(F.sequence(F.lit(0), F.lit(c - 1)), lambda k: k > F.col("a")), lambda k: F.struct(F.get(label, k).alias("b"), corr(k).alias("corr")))
-    return whole.select(F.get(label, F.col("a")).alias("a"), F.explode(pairs).alias("p")).select("a", "p.b", "p.corr")
+    return whole.select(F.get(label, F.col("a")).alias("_a"), F.explode(pairs).alias("p")).select(F.col("_a").alias("a"), "p.b", "p.corr")
 
 
 def merged_moments(one: Sequence[np.ndarray], other: Sequence[np.ndarray]) -> list[np.ndarray]:
