@@ -138,34 +138,91 @@ def test_each_augmentation(samples):
     assert chain["values"] == pytest.approx(rows[chain.id] * rng.normal(1, 0.1) * rng.choice([-1.0, 1.0]))
 
 
-def test_each_guided_augmentation(spark, samples):
-    rows = {k: (label, np.array(v)) for k, label, v in paths(43)}
-    for op in jobs.GUIDED:
-        got = jobs.augment_guided(samples, "label", op, 3, 2).collect()
-        assert sorted(r.id for r in got) == sorted(rows) and {r.tag for r in got} == {op}
-        for r in got:
-            x, y = rows[r.id][1], np.array(r["values"])
-            assert len(y) == len(x)
-            if op.startswith(("guided", "discriminative")):
-                assert x.min() - 1e-9 <= y.min() and y.max() <= x.max() + 1e-9
-    # Guided by a path that is the same, nothing changes; a barycentre of equal paths is that path.
-    same = spark.createDataFrame([(k, 0, [float(i * i % 7) for i in range(15)]) for k in range(4)], "id long, label int, values array<double>")
-    for op in ("guided", "guided_shape", "barycentre"):
-        for r in jobs.augment_guided(same, "label", op, 3, 2).collect():
-            assert r["values"] == pytest.approx([float(i * i % 7) for i in range(15)])
-    alone = spark.createDataFrame([(1, 0, [1.0, 2.0, 4.0])], "id long, label int, values array<double>")
-    assert jobs.augment_guided(alone, "label", "discriminative", 3).first()["values"] == [1.0, 2.0, 4.0]
-
-
-def test_discriminative_takes_the_guide_that_is_farthest_from_others(spark):
-    line = lambda a: [a + 0.1 * i for i in range(12)]
-    rows = [(0, "a", line(0)), (1, "a", line(1)), (2, "a", line(5)), (3, "b", line(0.5)), (4, "b", line(0.6))]
-    df = spark.createDataFrame(rows, "id long, label string, values array<double>")
-    got = {r.id: r["values"] for r in jobs.augment_guided(df, "label", "discriminative", 1, 3).collect()}
-    values = {k: np.array(v) for k, _, v in rows}
-    for k, others in ((0, (1, 2)), (1, (0, 2)), (2, (0, 1))):
-        guide = max(others, key=lambda p: min(loop_dtw(values[p], values[q], lambda a, b: abs(a - b)) for q in (3, 4)))
-        assert got[k] == pytest.approx(jobs._guided(values[k], values[guide], False))
+def loop_path(x, y, cost, band):
+    """(distance, steps) by a full table; of equal ways the diagonal, then a step in x, then one in y."""
+    width, total, came = max(band, abs(len(x) - len(y))), {(0, 0): cost(x[0], y[0])}, {}
+    for i in range(len(x)):
+        for j in range(len(y)):
+            ways = [(i - a, j - b) for a, b in ((1, 1), (1, 0), (0, 1)) if (i - a, j - b) in total]
+            if (i or j) and abs(i - j) <= width and ways:
+                came[i, j] = min(ways, key=lambda w: total[w])
+                total[i, j] = total[came[i, j]] + cost(x[i], y[j])
+    at = (len(x) - 1, len(y) - 1)
+    steps = [at]
+    while at in came:
+        at = came[at]
+        steps.append(at)
+    return total[len(x) - 1, len(y) - 1], steps[::-1]
+
+
+def stretched(values, n):
+    return np.interp(np.arange(n), np.linspace(0, n - 1, len(values)), values)
+
+
+def loop_guided(op, x, same, others, rng):
+    """(values, moved) by the published methods, one pair and one cell at a time."""
+    apart, band, n = lambda a, b: abs(a - b), math.ceil(len(x) / 10), len(x)
+    if op.endswith("shape"):
+        see = lambda v: [[v[0]] * (2 - i) + v[max(i - 2, 0) : i + 3] + [v[-1]] * (i + 3 - len(v)) if i < 2 else v[i - 2 : i + 3] + [v[-1]] * (i + 3 - len(v)) for i in range(len(v))]
+        apart = math.dist
+    else:
+        see = lambda v: v
+    if op == "spawner":
+        cut, mean = int(rng.integers(1, n - 1)), []
+        for a, b in ((x[:cut], same[0][:cut]), (x[cut:], same[0][cut:])):
+            mean += [(a[i] + b[j]) / 2 for i, j in loop_path(a, b, apart, band)[1]]
+        return stretched(mean, n) + rng.normal(0, 0.05, n), 0
+    if op == "barycentre":
+        far = [[loop_path(p, q, apart, band)[0] if p is not q else 0.0 for q in same] for p in same]
+        c = min(range(len(same)), key=lambda k: (sum(far[k]), k))
+        nearest = min(d for k, d in enumerate(far[c]) if k != c)
+        sums, weights = [0.0] * n, [0.0] * n
+        for k, p in enumerate(same):
+            steps = [(i, i) for i in range(n)] if k == c or nearest == 0 else loop_path(same[c], p, apart, band)[1]
+            w = 1.0 if k == c or nearest == 0 else math.exp(math.log(0.5) * far[c][k] / nearest)
+            for i, j in steps:
+                sums[i] += w * (same[c] if k == c or nearest == 0 else p)[j]
+                weights[i] += w
+        return np.array(sums) / np.array(weights), 0
+    guide = same[0]
+    if op.startswith("discriminative"):
+        gain = lambda k: sum(loop_path(see(same[k]), see(q), apart, band)[0] for q in others) / len(others) - (sum(loop_path(see(same[k]), see(q), apart, band)[0] for i, q in enumerate(same) if i != k) / (len(same) - 1) if len(same) > 1 else 0)
+        guide = same[max(range(len(same)), key=lambda k: (gain(k), -k))]
+    steps = [j for _, j in loop_path(see(guide), see(x), apart, band)[1]]
+    return stretched([x[j] for j in steps], n), float(np.abs(np.arange(n) - stretched(steps, n)).sum())
+
+
+@pytest.mark.parametrize("op", jobs.GUIDED)
+def test_guided_augmentation_is_the_published_one(spark, samples, op):
+    seed = 3
+    discriminative = op.startswith("discriminative")
+    picks = jobs.picked(samples, "label", seed, 3 if discriminative else 6 if op == "barycentre" else 1, 3 if discriminative else 0, own=op == "barycentre").collect()
+    want, moved = {}, {}
+    for r in picks:
+        want[r.id], moved[r.id] = loop_guided(op, list(r["values"]), [list(p) for p in r.same], [list(p) for p in r.others] if discriminative else [], np.random.default_rng([seed, r.id]))
+    if discriminative:
+        for k, v in want.items():
+            width = math.ceil((0.9 + 0.1 * moved[k] / max(moved.values())) * len(v))
+            at = int(np.random.default_rng([seed, k, 1]).integers(0, len(v) - width + 1))
+            want[k] = np.interp(np.linspace(0, width - 1, len(v)), np.arange(width), v[at : at + width])
+    got = {r.id: r["values"] for r in jobs.augment_guided(samples, "label", op, seed).collect()}
+    assert sorted(got) == sorted(want)
+    for k in got:
+        assert got[k] == pytest.approx(want[k].tolist())
+
+
+def test_picks(spark, samples):
+    """Of the own label without itself, of other labels, the same on a rerun, and not the same for all rows."""
+    rows = {tuple(v): (k, label) for k, label, v in paths(43)}
+    got = jobs.picked(samples, "label", 5, 3, 3).collect()
+    again = {r.id: (r.same, r.others) for r in jobs.picked(samples.repartition(2), "label", 5, 3, 3).collect()}
+    for r in got:
+        assert len({tuple(p) for p in r.same}) == 3 == len({tuple(p) for p in r.others})
+        assert all(rows[tuple(p)][1] == r.label and rows[tuple(p)][0] != r.id for p in r.same) and all(rows[tuple(p)][1] != r.label for p in r.others)
+        assert again[r.id] == (r.same, r.others)
+    assert len({tuple(map(tuple, r.same)) for r in got if r.label == 0}) > 5
+    alone = spark.createDataFrame([(1, 0, [1.0, 2.0, 4.0]), (2, None, [1.0, 2.0])], "id long, label int, values array<double>")
+    assert sorted(r["values"] for r in jobs.augment_guided(alone, "label", "guided", 3).collect()) == [[1.0, 2.0], [1.0, 2.0, 4.0]]
 
 
 def test_ridge(spark):
