@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
@@ -83,6 +83,36 @@ def s10_changed_units(spark, d):
     return io.changed_units(units, units.filter("n % 2 = 0"))
 
 
+_DAY = 86_400
+_CHANGED = "point_code = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'"
+
+
+def _spreads(chunks: DataFrame) -> DataFrame:
+    """For each point of a chunk's core the rise over the two points before it, and the next value."""
+    w = Window.partitionBy("chunk_id", "point_code").orderBy("ts", "value")
+    recent = F.max("value").over(w.rowsBetween(-2, 0)) - F.min("value").over(w.rowsBetween(-2, 0))
+    return chunks.withColumns({"spread": recent, "after": F.lead("value").over(w)}).filter("is_core").select("chunk_id", "point_code", "ts", "value", "spread", "after")
+
+
+@query("chunk_id:i rows:i spread:g after:g rewritten", f"""WITH p AS (SELECT *, CAST(floor(epoch(ts) / {_DAY}) AS BIGINT) AS c FROM points),
+    k AS (SELECT DISTINCT c AS chunk_id FROM p), f AS (SELECT k.chunk_id, p.*, p.c = k.chunk_id AS core FROM p JOIN k ON epoch(ts) >= k.chunk_id * {_DAY} - {_DAY} AND epoch(ts) < (k.chunk_id + 1) * {_DAY} + {_DAY}),
+    s AS (SELECT *, max(value) OVER w - min(value) OVER w AS spread, lead(value) OVER (PARTITION BY chunk_id, point_code ORDER BY ts, value) AS after FROM f WINDOW w AS (PARTITION BY chunk_id, point_code ORDER BY ts, value ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+    SELECT chunk_id, count(*) AS rows, avg(spread) AS spread, avg(after) AS after, chunk_id BETWEEN (SELECT min(c) - 1 FROM p WHERE {_CHANGED}) AND (SELECT max(c) + 1 FROM p WHERE {_CHANGED}) AS rewritten FROM s WHERE core GROUP BY 1""")
+def s10_rebuild(spark, d):
+    """A table of chunks, made from points of which one day of one code was other than it is now, and then mended.
+
+    Chunks are marked with the run that wrote them; the result must equal a table made whole.
+    """
+    p = fx.points(spark, d)
+    stale = p.withColumn("value", F.when(F.expr(_CHANGED), F.col("value") * 2 + 1).otherwise(F.col("value")))
+    path = fx.folder(spark, "chunks")
+    io.write_frame(_spreads(grid.halo_chunks(stale, _DAY, _DAY, _DAY)).withColumn("run", F.lit(1)), path)
+    changed = p.filter(_CHANGED).agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time")).filter("start_time is not null")
+    io.rebuild_chunks(p, changed, lambda chunks: _spreads(chunks).withColumn("run", F.lit(2)), path, _DAY, _DAY, _DAY)
+    table = spark.read.parquet(path).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    return table.groupBy("chunk_id").agg(F.count("*").alias("rows"), F.avg("spread").alias("spread"), F.avg("after").alias("after"), (F.max("run") == 2).alias("rewritten"))
+
+
 @query("start:t end:t", 'SELECT min(ts) AS start, max(ts) AS "end" FROM points')
 def s11_time_bounds(spark, d):
     return io.time_bounds(fx.points(spark, d))
@@ -504,7 +534,7 @@ def d08_limit_windows(spark, d):
 fx.ORACLES["d08_limit_windows"] = fx.ORACLES["d08_limit_windows"].replace("CAST(offset AS BIGINT) AS offset", 'CAST("offset" AS BIGINT) AS "offset"')
 
 
-@query("chunk_id:i n:i", None)
+@query("chunk_id:i n:i", f"SELECT {_CHUNK_ID.format('input_start_time')} AS chunk_id, count(*) AS n FROM win GROUP BY 1")
 def d09_shuffle_by_chunk(spark, d):
     return windows.shuffle_by_chunk(fx.windows(spark, d), 3, 1, "input_start_time").groupBy("chunk_id").agg(F.count("*").alias("n"))
 

@@ -328,7 +328,11 @@ def m25_shrink(spark, d):
 fx.ORACLES["m25_shrink"] = fx.ORACLES["m25_shrink"].replace("CAST(group AS BIGINT) AS group", 'CAST("group" AS BIGINT) AS "group"')
 
 
-@query("target ridge:f intercept:f y0:f horizon:f", None)
+@query("target ridge:f intercept:g y0:f horizon:g", """SELECT target, ridge, (r0 * (m11 * m22 - m12 * m12) - m01 * (r1 * m22 - m12 * r2) + m02 * (r1 * m12 - m11 * r2)) / det AS intercept,
+    (m00 * (r1 * m22 - m12 * r2) - r0 * (m01 * m22 - m12 * m02) + m02 * (m01 * r2 - r1 * m02)) / det AS y0, (m00 * (m11 * r2 - r1 * m12) - m01 * (m01 * r2 - r1 * m02) + r0 * (m01 * m12 - m11 * m02)) / det AS horizon
+    FROM (SELECT *, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS det FROM (
+    SELECT target, ridge, n AS m00, s1 AS m01, s2 AS m02, s11 + ridge * n AS m11, s12 AS m12, s22 + ridge * n AS m22, r0, r1, r2 FROM (SELECT target, CAST(count(*) AS DOUBLE) AS n, sum(y0) AS s1, sum(CAST(horizon AS DOUBLE)) AS s2, sum(y0 * y0) AS s11, sum(y0 * horizon) AS s12, sum(CAST(horizon * horizon AS DOUBLE)) AS s22,
+    sum(y - yhat) AS r0, sum(y0 * (y - yhat)) AS r1, sum(horizon * (y - yhat)) AS r2 FROM fc GROUP BY 1) CROSS JOIN (VALUES (CAST(0.01 AS DOUBLE)), (0.1), (1.0)) t(ridge)))""")
 def m26_ridge(spark, d):
     return calibrate.fit_ridge(fx.fc(spark, d).withColumn("horizon", F.col("horizon").cast("double")), ["y0", "horizon"])
 

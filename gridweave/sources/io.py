@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import clean_text, effective, finite, is_excluded
 from gridweave.operators.order import counted, quantiles_of
+from gridweave.sources.scratch import written
 
 
 def read_points(spark: SparkSession, root: str, codes: Sequence[str] | None = None) -> DataFrame:
@@ -102,6 +103,39 @@ def changed_units(sources: DataFrame, manifest: DataFrame) -> DataFrame:
     return sources.join(manifest.select(*keys), keys, "left_anti")
 
 
+def dependent_chunks(changed: DataFrame, seconds: int, back: int, forward: int) -> DataFrame:
+    """(chunk_id) of the chunks that know, as core or halo, an instant of a changed unit (start_time, end_time)."""
+    begin, end = F.unix_seconds("start_time"), F.unix_seconds("end_time")
+    ids = F.sequence(F.floor((begin - forward) / seconds).cast("long"), F.floor((end + back) / seconds).cast("long"))
+    return changed.select(F.explode(ids).alias("chunk_id")).distinct()
+
+
+def rebuild_chunks(points: DataFrame, changed: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, seconds: int, back: int, forward: int, ts: str = "ts") -> DataFrame:
+    """Rewrites those chunks of the table in path that changed units (start_time, end_time) bear on; their chunk_ids.
+
+    build makes the table's rows of points in chunks (chunk_id, is_core), as halo_chunks gives them. The times of a
+    changed unit are those before and after its change together. Only points within reach of a dependent chunk are
+    read, only those chunks' folders are overwritten, and a chunk that has no row any more loses its folder. A run that
+    failed half way can be repeated. The result equals a table written whole.
+    """
+    spark = points.sparkSession
+    chunks = written(dependent_chunks(changed, seconds, back, forward), "dependent")
+    bounds = chunks.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+    if bounds[0] is None:
+        return chunks
+    at = F.unix_seconds(ts)
+    near = points.filter((F.col(ts) >= F.timestamp_seconds(F.lit(bounds[0] * seconds - back))) & (F.col(ts) < F.timestamp_seconds(F.lit((bounds[1] + 1) * seconds + forward))))
+    spread = near.withColumn("chunk_id", F.explode(F.sequence(F.floor((at - forward) / seconds).cast("long"), F.floor((at + back) / seconds).cast("long"))))
+    frames = spread.join(chunks, "chunk_id").withColumn("is_core", F.floor(at / seconds) == F.col("chunk_id"))
+    rows = written(narrowed(build(frames)), "rebuilt")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in chunks.join(rows.select("chunk_id").distinct(), "chunk_id", "left_anti").toLocalIterator():  # chunks without rows
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"chunk_id={r['chunk_id']}"), True)
+    return chunks
+
+
 def time_bounds(points: DataFrame, ts: str = "ts") -> DataFrame:
     return points.agg(F.min(ts).alias("start"), F.max(ts).alias("end"))
 
