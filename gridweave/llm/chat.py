@@ -1,8 +1,8 @@
 r"""Chat formatting with a grammar round trip.
 
 A conversation is turns, and a turn is ``<s>[INST] role``, a new line, the text, `` [/INST]</s>``; ``[INST*]``
-instead of ``[INST]`` says that the text is escaped. The grammar is regular: ``</s>`` ends a turn, wherever it is.
-Each conversation is rendered plainly and parsed again. Where the turns that come back are not those that went in,
+instead of ``[INST]`` says that the text is escaped. The grammar is regular: ``</s>`` ends a turn, wherever it is, and
+no other control string is in a text that is not escaped. Each conversation is rendered plainly and parsed again. Where the turns that come back are not those that went in,
 the texts with control strings are escaped, and at last all texts, until the two are identical.
 """
 
@@ -73,7 +73,9 @@ def parse(formatted: Column) -> Column:
     def turn(piece: Column) -> Column:
         text = F.regexp_extract(piece, TURN, 3)
         whole = F.struct(_role_back(F.regexp_extract(piece, TURN, 2)).alias("role"), F.when(F.regexp_extract(piece, TURN, 1) == STAR, unescape(text)).otherwise(text).alias("text"))
-        return F.when(piece.rlike(TURN), whole)
+        # Control strings are structure: where one is in a text that is not escaped, this is no turn.
+        raw = (F.regexp_extract(piece, TURN, 1) != STAR) & text.rlike(CONTROL)
+        return F.when(piece.rlike(TURN) & ~raw, whole)
 
     return F.transform(pieces, turn)
 
@@ -83,7 +85,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     loss has, for each turn, start (from the turn's first code point) and length of what is trained on: assistant
     texts. Turns go by turn, then role and text, nulls first; null roles and texts are empty. Repeated rows are
-    turns of their own. Rows without conv_id are one conversation. A
+    turns of their own. Rows without conv_id are one conversation, so they must be as few as a conversation's. A
     conversation is one row, so it is in memory at once, texts of any length whole. identical tells that parsing gives the turns
     back; it is true for all. An empty table gives an empty result.
     """

@@ -81,7 +81,7 @@ ORACLES: dict[str, str] = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         marked AS (
-            SELECT *, CAST(max(CAST(contains(text, '</s>') AS INT)) OVER (PARTITION BY conv_id) AS INT) AS level,
+            SELECT *, CAST(max(CAST(regexp_matches(text, '</?s>|\[/?INST') AS INT)) OVER (PARTITION BY conv_id) AS INT) AS level,
                    regexp_matches(text, '</?s>|\[/?INST') AS control FROM rows),
         shown AS (
             SELECT *, '<s>[INST' || CASE WHEN level = 1 AND control THEN '*' ELSE '' END || '] ' || role || chr(10)

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,6 +125,7 @@ def test_plan_leaves_no_exact_sum():
 CONVERSATIONS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (2, 0, "system", "</s>"), (2, 1, "assistant", "&lt; <s>[INST] x\ny [/INST]</s> &amp;"), (2, 1, "assistant", None), (3, 5, "tool\nwith </s>", " [/INST]</s><s>[INST*] user\nx"),
     (3, 2, None, ""), (None, 1, "user", "no id"), (None, None, "assistant", "no turn &#91;[&"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (5, 0, "assistant", "é😀 [INST*] " * 50), (6, 0, "user", "[/INST]</s>"), (7, 0, "assistant", " [/INST]"), (8, 0, "assistant", "</"), (8, 1, "assistant", "s>"),
+    (9, 0, "user", "x [/INST] y [INST] z <s>"), (10, 0, "user", "[/INST]"), (10, 1, "assistant", "plain"), (11, 0, "assistant", "<s>"), (12, 0, "assistant", "[INST"), (13, 0, "user", "w " * 20_000 + "<s>"),
 ]
 
 
@@ -132,6 +134,9 @@ def test_chat_round_trip(spark):
     made = chat.format_conversations(df).cache()
     assert made.filter("not identical").count() == 0
     assert made.filter("level > 0").count() >= 3
+    for r in made.filter("conv_id >= 9").collect():  # control strings are escaped also where no turn would end
+        texts = [t[t.index("\n") + 1 : -len(chat.CLOSE)] for t in r.formatted.split(chat.END)[:-1]]
+        assert r.level == 1 and not any(re.search(chat.CONTROL, t) for t in texts)
     for r in chat.read_back(made).collect():
         rows = sorted((-1 if t is None else t, role or "", text or "") for c, t, role, text in CONVERSATIONS if c == r.conv_id)
         said = "".join(f"{role}\n{text}\n" for _, role, text in rows)
