@@ -5,19 +5,22 @@ these children become one wildcard; that is told by their number alone, not by w
 from the root down, as branches below a wildcard come together. Then sibling branches whose labelled shares of blocked
 URLs do not differ statistically are merged, from the leaves up. A template is rejected when its share of blocked URLs
 is high enough: that of the host, smoothed by the share over all labelled URLs, then that of each node down to the
-template, smoothed by its parent's. So a branch without labels is judged by the branches beside it, and a host without
-labels by all hosts. URLs are labelled by the rules, or by a given table.
+template, smoothed by its parent's and by that of the same node under other hosts. A host's other branches alone reject
+nothing: below the host there must be a node with labels enough of its own, or under other hosts. URLs are labelled by
+the rules, or by a given table.
 
 Nodes of all depths are looked at together; a round changes one segment of a path, so rounds are as many as segments
-vary below each other, however deep paths are.
+vary below each other, however deep paths are. Only hosts that a round has changed have another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, attach
+from .scratch import Scratch, attach, union_all
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -79,7 +82,20 @@ def _starred(scratch: Scratch, leaves: DataFrame, changes: DataFrame, name: str)
         return None
     star = F.concat(F.slice("template", F.lit(1), F.col("at")), F.array(F.lit(ANY)), F.slice("template", F.col("at") + 2, F.size("template")))
     both = leaves.join(changes.hint("merge"), "leaf", "left")
-    return scratch.table(both.withColumn("template", F.when(F.col("at").isNotNull(), star).otherwise(F.col("template"))).select(*leaves.columns), name)
+    return both.withColumn("changed", F.col("at").isNotNull()).withColumn("template", F.when(F.col("changed"), star).otherwise(F.col("template"))).select(*leaves.columns, "changed")
+
+
+def _rounds(scratch: Scratch, leaves: DataFrame, change: Callable[[Scratch, DataFrame, int], DataFrame | None], name: str) -> DataFrame:
+    """leaves after change has been made again and again; only the hosts that it has changed go on."""
+    done, k = [], 0
+    while (made := change(scratch, leaves, k)) is not None:
+        made = scratch.table(made, f"{name}{k}")
+        hosts = made.filter("changed").select("host").distinct()
+        done.append(scratch.table(made.join(hosts.hint("merge"), "host", "left_anti").drop("changed"), f"{name}-done{k}"))
+        leaves = scratch.table(made.join(hosts.hint("merge"), "host", "left_semi").drop("changed"), f"{name}-open{k}")
+        scratch.drop(f"{name}{k}", *([f"{name}-open{k - 1}"] if k else []))
+        k += 1
+    return union_all([*done, leaves])
 
 
 def _varying(scratch: Scratch, leaves: DataFrame, k: int) -> DataFrame | None:
@@ -108,17 +124,25 @@ def _merged(scratch: Scratch, leaves: DataFrame, k: int) -> DataFrame | None:
 
 
 def _purity(scratch: Scratch, leaves: DataFrame) -> DataFrame:
-    """(host, template, size, purity) for each template of size leaves."""
+    """(host, template, size, purity, supported) for each template of size leaves."""
     share = leaves.agg(F.sum("blocked") / F.sum("labelled")).first()[0] or 0.0
     templates = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.count("*").alias("size"))
     templates = scratch.table(templates.withColumn("id", F.monotonically_increasing_id()), "templates")
     above = templates.select("id", "host", "m", "b", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), _nodes(F.col("template")))).alias("at", "node"))
     above = scratch.table(above, "above")
     sums = above.groupBy("host", "node").agg(F.sum("m").alias("nm"), F.sum("b").alias("nb"), F.count("*").alias("under"))
+    sums = scratch.table(sums, "sums")
+    # The same node under all hosts, and how many of these it has.
+    every = sums.groupBy("node").agg(F.sum("nm").alias("xm"), F.sum("nb").alias("xb"), F.count("*").alias("hosts"))
+    sums = scratch.table(attach(sums, every, ["node"], "hosts", sums.count()).drop("hosts"), "sums-beside")
     told = attach(above.select("id", "host", "at", "node"), sums, ["host", "node"], "under", above.count())
-    chain = told.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "nm", "nb"))).alias("chain"))
-    purity = F.aggregate("chain", F.lit(float(share)), lambda p, x: (x["nb"] + SMOOTHING * p) / (x["nm"] + SMOOTHING))
-    return templates.join(chain.select("id", purity.alias("purity")), "id").select("host", "template", "size", "purity")
+    cell = F.struct("at", "nm", "nb", (F.col("xm") - F.col("nm")).alias("xm"), (F.col("xb") - F.col("nb")).alias("xb"))
+    chain = told.groupBy("id").agg(F.sort_array(F.collect_list(cell)).alias("chain"))
+    beside = lambda x: (x["at"] > 0) & (x["xm"] >= SUPPORT)
+    prior = lambda p, x: F.when(beside(x), (p + x["xb"] / x["xm"]) / 2).otherwise(p)
+    purity = F.aggregate("chain", F.lit(float(share)), lambda p, x: (x["nb"] + SMOOTHING * prior(p, x)) / (x["nm"] + SMOOTHING))
+    supported = F.exists("chain", lambda x: beside(x) | ((x["nm"] >= SUPPORT) & ((x["at"] > 0) | (F.size("chain") == 1))))
+    return templates.join(chain.select("id", purity.alias("purity"), supported.alias("supported")), "id").select("host", "template", "size", "purity", "supported")
 
 
 def template_tree(scratch: Scratch, urls: DataFrame) -> DataFrame:
@@ -126,13 +150,11 @@ def template_tree(scratch: Scratch, urls: DataFrame) -> DataFrame:
     leaves = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
     leaves = scratch.table(leaves.withColumn("template", F.col("raw")).withColumn("leaf", F.monotonically_increasing_id()), "leaves")
     labelled = leaves.agg(F.sum("labelled")).first()[0]
-    for change in (_varying, _merged) if labelled else (_varying,):
-        k = 0
-        while (changed := change(scratch, leaves, k)) is not None:
-            leaves, k = changed, k + 1
+    for change, name in ((_varying, "varying"), (_merged, "merged")) if labelled else ((_varying, "varying"),):
+        leaves = scratch.table(_rounds(scratch, leaves, change, name), f"{name}-all")
     purity = scratch.table(_purity(scratch, leaves), "purity")
     out = attach(leaves.select("host", "raw", "template", "n"), purity, ["host", "template"], "size", leaves.count())
-    return scratch.table(out.select("host", "raw", "n", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", (F.col("purity") >= REJECT).alias("rejected")), "tree")
+    return scratch.table(out.select("host", "raw", "n", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", ((F.col("purity") >= REJECT) & F.col("supported")).alias("rejected")), "tree")
 
 
 def judged_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -140,7 +162,7 @@ def judged_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
 
     labels, if given, has url and blocked (1 or 0), one row a url, and teaches the tree in the rules' place. A null
     url, or one without ``://``, has empty host and path, like any other host. Hosts without labels have the share of all
-    labelled URLs; without any labels nothing is rejected. Paths of any depth and length are read whole. Repeated rows
+    labelled URLs; a template whose branches nowhere have SUPPORT labels is not rejected, so without any labels nothing is. Paths of any depth and length are read whole. Repeated rows
     are judged alike. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "urls")

@@ -362,11 +362,16 @@ def tree_expected(urls):
     total = [sum(x) for x in zip(*count.values(), strict=True)]
     out = {}
     for leaf, t in template.items():
-        p = total[1] / total[0] if total[0] else 0
+        p, supported = total[1] / total[0] if total[0] else 0, False
         for d in range(len(t) + 1):
             node = (leaf[0], t[:d])
+            others = [n for n in m if n[1] == t[:d] and n[0] != leaf[0]]
+            xm, xb = sum(m[n] for n in others), sum(b[n] for n in others)
+            if d and xm >= url_filter.SUPPORT:
+                p, supported = (p + xb / xm) / 2, True
+            supported |= m[node] >= url_filter.SUPPORT and (d > 0 or not t)
             p = (b[node] + url_filter.SMOOTHING * p) / (m[node] + url_filter.SMOOTHING)
-        out[leaf] = ("/" + "/".join(t), p)
+        out[leaf] = ("/" + "/".join(t), p, supported)
     return out
 
 
@@ -388,7 +393,7 @@ def test_url_tree_is_what_loops_make(spark):
     got = url_filter.judged_urls(pages, (), labels).collect()
     assert len(got) == len(rows)
     for r in got:
-        template, purity = want[r.host, tuple(x for x in r.path.split("/") if x)]
+        template, purity, supported = want[r.host, tuple(x for x in r.path.split("/") if x)]
         assert r.template == template and r.purity == pytest.approx(purity)
-        assert r.verdict == ("block" if purity >= url_filter.REJECT else "allow")
+        assert r.verdict == ("block" if purity >= url_filter.REJECT and supported else "allow")
     assert len({r.verdict for r in got}) == 2 and len({round(r.purity, 6) for r in got}) > 5
