@@ -337,8 +337,8 @@ def _similar(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _linked(scratch: Scratch, docs: DataFrame, told: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """(cls, links, earliest) for those of the classes told that are similar to others of their cluster, on the full sets."""
-    # Rows without doc_id are looked for by their text, so that they are not all one key.
-    key = lambda doc, text: F.struct(doc.isNull(), F.coalesce(doc, text))
+    # The text is in the key, so that rows without doc_id, or very many of one doc_id, are not all one key.
+    key = lambda doc, text: F.struct(doc.isNull(), F.coalesce(doc, F.lit(0)), text)
     wanted = told.groupBy(key(F.col("first.doc_id"), F.col("first.own_text")).alias("_key")).agg(F.collect_list(F.struct("p1", "p2", "cls")).alias("wanted"))
     keyed = documents(docs).withColumn("_key", key(F.col("doc_id"), F.xxhash64("text")))
     held = keyed.join(wanted.hint("merge"), "_key").select("text", "wanted")
@@ -391,13 +391,16 @@ def line_matches(docs: DataFrame, percent: int = PERCENT, key_rows: int = KEY_RO
     lines that an earlier line matches, and n_links how many other classes the document's lines are linked with, each
     line counted. A null doc_id comes after all others; rows that repeat a doc_id are documents of their own, their
     lines in an arbitrary order between them. Null texts have no lines; texts of any length are
-    read whole. An empty table gives an empty result.
+    read whole. An empty table gives an empty result. percent is more than 50: with less, sets of one word could be
+    similar to sets of two.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be more than 50, and 100 at most")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     texts = documents(docs)
     shared = spark.sparkContext.broadcast(_rarity(scratch, texts))
-    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("own_text"), "text")
+    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("own_text"), "text")
     lines = scratch.table(numbered.mapInArrow(lambda batches: _lined(batches, shared.value, percent, key_rows), LINED), "lines")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line", "own_text")).alias("first")
