@@ -101,6 +101,8 @@ def drop_exact_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     repeated = scratch.table(docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     if repeated.isEmpty():
         return out.select("row.*")
-    same = F.col("own_id").eqNullSafe(F.col("id"))
-    once = out.join(repeated, same, "left_semi").groupBy("own_id", "own_sha").agg(F.any_value("row").alias("row"))
-    return out.join(repeated, same, "left_anti").select("row").unionByName(once.select("row")).select("row.*")
+    # A doc_id that very many rows have is a hot key.
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    marked = attach(out.withColumn("key", name("own_id")), repeated.select(name("id").alias("key"), "n"), ["key"], "n", docs.count(), "left")
+    once = marked.filter("n is not null").groupBy("key", "own_sha").agg(F.any_value("row").alias("row"))
+    return marked.filter("n is null").select("row").unionByName(once.select("row")).select("row.*")

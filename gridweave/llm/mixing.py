@@ -77,21 +77,27 @@ SOURCE = ["_name", "_nameless"]
 ROUNDING = ["round0", "round1"]
 
 
+def _variant(docs: DataFrame) -> Column:
+    """The hash of a row's columns, but for maps, which have none: it tells rows apart that doc_id, source and text do not."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def _repeated(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """(key, m) of the keys that m > 1 rows have: rows with the same doc_id, source and text."""
     return scratch.table(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "repeated")
 
 
 def _told_apart(scratch: Scratch, rows: DataFrame, repeated: DataFrame, total: int, name: str) -> DataFrame:
-    """rows with a key of their own for each; rows of a key are numbered in the parts they were read in."""
+    """rows with a key of their own for each: by their variant, and rows equal in all columns numbered in the parts they were read in."""
     if repeated.isEmpty():
         return rows
     several = attach(rows.withColumn("_part", F.spark_partition_id()), repeated, ["key"], "m", total).drop("m")
     several = scratch.table(several, f"{name}several")
-    counts = several.groupBy("key", "_part").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy("key").orderBy("_part")) - F.col("c")).drop("c")
-    within = F.row_number().over(Window.partitionBy("_part", "key").orderBy("size"))
-    numbered = several.withColumn("at", within).join(counts, ["key", "_part"]).withColumn("key", F.xxhash64("key", F.col("before") + F.col("at")))
+    same = ["key", "variant"]
+    counts = several.groupBy(*same, "_part").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*same).orderBy("_part")) - F.col("c")).drop("c")
+    within = F.row_number().over(Window.partitionBy("_part", *same).orderBy("size"))
+    numbered = several.withColumn("at", within).join(counts, [*same, "_part"]).withColumn("key", F.xxhash64(*same, F.col("before") + F.col("at")))
     return rows.join(repeated.hint("merge"), "key", "left_anti").select(*rows.columns).unionByName(numbered.select(*rows.columns))
 
 
@@ -177,10 +183,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     size counts the words of the whole text, null and empty ones having none, however long it is; taken is copies
     times size, and copies at most most rounded up. A null source is a source. A source without words has target 0.
     Reruns agree, as the random number of a row follows from seed, doc_id, source and text; rows equal in all of these
-    are numbered and drawn each for itself. An empty table gives an empty result.
+    are told apart by their other columns, or numbered, and drawn each for itself. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = scratch.table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "sizes")
+    rows = scratch.table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), _variant(docs).alias("variant")), "sizes")
     total = rows.count()
     rows = _told_apart(scratch, rows, _repeated(scratch, rows), total, "")
     cuts = source_cuts(scratch, rows, weights, most, power)
@@ -191,11 +197,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, power: float = POWER, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies, all columns kept. See mix."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    rows = scratch.table(docs.select("source", word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "sizes")
+    rows = scratch.table(docs.select("source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), _variant(docs).alias("variant")), "sizes")
     total = rows.count()
     repeated = _repeated(scratch, rows)
     cuts = source_cuts(scratch, _told_apart(scratch, rows, repeated, total, ""), weights, most, power)
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"))
+    wrapped = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), _variant(docs).alias("variant"))
     wrapped = _told_apart(scratch, wrapped, repeated, total, "rows")
     out = attach(_named(wrapped), cuts, SOURCE, "n", total).withColumn("copies", _copies(power))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select("row.*")

@@ -248,3 +248,19 @@ def test_portions_keep_texts(monkeypatch):
         parts = [t["k"].to_pylist() for t in whole_groups(iter([rows.slice(i, 7) for i in range(0, len(keys), 7)]), ["k"], n, "x" if most else None, most)]
         assert [k for p in parts for k in p] == keys
         assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_half_of_all_rows_under_one_id(spark):
+    """Rows of one doc_id are told apart by their texts; equal rows are copies."""
+    rows = [(7, f"text {k} stands here\nshared line of all texts\nown line number {k % 20} of it") for k in range(60)] + [(7, "text 1 stands here\nshared line of all texts\nown line number 1 of it")] * 5
+    rows += [(100 + k, f"other {k} text\nshared line of all texts") for k in range(40)] + [(None, "no id " + "x" * k) for k in range(20)] + [(None, "no id ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(map(tuple, exact_dedup.drop_exact_copies(df).collect()), key=str)
+    assert kept == sorted(set(rows), key=str)
+    got = line_dedup.line_matches(df).collect()
+    assert len(got) == len(rows)
+    lines = [x for _, t in rows for x in t.split("\n")]
+    # One line of each set stays; no two different lines are similar enough.
+    assert sum(r.n_lines - len(r.removed) for r in got) == len({frozenset(x.split()) for x in lines})
+    with pytest.raises(ValueError):
+        line_dedup.line_matches(df, 50)

@@ -397,3 +397,12 @@ def test_url_tree_is_what_loops_make(spark):
         assert r.template == template and r.purity == pytest.approx(purity)
         assert r.verdict == ("block" if purity >= url_filter.REJECT and supported else "allow")
     assert len({r.verdict for r in got}) == 2 and len({round(r.purity, 6) for r in got}) > 5
+
+
+def test_mixed_documents_of_one_key_agree_on_reruns(spark):
+    """Rows that only other columns tell apart: the same ones are copied, however they are read."""
+    rows = [(1, "word " * 9, "s", f"x{k}", {"a": k}) for k in range(30)] + [(k, "other words " * k, f"s{k % 3}", "y", None) for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other string, more map<string,int>")
+    taken = [sorted((r.doc_id, r.other) for r in mixing.mixed_documents(df.repartition(n)).collect()) for n in (2, 5)]
+    assert taken[0] == taken[1]
+    assert 0 < sum(k == 1 for k, _ in taken[0]) and len(taken[0]) == sum(r.copies for r in mixing.mix(df).collect())
