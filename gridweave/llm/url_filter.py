@@ -90,11 +90,11 @@ def _rounds(scratch: Scratch, leaves: DataFrame, change: Callable[[Scratch, Data
     done, k = [], 0
     while (made := change(scratch, leaves, k)) is not None:
         made = scratch.table(made, f"{name}{k}")
-        hosts = made.filter("changed").select("host").distinct()
-        done.append(scratch.table(made.join(hosts.hint("merge"), "host", "left_anti").drop("changed"), f"{name}-done{k}"))
-        leaves = scratch.table(made.join(hosts.hint("merge"), "host", "left_semi").drop("changed"), f"{name}-open{k}")
-        scratch.drop(f"{name}{k}", *([f"{name}-open{k - 1}"] if k else []))
-        k += 1
+        hosts = made.groupBy("host").agg(F.count("*").alias("urls"), F.max("changed").alias("again"))
+        marked = scratch.table(attach(made, hosts, ["host"], "urls", made.count()), f"{name}-marked{k}")
+        scratch.drop(f"{name}{k}")
+        done.append(marked.filter("not again").select(*leaves.columns))
+        leaves, k = marked.filter("again").select(*leaves.columns), k + 1
     return union_all([*done, leaves])
 
 
