@@ -73,7 +73,8 @@ def range_for_specs(specs: DataFrame, ranges: DataFrame) -> DataFrame:
     """low and high of each spec: of the first token (by pos) found in its code, name and target, else 0..100 if the unit has %."""
     text = F.upper(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("point_code", "point_name", "target_name"))))
     rows = specs.withColumn("_text", text)
-    hit = rows.join(F.broadcast(ranges), F.contains("_text", F.upper("token")), "left")
+    # ranges is a registry that people keep, of some tens of rows; whether it is broadcast the optimiser decides by its size.
+    hit = rows.join(ranges, F.contains("_text", F.upper("token")), "left")
     first = hit.groupBy(*specs.columns).agg(F.min_by(F.struct("low", "high"), "pos").alias("_r"))
     percent = F.contains("unit", F.lit("%"))
     return first.withColumns({"low": F.coalesce("_r.low", F.when(percent, 0.0)), "high": F.coalesce("_r.high", F.when(percent, 100.0))}).drop("_r")

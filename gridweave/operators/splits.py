@@ -85,11 +85,11 @@ def tail_split(n: int, share: float = 0.2) -> dict[str, tuple[int, int]]:
 
 
 def calibration_split(df: DataFrame, order: str, share: float = 0.4) -> DataFrame:
-    """df with part: calibration for the first share of the distinct values of order, evaluation for the others."""
-    values = df.select(order).distinct()
-    cut = math.floor(values.count() * share)
-    part = numbered(values, [order], "_i").select(order, F.when(F.col("_i") < cut, "calibration").otherwise("evaluation").alias("part"))
-    return df.join(part, order)
+    """df with part: calibration for the first share of the distinct values of order, evaluation for the others; nulls go."""
+    values = numbered(df.select(order).filter(F.col(order).isNotNull()).distinct(), [order], "_i")
+    last = values.filter(F.col("_i") == math.floor(values.count() * share) - 1).select(order).first()
+    calibration = F.col(order) <= F.lit(last[0]).cast(df.schema[order].dataType) if last else F.lit(False)
+    return df.filter(F.col(order).isNotNull()).withColumn("part", F.when(calibration, "calibration").otherwise("evaluation"))
 
 
 def select_chunks(df: DataFrame, chunks: DataFrame, gap: int = 1) -> DataFrame:

@@ -468,6 +468,16 @@ def p01_guarded(spark, d):
     return jobs.guarded_score(h, _linear_model, PRED, means, GRID, 20.0, 3 * GRID)
 
 
+@query("window_id:i target horizon:i status gate:f yhat:f", f"""WITH h AS (SELECT id AS window_id, "values" AS h, greatest(list_max("values"[-30:]) - list_min("values"[-30:]), abs("values"[-1] - "values"[-61])) AS s FROM samples),
+    m AS (SELECT *, greatest(least(1 - s / 0.5, 1), 0) AS gate, list_avg(h) + (31.5 + k) * list_sum([h[i] * (i - 32.5) for i in range(1, 65)]) / 21840 AS raw FROM h CROSS JOIN range(1, {PRED + 1}) r(k))
+    SELECT window_id, 'e' AS target, k AS horizon, CASE WHEN gate > 0 THEN 'short_horizon_corrected' ELSE 'model' END AS status, gate, raw + CASE WHEN k < 3 THEN gate * 0.5 * (1 + cos(pi() * k / 3)) ELSE 0 END * (h[64] - raw) AS yhat FROM m""")
+def p01_gated(spark, d):
+    """Histories of 64 steps of ten seconds, long enough for the gate: calm ones pull the first steps to the current value."""
+    h = fx.samples(spark, d).select(F.col("id").alias("window_id"), F.lit("e").alias("target"), F.col("values").alias("history"))
+    means = spark.createDataFrame([("e", 0.0)], "target string, mean double")
+    return jobs.guarded_score(h, _linear_model, PRED, means, 10, 0.5, 30)
+
+
 @query("label:i n:i", "SELECT a.label, count(*) AS n FROM samples a JOIN samples b ON a.label = b.label AND a.id < b.id GROUP BY 1")
 def j13_pairs(spark, d):
     return jobs.pairs(fx.samples(spark, d), "label").groupBy("label").agg(F.count("*").alias("n"))
@@ -514,12 +524,18 @@ def p06_augment_guided(spark, d):
     return _told(reduce(DataFrame.unionByName, [jobs.augment_guided(s, "label", op, 1) for op in jobs.GUIDED]))
 
 
-@query("point_code statistic:f", None)
+@query("point_code statistic:g", """WITH x AS (SELECT point_code, lag(value) OVER w AS l, value - lag(value) OVER w AS d, lag(value) OVER w - lag(value, 2) OVER w AS p FROM user_points WINDOW w AS (PARTITION BY point_code ORDER BY ts)),
+    s AS (SELECT point_code, count(*) AS n, regr_sxx(d, l) AS ll, regr_sxx(d, p) AS pp, regr_sxy(l, p) AS lp, regr_sxy(d, l) AS ld, regr_sxy(d, p) AS pd, regr_syy(d, l) AS dd FROM x WHERE d IS NOT NULL AND p IS NOT NULL GROUP BY 1),
+    b AS (SELECT *, ll * pp - lp * lp AS det, (ld * pp - pd * lp) / (ll * pp - lp * lp) AS bl, (pd * ll - ld * lp) / (ll * pp - lp * lp) AS bp FROM s)
+    SELECT point_code, CASE WHEN n > 3 THEN bl / sqrt((dd - bl * ld - bp * pd) / (n - 3) * pp / det) END AS statistic FROM b""")
 def a24_adf(spark, d):
     return jobs.adf(fx.user_points(spark, d), "point_code", "value", "ts")
 
 
-@query("point_code rank:i period:i amplitude:f", None)
+@query("point_code rank:i period:i amplitude:g", """WITH s AS (SELECT point_code, coalesce(value, 0) AS v, row_number() OVER (PARTITION BY point_code ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY point_code) AS n FROM long),
+    t AS (SELECT *, unnest(range(1, n // 2 + 1)) AS f FROM s),
+    a AS (SELECT point_code, n, f, sqrt(sum(v * cos(2 * pi() * (f * k % n) / n)) ** 2 + sum(v * sin(2 * pi() * (f * k % n) / n)) ** 2) AS amplitude FROM t GROUP BY ALL)
+    SELECT point_code, rank, n // f AS period, amplitude FROM (SELECT *, row_number() OVER (PARTITION BY point_code ORDER BY amplitude DESC, f) AS rank FROM a) WHERE rank <= 3""")
 def w20_periods(spark, d):
     return spectrum.dominant_periods(fx.long(spark, d), 3, "point_code", "value", "ts")
 
