@@ -406,3 +406,89 @@ def test_mixed_documents_of_one_key_agree_on_reruns(spark):
     taken = [sorted((r.doc_id, r.other) for r in mixing.mixed_documents(df.repartition(n)).collect()) for n in (2, 5)]
     assert taken[0] == taken[1]
     assert 0 < sum(k == 1 for k, _ in taken[0]) and len(taken[0]) == sum(r.copies for r in mixing.mix(df).collect())
+
+
+def covering(rows, names):
+    """The decision list by sequential covering in plain loops; rows are dicts with bad, apart and the numbers of names."""
+    q = quality_rules
+    steps = [i / q.QUANTILES for i in range(q.QUANTILES)] + [0.98, 0.995, 1.0]
+    cuts = {}
+    for name in names:
+        seen = set()
+        for bad in (0, 1):
+            own = sorted(r[name] for r in rows if r["bad"] == bad)
+            seen |= {own[max(math.ceil(s * len(own)) - 1, 0)] for s in steps}
+        seen = sorted(seen)
+        cuts[name] = [(a + b) / 2 for a, b in zip(seen, seen[1:], strict=False)]
+    fits = lambda r, rule: all((r[f] > t) == above for f, above, t in rule)
+    rules = []
+    while len(rules) < q.RULES:
+        left = [r for r in rows if not any(fits(r, rule) for rule in rules)]
+        rule = ()
+        while len(rule) < q.CONDITIONS:
+            here = [r for r in left if not r["apart"] and fits(r, rule)]
+            bad, best, most = sum(r["bad"] for r in here), None, 1e-9
+            if not bad or bad == len(here):
+                break
+            for name in names:
+                for t in cuts[name]:
+                    for above in (True, False):
+                        own = [r["bad"] for r in here if (r[name] > t) == above]
+                        if sum(own) and len(own) < len(here):
+                            gain = sum(own) * (math.log2(sum(own) / len(own)) - math.log2(bad / len(here)))
+                            if gain > most + 1e-12:
+                                best, most = (name, above, t), gain
+            if best is None:
+                break
+            rule = (*rule, best)
+        if not rule:
+            break
+        worth = []
+        for k in range(len(rule)):
+            own = [r["bad"] for r in left if r["apart"] and fits(r, rule[: k + 1])]
+            p, n = sum(own), len(own)
+            worth.append(((2 * p - n) / n if n else -1.0, -k, (p + 1) / (n + 2) >= q.PURITY or n > 0 and p == n))
+        _, k, enough = max(worth)
+        if not enough:
+            break
+        rules.append(rule[: 1 - k])
+    return rules
+
+
+def test_the_list_is_what_loops_learn(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(700):
+        a, b, c = (float(rng.randrange(8)) for _ in range(3))
+        bad = int(a >= 6 and b <= 2 or c == 7)
+        rows.append((k, bad if rng.random() > 0.01 else 1 - bad, a, b, c))
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "doc_id long, bad long, a double, b double, c double").repartition(3)
+    told = df.withColumn("apart", F.pmod(F.xxhash64("doc_id"), F.lit(quality_rules.APART)) == 0).collect()
+    want = covering([r.asDict() for r in told], names)
+    got = [tuple((c.feature, c.above, c.threshold) for c in rule) for rule in quality_rules.learn(df, names)]
+    assert got == want and len(got) >= 2 and max(map(len, got)) >= 2
+    kept = {r.doc_id: r["n"] for r in df.withColumn("n", quality_rules.emit(quality_rules.learn(df, names))).collect()}
+    for k, _, *values in rows:
+        r = dict(zip(names, values, strict=True))
+        covers = [i for i, rule in enumerate(want) if all((r[f] > t) == above for f, above, t in rule)]
+        assert kept[k] == (covers[0] if covers else None)
+
+
+def test_the_classifier_is_at_its_optimum():
+    """At the weights found, the slope of the ridge logistic loss, summed in plain loops, is zero."""
+    rng = random.Random(2)
+    n, width = 300, 12
+    has = [sorted({rng.randrange(width) for _ in range(rng.randrange(6))}) for _ in range(n)]
+    target = [min(max(rng.gauss(0.9 if 3 in h or 7 in h else 0.1, 0.1), 0.0), 1.0) for h in has]
+    rows, columns = np.array([i for i, h in enumerate(has) for _ in h]), np.array([j for h in has for j in h])
+    w, bias = toxicity._fit(rows, columns, n, width, np.array(target))
+    slope = [toxicity.RIDGE * float(w[j]) for j in range(width)]
+    rest = 1e-6 * bias
+    for h, t in zip(has, target, strict=True):
+        p = 1 / (1 + math.exp(-(bias + sum(float(w[j]) for j in h))))
+        rest += p - t
+        for j in h:
+            slope[j] += p - t
+    assert max(map(abs, [*slope, rest])) < 1e-3
+    assert w[3] > 1 and w[7] > 1
