@@ -14,7 +14,8 @@ from gridweave.plans import fixtures as fx
 from gridweave.plans.fixtures import CHUNK, CODES, GRID, PRED, SEQ, query
 
 _E = "(yhat - y)"
-_HISTORY = f"""SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, point_code AS target, list(value ORDER BY f.ts) AS history FROM win w JOIN full_long f ON f.ts BETWEEN w.input_start_time AND w.input_end_time GROUP BY 1, 2"""
+_HISTORY = f"""SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, point_code AS target, list(value ORDER BY f.ts) AS history FROM win w
+    JOIN full_long f ON f.ts BETWEEN w.input_start_time AND w.input_end_time GROUP BY 1, 2"""
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +35,8 @@ def f20_persistence(spark, d):
     return forecast.forecasts(fx.frame(spark, d), fx.windows(spark, d), CODES, PRED, GRID)
 
 
-@query("window_id:i target n:i last:f first:f", f"SELECT window_id, target, 2 + {PRED} AS n, CASE WHEN target IN ('click', 'view') THEN (history[5] + history[6]) / 2 ELSE history[6] END AS last, history[5] AS first FROM ({_HISTORY})")
+@query("window_id:i target n:i last:f first:f", f"""SELECT window_id, target, 2 + {PRED} AS n, CASE WHEN target IN ('click', 'view') THEN (history[5]
+    + history[6]) / 2 ELSE history[6] END AS last, history[5] AS first FROM ({_HISTORY})""")
 def f21_decoder_input(spark, d):
     h = _history(spark, d)
     x = F.when(F.col("target").isin("click", "view"), scalar.decoder_input(F.col("history"), 2, PRED, True)).otherwise(scalar.decoder_input(F.col("history"), 2, PRED, False))
@@ -58,7 +60,8 @@ def _knots(spark):
 _WEIGHTS = "(VALUES ('click', 1, 0.2), ('click', 2, 0.5), ('click', 3, 0.8), ('click', 4, 0.8), ('view', 1, 0.5), ('view', 2, 0.5), ('view', 3, 0.5), ('view', 4, 0.5)) k(target, horizon, weight)"
 
 
-@query("window_id:i target horizon:i yhat:f", f"SELECT window_id, f.target, f.horizon, y0 + coalesce(weight, 1) * (yhat - y0) AS yhat FROM fc f LEFT JOIN {_WEIGHTS} ON k.target = f.target AND k.horizon = f.horizon")
+@query("window_id:i target horizon:i yhat:f", f"""SELECT window_id, f.target, f.horizon, y0 + coalesce(weight, 1) * (yhat - y0) AS yhat FROM fc f LEFT
+    JOIN {_WEIGHTS} ON k.target = f.target AND k.horizon = f.horizon""")
 def f23_f25_blend(spark, d):
     return forecast.blended(fx.fc(spark, d), forecast.interpolate_weights(_knots(spark), PRED))
 
@@ -73,9 +76,13 @@ def f24_bias_correct(spark, d):
 LOOK_BACK = 5 * 86_400
 
 
-@query("window_id:i target horizon:i yhat:g gate:f", f"""WITH h AS (SELECT window_id, target, list(value ORDER BY p.ts, value) AS h FROM (SELECT DISTINCT window_id, target, origin_ts FROM fc) k JOIN points p ON p.point_code = k.target AND p.ts <= k.origin_ts AND epoch_us(p.ts) > epoch_us(k.origin_ts) - {LOOK_BACK}000000 GROUP BY 1, 2),
-    g AS (SELECT window_id, target, CASE WHEN len(h) >= 61 AND list_count(h[-61:]) = 61 THEN greatest(least(1 - greatest(list_max(h[-30:]) - list_min(h[-30:]), abs(h[-1] - h[-61])) / 600, 1), 0) ELSE 0 END AS g FROM h)
-    SELECT f.window_id, f.target, horizon, CASE WHEN horizon < 3 THEN yhat + coalesce(g, 0) * 0.5 * (1 + cos(pi() * horizon * 10 / 30)) * (y0 - yhat) ELSE yhat END AS yhat, g AS gate FROM fc f LEFT JOIN g ON g.window_id = f.window_id AND g.target = f.target""")
+@query("window_id:i target horizon:i yhat:g gate:f", f"""WITH h AS (SELECT window_id, target, list(value ORDER BY p.ts, value) AS h
+    FROM (SELECT DISTINCT window_id, target, origin_ts FROM fc) k JOIN points p ON p.point_code = k.target AND p.ts <= k.origin_ts AND epoch_us(p.ts)
+    > epoch_us(k.origin_ts) - {LOOK_BACK}000000 GROUP BY 1, 2),
+    g AS (SELECT window_id, target, CASE WHEN len(h) >= 61 AND list_count(h[-61:]) = 61 THEN greatest(least(1 - greatest(list_max(h[-30:]) -
+    list_min(h[-30:]), abs(h[-1] - h[-61])) / 600, 1), 0) ELSE 0 END AS g FROM h)
+    SELECT f.window_id, f.target, horizon, CASE WHEN horizon < 3 THEN yhat + coalesce(g, 0) * 0.5 * (1 + cos(pi() * horizon * 10 / 30)) * (y0 - yhat)
+    ELSE yhat END AS yhat, g AS gate FROM fc f LEFT JOIN g ON g.window_id = f.window_id AND g.target = f.target""")
 def f26_gated_shrink(spark, d):
     """Each window's gate by the raw points of its own target up to its origin."""
     f = fx.fc(spark, d)
@@ -84,49 +91,58 @@ def f26_gated_shrink(spark, d):
     return forecast.gated_shrink(f, history, 600.0, 30)
 
 
-@query("window_id:i target horizon:i yhat:f", """SELECT window_id, target, horizon, yhat + greatest(least(y0 - first_value(yhat) OVER (PARTITION BY window_id, target ORDER BY horizon), 5), -5) * exp(-(horizon - 1) / CAST(2 AS DOUBLE)) AS yhat FROM fc""")
+@query("window_id:i target horizon:i yhat:f", """SELECT window_id, target, horizon, yhat + greatest(least(y0 - first_value(yhat) OVER (PARTITION BY
+    window_id, target ORDER BY horizon), 5), -5) * exp(-(horizon - 1) / CAST(2 AS DOUBLE)) AS yhat FROM fc""")
 def f27_offset_anchor(spark, d):
     f = fx.fc(spark, d)
     usable = _history(spark, d).select("window_id", "target", (~F.exists("history", lambda x: x.isNull())).alias("usable"))
     return forecast.offset_correct(f, usable, {"kind": "anchor", "limit": 5.0, "decay": 2.0})
 
 
-@query("window_id:i target horizon:i yhat:f", "SELECT window_id, target, horizon, yhat + greatest(least(0.1 * (y0 - 50), 3), -3) * least(horizon / CAST(2 AS DOUBLE), 1) AS yhat FROM fc")
+@query("window_id:i target horizon:i yhat:f", """SELECT window_id, target, horizon, yhat + greatest(least(0.1 * (y0 - 50), 3), -3) * least(horizon /
+    CAST(2 AS DOUBLE), 1) AS yhat FROM fc""")
 def f27_offset_linear(spark, d):
     f = fx.fc(spark, d)
     return forecast.offset_correct(f, f.select("window_id", "target").distinct().withColumn("usable", F.lit(True)), {"kind": "linear", "limit": 3.0, "slope": 0.1, "center": 50.0, "ramp": 2.0})
 
 
-@query("input_start_time:t click:f click_first:f", "SELECT input_start_time, a.click, b.click AS click_first FROM win JOIN wide a ON a.ts = input_end_time JOIN wide b ON b.ts = target_start_time")
+@query("input_start_time:t click:f click_first:f", """SELECT input_start_time, a.click, b.click AS click_first FROM win
+    JOIN wide a ON a.ts = input_end_time JOIN wide b ON b.ts = target_start_time""")
 def j04_attach_origin(spark, d):
     return forecast.attach_origin(fx.windows(spark, d), fx.frame(spark, d), ["click"])
 
 
-@query("target compared:i different:i", "SELECT target, count(*) AS compared, count(*) FILTER (window_id // 7200 % 5 = 0) AS different FROM fc WHERE horizon = 1 GROUP BY 1")
+@query("target compared:i different:i", """SELECT target, count(*) AS compared, count(*) FILTER (window_id // 7200 % 5 = 0) AS different FROM fc
+    WHERE horizon = 1 GROUP BY 1""")
 def j05_alignment(spark, d):
     f = fx.fc(spark, d).withColumn("y", F.when(F.floor(F.col("window_id") / GRID) % 5 == 0, F.col("y") + 9).otherwise(F.col("y")))
     return forecast.check_alignment(f, fx.frame(spark, d), CODES)
 
 
-@query("method target mae:f", f"SELECT 'model' AS method, target, avg(abs{_E}) AS mae FROM fc GROUP BY 2 UNION ALL SELECT 'persistence', target, avg(abs(y0 - y)) FROM fc GROUP BY 2")
+@query("method target mae:f", f"""SELECT 'model' AS method, target, avg(abs{_E}) AS mae FROM fc GROUP BY 2 UNION ALL
+    SELECT 'persistence', target, avg(abs(y0 - y)) FROM fc GROUP BY 2""")
 def j08_j09_compare_methods(spark, d):
     f = fx.fc(spark, d)
     return metrics.metrics(forecast.compare_methods({"model": f, "persistence": _persistence(f)}), ["method", "target"])
 
 
-@query("target day:d model:g persistence:g", f"SELECT target, CAST(origin_ts AS DATE) AS day, avg(abs{_E}) AS model, avg(abs(y0 - y)) AS persistence FROM fc GROUP BY 1, 2")
+@query("target day:d model:g persistence:g", f"""SELECT target, CAST(origin_ts AS DATE) AS day, avg(abs{_E}) AS model, avg(abs(y0 - y)) AS persistence
+    FROM fc GROUP BY 1, 2""")
 def j10_daily_pivot(spark, d):
     f = fx.fc(spark, d)
     return metrics.daily_pivot(forecast.compare_methods({"model": f, "persistence": _persistence(f)}), ["model", "persistence"])
 
 
-@query("target alpha:f mae:f", "SELECT target, alpha, avg(abs(y0 + alpha * (yhat - y0) - y)) AS mae FROM fc CROSS JOIN (VALUES (0.0), (0.5), (1.0)) t(alpha) GROUP BY 1, 2")
+@query("target alpha:f mae:f", """SELECT target, alpha, avg(abs(y0 + alpha * (yhat - y0) - y)) AS mae FROM fc CROSS
+    JOIN (VALUES (0.0), (0.5), (1.0)) t(alpha) GROUP BY 1, 2""")
 def j12_grid_apply(spark, d):
     g = forecast.grid_apply(fx.fc(spark, d), [0.0, 0.5, 1.0])
     return g.groupBy("target", "alpha").agg(F.avg(F.abs(scalar.blend(F.col("y0"), F.col("yhat"), F.col("alpha")) - F.col("y"))).alias("mae"))
 
 
-@query("window_id:i target horizon:i smooth:f", "SELECT window_id, target, horizon, smooth FROM (SELECT *, avg(yhat) OVER (PARTITION BY window_id, target ORDER BY horizon ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smooth FROM (SELECT window_id, target, horizon, yhat FROM fc UNION ALL SELECT DISTINCT window_id, target, h, y0 FROM fc CROSS JOIN (VALUES (-1), (0)) t(h))) WHERE horizon > 0")
+@query("window_id:i target horizon:i smooth:f", """SELECT window_id, target, horizon, smooth FROM (SELECT *, avg(yhat) OVER (PARTITION BY window_id,
+    target ORDER BY horizon ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smooth FROM (SELECT window_id, target, horizon, yhat FROM fc UNION ALL
+    SELECT DISTINCT window_id, target, h, y0 FROM fc CROSS JOIN (VALUES (-1), (0)) t(h))) WHERE horizon > 0""")
 def w18_smooth3(spark, d):
     f = fx.fc(spark, d)
     return forecast_smooth(f)
@@ -141,7 +157,8 @@ def w19_rolling_bias(spark, d):
     return forecast.rolling_bias(fx.fc(spark, d), 3, GRID, 1 - float(np.exp(-10 / 180)), 6, 20.0)
 
 
-@query("target ts:t y:f yhat:f", "SELECT target, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, avg(y) AS y, avg(yhat) AS yhat FROM fc WHERE horizon = 4 GROUP BY 1, 2")
+@query("target ts:t y:f yhat:f", """SELECT target, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, avg(y) AS y, avg(yhat) AS yhat
+    FROM fc WHERE horizon = 4 GROUP BY 1, 2""")
 def w21_fixed_lead(spark, d):
     return forecast.fixed_lead_series(fx.fc(spark, d), PRED, "6 hours")
 
@@ -149,18 +166,22 @@ def w21_fixed_lead(spark, d):
 # Metrics
 
 
-@query("target horizon:i n:i mae:f mse:f rmse:f mape:f mspe:f bias:f r2:f", f"""SELECT target, horizon, count(*) AS n, avg(abs{_E}) AS mae, avg({_E} ** 2) AS mse, sqrt(avg({_E} ** 2)) AS rmse, avg(abs({_E} / nullif(y, 0))) AS mape, avg(({_E} / nullif(y, 0)) ** 2) AS mspe,
+@query("target horizon:i n:i mae:f mse:f rmse:f mape:f mspe:f bias:f r2:f", f"""SELECT target, horizon, count(*) AS n, avg(abs{_E}) AS mae, avg({_E}
+    ** 2) AS mse, sqrt(avg({_E} ** 2)) AS rmse, avg(abs({_E} / nullif(y, 0))) AS mape, avg(({_E} / nullif(y, 0)) ** 2) AS mspe,
     avg{_E} AS bias, 1 - sum({_E} ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)) AS r2 FROM fc GROUP BY 1, 2""")
 def m01_m05_m08_metrics(spark, d):
     return metrics.metrics(fx.fc(spark, d), ["target", "horizon"])
 
 
-@query("target rse:f", f"SELECT target, sqrt(sum({_E} ** 2)) / sqrt(sum((y - m) ** 2)) AS rse FROM (SELECT *, avg(y) OVER (PARTITION BY target) AS m FROM fc) GROUP BY 1")
+@query("target rse:f", f"""SELECT target, sqrt(sum({_E} ** 2)) / sqrt(sum((y - m) ** 2)) AS rse FROM (SELECT *, avg(y) OVER (PARTITION BY target) AS m
+    FROM fc) GROUP BY 1""")
 def m02_rse(spark, d):
     return metrics.rse(fx.fc(spark, d), ["target"])
 
 
-@query("corr:f", "SELECT avg(c) AS corr FROM (SELECT sum(a * b) / sqrt(sum((a * b) ** 2)) AS c FROM (SELECT target, horizon, y - avg(y) OVER w AS a, yhat - avg(yhat) OVER w AS b FROM fc WINDOW w AS (PARTITION BY target, horizon)) GROUP BY target, horizon)")
+@query("corr:f", """SELECT avg(c) AS corr FROM (SELECT sum(a * b) / sqrt(sum((a * b) ** 2)) AS c
+    FROM (SELECT target, horizon, y - avg(y) OVER w AS a, yhat - avg(yhat) OVER w AS b FROM fc WINDOW w AS (PARTITION BY target, horizon))
+    GROUP BY target, horizon)""")
 def m03_corr(spark, d):
     return metrics.corr_metric(fx.fc(spark, d))
 
@@ -170,7 +191,8 @@ def m03_corr_pearson(spark, d):
     return metrics.corr_metric(fx.fc(spark, d), "pearson")
 
 
-_EVAL = f"SELECT target, avg(abs{_E}) AS mae, sqrt(avg({_E} ** 2)) AS rmse, 1 - sum({_E} ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)) AS r2, 100 * avg(abs{_E} / (abs(y) + 1e-8)) AS mape, 100 * avg(2 * abs{_E} / (abs(y) + abs(yhat) + 1e-8)) AS smape FROM fc GROUP BY 1"
+_EVAL = f"""SELECT target, avg(abs{_E}) AS mae, sqrt(avg({_E} ** 2)) AS rmse, 1 - sum({_E} ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)) AS r2, 100 *
+    avg(abs{_E} / (abs(y) + 1e-8)) AS mape, 100 * avg(2 * abs{_E} / (abs(y) + abs(yhat) + 1e-8)) AS smape FROM fc GROUP BY 1"""
 
 
 @query("target mae:f rmse:f r2:f mape:f smape:f", f"{_EVAL} UNION ALL SELECT 'macro', avg(mae), avg(rmse), avg(r2), avg(mape), avg(smape) FROM ({_EVAL})")
@@ -178,7 +200,9 @@ def m04_evaluate(spark, d):
     return metrics.evaluate(fx.fc(spark, d))
 
 
-@query("target p95:f p99:f max_abs:f p95_window_mae:f", f"SELECT * FROM (SELECT target, quantile_cont(abs{_E}, 0.95) AS p95, quantile_cont(abs{_E}, 0.99) AS p99, max(abs{_E}) AS max_abs FROM fc GROUP BY 1) JOIN (SELECT target, quantile_cont(m, 0.95) AS p95_window_mae FROM (SELECT target, window_id, avg(abs{_E}) AS m FROM fc GROUP BY 1, 2) GROUP BY 1) USING (target)")
+@query("target p95:f p99:f max_abs:f p95_window_mae:f", f"""SELECT * FROM (SELECT target, quantile_cont(abs{_E}, 0.95) AS p95, quantile_cont(abs{_E},
+    0.99) AS p99, max(abs{_E}) AS max_abs FROM fc GROUP BY 1) JOIN (SELECT target, quantile_cont(m, 0.95) AS p95_window_mae
+    FROM (SELECT target, window_id, avg(abs{_E}) AS m FROM fc GROUP BY 1, 2) GROUP BY 1) USING (target)""")
 def m06_tails(spark, d):
     return metrics.tail_metrics(fx.fc(spark, d), ["target"])
 
@@ -191,7 +215,8 @@ def m07_skill(spark, d):
     return metrics.skill(fx.fc(spark, d), ["target", "horizon"])
 
 
-@query("target mae_h1:f mae_h4:f", f"SELECT target, avg(abs{_E}) FILTER (horizon = 1) AS mae_h1, avg(abs{_E}) FILTER (horizon = 4) AS mae_h4 FROM fc GROUP BY 1")
+@query("target mae_h1:f mae_h4:f", f"""SELECT target, avg(abs{_E}) FILTER (horizon = 1) AS mae_h1, avg(abs{_E}) FILTER (horizon = 4) AS mae_h4 FROM fc
+    GROUP BY 1""")
 def m09_at_horizons(spark, d):
     return metrics.at_horizons(fx.fc(spark, d), [1, 4])
 
@@ -201,43 +226,54 @@ def m10_daily(spark, d):
     return metrics.daily_metrics(fx.fc(spark, d))
 
 
-@query("target days:i better:i", f"SELECT target, count(*) AS days, count(*) FILTER (skill > 0) AS better FROM (SELECT target, CAST(origin_ts AS DATE) AS day, {_SKILL} FROM fc GROUP BY 1, 2) GROUP BY 1")
+@query("target days:i better:i", f"""SELECT target, count(*) AS days, count(*) FILTER (skill > 0) AS better
+    FROM (SELECT target, CAST(origin_ts AS DATE) AS day, {_SKILL} FROM fc GROUP BY 1, 2) GROUP BY 1""")
 def m10_days_better(spark, d):
     return metrics.days_better(metrics.daily_metrics(fx.fc(spark, d)))
 
 
-_ENDS = "SELECT window_id, target, arg_min(y, horizon) AS ya, arg_max(y, horizon) AS yb, arg_min(yhat, horizon) AS pa, arg_max(yhat, horizon) AS pb, max(y0) AS o FROM fc GROUP BY 1, 2"
+_ENDS = """SELECT window_id, target, arg_min(y, horizon) AS ya, arg_max(y, horizon) AS yb, arg_min(yhat, horizon) AS pa, arg_max(yhat, horizon) AS
+    pb, max(y0) AS o FROM fc GROUP BY 1, 2"""
 
 
-@query("target eligible:i accuracy:f", f"SELECT target, count(*) AS eligible, avg(CAST(sign(yb - ya) = sign(pb - pa) AS INT)) AS accuracy FROM ({_ENDS}) WHERE abs(yb - ya) >= 2 GROUP BY 1")
+@query("target eligible:i accuracy:f", f"""SELECT target, count(*) AS eligible, avg(CAST(sign(yb - ya) = sign(pb - pa) AS INT)) AS accuracy
+    FROM ({_ENDS}) WHERE abs(yb - ya) >= 2 GROUP BY 1""")
 def m11_direction_first(spark, d):
     return metrics.direction(fx.fc(spark, d), 20.0, "first_step")
 
 
-@query("target eligible:i accuracy:f gain:f", f"SELECT target, count(*) AS eligible, avg(CAST(sign(yb - o) = sign(pb - o) AS INT)) AS accuracy, sum((yb - o) * (pb - o)) / sum((yb - o) ** 2) AS gain FROM ({_ENDS}) WHERE abs(yb - o) >= 2 GROUP BY 1")
+@query("target eligible:i accuracy:f gain:f", f"""SELECT target, count(*) AS eligible, avg(CAST(sign(yb - o) = sign(pb - o) AS INT)) AS accuracy,
+    sum((yb - o) * (pb - o)) / sum((yb - o) ** 2) AS gain FROM ({_ENDS}) WHERE abs(yb - o) >= 2 GROUP BY 1""")
 def m12_direction_origin(spark, d):
     return metrics.direction(fx.fc(spark, d), 20.0)
 
 
-@query("target horizon:i eligible:i accuracy:f", "SELECT target, horizon, count(*) AS eligible, avg(CAST(sign(y - y0) = sign(yhat - y0) AS INT)) AS accuracy FROM fc JOIN (SELECT target, horizon, quantile_cont(abs(y - y0), 0.1) AS l FROM fc GROUP BY 1, 2) USING (target, horizon) WHERE abs(y - y0) >= l GROUP BY 1, 2")
+@query("target horizon:i eligible:i accuracy:f", """SELECT target, horizon, count(*) AS eligible, avg(CAST(sign(y - y0) = sign(yhat - y0) AS INT)) AS
+    accuracy FROM fc JOIN (SELECT target, horizon, quantile_cont(abs(y - y0), 0.1) AS l FROM fc GROUP BY 1, 2) USING (target, horizon)
+    WHERE abs(y - y0) >= l GROUP BY 1, 2""")
 def m13_direction_adaptive(spark, d):
     return metrics.direction_adaptive(fx.fc(spark, d))
 
 
-_DIFF = "SELECT target, horizon, y - lag(y) OVER w AS y1, yhat - lag(yhat) OVER w AS p1, y - 2 * lag(y) OVER w + lag(y, 2) OVER w AS y2, yhat - 2 * lag(yhat) OVER w + lag(yhat, 2) OVER w AS p2, yhat - coalesce(lag(yhat) OVER w, y0) AS j FROM fc WINDOW w AS (PARTITION BY window_id, target ORDER BY horizon)"
+_DIFF = """SELECT target, horizon, y - lag(y) OVER w AS y1, yhat - lag(yhat) OVER w AS p1, y - 2 * lag(y) OVER w + lag(y, 2) OVER w AS y2, yhat - 2 *
+    lag(yhat) OVER w + lag(yhat, 2) OVER w AS p2, yhat - coalesce(lag(yhat) OVER w, y0) AS j FROM fc WINDOW w AS (PARTITION BY window_id, target
+    ORDER BY horizon)"""
 
 
-@query("target variation_ratio:f curvature_ratio:f", f"SELECT target, sum(abs(p1)) / sum(abs(y1)) AS variation_ratio, sum(abs(p2)) / sum(abs(y2)) AS curvature_ratio FROM ({_DIFF}) GROUP BY 1")
+@query("target variation_ratio:f curvature_ratio:f", f"""SELECT target, sum(abs(p1)) / sum(abs(y1)) AS variation_ratio, sum(abs(p2)) / sum(abs(y2)) AS
+    curvature_ratio FROM ({_DIFF}) GROUP BY 1""")
 def m14_variation(spark, d):
     return metrics.variation(fx.fc(spark, d))
 
 
-@query("target phase:i mean_jump:f total_variation:f", f"SELECT target, horizon % 3 AS phase, avg(abs(j)) AS mean_jump, sum(abs(j)) AS total_variation FROM ({_DIFF}) GROUP BY 1, 2")
+@query("target phase:i mean_jump:f total_variation:f", f"""SELECT target, horizon % 3 AS phase, avg(abs(j)) AS mean_jump, sum(abs(j)) AS
+    total_variation FROM ({_DIFF}) GROUP BY 1, 2""")
 def m15_jumps(spark, d):
     return metrics.jump_profile(fx.fc(spark, d), 3)
 
 
-@query("target mean_total_variation:f jump_1_to_2:f jump_3_to_4:f", f"SELECT target, sum(abs(j)) / count(*) FILTER (horizon = 1) AS mean_total_variation, avg(abs(j)) FILTER (horizon = 2) AS jump_1_to_2, avg(abs(j)) FILTER (horizon = 4) AS jump_3_to_4 FROM ({_DIFF}) GROUP BY 1")
+@query("target mean_total_variation:f jump_1_to_2:f jump_3_to_4:f", f"""SELECT target, sum(abs(j)) / count(*) FILTER (horizon = 1) AS
+    mean_total_variation, avg(abs(j)) FILTER (horizon = 2) AS jump_1_to_2, avg(abs(j)) FILTER (horizon = 4) AS jump_3_to_4 FROM ({_DIFF}) GROUP BY 1""")
 def m15_boundary_jumps(spark, d):
     return metrics.boundary_jumps(fx.fc(spark, d), (1, 3))
 
@@ -247,16 +283,20 @@ def m16_masked_metrics(spark, d):
     return metrics.metrics(fx.fc(spark, d), ["target"], F.col("y") > 50)
 
 
-@query("target mape:f smape:f mase:f", """SELECT target, avg(m * coalesce(abs(y - yhat) / nullif(abs(y), 0), 0)) AS mape, avg(m * coalesce(200 * abs(y - yhat) / nullif(abs(y) + abs(yhat), 0), 0)) AS smape, avg(m * coalesce(abs(y - yhat) / nullif(naive, 0), 0)) AS mase FROM (
-    SELECT *, CAST(y > 40 AS INT) AS m, avg(abs(st)) OVER (PARTITION BY window_id, target) AS naive FROM (SELECT *, y - lag(y) OVER (PARTITION BY window_id, target ORDER BY horizon) AS st FROM fc)) GROUP BY 1""")
+@query("target mape:f smape:f mase:f", """SELECT target, avg(m * coalesce(abs(y - yhat) / nullif(abs(y), 0), 0)) AS mape, avg(m * coalesce(200 *
+    abs(y - yhat) / nullif(abs(y) + abs(yhat), 0), 0)) AS smape, avg(m * coalesce(abs(y - yhat) / nullif(naive, 0), 0)) AS mase FROM (
+    SELECT *, CAST(y > 40 AS INT) AS m, avg(abs(st)) OVER (PARTITION BY window_id, target) AS naive
+    FROM (SELECT *, y - lag(y) OVER (PARTITION BY window_id, target ORDER BY horizon) AS st FROM fc)) GROUP BY 1""")
 def m17_masked_loss(spark, d):
     # The step of a window function can't be averaged by another one at once.
     f = fx.fc(spark, d)
     return metrics.masked_loss(f, ["target"], F.col("y") > 40)
 
 
-_PANEL = """SELECT c_custkey AS id, c_mktsegment AS grp, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2 HAVING count(*) >= 8"""
-_SCORES = """SELECT id, grp, list_avg(list_transform(list_zip(v[-2:], [v[-3], v[-3]]), lambda x: abs(x[1] - x[2]))) / nullif(list_avg(list_transform(range(1, len(v) - 2), lambda i: abs(v[i + 1] - v[i]))), 0) AS mase,
+_PANEL = """SELECT c_custkey AS id, c_mktsegment AS grp, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v FROM orders
+    JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2 HAVING count(*) >= 8"""
+_SCORES = """SELECT id, grp, list_avg(list_transform(list_zip(v[-2:], [v[-3], v[-3]]), lambda x: abs(x[1] - x[2]))) /
+    nullif(list_avg(list_transform(range(1, len(v) - 2), lambda i: abs(v[i + 1] - v[i]))), 0) AS mase,
     list_avg(list_transform(list_zip(v[-2:], [v[-3], v[-3]]), lambda x: 2 * abs(x[1] - x[2]) / nullif(abs(x[1]) + abs(x[2]), 0))) AS smape2 FROM ({0})"""
 
 
@@ -275,7 +315,8 @@ def m18_seasonal_scores(spark, d):
 _COMP = f"SELECT CASE WHEN grp IN ('BUILDING', 'MACHINERY') THEN grp ELSE 'Others' END AS g, mase, smape2 FROM ({_SCORES.format(_PANEL)})"
 
 
-@query("group n:i mase:f smape:f", f"""SELECT g AS "group", count(*) AS n, round(avg(mase), 3) AS mase, round(avg(smape2), 3) AS smape FROM ({_COMP}) GROUP BY 1 UNION ALL SELECT 'Average', count(*), round(avg(mase), 3), round(avg(smape2), 3) FROM ({_COMP})""")
+@query("group n:i mase:f smape:f", f"""SELECT g AS "group", count(*) AS n, round(avg(mase), 3) AS mase, round(avg(smape2), 3) AS smape FROM ({_COMP})
+    GROUP BY 1 UNION ALL SELECT 'Average', count(*), round(avg(mase), 3), round(avg(smape2), 3) FROM ({_COMP})""")
 def m19_competition(spark, d):
     s = metrics.seasonal_scores(_panel(spark, d))
     return metrics.competition_summary(s.withColumns({"mase_naive": F.col("mase"), "smape_naive": F.col("smape2")}), ["BUILDING", "MACHINERY"])
@@ -284,27 +325,38 @@ def m19_competition(spark, d):
 fx.ORACLES["m19_competition"] = fx.ORACLES["m19_competition"].replace("SELECT group AS group", 'SELECT "group" AS "group"')
 
 
-@query("target offset_share:f", f"SELECT target, sum(h * m * m) / sum(s) AS offset_share FROM (SELECT target, window_id, count(*) AS h, avg{_E} AS m, sum({_E} ** 2) AS s FROM fc GROUP BY 1, 2) GROUP BY 1")
+@query("target offset_share:f", f"""SELECT target, sum(h * m * m) / sum(s) AS offset_share
+    FROM (SELECT target, window_id, count(*) AS h, avg{_E} AS m, sum({_E} ** 2) AS s FROM fc GROUP BY 1, 2) GROUP BY 1""")
 def m20_offset_share(spark, d):
     return metrics.offset_mse_share(fx.fc(spark, d))
 
 
-@query("target loss:f", f"SELECT target, sum(exp(-0.1 * (horizon - 1)) * e * e) / sum(exp(-0.1 * (horizon - 1))) + 0.5 * avg((e - l) ** 2) + 0.25 * avg(e * e) FILTER (horizon = {PRED}) AS loss FROM (SELECT *, {_E} AS e, lag{_E} OVER (PARTITION BY window_id, target ORDER BY horizon) AS l FROM fc) GROUP BY 1")
+@query("target loss:f", f"""SELECT target, sum(exp(-0.1 * (horizon - 1)) * e * e) / sum(exp(-0.1 * (horizon - 1))) + 0.5 * avg((e - l) ** 2) + 0.25 *
+    avg(e * e) FILTER (horizon = {PRED}) AS loss FROM (SELECT *, {_E} AS e, lag{_E} OVER (PARTITION BY window_id, target ORDER BY horizon) AS l
+    FROM fc) GROUP BY 1""")
 def m21_composite_loss(spark, d):
     return metrics.composite_loss(fx.fc(spark, d), 0.5, 0.25, 0.1)
 
 
-_PART = "SELECT *, CASE WHEN i <= floor(n * 0.4) THEN 'c' ELSE 'e' END AS part FROM fc JOIN (SELECT window_id, row_number() OVER (ORDER BY window_id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT window_id FROM fc)) USING (window_id)"
+_PART = """SELECT *, CASE WHEN i <= floor(n * 0.4) THEN 'c' ELSE 'e' END AS part FROM fc
+    JOIN (SELECT window_id, row_number() OVER (ORDER BY window_id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT window_id
+    FROM fc)) USING (window_id)"""
 
 
-@query("target horizon:i low:f high:f coverage:f width:f", f"""SELECT target, horizon, max(low) AS low, max(high) AS high, avg(CAST(y - yhat BETWEEN low AND high AS INT)) AS coverage, max(high - low) AS width FROM ({_PART}) JOIN (SELECT target, horizon, quantile_cont(y - yhat, (1 - CAST(0.9 AS DOUBLE)) / 2) AS low,
-    quantile_cont(y - yhat, 1 - (1 - CAST(0.9 AS DOUBLE)) / 2) AS high FROM ({_PART}) WHERE part = 'c' GROUP BY 1, 2) USING (target, horizon) WHERE part = 'e' GROUP BY 1, 2""")
+@query("target horizon:i low:f high:f coverage:f width:f", f"""SELECT target, horizon, max(low) AS low, max(high) AS high, avg(CAST(y - yhat BETWEEN
+    low AND high AS INT)) AS coverage, max(high - low) AS width FROM ({_PART})
+    JOIN (SELECT target, horizon, quantile_cont(y - yhat, (1 - CAST(0.9 AS DOUBLE)) / 2) AS low,
+    quantile_cont(y - yhat, 1 - (1 - CAST(0.9 AS DOUBLE)) / 2) AS high FROM ({_PART}) WHERE part = 'c' GROUP BY 1, 2) USING (target, horizon)
+    WHERE part = 'e' GROUP BY 1, 2""")
 def m22_intervals(spark, d):
     return calibrate.calibrate_intervals(fx.fc(spark, d))
 
 
-@query("target score:f level", f"""SELECT target, s AS score, CASE WHEN skill <= 0 OR direction < 0.6 THEN 'low' WHEN s >= 0.75 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM (SELECT *, round(0.45 * greatest(least(skill / 0.5, 1), 0) + 0.3 * greatest(least((direction - 0.5) / 0.4, 1), 0) + 0.25 * greatest(least(1 - abs(coverage - 0.9) / 0.9, 1), 0), 4) AS s FROM (
-    SELECT target, {_SKILL}, avg(CAST(sign(y - y0) = sign(yhat - y0) AS INT)) AS direction, avg(CAST(abs{_E} < 60 AS INT)) AS coverage FROM fc GROUP BY 1))""")
+@query("target score:f level", f"""SELECT target, s AS score, CASE WHEN skill <= 0 OR direction < 0.6 THEN 'low' WHEN s >= 0.75 THEN 'high' WHEN s >=
+    0.5 THEN 'medium' ELSE 'low' END AS level FROM (SELECT *, round(0.45 * greatest(least(skill / 0.5, 1), 0) + 0.3 * greatest(least((direction - 0.5)
+    / 0.4, 1), 0) + 0.25 * greatest(least(1 - abs(coverage - 0.9) / 0.9, 1), 0), 4) AS s FROM (
+    SELECT target, {_SKILL}, avg(CAST(sign(y - y0) = sign(yhat - y0) AS INT)) AS direction, avg(CAST(abs{_E} < 60 AS INT)) AS coverage FROM fc
+    GROUP BY 1))""")
 def m23_confidence(spark, d):
     f = fx.fc(spark, d)
     e, a, b = F.col("yhat") - F.col("y"), F.col("y") - F.col("y0"), F.col("yhat") - F.col("y0")
@@ -312,15 +364,19 @@ def m23_confidence(spark, d):
     return calibrate.confidence(m.withColumns({"improvement": F.col("skill"), "saved": F.lit(1.0)}))
 
 
-_ALPHA = "SELECT target, horizon, a * 0.05 AS alpha, round(avg(abs(y0 + a * CAST(0.05 AS DOUBLE) * (yhat - y0) - y)), 9) AS mae FROM fc CROSS JOIN range(0, 21) t(a) GROUP BY 1, 2, 3"
+_ALPHA = """SELECT target, horizon, a * 0.05 AS alpha, round(avg(abs(y0 + a * CAST(0.05 AS DOUBLE) * (yhat - y0) - y)), 9) AS mae FROM fc CROSS
+    JOIN range(0, 21) t(a) GROUP BY 1, 2, 3"""
 
 
-@query("target horizon:i weight:f mae:f", f"SELECT target, horizon, arg_min(alpha, struct_pack(m := mae, a := alpha)) AS weight, min(mae) AS mae FROM ({_ALPHA}) GROUP BY 1, 2")
+@query("target horizon:i weight:f mae:f", f"""SELECT target, horizon, arg_min(alpha, struct_pack(m := mae, a := alpha)) AS weight, min(mae) AS mae
+    FROM ({_ALPHA}) GROUP BY 1, 2""")
 def m24_blend_weights(spark, d):
     return calibrate.fit_blend_weights(fx.fc(spark, d))
 
 
-@query("target group:i weight:f bias:f", f"""SELECT target, CAST(horizon > 1 AS INT) + CAST(horizon > 3 AS INT) AS "group", greatest(least(coalesce(sum((yhat - y0) * (y - y0)) / nullif(sum((yhat - y0) ** 2), 0), 0), 1), 0) AS weight, avg{_E} AS bias FROM fc GROUP BY 1, 2""")
+@query("target group:i weight:f bias:f", f"""SELECT target, CAST(horizon > 1 AS INT) + CAST(horizon > 3 AS INT) AS "group",
+    greatest(least(coalesce(sum((yhat - y0) * (y - y0)) / nullif(sum((yhat - y0) ** 2), 0), 0), 1), 0) AS weight, avg{_E} AS bias FROM fc
+    GROUP BY 1, 2""")
 def m25_shrink(spark, d):
     return calibrate.fit_shrink(fx.fc(spark, d), (1, 3))
 
@@ -328,11 +384,16 @@ def m25_shrink(spark, d):
 fx.ORACLES["m25_shrink"] = fx.ORACLES["m25_shrink"].replace("CAST(group AS BIGINT) AS group", 'CAST("group" AS BIGINT) AS "group"')
 
 
-@query("target ridge:f intercept:g y0:f horizon:g", """SELECT target, ridge, (r0 * (m11 * m22 - m12 * m12) - m01 * (r1 * m22 - m12 * r2) + m02 * (r1 * m12 - m11 * r2)) / det AS intercept,
-    (m00 * (r1 * m22 - m12 * r2) - r0 * (m01 * m22 - m12 * m02) + m02 * (m01 * r2 - r1 * m02)) / det AS y0, (m00 * (m11 * r2 - r1 * m12) - m01 * (m01 * r2 - r1 * m02) + r0 * (m01 * m12 - m11 * m02)) / det AS horizon
+@query("target ridge:f intercept:g y0:f horizon:g", """SELECT target, ridge, (r0 * (m11 * m22 - m12 * m12) - m01 * (r1 * m22 - m12 * r2) + m02 * (r1
+    * m12 - m11 * r2)) / det AS intercept,
+    (m00 * (r1 * m22 - m12 * r2) - r0 * (m01 * m22 - m12 * m02) + m02 * (m01 * r2 - r1 * m02)) / det AS y0, (m00 * (m11 * r2 - r1 * m12) - m01 * (m01
+    * r2 - r1 * m02) + r0 * (m01 * m12 - m11 * m02)) / det AS horizon
     FROM (SELECT *, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS det FROM (
-    SELECT target, ridge, n AS m00, s1 AS m01, s2 AS m02, s11 + ridge * n AS m11, s12 AS m12, s22 + ridge * n AS m22, r0, r1, r2 FROM (SELECT target, CAST(count(*) AS DOUBLE) AS n, sum(y0) AS s1, sum(CAST(horizon AS DOUBLE)) AS s2, sum(y0 * y0) AS s11, sum(y0 * horizon) AS s12, sum(CAST(horizon * horizon AS DOUBLE)) AS s22,
-    sum(y - yhat) AS r0, sum(y0 * (y - yhat)) AS r1, sum(horizon * (y - yhat)) AS r2 FROM fc GROUP BY 1) CROSS JOIN (VALUES (CAST(0.01 AS DOUBLE)), (0.1), (1.0)) t(ridge)))""")
+    SELECT target, ridge, n AS m00, s1 AS m01, s2 AS m02, s11 + ridge * n AS m11, s12 AS m12, s22 + ridge * n AS m22, r0, r1, r2
+    FROM (SELECT target, CAST(count(*) AS DOUBLE) AS n, sum(y0) AS s1, sum(CAST(horizon AS DOUBLE)) AS s2, sum(y0 * y0) AS s11, sum(y0 * horizon) AS
+    s12, sum(CAST(horizon * horizon AS DOUBLE)) AS s22,
+    sum(y - yhat) AS r0, sum(y0 * (y - yhat)) AS r1, sum(horizon * (y - yhat)) AS r2 FROM fc GROUP BY 1) CROSS
+    JOIN (VALUES (CAST(0.01 AS DOUBLE)), (0.1), (1.0)) t(ridge)))""")
 def m26_ridge(spark, d):
     return calibrate.fit_ridge(fx.fc(spark, d).withColumn("horizon", F.col("horizon").cast("double")), ["y0", "horizon"])
 
@@ -352,8 +413,10 @@ def m28_bootstrap(spark, d):
     return calibrate.block_bootstrap(blocks, "day", 10_000, 11, lambda: 1 - F.sum("e") / F.sum("p"), ["target"])
 
 
-@query("kind origins:i differing:i", """WITH x AS (SELECT *, value AS v, lead(value) OVER (PARTITION BY point_code ORDER BY ts) AS ahead, row_number() OVER (PARTITION BY point_code ORDER BY ts) AS rn FROM points)
-    SELECT 'trailing' AS kind, count(*) AS origins, 0 AS differing FROM points UNION ALL SELECT 'looks_ahead', count(*), count(*) FILTER (ahead IS NOT NULL AND abs(greatest(v, ahead) - v) > 1e-9) FROM x""")
+@query("kind origins:i differing:i", """WITH x AS (SELECT *, value AS v, lead(value) OVER (PARTITION BY point_code
+    ORDER BY ts) AS ahead, row_number() OVER (PARTITION BY point_code ORDER BY ts) AS rn FROM points)
+    SELECT 'trailing' AS kind, count(*) AS origins, 0 AS differing FROM points UNION ALL
+    SELECT 'looks_ahead', count(*), count(*) FILTER (ahead IS NOT NULL AND abs(greatest(v, ahead) - v) > 1e-9) FROM x""")
 def m29_causality(spark, d):
     """A feature that only looks back, and one that looks a row ahead and must be found."""
     p = fx.points(spark, d).select("point_code", "ts", "value")
@@ -369,11 +432,17 @@ def m29_causality(spark, d):
     return trailing.unionByName(calibrate.causal_audit(ahead, known, ["point_code", "ts"]).withColumn("kind", F.lit("looks_ahead")))
 
 
-@query("target policy improvement:f", """WITH r AS (SELECT target, alpha, CAST(origin_ts AS DATE) AS day, horizon <= 2 AS early, y0 + alpha * (yhat - y0) - y AS e, y0 - y AS p, sign(alpha * (yhat - y0)) = sign(y - y0) AS d1, sign(yhat - y0) = sign(y - y0) AS d0 FROM fc CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(alpha)),
-    a AS (SELECT target, alpha, 1 - sum(abs(e)) / sum(abs(p)) AS improvement, sqrt(sum(e * e)) / sqrt(sum(p * p)) AS rmse_ratio, avg(CAST(d1 AS INT)) - avg(CAST(d0 AS INT)) AS turned FROM r GROUP BY 1, 2),
-    g AS (SELECT target, alpha, max(q) AS worst FROM (SELECT target, alpha, early, sum(abs(e)) / sum(abs(p)) AS q FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
-    t AS (SELECT target, alpha, count(*) AS days, count(*) FILTER (e <= p) AS good FROM (SELECT target, alpha, day, sum(abs(e)) AS e, sum(abs(p)) AS p FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT target, arg_max('a' || CAST(alpha * 100 AS INT), struct_pack(i := round(improvement, 9), p := -alpha)) AS policy, max(round(improvement, 9)) AS improvement FROM a JOIN g USING (target, alpha) JOIN t USING (target, alpha)
+@query("target policy improvement:f", """WITH r AS (SELECT target, alpha, CAST(origin_ts AS DATE) AS day, horizon <= 2 AS early, y0 + alpha * (yhat -
+    y0) - y AS e, y0 - y AS p, sign(alpha * (yhat - y0)) = sign(y - y0) AS d1, sign(yhat - y0) = sign(y - y0) AS d0 FROM fc CROSS
+    JOIN (VALUES (0.25), (0.5), (0.75)) t(alpha)),
+    a AS (SELECT target, alpha, 1 - sum(abs(e)) / sum(abs(p)) AS improvement, sqrt(sum(e * e)) / sqrt(sum(p * p)) AS rmse_ratio, avg(CAST(d1 AS INT))
+    - avg(CAST(d0 AS INT)) AS turned FROM r GROUP BY 1, 2),
+    g AS (SELECT target, alpha, max(q) AS worst FROM (SELECT target, alpha, early, sum(abs(e)) / sum(abs(p)) AS q FROM r GROUP BY 1, 2, 3)
+    GROUP BY 1, 2),
+    t AS (SELECT target, alpha, count(*) AS days, count(*) FILTER (e <= p) AS good FROM (SELECT target, alpha, day, sum(abs(e)) AS e, sum(abs(p)) AS p
+    FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT target, arg_max('a' || CAST(alpha * 100 AS INT), struct_pack(i := round(improvement, 9), p := -alpha)) AS policy, max(round(improvement,
+    9)) AS improvement FROM a JOIN g USING (target, alpha) JOIN t USING (target, alpha)
     WHERE improvement > 0 AND rmse_ratio <= 1.02 AND turned >= -0.01 AND worst <= 1.02 AND 2 * good >= days GROUP BY 1""")
 def m30_policies(spark, d):
     """Blends judged by error, direction, the worse half of the horizons, and days."""
@@ -388,12 +457,18 @@ def m30_policies(spark, d):
     return calibrate.select_policy(whole.join(groups, keys).join(days, keys), ["target"])
 
 
-_ANOMALY = "SELECT event_id, user_id, ts, value AS score, CAST(event_type = 'error' AS INT) AS label, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'train' ELSE 'test' END AS part FROM events"
+_ANOMALY = """SELECT event_id, user_id, ts, value AS score, CAST(event_type = 'error' AS INT) AS label, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN
+    'train' ELSE 'test' END AS part FROM events"""
 
 
-@query("threshold:f accuracy:f precision:f recall:f f1:f", f"""SELECT threshold, accuracy, precision, recall, 2 * precision * recall / (precision + recall) AS f1 FROM (SELECT max(t) AS threshold, avg(CAST(label = pred AS INT)) AS accuracy, count(*) FILTER (label = 1 AND pred = 1) / count(*) FILTER (pred = 1) AS precision,
-    count(*) FILTER (label = 1 AND pred = 1) / count(*) FILTER (label = 1) AS recall FROM (SELECT *, CASE WHEN label = 1 THEN max(p) OVER (PARTITION BY user_id, run) ELSE p END AS pred FROM (SELECT *, sum(CASE WHEN label <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (
-    SELECT *, CAST(score > t AS INT) AS p, lag(label) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM ({_ANOMALY}) CROSS JOIN (SELECT quantile_cont(value, 0.8) AS t FROM events) WHERE part = 'test'))))""")
+@query("threshold:f accuracy:f precision:f recall:f f1:f", f"""SELECT threshold, accuracy, precision, recall, 2 * precision * recall / (precision +
+    recall) AS f1 FROM (SELECT max(t) AS threshold, avg(CAST(label = pred AS INT)) AS accuracy, count(*) FILTER (label = 1 AND pred = 1) / count(*)
+    FILTER (pred = 1) AS precision,
+    count(*) FILTER (label = 1 AND pred = 1) / count(*) FILTER (label = 1) AS recall
+    FROM (SELECT *, CASE WHEN label = 1 THEN max(p) OVER (PARTITION BY user_id, run) ELSE p END AS pred
+    FROM (SELECT *, sum(CASE WHEN label <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (
+    SELECT *, CAST(score > t AS INT) AS p, lag(label) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM ({_ANOMALY}) CROSS
+    JOIN (SELECT quantile_cont(value, 0.8) AS t FROM events) WHERE part = 'test'))))""")
 def m31_anomaly(spark, d):
     e = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = e.select("user_id", "ts", F.col("value").alias("score"), (F.col("event_type") == "error").cast("int").alias("label"), F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), "train").otherwise("test").alias("part"))
@@ -408,32 +483,39 @@ def m32_accuracy(spark, d):
 # Regimes
 
 
-@query("window_id:i target scenario", f"""SELECT f.window_id, f.target, CASE WHEN abs(p) < 2 AND abs(q) < 2 THEN 'small' WHEN abs(p) < 2 THEN 'emerging' WHEN abs(q) < 2 THEN 'fading' WHEN sign(p) = sign(q) THEN 'continuing' ELSE 'reversing' END AS scenario FROM (
-    SELECT f.window_id, f.target, h.history[6] - h.history[1] AS p, arg_max(f.y, f.horizon) - max(f.y0) AS q FROM fc f JOIN ({_HISTORY}) h ON h.window_id = f.window_id AND h.target = f.target GROUP BY 1, 2, 3) f""")
+@query("window_id:i target scenario", f"""SELECT f.window_id, f.target, CASE WHEN abs(p) < 2 AND abs(q) < 2 THEN 'small' WHEN abs(p) < 2 THEN
+    'emerging' WHEN abs(q) < 2 THEN 'fading' WHEN sign(p) = sign(q) THEN 'continuing' ELSE 'reversing' END AS scenario FROM (
+    SELECT f.window_id, f.target, h.history[6] - h.history[1] AS p, arg_max(f.y, f.horizon) - max(f.y0) AS q FROM fc f
+    JOIN ({_HISTORY}) h ON h.window_id = f.window_id AND h.target = f.target GROUP BY 1, 2, 3) f""")
 def g01_scenarios(spark, d):
     past = _history(spark, d).select("window_id", "target", (F.element_at("history", -1) - F.get("history", F.lit(0))).alias("p"))
     future = fx.fc(spark, d).groupBy("window_id", "target").agg((F.max_by("y", "horizon") - F.max("y0")).alias("q"))
     return past.join(future, ["window_id", "target"]).withColumn("scenario", forecast.trend_scenario(F.col("p"), F.col("q"), F.lit(20.0)))
 
 
-@query("window_id:i target rapid event", """SELECT window_id, target, CASE WHEN up >= 20 THEN 'rapid_rise' WHEN down <= -20 THEN 'rapid_fall' ELSE 'none' END AS rapid, CASE WHEN net >= 2 THEN 'rising' WHEN net <= -2 THEN 'falling' ELSE 'small' END AS event FROM (
-    SELECT window_id, target, arg_max(y - y0, horizon) AS net, max(y - y0) FILTER (horizon <= 2) AS up, min(y - y0) FILTER (horizon <= 2) AS down FROM fc GROUP BY 1, 2)""")
+@query("window_id:i target rapid event", """SELECT window_id, target, CASE WHEN up >= 20 THEN 'rapid_rise' WHEN down <= -20 THEN 'rapid_fall' ELSE
+    'none' END AS rapid, CASE WHEN net >= 2 THEN 'rising' WHEN net <= -2 THEN 'falling' ELSE 'small' END AS event FROM (
+    SELECT window_id, target, arg_max(y - y0, horizon) AS net, max(y - y0) FILTER (horizon <= 2) AS up, min(y - y0) FILTER (horizon <= 2) AS down
+    FROM fc GROUP BY 1, 2)""")
 def g02_events(spark, d):
     return forecast.event_groups(fx.fc(spark, d), 20.0, 2)
 
 
-@query("point_code grp n:i", "SELECT point_code, CASE WHEN dv >= 5 THEN 'rising' WHEN dv <= -5 THEN 'falling' ELSE 'stable' END AS grp, count(*) AS n FROM (SELECT point_code, value - lag(value, 3) OVER (PARTITION BY point_code ORDER BY ts) AS dv FROM points) WHERE dv IS NOT NULL GROUP BY 1, 2")
+@query("point_code grp n:i", """SELECT point_code, CASE WHEN dv >= 5 THEN 'rising' WHEN dv <= -5 THEN 'falling' ELSE 'stable' END AS grp, count(*) AS
+    n FROM (SELECT point_code, value - lag(value, 3) OVER (PARTITION BY point_code ORDER BY ts) AS dv FROM points) WHERE dv IS NOT NULL GROUP BY 1, 2""")
 def g03_history_group(spark, d):
     x = fx.points(spark, d).withColumn("dv", windows.history_delta("value", 3, ["point_code"])).filter("dv is not null")
     return x.groupBy("point_code", forecast.history_group(F.col("dv"), 5.0).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("window_id:i target mean_change:f regime", "SELECT window_id, target, m AS mean_change, CASE WHEN m <= 1 THEN 'calm' WHEN m <= 3 THEN 'moving' ELSE 'fast' END AS regime FROM (SELECT window_id, target, avg(abs(y - y0)) AS m FROM fc GROUP BY 1, 2)")
+@query("window_id:i target mean_change:f regime", """SELECT window_id, target, m AS mean_change, CASE WHEN m <= 1 THEN 'calm' WHEN m <= 3 THEN
+    'moving' ELSE 'fast' END AS regime FROM (SELECT window_id, target, avg(abs(y - y0)) AS m FROM fc GROUP BY 1, 2)""")
 def g04_regimes(spark, d):
     return forecast.change_regime(fx.fc(spark, d))
 
 
-@query("point_code bucket:i n:i", "SELECT point_code, CAST(value >= 10 AS INT) + CAST(value >= 50 AS INT) + CAST(value >= 100 AS INT) AS bucket, count(*) AS n FROM points GROUP BY 1, 2")
+@query("point_code bucket:i n:i", """SELECT point_code, CAST(value >= 10 AS INT) + CAST(value >= 50 AS INT) + CAST(value >= 100 AS INT) AS bucket,
+    count(*) AS n FROM points GROUP BY 1, 2""")
 def g05_digitize(spark, d):
     return fx.points(spark, d).groupBy("point_code", scalar.digitize(F.col("value"), [10, 50, 100]).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -452,15 +534,20 @@ def _linear_model():
     return run
 
 
-@query("window_id:i target first:f", f"SELECT window_id, target, list_avg(history) + 3.5 * (list_sum([history[i] * (i - 3.5) for i in range(1, 7)]) / 17.5) AS first FROM ({_HISTORY})")
+@query("window_id:i target first:f", f"""SELECT window_id, target, list_avg(history) + 3.5 * (list_sum([history[i] * (i - 3.5) for i in range(1, 7)])
+    / 17.5) AS first FROM ({_HISTORY})""")
 def p01_score(spark, d):
     return jobs.score(_history(spark, d), _linear_model, PRED).select("window_id", "target", F.get("yhat", F.lit(0)).alias("first"))
 
 
-@query("window_id:i target horizon:i status yhat:f", f"""WITH h AS (SELECT window_id, target, [CASE WHEN x < 120 THEN x END FOR x IN history] AS h FROM ({_HISTORY})),
-    c AS (SELECT window_id, sum(list_count(h)) / sum(len(h)) AS c FROM h GROUP BY 1), z AS (SELECT *, [coalesce(x, 40) FOR x IN h] AS f FROM h JOIN c USING (window_id))
-    SELECT window_id, target, k AS horizon, s AS status, CASE s WHEN 'degraded_persistence' THEN h[6] WHEN 'model' THEN list_avg(f) + (2.5 + k) * list_sum([f[i] * (i - 3.5) for i in range(1, 7)]) / 17.5 END AS yhat
-    FROM (SELECT *, CASE WHEN h[6] IS NULL THEN 'unavailable' WHEN c < 0.5 OR 1 - list_count(h) / 6 > 0.2 THEN 'degraded_persistence' ELSE 'model' END AS s FROM z) CROSS JOIN range(1, {PRED + 1}) r(k)""")
+@query("window_id:i target horizon:i status yhat:f", f"""WITH h AS (SELECT window_id, target, [CASE WHEN x < 120 THEN x END FOR x IN history] AS h
+    FROM ({_HISTORY})),
+    c AS (SELECT window_id, sum(list_count(h)) / sum(len(h)) AS c FROM h GROUP BY 1), z AS (SELECT *, [coalesce(x, 40) FOR x IN h] AS f FROM h
+    JOIN c USING (window_id))
+    SELECT window_id, target, k AS horizon, s AS status, CASE s WHEN 'degraded_persistence' THEN h[6] WHEN 'model' THEN list_avg(f) + (2.5 + k) *
+    list_sum([f[i] * (i - 3.5) for i in range(1, 7)]) / 17.5 END AS yhat
+    FROM (SELECT *, CASE WHEN h[6] IS NULL THEN 'unavailable' WHEN c < 0.5 OR 1 - list_count(h) / 6 > 0.2 THEN 'degraded_persistence' ELSE 'model' END
+    AS s FROM z) CROSS JOIN range(1, {PRED + 1}) r(k)""")
 def p01_guarded(spark, d):
     """Values of 120 and more count as missing; histories are too short for the gate."""
     h = _history(spark, d).withColumn("history", F.transform("history", lambda x: F.when(x < 120, x)))
@@ -468,9 +555,12 @@ def p01_guarded(spark, d):
     return jobs.guarded_score(h, _linear_model, PRED, means, GRID, 20.0, 3 * GRID)
 
 
-@query("window_id:i target horizon:i status gate:f yhat:f", f"""WITH h AS (SELECT id AS window_id, "values" AS h, greatest(list_max("values"[-30:]) - list_min("values"[-30:]), abs("values"[-1] - "values"[-61])) AS s FROM samples),
-    m AS (SELECT *, greatest(least(1 - s / 0.5, 1), 0) AS gate, list_avg(h) + (31.5 + k) * list_sum([h[i] * (i - 32.5) for i in range(1, 65)]) / 21840 AS raw FROM h CROSS JOIN range(1, {PRED + 1}) r(k))
-    SELECT window_id, 'e' AS target, k AS horizon, CASE WHEN gate > 0 THEN 'short_horizon_corrected' ELSE 'model' END AS status, gate, raw + CASE WHEN k < 3 THEN gate * 0.5 * (1 + cos(pi() * k / 3)) ELSE 0 END * (h[64] - raw) AS yhat FROM m""")
+@query("window_id:i target horizon:i status gate:f yhat:f", f"""WITH h AS (SELECT id AS window_id, "values" AS h, greatest(list_max("values"[-30:]) -
+    list_min("values"[-30:]), abs("values"[-1] - "values"[-61])) AS s FROM samples),
+    m AS (SELECT *, greatest(least(1 - s / 0.5, 1), 0) AS gate, list_avg(h) + (31.5 + k) * list_sum([h[i] * (i - 32.5) for i in range(1, 65)]) / 21840
+    AS raw FROM h CROSS JOIN range(1, {PRED + 1}) r(k))
+    SELECT window_id, 'e' AS target, k AS horizon, CASE WHEN gate > 0 THEN 'short_horizon_corrected' ELSE 'model' END AS status, gate, raw + CASE WHEN
+    k < 3 THEN gate * 0.5 * (1 + cos(pi() * k / 3)) ELSE 0 END * (h[64] - raw) AS yhat FROM m""")
 def p01_gated(spark, d):
     """Histories of 64 steps of ten seconds, long enough for the gate: calm ones pull the first steps to the current value."""
     h = fx.samples(spark, d).select(F.col("id").alias("window_id"), F.lit("e").alias("target"), F.col("values").alias("history"))
@@ -478,9 +568,9 @@ def p01_gated(spark, d):
     return jobs.guarded_score(h, _linear_model, PRED, means, 10, 0.5, 30)
 
 
-@query("label:i n:i", "SELECT a.label, count(*) AS n FROM samples a JOIN samples b ON a.label = b.label AND a.id < b.id GROUP BY 1")
+@query("label:i n:i", "SELECT a.label, count(*) AS n FROM samples a JOIN samples b ON a.label = b.label AND a.id % 20 = 0 AND a.id <> b.id GROUP BY 1")
 def j13_pairs(spark, d):
-    return jobs.pairs(fx.samples(spark, d), "label").groupBy("label").agg(F.count("*").alias("n"))
+    return _pairs(spark, d).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def _pairs(spark, d):
@@ -524,23 +614,31 @@ def p06_augment_guided(spark, d):
     return _told(reduce(DataFrame.unionByName, [jobs.augment_guided(s, "label", op, 1) for op in jobs.GUIDED]))
 
 
-@query("point_code statistic:g", """WITH x AS (SELECT point_code, lag(value) OVER w AS l, value - lag(value) OVER w AS d, lag(value) OVER w - lag(value, 2) OVER w AS p FROM user_points WINDOW w AS (PARTITION BY point_code ORDER BY ts)),
-    s AS (SELECT point_code, count(*) AS n, regr_sxx(d, l) AS ll, regr_sxx(d, p) AS pp, regr_sxy(l, p) AS lp, regr_sxy(d, l) AS ld, regr_sxy(d, p) AS pd, regr_syy(d, l) AS dd FROM x WHERE d IS NOT NULL AND p IS NOT NULL GROUP BY 1),
+@query("point_code statistic:g", """WITH x AS (SELECT point_code, lag(value) OVER w AS l, value - lag(value) OVER w AS d, lag(value) OVER w -
+    lag(value, 2) OVER w AS p FROM user_points WINDOW w AS (PARTITION BY point_code ORDER BY ts)),
+    s AS (SELECT point_code, count(*) AS n, regr_sxx(d, l) AS ll, regr_sxx(d, p) AS pp, regr_sxy(l, p) AS lp, regr_sxy(d, l) AS ld, regr_sxy(d, p) AS
+    pd, regr_syy(d, l) AS dd FROM x WHERE d IS NOT NULL AND p IS NOT NULL GROUP BY 1),
     b AS (SELECT *, ll * pp - lp * lp AS det, (ld * pp - pd * lp) / (ll * pp - lp * lp) AS bl, (pd * ll - ld * lp) / (ll * pp - lp * lp) AS bp FROM s)
     SELECT point_code, CASE WHEN n > 3 THEN bl / sqrt((dd - bl * ld - bp * pd) / (n - 3) * pp / det) END AS statistic FROM b""")
 def a24_adf(spark, d):
     return jobs.adf(fx.user_points(spark, d), "point_code", "value", "ts")
 
 
-@query("point_code rank:i period:i amplitude:g", """WITH s AS (SELECT point_code, coalesce(value, 0) AS v, row_number() OVER (PARTITION BY point_code ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY point_code) AS n FROM long),
+@query("point_code rank:i period:i amplitude:g", """WITH s AS (SELECT point_code, coalesce(value, 0) AS v, row_number() OVER (PARTITION BY point_code
+    ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY point_code) AS n FROM long),
     t AS (SELECT *, unnest(range(1, n // 2 + 1)) AS f FROM s),
-    a AS (SELECT point_code, n, f, sqrt(sum(v * cos(2 * pi() * (f * k % n) / n)) ** 2 + sum(v * sin(2 * pi() * (f * k % n) / n)) ** 2) AS amplitude FROM t GROUP BY ALL)
-    SELECT point_code, rank, n // f AS period, amplitude FROM (SELECT *, row_number() OVER (PARTITION BY point_code ORDER BY amplitude DESC, f) AS rank FROM a) WHERE rank <= 3""")
+    a AS (SELECT point_code, n, f, sqrt(sum(v * cos(2 * pi() * (f * k % n) / n)) ** 2 + sum(v * sin(2 * pi() * (f * k % n) / n)) ** 2) AS amplitude
+    FROM t GROUP BY ALL)
+    SELECT point_code, rank, n // f AS period, amplitude FROM (SELECT *, row_number() OVER (PARTITION BY point_code
+    ORDER BY amplitude DESC, f) AS rank FROM a) WHERE rank <= 3""")
 def w20_periods(spark, d):
     return spectrum.dominant_periods(fx.long(spark, d), 3, "point_code", "value", "ts")
 
 
-@query("increasing_share:f", "WITH e AS (SELECT unnest(quantile_cont(l_quantity, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS e FROM lineitem), c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT e FROM e) WHERE e < l_quantity) AS bin, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1) SELECT avg(CAST(dm > 0 AS INT)) AS increasing_share FROM (SELECT m - lag(m) OVER (ORDER BY bin) AS dm FROM c) WHERE dm IS NOT NULL")
+@query("increasing_share:f", """WITH e AS (SELECT unnest(quantile_cont(l_quantity, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS e
+    FROM lineitem), c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT e FROM e)
+    WHERE e < l_quantity) AS bin, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1)
+    SELECT avg(CAST(dm > 0 AS INT)) AS increasing_share FROM (SELECT m - lag(m) OVER (ORDER BY bin) AS dm FROM c) WHERE dm IS NOT NULL""")
 def a20_monotone_share(spark, d):
     return scale.monotone_share(scale.binned_medians(fx.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 8))
 

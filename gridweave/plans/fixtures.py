@@ -125,22 +125,29 @@ BASE = f"""
 points AS (SELECT event_type AS point_code, CAST(ts AS TIMESTAMP) AS ts, value FROM events),
 user_points AS (SELECT 'U' || user_id AS point_code, CAST(ts AS TIMESTAMP) AS ts, value FROM events),
 long AS (SELECT point_code, make_timestamp(b) AS ts, round(avg(value), 6) AS value, count(*) AS raw_count
-  FROM (SELECT *, epoch_us(ts) + ((-epoch_us(ts)) % {_D} + {_D}) % {_D} AS b FROM points WHERE value IS NOT NULL AND isfinite(value)) GROUP BY point_code, b),
+  FROM (SELECT *, epoch_us(ts) + ((-epoch_us(ts)) % {_D} + {_D}) % {_D} AS b FROM points WHERE value IS NOT NULL AND isfinite(value))
+    GROUP BY point_code, b),
 wide AS (SELECT ts, {', '.join(f"max(CASE WHEN point_code = '{c}' THEN value END) AS {c}" for c in CODES)} FROM long GROUP BY ts),
 frame AS (SELECT *, ({_ALL}) AS valid_for_training FROM wide),
 full_long AS ({' UNION ALL '.join(f"SELECT ts, '{c}' AS point_code, {c} AS value FROM wide" for c in CODES)}),
-win AS MATERIALIZED (SELECT * FROM (SELECT ts AS input_start_time, lead(ts, {SEQ - 1}) OVER o AS input_end_time, lead(ts, {SEQ}) OVER o AS target_start_time, lead(ts, {LENGTH - 1}) OVER o AS target_end_time,
-  sum(CAST(valid_for_training AS INT)) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING) AS nv, row_number() OVER o - 1 AS pos FROM frame WINDOW o AS (ORDER BY ts))
+win AS MATERIALIZED (SELECT * FROM (SELECT ts AS input_start_time, lead(ts, {SEQ - 1}) OVER o AS input_end_time, lead(ts, {SEQ}) OVER o AS
+    target_start_time, lead(ts, {LENGTH - 1}) OVER o AS target_end_time,
+  sum(CAST(valid_for_training AS INT)) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING) AS nv, row_number() OVER o - 1 AS pos
+    FROM frame WINDOW o AS (ORDER BY ts))
   WHERE nv = {LENGTH} AND epoch(target_end_time) - epoch(input_start_time) = {(LENGTH - 1) * GRID}),
-fc AS MATERIALIZED (SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, w.input_end_time AS origin_ts, a.point_code AS target, CAST(h.h AS BIGINT) AS horizon, b.ts, b.value AS y,
+fc AS MATERIALIZED (SELECT CAST(epoch(w.input_end_time) AS BIGINT) AS window_id, w.input_end_time AS origin_ts, a.point_code AS target, CAST(h.h AS
+    BIGINT) AS horizon, b.ts, b.value AS y,
   round((a.value + l1.value + l2.value) / 3, 6) AS yhat, a.value AS y0
   FROM win w JOIN full_long a ON a.ts = w.input_end_time CROSS JOIN range(1, {PRED + 1}) AS h(h)
   JOIN full_long b ON b.point_code = a.point_code AND b.ts = w.input_end_time + to_seconds(h.h * {GRID})
   JOIN full_long l1 ON l1.point_code = a.point_code AND l1.ts = w.input_end_time - to_seconds({GRID})
   JOIN full_long l2 ON l2.point_code = a.point_code AND l2.ts = w.input_end_time - to_seconds({2 * GRID})),
-registry AS (SELECT c_custkey AS row_no, c_mktsegment AS model, CASE WHEN c_custkey % 3 = 0 THEN 'output' ELSE 'input' END AS io_type, 'P' || c_nationkey AS point_code, c_name AS point_name,
-  CASE WHEN c_custkey % 5 = 0 THEN '%' ELSE 'C' END AS unit, CASE WHEN c_custkey % 13 = 0 THEN '暂不纳入' ELSE '' END AS include_advice, CASE WHEN c_custkey % 7 = 0 THEN 'BUILDING' END AS manual_model,
+registry AS (SELECT c_custkey AS row_no, c_mktsegment AS model, CASE WHEN c_custkey % 3 = 0 THEN 'output' ELSE 'input' END AS io_type, 'P' ||
+    c_nationkey AS point_code, c_name AS point_name,
+  CASE WHEN c_custkey % 5 = 0 THEN '%' ELSE 'C' END AS unit, CASE WHEN c_custkey % 13 = 0 THEN '暂不纳入' ELSE '' END AS include_advice, CASE WHEN
+    c_custkey % 7 = 0 THEN 'BUILDING' END AS manual_model,
   CASE WHEN c_custkey % 4 = 0 THEN 'chosen' END AS manual_role, CASE WHEN c_custkey % 11 = 0 THEN 'false' END AS include_manual FROM customer),
-specs AS (SELECT * FROM (SELECT *, coalesce(manual_model, model) AS chosen, coalesce(manual_role, 'role') AS role, row_number() OVER (PARTITION BY coalesce(manual_model, model), io_type, point_code ORDER BY row_no) AS rn
+specs AS (SELECT * FROM (SELECT *, coalesce(manual_model, model) AS chosen, coalesce(manual_role, 'role') AS role, row_number() OVER (PARTITION BY
+    coalesce(manual_model, model), io_type, point_code ORDER BY row_no) AS rn
   FROM registry WHERE CASE WHEN include_manual IS NOT NULL THEN include_manual <> 'false' ELSE include_advice = '' END) WHERE rn = 1),
 samples AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS "values" FROM embeddings)"""
