@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from gridweave.operators.order import quantiles, with_quantiles
+from gridweave.sources.scratch import written
 
 EPS = 1e-8
 
@@ -61,9 +62,10 @@ def evaluate(fc: DataFrame) -> DataFrame:
 
 def tail_metrics(fc: DataFrame, by: Sequence[str]) -> DataFrame:
     """95 % and 99 % quantile and maximum of the absolute error, and the 95 % quantile of windows' mean errors."""
-    most = fc.groupBy(*by).agg(F.max(F.abs(error())).alias("max_abs"))
-    out = with_quantiles(most, F.abs(error()), {"p95": 0.95, "p99": 0.99}, by, fc)
-    return with_quantiles(out, "_m", {"p95_window_mae": 0.95}, by, fc.groupBy(*by, "window_id").agg(F.avg(F.abs(error())).alias("_m")))
+    errors = written(fc.select(*by, "window_id", F.abs(error()).alias("_e")), "errors")  # fc is read once
+    most = errors.groupBy(*by).agg(F.max("_e").alias("max_abs"))
+    out = with_quantiles(most, "_e", {"p95": 0.95, "p99": 0.99}, by, errors)
+    return with_quantiles(out, "_m", {"p95_window_mae": 0.95}, by, errors.groupBy(*by, "window_id").agg(F.avg("_e").alias("_m")))
 
 
 def skill(fc: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -115,7 +117,7 @@ def direction(fc: DataFrame, scale: float, reference: str = "origin") -> DataFra
 
 def direction_adaptive(fc: DataFrame, q: float = 0.1) -> DataFrame:
     """direction at each horizon, eligible where truth moves by at least its own quantile q."""
-    rows = fc.select("target", "horizon", (F.col("y") - F.col("y0")).alias("dy"), (F.col("yhat") - F.col("y0")).alias("dp"))
+    rows = written(fc.select("target", "horizon", (F.col("y") - F.col("y0")).alias("dy"), (F.col("yhat") - F.col("y0")).alias("dp")), "moves")
     moved = with_quantiles(rows, F.abs("dy"), {"_l": q}, ["target", "horizon"]).filter(F.abs("dy") >= F.col("_l"))
     return moved.groupBy("target", "horizon").agg(F.count("*").alias("eligible"), F.avg((F.sign("dy") == F.sign("dp")).cast("int")).alias("accuracy"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridweave.operators.forecast import forecasts
 from gridweave.operators.grid import halo_chunks, resample, to_wide
 from gridweave.operators.windows import window_index
-from gridweave.sources.scratch import folder
+from gridweave.sources.scratch import folder  # noqa: F401  queries find it here
 
 CODES = ["click", "error", "purchase", "signup", "view"]
 GRID, SEQ, PRED, CHUNK = 7200, 6, 4, 432_000
