@@ -97,9 +97,10 @@ def test_dtw_by_blocks(spark, band, monkeypatch):
         assert len(want) > 100 and sorted(got) == sorted(want)
 
 
-def test_p02_reads_no_row_a_pair(spark):
-    """Paths reach Python by blocks: a row a pair took 520 microseconds of a core."""
-    plan = catalog.QUERIES["p02_dtw"](spark, SF)._jdf.queryExecution().toString()
+@pytest.mark.parametrize("name", ["p02_dtw", "p03_shape_dtw"])
+def test_warping_reads_no_row_a_pair(spark, name):
+    """Paths reach Python by blocks: a row a pair took some 500 microseconds of a core."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan.replace("FlatMapCoGroupsInPandas", "")
 
 
@@ -116,6 +117,17 @@ def test_shape_dtw(samples):
         assert r.distance == pytest.approx(loop_dtw(stretches(rows[r.a]), stretches(rows[r.b]), math.dist, 3))
 
 
+@pytest.mark.parametrize("band", [None, 0, 3])
+def test_shape_dtw_by_blocks(spark, band, monkeypatch):
+    """As by pairs, for paths of several lengths; stretches of 130 points are wider than those of 20."""
+    rows = [(k, label, v[: (20, 13, 20, 1, 7)[k % 5]]) for k, label, v in paths(43)]
+    df = spark.createDataFrame([*rows, *[(100 + k, 1, v) for k, _, v in paths(3, 130, 2)]], "id long, label int, values array<double>").repartition(4)
+    monkeypatch.setattr(jobs, "BLOCK", (2, 3))
+    want = jobs.shape_dtw_pairs(jobs.pairs(df, "label"), band).collect()
+    got = jobs.dtw_within(df, "label", band=band, shape=True).select("a", "b", "distance").collect()
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
 def test_dtw_metric(spark):
     rng = random.Random(5)
     rows = [(w, t, h, rng.gauss(0, 3), rng.gauss(0, 3)) for w in range(6) for t in "ab" for h in range(1, 8)]
