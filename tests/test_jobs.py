@@ -128,6 +128,20 @@ def test_shape_dtw_by_blocks(spark, band, monkeypatch):
     assert len(want) > 100 and sorted(got) == sorted(want)
 
 
+def test_norms_go_with_the_length(spark):
+    """A path of 5,000 points: a mean made anew at each point of each point's deviation never ended."""
+    values = [math.sin(k) * 3 + k / 1000 for k in range(5000)]
+    df = spark.createDataFrame([(values,), ([],), (None,)], "v array<double>")
+    for last in (False, True):
+        got, empty, none = (r.s for r in df.select(scalar.instance_norm(F.col("v"), last).alias("s")).collect())
+        center = values[-1] if last else np.mean(values)
+        assert (got["center"], got["scale"]) == pytest.approx((center, math.sqrt(np.var(values) + 1e-5)))
+        assert got["values"] == pytest.approx([(x - center) / math.sqrt(np.var(values) + 1e-5) for x in values])
+        assert (empty["scale"], empty["values"]) == (None, []) and (none["center"], none["values"]) == (None, None)
+    ahead = df.limit(1).select(scalar.extended_input(F.col("v"), F.col("v"), 2, False).alias("x")).first().x
+    assert ahead == pytest.approx(values[-2:] + [np.mean(values)] * 5000)
+
+
 def test_dtw_metric(spark):
     rng = random.Random(5)
     rows = [(w, t, h, rng.gauss(0, 3), rng.gauss(0, 3)) for w in range(6) for t in "ab" for h in range(1, 8)]
