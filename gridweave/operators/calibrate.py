@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators.forecast import grid_apply
-from gridweave.operators.order import counted, quantiles_of
+from gridweave.operators.order import _joined, counted, quantiles_of
 from gridweave.operators.splits import calibration_split
 from gridweave.sources.scratch import written
 
@@ -134,7 +134,7 @@ def causal_audit(full: DataFrame, prefix: DataFrame, keys: Sequence[str], tol: f
     """origins, differing: a feature from all data against the same from history only (both keys and feature)."""
     a, b = full.withColumnRenamed("feature", "_f"), prefix.withColumnRenamed("feature", "_p")
     off = ~F.coalesce(F.abs(F.col("_f") - F.col("_p")) <= tol, F.col("_f").isNull() & F.col("_p").isNull())
-    return b.join(a, list(keys)).agg(F.count("*").alias("origins"), F.count_if(off).alias("differing"))
+    return _joined(b, a, keys).agg(F.count("*").alias("origins"), F.count_if(off).alias("differing"))
 
 
 def acceptance(policies: DataFrame) -> DataFrame:

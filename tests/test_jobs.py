@@ -4,6 +4,7 @@ import math
 import random
 import struct
 from collections import defaultdict
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -142,6 +143,19 @@ def test_norms_go_with_the_length(spark):
     assert ahead == pytest.approx(values[-2:] + [np.mean(values)] * 5000)
 
 
+def test_causality_where_times_are_equal(spark, tmp_path):
+    """Every row is an origin of its own, also where many rows have one time, and one after a long pause; no history has a whole stretch of time."""
+    rng = random.Random(3)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(days=k // 7 * 4), 1, "ab"[k % 2], float(rng.randrange(50)) if k % 9 else None, "") for k in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.kind: (r.origins, r.differing) for r in catalog.QUERIES["m29_causality"](spark, str(tmp_path)).collect()}
+    after = 0
+    for code in "ab":
+        own = [r[4] for r in rows if r[3] == code]
+        after += sum(1 for v, w in zip(own, own[1:], strict=False) if v is not None and w is not None and w > v)
+    assert got == {"trailing": (200, 0), "looks_ahead": (200, after)}
+
+
 def test_dtw_metric(spark):
     rng = random.Random(5)
     rows = [(w, t, h, rng.gauss(0, 3), rng.gauss(0, 3)) for w in range(6) for t in "ab" for h in range(1, 8)]
