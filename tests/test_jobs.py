@@ -156,6 +156,31 @@ def test_causality_where_times_are_equal(spark, tmp_path):
     assert got == {"trailing": (200, 0), "looks_ahead": (200, after)}
 
 
+def test_last_rows_of_each_origin(spark):
+    """Of each origin the last rows up to it, with ties of time by order, nulls, origins before any row and of no series."""
+    rng = random.Random(4)
+    at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
+    points = [(code, at(rng.randrange(40)), rng.randrange(5) or None, n) for n, code in enumerate("aaabbcc" * 30)]
+    origins = [(code, w, at(w * 5 - 8)) for code in "abz" for w in range(12)]
+    series = spark.createDataFrame(points, "code string, ts timestamp, value int, n long").repartition(5)
+    asked = spark.createDataFrame(origins, "code string, w int, origin_ts timestamp")
+    got = defaultdict(list)
+    for r in windows.last_of(asked, series, 7, ["code"], ["n"]).collect():
+        got[r.code, r.w].append(r.n)
+    want = {}
+    for code, w, end in origins:
+        own = sorted((t, n) for c, t, _, n in points if c == code and t <= end)
+        if own:
+            want[code, w] = sorted(n for _, n in own[-7:])
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 15
+
+
+def test_gate_looks_up_places(spark):
+    """The join was by time alone, and each window took all points of five days; now it is by target and place."""
+    plan = catalog.QUERIES["f26_gated_shrink"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join" in line and "_place" in line and "target" in line for line in plan.splitlines())
+
+
 def test_dtw_metric(spark):
     rng = random.Random(5)
     rows = [(w, t, h, rng.gauss(0, 3), rng.gauss(0, 3)) for w in range(6) for t in "ab" for h in range(1, 8)]
