@@ -181,6 +181,15 @@ def test_gate_looks_up_places(spark):
     assert any("Join" in line and "_place" in line and "target" in line for line in plan.splitlines())
 
 
+def test_prefix_meets_its_own_series_only(spark):
+    points = spark.createDataFrame([("ab"[k % 2], datetime(2024, 1, 1) + timedelta(seconds=7 * k), k) for k in range(90)] + [(None, datetime(2024, 1, 1), 90)], "code string, ts timestamp, n long")
+    joined = windows.prefix_of(points.select("code", F.col("ts").alias("origin_ts"), F.col("n").alias("o")), points, 60, by=["code"])
+    want = {(o, n) for o in range(90) for n in range(o % 2, o + 1, 2) if 7 * (o - n) < 60}
+    assert {(r.o, r.n) for r in joined.collect()} == want
+    plan = catalog.QUERIES["j11_prefix"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_type" in plan[plan.index("Join") : plan.index("\n", plan.index("Join"))]
+
+
 def test_dtw_metric(spark):
     rng = random.Random(5)
     rows = [(w, t, h, rng.gauss(0, 3), rng.gauss(0, 3)) for w in range(6) for t in "ab" for h in range(1, 8)]
