@@ -7,6 +7,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -98,6 +99,28 @@ def test_dtw_by_blocks(spark, band, monkeypatch):
         assert len(want) > 100 and sorted(got) == sorted(want)
 
 
+def test_blocks_have_tasks_of_their_own(spark, monkeypatch):
+    """Small blocks are much work: adaptive execution put those of 43 rows into one task."""
+    df = spark.createDataFrame(paths(43), "id long, label int, values array<double>").repartition(4)
+    monkeypatch.setattr(jobs, "BLOCK", (10, 10))
+    pairs = jobs.dtw_within(df, "label", band=4, counted=False)
+    assert pairs.columns == ["a", "b", "distance"]
+    assert pairs.groupBy(F.spark_partition_id()).count().count() > 6
+
+
+def test_strips_of_long_paths_are_narrow(monkeypatch):
+    """Paths are warped in strips whose diagonals have bounded room, in whatever strips with the same results."""
+    rng = np.random.default_rng(5)
+    x, y = [rng.normal(size=30) for _ in range(3)], [rng.normal(size=30 + k % 2) for k in range(20)]
+    left, right = (pd.DataFrame({a: range(at, at + len(v)), b: v}) for a, b, v, at in (("a", "x", x, 5), ("b", "y", y, 0)))
+    whole = [jobs._warped(left, right, None, once, shape, not shape) for once in (False, True) for shape in (False, True)]
+    monkeypatch.setattr(jobs, "ROOM", 3000)
+    assert max(len(part) for _, part, _, _ in jobs._strips(x, y, None, False, jobs.STRIP)) < 12
+    parted = [jobs._warped(left, right, None, once, shape, not shape) for once in (False, True) for shape in (False, True)]
+    for one, other in zip(whole, parted, strict=True):
+        assert sorted(one.itertuples(index=False)) == sorted(other.itertuples(index=False)) and len(one) in (57, 39)
+
+
 @pytest.mark.parametrize("name", ["p02_dtw", "p03_shape_dtw"])
 def test_warping_reads_no_row_a_pair(spark, name):
     """Paths reach Python by blocks: a row a pair took some 500 microseconds of a core."""
