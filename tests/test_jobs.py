@@ -112,7 +112,7 @@ def test_strips_of_long_paths_are_narrow(monkeypatch):
     """Paths are warped in strips whose diagonals have bounded room, in whatever strips with the same results."""
     rng = np.random.default_rng(5)
     x, y = [rng.normal(size=30) for _ in range(3)], [rng.normal(size=30 + k % 2) for k in range(20)]
-    left, right = (pd.DataFrame({a: range(at, at + len(v)), b: v}) for a, b, v, at in (("a", "x", x, 5), ("b", "y", y, 0)))
+    left, right = (pd.DataFrame({a: [[at + k] for k in range(len(v))], b: v}) for a, b, v, at in (("a", "x", x, 5), ("b", "y", y, 0)))
     whole = [jobs._warped(left, right, None, once, shape, not shape) for once in (False, True) for shape in (False, True)]
     monkeypatch.setattr(jobs, "ROOM", 3000)
     assert max(len(part) for _, part, _, _ in jobs._strips(x, y, None, False, jobs.STRIP)) < 12
@@ -121,6 +121,23 @@ def test_strips_of_long_paths_are_narrow(monkeypatch):
         assert sorted(one.itertuples(index=False)) == sorted(other.itertuples(index=False)) and len(one) in (57, 39)
 
 
+@pytest.mark.parametrize("shape", [False, True])
+def test_equal_paths_are_warped_once(spark, shape, monkeypatch):
+    """Copies have all their pairs, also with each other and where they are more than go as one, but are warped once a class."""
+    rows = [(k, label, v) for k, (_, label, v) in enumerate(paths(6) * 7)] + [(100, 0, paths(1)[0][2]), (101, 1, paths(1)[0][2])]
+    df = spark.createDataFrame(rows, "id long, label int, values array<double>").repartition(4)
+    monkeypatch.setattr(jobs, "COPIES", 3)
+    for queries in (None, F.col("id") % 4 == 0):
+        pairs = jobs.pairs(df, "label", queries=queries)
+        want = jobs.dtw_pairs(pairs, 4, shape=shape).select("a", "b", "distance").collect()
+        got = jobs.dtw_within(df, "label", queries=queries, band=4, shape=shape, counted=False).collect()
+        assert len(want) > 100 and sorted(got) == sorted(want)
+    warped, warper = [], jobs._warper
+    monkeypatch.setattr(jobs, "_warper", lambda *a: lambda x, run=warper(*a): warped.append(len(a[1])) or run(x))
+    found = jobs._warped(pd.DataFrame({"a": [[0, 6, 12]], "x": [np.arange(9.0)]}), pd.DataFrame({"b": [[0, 6], [1], [12, 3]], "y": [np.arange(9.0), np.ones(9), np.zeros(9)]}), 4, False, shape, not shape)
+    assert warped == [3] and len(found) == 12
+
+
 @pytest.mark.parametrize("name", ["p02_dtw", "p03_shape_dtw"])
 def test_warping_reads_no_row_a_pair(spark, name):
     """Paths reach Python by blocks: a row a pair took some 500 microseconds of a core."""
